@@ -5,25 +5,100 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerline.llm.common import scratch_path
 from ledgerline.llm.exact_dedup import exact_dedup
+from ledgerline.llm.golay_dedup import near_duplicates
+from ledgerline.llm.source_mix import mix_plan
+from ledgerline.llm.warc_writer import read_warc, write_warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op7_golay_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op8_warc_writer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = scratch_path(spark, "warc")
+    write_warc(_table(spark, sf_dir, "pages"), root)
+    return read_warc(spark, root).select(F.col("page_id").cast("long"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     return exact_dedup(_table(spark, sf_dir, "documents"), carry=[F.sha2(text, 256).alias("text_sha256")])
 
 
-QUERIES = {"op9_exact_dedup": op9_exact_dedup}
+def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = mix_plan(_table(spark, sf_dir, "documents"))
+    return plan.select("doc_id", "source", "n_tokens", "epoch", "block", "position", *(F.round(c, 6).alias(c) for c in ("weight", "repeats", "mix_order")))
+
+
+QUERIES = {
+    "op7_golay_dedup": op7_golay_dedup,
+    "op8_warc_writer": op8_warc_writer,
+    "op9_exact_dedup": op9_exact_dedup,
+    "op10_source_mix": op10_source_mix,
+}
+
+#: Base32 by SQL: five hex digits are twenty bits, which are four letters.
+_BASE32 = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(sha1(p), {5 * g + 1}, 5))::BIGINT) >> {s}) & 31)::INT + 1, 1)" for g in range(8) for s in (15, 10, 5, 0))
 
 ORACLES = {
+    "op8_warc_writer": f"""
+        WITH d AS (SELECT page_id, coalesce(html, '') AS p FROM pages),
+        g AS (SELECT page_id, octet_length(encode(p)) AS payload_bytes, {_BASE32} AS payload_digest FROM d),
+        b AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS best FROM g)
+        SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = best THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id = best THEN NULL ELSE best END AS refers_to
+        FROM b
+    """,
     "op9_exact_dedup": """
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
         g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
         SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, sha256(d.t) AS text_sha256
         FROM d JOIN g ON d.t = g.t
     """,
+    "op10_source_mix": r"""
+        WITH RECURSIVE u AS (
+            SELECT doc_id, coalesce(source, '') AS source, coalesce(sum(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+'))), 0)::BIGINT AS n_tokens
+            FROM documents GROUP BY ALL),
+        s AS (SELECT source, sum(n_tokens)::BIGINT AS tokens, sum(n_tokens)::DOUBLE / (SELECT sum(n_tokens) FROM u) AS share FROM u GROUP BY source),
+        k AS (SELECT count(*) AS n, min(share) AS low, max(share) AS high FROM s WHERE share > 0),
+        -- Halve [0, 1] forty times for the entropy, and once more for the repetition limit.
+        e AS (
+            SELECT 0 AS i, 0.0::DOUBLE AS lo, 1.0::DOUBLE AS hi
+            UNION ALL
+            SELECT i + 1, CASE WHEN ok THEN mid ELSE lo END, CASE WHEN ok THEN hi ELSE mid END
+            FROM (SELECT i, lo, hi, (lo + hi) / 2 AS mid,
+                         (SELECT ln(sum(pow(share, (lo + hi) / 2))) - (lo + hi) / 2 * sum(pow(share, (lo + hi) / 2) * ln(share)) / sum(pow(share, (lo + hi) / 2)) FROM s WHERE share > 0)
+                         >= 0.95 * ln((SELECT n FROM k)) AS ok
+                  FROM e WHERE i < 40)),
+        r AS (
+            SELECT 0 AS i, 0.0::DOUBLE AS lo, 1.0::DOUBLE AS hi
+            UNION ALL
+            SELECT i + 1, CASE WHEN ok THEN mid ELSE lo END, CASE WHEN ok THEN hi ELSE mid END
+            FROM (SELECT i, lo, hi, (lo + hi) / 2 AS mid, pow((SELECT high / low FROM k), (lo + hi) / 2) <= 2.0 AS ok FROM r WHERE i < 40)),
+        a AS (
+            SELECT CASE WHEN (SELECT n FROM k) < 2 THEN 1.0 ELSE greatest(
+                CASE WHEN (SELECT -sum(share * ln(share)) FROM s WHERE share > 0) >= 0.95 * ln((SELECT n FROM k)) THEN 1.0 ELSE (SELECT lo FROM e WHERE i = 40) END,
+                1.0 - CASE WHEN (SELECT high / low FROM k) <= 2.0 THEN 1.0 ELSE (SELECT lo FROM r WHERE i = 40) END) END AS alpha),
+        z AS (SELECT sum(pow(share, alpha)) AS norm, max(pow(share, 1 - alpha)) AS least, (SELECT sum(tokens) FROM s) AS total FROM s, a WHERE share > 0),
+        b AS (
+            SELECT source, tokens, CASE WHEN share > 0 THEN pow(share, alpha) / norm ELSE 0.0 END AS weight,
+                   CASE WHEN share > 0 THEN total * least * norm * (pow(share, alpha) / norm) / tokens ELSE 1.0 END AS repeats
+            FROM s, a, z),
+        w AS (SELECT *, floor(repeats + 1e-9)::BIGINT AS whole FROM b),
+        v AS (SELECT *, greatest(round((repeats - whole) * tokens), 0)::BIGINT AS rest FROM w),
+        c AS (
+            SELECT *, md5('17:' || epoch || ':' || coalesce(doc_id::VARCHAR, '')) AS h
+            FROM (SELECT u.*, tokens, weight, repeats, whole, rest, unnest(range(0, CASE WHEN rest > 0 THEN whole + 1 ELSE whole END)) AS epoch FROM u JOIN v USING (source))),
+        d AS (SELECT *, ('0x' || substr(h, 1, 8))::BIGINT % least(65536, greatest(1, ceil(tokens / 32768.0)))::BIGINT AS block FROM c),
+        p AS (SELECT *, (sum(n_tokens) OVER (PARTITION BY source, epoch ORDER BY block, h, doc_id ROWS UNBOUNDED PRECEDING) - n_tokens)::BIGINT AS position FROM d)
+        SELECT doc_id, source, n_tokens, epoch, block, position, round(weight, 6) AS weight, round(repeats, 6) AS repeats,
+               round(coalesce((epoch * tokens + position) / nullif(repeats * tokens, 0), 0.0), 6) AS mix_order
+        FROM p WHERE epoch < whole OR position < rest
+    """,
 }
