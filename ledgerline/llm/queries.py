@@ -2,20 +2,63 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.llm.common import scratch_path
 from ledgerline.llm.exact_dedup import exact_dedup
 from ledgerline.llm.golay_dedup import near_duplicates
+from ledgerline.llm.lang_compress import classify, learn
+from ledgerline.llm.license_scan import license_scan
+from ledgerline.llm.ordinal_quality import fit, graded, predict
+from ledgerline.llm.piece_codec import round_trip
+from ledgerline.llm.quality_forest import quality_rules
 from ledgerline.llm.source_mix import mix_plan
+from ledgerline.llm.token_store import read_tokens, write_tokens
 from ledgerline.llm.warc_writer import read_warc, write_warc
 
+#: Where the vocabulary files lie; the package that holds them is public and installed beside the libraries.
+WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(_table(spark, sf_dir, "documents")).drop("spans")
+
+
+def op2_quality_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score", "threshold")
+
+
+def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = scratch_path(spark, "tokens")
+    write_tokens(_table(spark, sf_dir, "documents"), root, WORD_VOCABULARY)
+    return read_tokens(spark, root).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op4_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(_table(spark, sf_dir, "documents"), PIECE_MODEL)
+
+
+def op5_lang_compress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 3 == 1
+    model = learn(docs.where(~held_out))
+    return classify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op6_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    model = fit(docs, labels.withColumn("grade", graded(F.col("quality"), F.col("toxic"))))
+    return predict(docs, model)
+
+
 def op7_golay_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -37,6 +80,12 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_license_scan": op1_license_scan,
+    "op2_quality_forest": op2_quality_forest,
+    "op3_token_store": op3_token_store,
+    "op4_piece_codec": op4_piece_codec,
+    "op5_lang_compress": op5_lang_compress,
+    "op6_ordinal_quality": op6_ordinal_quality,
     "op7_golay_dedup": op7_golay_dedup,
     "op8_warc_writer": op8_warc_writer,
     "op9_exact_dedup": op9_exact_dedup,
