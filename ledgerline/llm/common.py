@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Letters A-Z become a-z, every byte that cannot be in a word becomes a space.
+#: Applications whose workers have the package.
 _SHIPPED: set[str] = set()
 
 

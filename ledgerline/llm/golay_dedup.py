@@ -164,9 +164,11 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Rows that tie in that id are cut to one. Rows whose id is null stay only if no other row of the component has an id.
     """
-    found = near_duplicates(docs, id_col, text_col, **options).select(F.col(id_col).alias("_id"), "component_id")
-    gone = materialize(found.where(~F.col("_id").eqNullSafe(F.col("component_id"))).distinct(), "golay-gone")
-    out = docs.join(gone.select("_id"), F.col(id_col).eqNullSafe(F.col("_id")), "left_anti")
+    found = near_duplicates(docs, id_col, text_col, **options).select(F.col(id_col).alias("gone_id"), "component_id")
+    gone = materialize(found.where(~F.col("gone_id").eqNullSafe(F.col("component_id"))).select("gone_id").distinct(), "golay-gone")
+    # The whole row travels as one struct, so that no column of it can clash with a name used here.
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"))
+    out = rows.join(gone, F.col("id").eqNullSafe(F.col("gone_id")), "left_anti")
     if docs.groupBy(id_col).count().where("count > 1").limit(1).count():
-        out = out.dropDuplicates([id_col])
-    return out
+        out = out.dropDuplicates(["id"])
+    return out.select("row.*")

@@ -131,9 +131,10 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     mix_order is even over [0, 1] in tokens, so slices of it make even partitions without sampling.
     """
     plan = mix_plan(docs, id_col, text_col, source_col, **options)
-    plan = plan.select(F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), F.col("mix_order").alias("_order"))
-    plan = materialize(plan, "mix-plan")
-    out = docs.join(plan, F.col(id_col).eqNullSafe(F.col("_id")) & (F.coalesce(F.col(source_col).cast("string"), F.lit("")) == F.col("_source")))
+    plan = materialize(plan.select(F.col(id_col).alias("plan_id"), F.col(source_col).alias("plan_source"), "mix_order"), "mix-plan")
+    # The whole row travels as one struct, so that no column of it can clash with a name used here.
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"))
+    out = rows.join(plan, F.col("id").eqNullSafe(F.col("plan_id")) & (F.col("source") == F.col("plan_source")))
     n = shard_count(docs.sparkSession)
-    slot = F.least(F.lit(n - 1), F.floor(F.col("_order") * n)).cast("int")
-    return out.withColumn("_slot", slot).repartitionById(n, F.col("_slot")).sortWithinPartitions("_order", "_id").select(*docs.columns)
+    slot = F.least(F.lit(n - 1), F.floor(F.col("mix_order") * n)).cast("int")
+    return out.withColumn("slot", slot).repartitionById(n, F.col("slot")).sortWithinPartitions("mix_order", "id").select("row.*")
