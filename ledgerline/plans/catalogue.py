@@ -1,4 +1,599 @@
 """The query catalogue: every operator applied to the driver's tables, beside SQL that gives the same rows."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ledgerline.functions import scalars, text
+from ledgerline.functions.html import partition
+from ledgerline.operators import catalog, chunking, conversation, evaluation, facts, holdings, retrieval, valuation, watchlist
+from ledgerline.plans import nation_year
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a query under its name, with the SQL that gives the same rows."""
+
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def rounded(df: DataFrame, digits: int, *names: str) -> DataFrame:
+    return df.withColumns({n: F.round(n, digits) for n in names})
+
+
+# Listings -----------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT lang, source, count(*) AS chunks FROM documents GROUP BY lang, source")
+def corpus_listing(spark, sf):
+    return catalog.listing(t(spark, sf, "documents"), ["lang", "source"])
+
+
+@query("SELECT lang, string_agg(DISTINCT source, ',' ORDER BY source DESC) AS members, count(DISTINCT source) AS n_members, sum(n_chars)::BIGINT AS total FROM documents GROUP BY lang")
+def corpus_ledger(spark, sf):
+    return catalog.ledger(t(spark, sf, "documents"), "lang", "source", "n_chars")
+
+
+@query("SELECT string_agg(x, '; ' ORDER BY x) AS summary FROM (SELECT lang || ' ' || source || ' (' || count(*) || ' chunks)' AS x FROM documents GROUP BY lang, source)")
+def corpus_summary(spark, sf):
+    rows = catalog.listing(t(spark, sf, "documents"), ["lang", "source"])
+    return catalog.summary_text(rows, F.format_string("%s %s (%d chunks)", "lang", "source", "chunks"))
+
+
+@query("SELECT o_orderkey, o_custkey, o_orderstatus, o_orderdate::DATE AS o_orderdate FROM orders WHERE o_orderstatus = 'F' AND o_orderdate::DATE >= DATE '1996-01-01' AND o_orderdate::DATE <= DATE '1997-06-30'")
+def metadata_filter(spark, sf):
+    rows = t(spark, sf, "orders").selectExpr("o_orderkey", "o_custkey", "o_orderstatus", "cast(o_orderdate as date) as period_of_report")
+    return rows.where((F.col("o_orderstatus") == "F") & retrieval.predicate(period_start="1996-01-01", period_end="1997-06-30")).withColumnRenamed("period_of_report", "o_orderdate")
+
+
+@query("SELECT o_custkey, max(o_orderdate::DATE)::VARCHAR AS latest FROM orders GROUP BY o_custkey")
+def latest_scalar(spark, sf):
+    return facts.latest_date(t(spark, sf, "orders").selectExpr("o_custkey", "cast(o_orderdate as date) as d"), ["o_custkey"], "d")
+
+
+@query("SELECT DISTINCT c_mktsegment AS ticker FROM customer")
+def distinct_listing(spark, sf):
+    return facts.covered(t(spark, sf, "customer").withColumnRenamed("c_mktsegment", "ticker"))
+
+
+# The fact base --------------------------------------------------------------------------------------------------------
+
+_LINE = "l_orderkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus"
+
+
+@query(f"SELECT l_suppkey, l_partkey, l_shipdate::DATE AS l_shipdate, {_LINE} FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_suppkey, l_partkey ORDER BY l_shipdate::DATE DESC, {', '.join(c + ' DESC' for c in _LINE.split(', '))}) = 1")
+def fact_upsert_newest_wins(spark, sf):
+    names = _LINE.split(", ")
+    rows = t(spark, sf, "lineitem").selectExpr("l_suppkey", "l_partkey", "cast(l_shipdate as date) as l_shipdate", *names)
+    return facts.newest_wins(rows, ["l_suppkey", "l_partkey"], "l_shipdate", *(F.desc(c) for c in names))
+
+
+@query("SELECT o_custkey, yr, total, row_number() OVER (PARTITION BY o_custkey ORDER BY yr DESC)::INTEGER AS period_rank FROM (SELECT o_custkey, year(o_orderdate)::INTEGER AS yr, sum(round(o_totalprice * 100)::BIGINT)::BIGINT AS total FROM orders GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY yr DESC) <= 3")
+def periods_topn_per_key(spark, sf):
+    rows = t(spark, sf, "orders").selectExpr("o_custkey", "year(o_orderdate) as yr", "cast(round(o_totalprice * 100) as bigint) as cents").groupBy("o_custkey", "yr").agg(F.sum("cents").alias("total"))
+    return facts.top_periods(rows, ["o_custkey"], "yr", 3)
+
+
+#: A small taxonomy over part types: first word to a class, with a priority.
+CLASSES = (("ECONOMY", "low", 0), ("PROMO", "low", 1), ("SMALL", "size", 0), ("MEDIUM", "size", 1), ("LARGE", "size", 2), ("STANDARD", "plain", 0))
+
+
+@query(
+    "WITH c(w, class, priority) AS (VALUES "
+    + ", ".join(f"('{a}', '{b}', {p})" for a, b, p in CLASSES)
+    + "), p AS (SELECT p_partkey, p_brand, class, priority, p_type FROM part JOIN c ON split_part(p_type, ' ', 1) = w) SELECT p_brand, class, priority::INTEGER AS priority, p_partkey, p_type FROM p QUALIFY row_number() OVER (PARTITION BY p_brand, class ORDER BY priority, p_partkey) = 1"
+)
+def priority_dedup(spark, sf):
+    table = spark.createDataFrame(CLASSES, "w string, class string, priority int")
+    rows = t(spark, sf, "part").withColumn("w", F.substring_index("p_type", " ", 1)).join(F.broadcast(table), "w")
+    return facts.best_row(rows, ["p_brand", "class"], F.col("priority"), F.col("p_partkey")).select("p_brand", "class", "priority", "p_partkey", "p_type")
+
+
+@query("""
+    SELECT l_orderkey, l_linenumber, days, CASE WHEN days < 0 THEN 'reversed' WHEN days >= 300 THEN 'annual' WHEN days <= 120 THEN 'quarterly' ELSE 'other' END AS period_class,
+           days >= 300 AS annual_kept, days <= 120 AS quarterly_kept, 'Q' || quarter(s) AS calendar_quarter
+    FROM (SELECT l_orderkey, l_linenumber, l_shipdate::DATE AS s, date_diff('day', o_orderdate::DATE, l_shipdate::DATE)::INTEGER AS days FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
+""")
+def period_classify(spark, sf):
+    rows = t(spark, sf, "lineitem").selectExpr("l_orderkey", "l_linenumber", "cast(l_shipdate as date) as s").join(t(spark, sf, "orders").selectExpr("o_orderkey as l_orderkey", "cast(o_orderdate as date) as o"), "l_orderkey")
+    key = scalars.period(F.concat_ws("_", F.lit("duration"), F.col("o").cast("string"), F.col("s").cast("string")))
+    rows = rows.withColumn("p", key).withColumn("days", F.datediff("p.period_end", "p.period_start"))
+    kind = F.when(F.col("days") < 0, "reversed").when(F.col("days") >= scalars.ANNUAL_MIN_DAYS, "annual").when(F.col("days") <= scalars.QUARTER_MAX_DAYS, "quarterly").otherwise("other")
+
+    def keeps(form: str) -> Column:
+        return scalars.keeps_period(F.col("p.period_type"), F.col("p.period_start"), F.col("p.period_end"), F.lit(form))
+
+    return rows.select("l_orderkey", "l_linenumber", "days", kind.alias("period_class"), keeps("10-K").alias("annual_kept"), keeps("10-Q").alias("quarterly_kept"), scalars.filing_quarter(F.lit("10-Q"), F.col("p.period_end")).alias("calendar_quarter"))
+
+
+@query("""
+    WITH s AS (SELECT l_orderkey, sum(round(l_extendedprice * 100)::BIGINT * (100 - round(l_discount * 100)::BIGINT) * (100 + round(l_tax * 100)::BIGINT))::DOUBLE / 1000000 AS total FROM lineitem GROUP BY l_orderkey)
+    SELECT o_orderkey, total, CASE WHEN abs(total - o_totalprice) <= 0.01e0 * greatest(abs(total), abs(o_totalprice), 1e0) THEN 1e0 ELSE 0.5e0 END AS confidence
+    FROM s JOIN orders ON l_orderkey = o_orderkey
+""")
+def identity_validation(spark, sf):
+    def whole(c: str) -> str:
+        return f"cast(round({c} * 100) as bigint)"
+
+    sums = t(spark, sf, "lineitem").groupBy("l_orderkey").agg((F.expr(f"sum({whole('l_extendedprice')} * (100 - {whole('l_discount')}) * (100 + {whole('l_tax')}))").cast("double") / 1_000_000).alias("total"))
+    rows = sums.join(t(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    good = scalars.close_to(F.col("total"), F.col("o_totalprice"))
+    return rows.select("o_orderkey", "total", F.when(good, 1.0).otherwise(0.5).alias("confidence"))
+
+
+@query(f"""
+    WITH {nation_year.SQL}
+    SELECT entity, yr, 'gross_profit' AS rule FROM wide WHERE abs((revenue - cost_of_revenue) - gross_profit) > 0.01e0 * greatest(abs(revenue - cost_of_revenue), abs(gross_profit), 1e0)
+    UNION ALL
+    SELECT entity, yr, 'balance_sheet' FROM (SELECT *, total_assets * 0.55e0 AS total_liabilities FROM wide)
+    WHERE abs((total_liabilities + total_equity) - total_assets) > 0.01e0 * greatest(abs(total_liabilities + total_equity), abs(total_assets), 1e0)
+""")
+def accounting_violations(spark, sf):
+    rows = nation_year.facts(spark, sf)
+    owed = rows.where("canonical_key = 'total_assets'").withColumns({"canonical_key": F.lit("total_liabilities"), "value": F.col("value") * 0.55})
+    return facts.violations(rows.unionByName(owed), ["entity", "yr"]).select("entity", "yr", "rule")
+
+
+_AXES = """
+    WITH b AS (SELECT c_mktsegment, r_name, year(o_orderdate)::INTEGER AS yr, round(o_totalprice * 100)::BIGINT AS cents
+               FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+    a AS (SELECT 'Geography' AS axis, r_name AS member, yr, sum(cents)::BIGINT AS cents FROM b GROUP BY ALL UNION ALL SELECT 'Operating Segment', c_mktsegment, yr, sum(cents)::BIGINT FROM b GROUP BY ALL)
+"""
+
+
+@query(_AXES + "SELECT axis, member, yr, cents, row_number() OVER (PARTITION BY axis ORDER BY cents DESC, member)::INTEGER AS rank, count(*) OVER (PARTITION BY axis) AS n_members FROM a WHERE yr = (SELECT max(yr) FROM a) QUALIFY row_number() OVER (PARTITION BY axis ORDER BY cents DESC, member) <= 4")
+def segment_breakdown(spark, sf):
+    places = t(spark, sf, "nation").join(F.broadcast(t(spark, sf, "region")), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "r_name")
+    rows = t(spark, sf, "orders").join(t(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(F.broadcast(places), F.col("c_nationkey") == F.col("n_nationkey"))
+    rows = rows.selectExpr("year(o_orderdate) as yr", "cast(round(o_totalprice * 100) as bigint) as cents", "stack(2, 'us-gaap:StatementGeographicalAxis', r_name, 'us-gaap:StatementBusinessSegmentsAxis', c_mktsegment) as (axis, member)")
+    sums = rows.groupBy("axis", "member", "yr").agg(F.sum("cents").alias("cents")).withColumn("axis", scalars.axis_label(F.col("axis"))).withColumn("entity", F.lit("all"))
+    return facts.segment_read(sums, "entity", "axis", "member", "yr", "cents", 4).drop("entity")
+
+
+@query("""
+    SELECT ticker, coalesce(core, FALSE) AS covered, CASE WHEN core THEN NULL WHEN core IS NULL THEN 'no financials could be extracted' ELSE 'limited coverage: no revenue reported' END AS message
+    FROM (SELECT s_suppkey::VARCHAR AS ticker, bool_or(l_returnflag = 'R') AS core FROM supplier LEFT JOIN lineitem ON s_suppkey = l_suppkey AND l_quantity > 49 GROUP BY s_suppkey)
+""")
+def coverage_message(spark, sf):
+    seen = t(spark, sf, "lineitem").where("l_quantity > 49").select(F.col("l_suppkey").cast("string").alias("ticker"), F.when(F.col("l_returnflag") == "R", "revenue").otherwise("other").alias("canonical_key"))
+    return facts.coverage(t(spark, sf, "supplier").select(F.col("s_suppkey").cast("string").alias("ticker")), seen)
+
+
+# Valuation ------------------------------------------------------------------------------------------------------------
+
+
+def _wide(spark: SparkSession, sf: str) -> DataFrame:
+    return valuation.pivot_periods(nation_year.facts(spark, sf), ["entity", "nk", "yr"], [*valuation.KEYS, "price"])
+
+
+_METRICS = f"""
+    WITH {nation_year.SQL},
+    m1 AS (SELECT *, operating_cash_flow - capex AS fcf, operating_income + coalesce(depreciation_amortization, 0) AS ebitda, income_tax / nullif(pretax_income, 0) AS effective_tax_rate,
+                  CASE WHEN long_term_debt IS NOT NULL OR short_term_debt IS NOT NULL THEN coalesce(long_term_debt, 0) + coalesce(short_term_debt, 0) - coalesce(cash_and_equivalents, 0) - coalesce(short_term_investments, 0) END AS net_debt
+           FROM wide),
+    m AS (SELECT *, coalesce(gross_profit, revenue - cost_of_revenue) / nullif(revenue, 0) AS gross_margin, operating_income / nullif(revenue, 0) AS operating_margin, net_income / nullif(revenue, 0) AS net_margin,
+                 fcf / nullif(revenue, 0) AS fcf_margin, ebitda / nullif(revenue, 0) AS ebitda_margin, net_income / nullif(total_equity, 0) AS roe, net_income / nullif(total_assets, 0) AS roa,
+                 operating_income * (1 - coalesce(effective_tax_rate, 0)) / nullif(total_equity + greatest(coalesce(net_debt, 0), 0), 0) AS roic_approx, net_debt / nullif(ebitda, 0) AS net_debt_to_ebitda,
+                 current_assets / nullif(current_liabilities, 0) AS current_ratio, operating_income / nullif(interest_expense, 0) AS interest_coverage
+          FROM m1),
+    pts AS (SELECT entity, k, v, yr, row_number() OVER (PARTITION BY entity, k ORDER BY yr DESC) AS r, row_number() OVER (PARTITION BY entity, k ORDER BY yr) AS q, count(*) OVER (PARTITION BY entity, k) AS n
+            FROM (UNPIVOT (SELECT entity, yr, revenue, net_income, operating_income FROM wide) ON revenue, net_income, operating_income INTO NAME k VALUE v) WHERE v IS NOT NULL),
+    g AS (SELECT entity, k, (max(v) FILTER (r = 1) - max(v) FILTER (r = 2)) / nullif(abs(max(v) FILTER (r = 2)), 0) AS yoy,
+                 CASE WHEN max(n) >= 2 AND max(v) FILTER (q = 1) > 0 AND max(v) FILTER (r = 1) > 0 THEN pow(max(v) FILTER (r = 1) / max(v) FILTER (q = 1), 1e0 / (max(n) - 1)) - 1 END AS cagr
+          FROM pts GROUP BY entity, k),
+    tr AS (SELECT e.entity, max(yoy) FILTER (k = 'revenue') AS revenue_growth_yoy, max(yoy) FILTER (k = 'net_income') AS net_income_growth_yoy, max(yoy) FILTER (k = 'operating_income') AS operating_income_growth_yoy, max(cagr) FILTER (k = 'revenue') AS revenue_cagr
+           FROM (SELECT DISTINCT entity FROM wide) e LEFT JOIN g USING (entity) GROUP BY e.entity),
+    l AS (SELECT m.*, tr.* EXCLUDE (entity), least(greatest(coalesce(revenue_cagr, 0.04e0), -0.05e0), 0.2e0) AS growth_used, coalesce(nullif(shares_outstanding, 0), nullif(shares_diluted, 0)) AS shares_used
+          FROM m JOIN tr USING (entity) QUALIFY row_number() OVER (PARTITION BY entity ORDER BY yr DESC) = 1),
+    d AS (SELECT entity, k, CASE WHEN fcf > 0 AND shares_used > 0 THEN
+                 (fcf * (1 + gr) / 1.09e0 + fcf * pow(1 + gr, 2) / pow(1.09e0, 2) + fcf * pow(1 + gr, 3) / pow(1.09e0, 3) + fcf * pow(1 + gr, 4) / pow(1.09e0, 4) + fcf * pow(1 + gr, 5) / pow(1.09e0, 5)
+                  + fcf * pow(1 + gr, 5) * 1.025e0 / (0.09e0 - 0.025e0) / pow(1.09e0, 5) - coalesce(net_debt, 0)) / shares_used END AS dcf
+          FROM (SELECT *, 'base' AS k, growth_used AS gr FROM l UNION ALL SELECT *, 'low', greatest(growth_used - 0.03e0, -0.05e0) FROM l UNION ALL SELECT *, 'high', least(growth_used + 0.03e0, 0.2e0) FROM l)),
+    dd AS (SELECT entity, max(dcf) FILTER (k = 'base') AS dcf_base, max(dcf) FILTER (k = 'low') AS dcf_low, max(dcf) FILTER (k = 'high') AS dcf_high FROM d GROUP BY entity),
+    v AS (SELECT l.*, dcf_base, dcf_low, dcf_high, (dcf_base - price) / nullif(price, 0) AS dcf_upside, price * shares_used AS market_cap, price * shares_used + coalesce(net_debt, 0) AS enterprise_value,
+                 price * shares_used / nullif(net_income, 0) AS pe, (price * shares_used + coalesce(net_debt, 0)) / nullif(ebitda, 0) AS ev_ebitda, price * shares_used / nullif(fcf, 0) AS p_fcf, price * shares_used / nullif(revenue, 0) AS p_s,
+                 fcf / nullif(price * shares_used, 0) AS fcf_yield
+          FROM l JOIN dd USING (entity))
+"""
+
+
+@query(f"WITH {nation_year.SQL} SELECT entity, yr, {', '.join(nation_year.ITEMS)} FROM wide")
+def period_pivot(spark, sf):
+    return _wide(spark, sf).select("entity", "yr", *nation_year.ITEMS)
+
+
+@query(_METRICS + f"SELECT entity, yr, {', '.join(f'round({k}, 6) AS {k}' for k in valuation.METRICS)} FROM m")
+def period_metrics(spark, sf):
+    return rounded(valuation.period_metrics(_wide(spark, sf)), 6, *valuation.METRICS).select("entity", "yr", *valuation.METRICS)
+
+
+_TRENDS = ("revenue_growth_yoy", "net_income_growth_yoy", "operating_income_growth_yoy", "revenue_cagr")
+
+
+@query(_METRICS + f"SELECT entity, {', '.join(f'round({k}, 6) AS {k}' for k in _TRENDS)} FROM tr")
+def growth_trends(spark, sf):
+    return rounded(valuation.trends(_wide(spark, sf), "entity", "yr"), 6, *_TRENDS)
+
+
+def _valued(spark: SparkSession, sf: str) -> DataFrame:
+    """Newest year of each nation with metrics, trends, multiples and cash-flow value."""
+    wide = _wide(spark, sf)
+    latest = facts.top_periods(valuation.period_metrics(wide), ["entity"], "yr", 1)
+    return valuation.valuation(latest.join(valuation.trends(wide, "entity", "yr"), "entity"))
+
+
+_MULTIPLES = ("market_cap", "enterprise_value", "pe", "ev_ebitda", "p_fcf", "p_s", "fcf_yield")
+
+
+@query(_METRICS + f"SELECT entity, yr, {', '.join(f'round({k}, 5) AS {k}' for k in _MULTIPLES)} FROM v")
+def valuation_multiples(spark, sf):
+    return rounded(_valued(spark, sf), 5, *_MULTIPLES).select("entity", "yr", *_MULTIPLES)
+
+
+@query(_METRICS + "SELECT entity, round(growth_used, 6) AS growth_used, round(dcf_base, 6) AS dcf_base, round(dcf_low, 6) AS dcf_low, round(dcf_high, 6) AS dcf_high, round(dcf_upside, 6) AS dcf_upside FROM v")
+def dcf_range(spark, sf):
+    names = ("growth_used", "dcf_base", "dcf_low", "dcf_high", "dcf_upside")
+    return rounded(_valued(spark, sf), 6, *names).select("entity", *names)
+
+
+@query(_METRICS + "SELECT entity, CASE WHEN dcf_upside >= 0.2e0 THEN 'cheap' WHEN dcf_upside <= -0.2e0 THEN 'expensive' WHEN dcf_upside IS NOT NULL THEN 'fair' END AS verdict FROM v")
+def verdict_bucket(spark, sf):
+    return _valued(spark, sf).select("entity", scalars.verdict(F.col("dcf_upside")).alias("verdict"))
+
+
+_SIGNALS = """,
+    s AS (
+        SELECT entity, 0 AS o, 'profitability' AS dimension, 'bull' AS direction, 'High net margin' AS label FROM v WHERE net_margin >= 0.15e0
+        UNION ALL SELECT entity, 1, 'profitability', 'bear', 'Thin net margin' FROM v WHERE net_margin < 0.05e0
+        UNION ALL SELECT entity, 2, 'returns', 'bull', 'Strong returns on capital' FROM v WHERE roic_approx >= 0.15e0
+        UNION ALL SELECT entity, 3, 'returns', 'bear', 'Low returns on capital' FROM v WHERE roic_approx < 0.08e0
+        UNION ALL SELECT entity, 4, 'cash_flow', 'bull', 'Strong free cash flow' FROM v WHERE fcf_margin >= 0.1e0
+        UNION ALL SELECT entity, 5, 'cash_flow', 'bear', 'Burning cash' FROM v WHERE fcf_margin < 0
+        UNION ALL SELECT entity, 6, 'balance_sheet', 'bull', 'Low leverage' FROM v WHERE net_debt_to_ebitda <= 1
+        UNION ALL SELECT entity, 7, 'balance_sheet', 'bear', 'Elevated leverage' FROM v WHERE net_debt_to_ebitda > 3
+        UNION ALL SELECT entity, 8, 'balance_sheet', 'neutral', 'Current ratio below 1' FROM v WHERE current_ratio < 1
+        UNION ALL SELECT entity, 9, 'growth', 'bull', 'Double-digit revenue growth' FROM v WHERE revenue_growth_yoy >= 0.1e0
+        UNION ALL SELECT entity, 10, 'growth', 'bear', 'Revenue declining' FROM v WHERE revenue_growth_yoy < 0
+        UNION ALL SELECT entity, 11, 'growth', 'neutral', 'Slow revenue growth' FROM v WHERE revenue_growth_yoy >= 0 AND revenue_growth_yoy < 0.03e0
+        UNION ALL SELECT entity, 12, 'growth', 'bear', 'Decelerating growth' FROM v WHERE revenue_cagr > 0 AND revenue_growth_yoy < revenue_cagr - 0.02e0
+        UNION ALL SELECT entity, 13, 'valuation', 'bull', 'Trades below DCF value' FROM v WHERE dcf_upside >= 0.2e0
+        UNION ALL SELECT entity, 14, 'valuation', 'bear', 'Trades above DCF value' FROM v WHERE dcf_upside <= -0.2e0
+        UNION ALL SELECT entity, 15, 'valuation', 'bear', 'Low FCF yield' FROM v WHERE fcf_yield < 0.03e0)
+"""
+
+
+@query(_METRICS + _SIGNALS + "SELECT entity, (row_number() OVER (PARTITION BY entity ORDER BY o) - 1)::INTEGER AS pos, dimension, direction, label FROM s")
+def rule_signals(spark, sf):
+    return valuation.signal_rows(_valued(spark, sf), ["entity"]).drop("detail")
+
+
+@query(_METRICS + _SIGNALS + """, w AS (SELECT entity, dimension, min(o) AS o FROM s WHERE direction = 'bear' GROUP BY ALL),
+    x AS (SELECT entity, string_agg(dimension, ',' ORDER BY o) AS watch FROM (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY entity ORDER BY o) <= 3) GROUP BY entity)
+    SELECT entity, coalesce(string_agg(label, ',' ORDER BY o) FILTER (direction = 'bull'), '') AS bull, coalesce(string_agg(label, ',' ORDER BY o) FILTER (direction = 'bear'), '') AS bear, coalesce(any_value(watch), '') AS watch
+    FROM s LEFT JOIN x USING (entity) GROUP BY entity""")
+def thesis_scaffold(spark, sf):
+    rows = valuation.thesis(valuation.signal_rows(_valued(spark, sf), ["entity"]), "entity")
+    names = {v: k for k, v in valuation.WATCH.items()}
+    labels = F.create_map(*(F.lit(x) for kv in names.items() for x in kv))
+
+    def bare(c: str) -> Column:
+        return F.array_join(F.transform(F.filter(F.split(c, "\n"), lambda x: x != ""), lambda x: F.regexp_extract(x, r"^[-+] (.*?) \(", 1)), ",")
+
+    return rows.select("entity", bare("bull").alias("bull"), bare("bear").alias("bear"), F.array_join(F.transform(F.filter(F.split("watch", "\n"), lambda x: x != ""), lambda x: labels[x]), ",").alias("watch"))
+
+
+@query(f"""
+    WITH {nation_year.SQL},
+    c AS (SELECT *, net_income / nullif(revenue, 0) AS nm, price * qty_ / nullif(net_income, 0) AS pe, list_sort(list_filter([CASE WHEN net_income / nullif(revenue, 0) >= 0.15e0 THEN 'high margin' END, CASE WHEN price IS NULL THEN 'no price' END, CASE WHEN revenue > lag(revenue) OVER (PARTITION BY entity ORDER BY yr) THEN 'growing' END], lambda x: x IS NOT NULL)) AS labels
+          FROM (SELECT *, shares_outstanding AS qty_ FROM wide)),
+    j AS (SELECT n.entity, n.nm, o.nm AS onm, n.pe, o.pe AS ope, n.labels, o.labels AS olabels FROM c n JOIN c o ON n.entity = o.entity AND n.yr = 2000 AND o.yr = 1999),
+    u AS (SELECT entity, 0 AS o, '' AS s, 'P/E' AS change FROM j WHERE abs(pe - ope) / greatest(abs(ope), abs(pe), 1e-9) >= 0.05e0
+          UNION ALL SELECT entity, 1, '', 'Net margin' FROM j WHERE abs(nm - onm) / greatest(abs(onm), abs(nm), 1e-9) >= 0.05e0
+          UNION ALL SELECT entity, 2, x, 'New signal: ' || x FROM (SELECT entity, unnest(list_filter(labels, lambda x: NOT list_contains(olabels, x))) AS x FROM j)
+          UNION ALL SELECT entity, 3, x, 'Cleared: ' || x FROM (SELECT entity, unnest(list_filter(olabels, lambda x: NOT list_contains(labels, x))) AS x FROM j)
+          UNION ALL SELECT entity, 4, '', 'New filing ingested (2000-12-31)' FROM j)
+    SELECT entity, (row_number() OVER (PARTITION BY entity ORDER BY o, s) - 1)::INTEGER AS pos, change FROM u
+""")
+def snapshot_diff(spark, sf):
+    wide = _wide(spark, sf)
+    before = wide.select("entity", (F.col("yr") + 1).alias("yr"), F.col("revenue").alias("old"))
+    rows = wide.join(before, ["entity", "yr"], "left")
+    margin = scalars.safe_div(F.col("net_income"), F.col("revenue"))
+    labels = F.array_compact(F.array(F.when(margin >= 0.15, "high margin"), F.when(F.col("price").isNull(), "no price"), F.when(F.col("revenue") > F.col("old"), "growing")))
+    none = F.lit(None).cast("double")
+    shots = rows.select("entity", "yr", scalars.safe_div(F.col("price") * F.col("shares_outstanding"), F.col("net_income")).alias("pe"), none.alias("dcf_upside"), margin.alias("net_margin"), none.alias("revenue_growth_yoy"), none.alias("net_debt_to_ebitda"), labels.alias("signal_labels"), F.make_date("yr", F.lit(12), F.lit(31)).alias("ingested_filing_date"))
+    found = watchlist.changes(shots.where("yr = 2000").drop("yr"), shots.where("yr = 1999").drop("yr"), "entity")
+    return found.withColumn("change", F.regexp_replace("change", r"^(P/E|Net margin) .*$", "$1"))
+
+
+@query(_METRICS + _SIGNALS + """SELECT v.entity, CASE WHEN dcf_upside >= 0.2e0 THEN 'cheap' WHEN dcf_upside <= -0.2e0 THEN 'expensive' WHEN dcf_upside IS NOT NULL THEN 'fair' END AS verdict, coalesce(f.labels, '') AS labels, round(revenue, 2) AS revenue
+    FROM v LEFT JOIN (SELECT entity, string_agg(label, ',' ORDER BY label) AS labels FROM s WHERE dimension <> 'valuation' GROUP BY entity) f USING (entity)""")
+def dashboard_rows(spark, sf):
+    valued = _valued(spark, sf)
+    rows = watchlist.dashboard(valued, valuation.signal_rows(valued, ["entity"]), key="entity")
+    return rows.select("entity", "verdict", F.coalesce(F.array_join("signal_labels", ","), F.lit("")).alias("labels"), F.round("revenue", 2).alias("revenue"))
+
+
+# Holdings -------------------------------------------------------------------------------------------------------------
+
+_BOOK = """
+    WITH l AS (SELECT l_suppkey AS fund, p_brand AS brand, year(l_shipdate) * 10 + quarter(l_shipdate) AS q, round(l_extendedprice * 100)::BIGINT AS cents, round(l_quantity)::BIGINT AS n FROM lineitem JOIN part ON l_partkey = p_partkey),
+"""
+
+
+def _books(spark: SparkSession, sf: str) -> DataFrame:
+    """Positions in cents and pieces by supplier, brand and quarter."""
+    parts = t(spark, sf, "part").select("p_partkey", F.col("p_brand").alias("brand"))
+    rows = t(spark, sf, "lineitem").selectExpr("l_partkey", "l_suppkey as fund", "year(l_shipdate) * 10 + quarter(l_shipdate) as q", "cast(round(l_extendedprice * 100) as bigint) as cents", "cast(round(l_quantity) as bigint) as n")
+    return rows.join(parts, F.col("l_partkey") == F.col("p_partkey"))
+
+
+@query(_BOOK + "p AS (SELECT fund, brand, sum(cents)::DOUBLE AS value, sum(n)::DOUBLE AS shares FROM l GROUP BY ALL), r AS (SELECT *, sum(value) OVER w AS total_value, count(*) OVER w AS total_holdings, row_number() OVER (PARTITION BY fund ORDER BY value DESC, brand) AS rank FROM p WINDOW w AS (PARTITION BY fund)) SELECT fund, brand, value, shares, total_value, total_holdings, rank::INTEGER AS rank, round(value * 100 / total_value, 2) AS pct FROM r WHERE rank <= 10")
+def fund_topn(spark, sf):
+    merged = holdings.merge_positions(_books(spark, sf), ["fund"], "brand", F.col("cents").cast("double"), F.col("n").cast("double"))
+    return holdings.fund_top(merged, ["fund"], "brand", 10)
+
+
+_CHANGES = (
+    _BOOK
+    + """p AS (SELECT fund, brand, q, sum(cents)::DOUBLE AS value, sum(n)::DOUBLE AS shares FROM l GROUP BY ALL),
+    k AS (SELECT *, dense_rank() OVER (PARTITION BY fund ORDER BY q DESC) AS qr FROM p),
+    b AS (SELECT coalesce(c.fund, o.fund) AS fund, coalesce(c.brand, o.brand) AS brand, coalesce(c.value, 0) AS value, coalesce(c.shares, 0) AS shares, coalesce(o.shares, 0) AS prev_shares
+          FROM (SELECT * FROM k WHERE qr = 1) c FULL JOIN (SELECT * FROM k WHERE qr = 2) o ON c.fund = o.fund AND c.brand = o.brand),
+    ch AS (SELECT *, round(coalesce(value * 100 / nullif(sum(value) OVER (PARTITION BY fund), 0), 0), 2) AS pct,
+                  CASE WHEN prev_shares <= 0 AND shares > 0 THEN 'new' WHEN shares <= 0 AND prev_shares > 0 THEN 'exited' WHEN shares > prev_shares THEN 'added' WHEN shares < prev_shares THEN 'trimmed' ELSE 'unchanged' END AS change FROM b)
+"""
+)
+
+
+def _changes(spark: SparkSession, sf: str) -> DataFrame:
+    merged = holdings.merge_positions(_books(spark, sf), ["fund", "q"], "brand", F.col("cents").cast("double"), F.col("n").cast("double"))
+    return holdings.position_changes(holdings.latest_two(merged, ["fund"], "q"), ["fund"], "brand")
+
+
+@query(_CHANGES + "SELECT fund, brand, value, shares, prev_shares, pct, change FROM ch")
+def position_changes(spark, sf):
+    return _changes(spark, sf)
+
+
+@query(_CHANGES + "SELECT fund, brand AS ticker, value, shares, prev_shares, pct, change, change = 'exited' AS is_exit FROM ch WHERE upper(brand) = 'BRAND#12'")
+def holders_of_brand(spark, sf):
+    return holdings.holders(_changes(spark, sf).withColumnRenamed("brand", "ticker"), " brand#12 ")
+
+
+@query(_CHANGES + "SELECT brand, count(*) FILTER (change <> 'exited') AS holders, count(*) FILTER (change = 'new') AS new, count(*) FILTER (change = 'added') AS added, count(*) FILTER (change = 'trimmed') AS trimmed, count(*) FILTER (change = 'exited') AS exited, sum(value) AS value FROM ch GROUP BY brand")
+def ownership_summary(spark, sf):
+    return holdings.ownership_summary(_changes(spark, sf), ["brand"])
+
+
+@query("SELECT l_partkey, count(*) FILTER (l_returnflag = 'N') AS buys, count(*) FILTER (l_returnflag = 'R') AS sells, sum(CASE WHEN l_returnflag = 'N' THEN l_quantity ELSE 0 END) AS shares_bought, sum(CASE WHEN l_returnflag = 'R' THEN l_quantity ELSE 0 END) AS shares_sold, sum(CASE WHEN l_returnflag = 'N' THEN l_quantity ELSE 0 END) - sum(CASE WHEN l_returnflag = 'R' THEN l_quantity ELSE 0 END) AS net_shares FROM lineitem GROUP BY l_partkey")
+def insider_flow(spark, sf):
+    code = F.when(F.col("l_returnflag") == "N", "p").when(F.col("l_returnflag") == "R", " S ").otherwise("G")
+    return holdings.insider_flow(t(spark, sf, "lineitem"), ["l_partkey"], scalars.trade_side(code), F.col("l_quantity"))
+
+
+@query("SELECT l_suppkey, l_orderkey, l_linenumber, l_quantity, l_partkey FROM (SELECT *, dense_rank() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey) AS f FROM lineitem) WHERE f <= 12 QUALIFY row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity) <= 8")
+def insider_limits(spark, sf):
+    rows = t(spark, sf, "lineitem").withColumn("seq", F.struct("l_linenumber", "l_partkey", "l_quantity"))
+    return holdings.insider_limits(rows, "l_suppkey", "l_orderkey", "seq", 12, 8).select("l_suppkey", "l_orderkey", "l_linenumber", "l_quantity", "l_partkey")
+
+
+@query("SELECT user_id, arg_max(event_type, (n, -p)) AS event_type, max(n) AS n FROM (SELECT user_id, event_type, count(*) AS n, min(event_id) AS p FROM events GROUP BY ALL) GROUP BY user_id")
+def dominant_label(spark, sf):
+    return catalog.mode_first(t(spark, sf, "events"), ["user_id"], "event_type", "event_id")
+
+
+# Text and retrieval ---------------------------------------------------------------------------------------------------
+
+_TOKENS = "regexp_extract_all(lower(text), '[a-z0-9]+')"
+
+
+@query(f"SELECT doc_id, len({_TOKENS})::INTEGER AS n_tokens, len(list_distinct({_TOKENS}))::INTEGER AS n_distinct FROM documents")
+def tokenize_stats(spark, sf):
+    rows = t(spark, sf, "documents").withColumn("w", text.tokens(F.col("text")))
+    return rows.select("doc_id", F.size("w").alias("n_tokens"), F.size(F.array_distinct("w")).alias("n_distinct"))
+
+
+_POOL = f"""
+    q AS (SELECT item_id AS query_id, text AS query, list_distinct({_TOKENS}) AS qt FROM benchmark WHERE item_id < 5),
+    p AS (SELECT query_id, query, qt, doc_id AS item_id, text, {_TOKENS} AS w FROM q, documents WHERE lang = 'en'),
+    j AS (SELECT *, CASE WHEN len(qt) = 0 OR len(w) = 0 THEN 0e0 ELSE len(list_intersect(qt, list_distinct(w)))::DOUBLE / len(list_distinct(list_concat(qt, w))) END AS jac FROM p),
+    k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(jac, 9) DESC, item_id) AS vec_rank FROM j),
+    c AS (SELECT * FROM k WHERE vec_rank <= 20),
+    n AS (SELECT query_id, count(*) AS nn, avg(len(w)) AS av FROM c GROUP BY query_id),
+    h AS (SELECT query_id, item_id, len(w) AS ln, x, len(list_filter(w, lambda y: y = x)) AS tf FROM (SELECT query_id, item_id, w, unnest(qt) AS x FROM c)),
+    f AS (SELECT query_id, x, count(*) AS df FROM h WHERE tf > 0 GROUP BY ALL),
+    b AS (SELECT h.query_id, h.item_id, sum(ln(1 + (nn - df + 0.5e0) / (df + 0.5e0)) * tf * 2.5e0 / (tf + 1.5e0 * (0.25e0 + 0.75e0 * ln / av))) AS lex FROM h JOIN f USING (query_id, x) JOIN n USING (query_id) WHERE tf > 0 GROUP BY ALL),
+    s AS (SELECT c.*, coalesce(lex, 0) AS lex_score FROM c LEFT JOIN b USING (query_id, item_id)),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(lex_score, 9) DESC, vec_rank) AS lex_rank FROM s),
+    u AS (SELECT *, 1e0 / (60 + vec_rank) + 1e0 / (60 + lex_rank) AS rrf FROM r),
+    z AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(rrf, 12) DESC, vec_rank) AS rank FROM u)
+"""
+
+
+def _pool(spark: SparkSession, sf: str, keep: int = 20) -> DataFrame:
+    """English documents ranked for five stated queries by token similarity: the fixed candidates of the lexical stage.
+
+    The five queries are a stated set of fixed size, broadcast against all documents; the window keeps `keep` rows a query in each task
+    before anything is shuffled.
+    """
+    queries = t(spark, sf, "benchmark").where("item_id < 5").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), F.array_distinct(text.tokens(F.col("text"))).alias("_q"))
+    docs = t(spark, sf, "documents").where("lang = 'en'").select(F.col("doc_id").alias("item_id"), "text", F.array_distinct(text.tokens(F.col("text"))).alias("_d"))
+    scored = docs.join(F.broadcast(queries), F.lit(True)).withColumn("similarity", text.jaccard(F.col("_q"), F.col("_d"))).drop("_q", "_d")
+    return scored.withColumn("vec_rank", F.expr("row_number() over (partition by query_id order by round(similarity, 9) desc, item_id)")).where(F.col("vec_rank") <= keep)
+
+
+@query(f"WITH {_POOL} SELECT query_id, item_id, vec_rank::INTEGER AS vec_rank, round(lex_score, 6) AS lex_score FROM s")
+def bm25_candidates(spark, sf):
+    return rounded(retrieval.bm25(_pool(spark, sf)), 6, "lex_score").select("query_id", "item_id", "vec_rank", "lex_score")
+
+
+@query(f"WITH {_POOL} SELECT query_id, item_id, vec_rank::INTEGER AS vec_rank, lex_rank::INTEGER AS lex_rank, rank::INTEGER AS rank, round(rrf, 9) AS rrf FROM z")
+def rrf_fusion(spark, sf):
+    return rounded(retrieval.fuse(retrieval.bm25(_pool(spark, sf))), 9, "rrf").select("query_id", "item_id", "vec_rank", "lex_rank", "rank", "rrf")
+
+
+@query(f"WITH {_POOL} SELECT query_id AS item_id, rank::INTEGER AS rank, item_id AS doc_id, round(rrf, 9) AS score FROM z WHERE rank <= 5")
+def hybrid_search(spark, sf):
+    rows = retrieval.fuse(retrieval.bm25(_pool(spark, sf))).where("rank <= 5")
+    return rows.select(F.col("query_id").alias("item_id"), "rank", F.col("item_id").alias("doc_id"), F.round("rrf", 9).alias("score"))
+
+
+@query()
+def mmr_rerank(spark, sf):
+    return retrieval.search(_pool(spark, sf), 5)
+
+
+_COS = "round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 9)"
+
+
+def _vectors(spark: SparkSession, sf: str, metric: str, rows: DataFrame | None = None, k: int = 20) -> DataFrame:
+    all_ = t(spark, sf, "embeddings")
+    return retrieval.vector_top_k(all_ if rows is None else rows, all_.where("vec_id < 10"), k, "vec_id", "embedding", "vec_id", "embedding", metric)
+
+
+@query(f"SELECT q.vec_id AS query_id, e.vec_id AS item_id, {_COS} AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COS} DESC, e.vec_id)::INTEGER AS vec_rank FROM embeddings q, embeddings e WHERE q.vec_id < 10 QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COS} DESC, e.vec_id) <= 20")
+def vector_topk(spark, sf):
+    return _vectors(spark, sf, "cosine")
+
+
+@query("WITH p AS (SELECT q.vec_id AS query_id, e.vec_id AS item_id, round(list_distance(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS score FROM embeddings q, embeddings e WHERE q.vec_id < 10) SELECT query_id, item_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score, item_id)::INTEGER AS vec_rank FROM p QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score, item_id) <= 20")
+def vector_topk_l2(spark, sf):
+    all_ = t(spark, sf, "embeddings")
+    return retrieval.vector_top_k(all_, all_.where("vec_id < 10"), 20, "vec_id", "embedding", "vec_id", "embedding", "l2", digits=6)
+
+
+@query(f"SELECT q.vec_id AS query_id, e.vec_id AS item_id, {_COS} AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COS} DESC, e.vec_id)::INTEGER AS vec_rank FROM embeddings q, embeddings e WHERE q.vec_id < 10 AND e.label = 3 QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COS} DESC, e.vec_id) <= 20")
+def filtered_vector_topk(spark, sf):
+    return _vectors(spark, sf, "cosine", t(spark, sf, "embeddings").where("label = 3"))
+
+
+@query(f"""
+    WITH r AS (SELECT q.vec_id AS query_id, q.label AS ql, e.label AS el, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COS} DESC, e.vec_id) AS rk FROM embeddings q, embeddings e WHERE q.vec_id < 50 AND q.vec_id <> e.vec_id),
+    f AS (SELECT query_id, min(rk) FILTER (ql = el AND rk <= 5) AS fr FROM r GROUP BY query_id)
+    SELECT count(*) AS n, round(avg(CASE WHEN fr <= 1 THEN 1e0 ELSE 0e0 END), 4) AS hit_1, round(avg(CASE WHEN fr <= 3 THEN 1e0 ELSE 0e0 END), 4) AS hit_3, round(avg(CASE WHEN fr <= 5 THEN 1e0 ELSE 0e0 END), 4) AS hit_5, round(avg(coalesce(1e0 / fr, 0)), 4) AS mrr FROM f
+""")
+def eval_hit_mrr(spark, sf):
+    all_ = t(spark, sf, "embeddings")
+    cases = all_.where("vec_id < 50")
+    found = retrieval.vector_top_k(all_, cases, 6, "vec_id", "embedding", "vec_id", "embedding").where("query_id <> item_id")
+    ranked = found.withColumn("rank", F.expr("row_number() over (partition by query_id order by vec_rank)")).where("rank <= 5").join(all_.select(F.col("vec_id").alias("item_id"), F.col("label").alias("r_label")), "item_id")
+    ranks = evaluation.first_ranks(cases.select(F.col("vec_id").alias("case_id"), "label"), ranked.withColumnRenamed("query_id", "case_id"), F.col("label") == F.col("r_label"))
+    return evaluation.report(ranks)
+
+
+# Documents, conversations and series ----------------------------------------------------------------------------------
+
+
+def _lines(spark: SparkSession, sf: str) -> DataFrame:
+    rows = t(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "content"))
+    return rows.where(scalars.strip(F.col("content")) != "")
+
+
+@query()
+def chunk_overlap(spark, sf):
+    elements = _lines(spark, sf).withColumns({"kind": F.lit("text"), "section": F.lit("Preamble")})
+    rows = chunking.chunk_rows(chunking.merge_chunks(elements, "doc_id"), "doc_id")
+    return rows.select("doc_id", "pos", "chunk_type", "section", F.length("text_content").alias("n_chars"), F.sha2("text_content", 256).alias("sha256"))
+
+
+@query(r"""
+    WITH l AS (SELECT doc_id, i - 1 AS pos, x[i] AS content FROM (SELECT doc_id, x, unnest(range(1, len(x) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents))),
+    k AS (SELECT *, length(content) < 40 AS h FROM l WHERE regexp_matches(content, '\S')),
+    c AS (SELECT doc_id, pos, h, coalesce(last_value(CASE WHEN h THEN trim(regexp_replace(content, '\s+', ' ', 'g')) END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING), 'Preamble') AS section FROM k)
+    SELECT doc_id, pos::INTEGER AS pos, section FROM c WHERE NOT h
+""")
+def section_carry_forward(spark, sf):
+    return chunking.carry_sections(_lines(spark, sf), "doc_id", "pos", F.length("content") < 40, F.col("content")).select("doc_id", "pos", "section")
+
+
+_USABLE = r"""u AS (SELECT conv_id, turn, role, substr(x, 1, {w}) AS x FROM (SELECT conv_id, turn, role, regexp_replace(text, '^\s+|\s+$', '', 'g') AS x FROM conversations WHERE role IN ('user', 'assistant')) WHERE x <> '')"""
+
+
+@query("WITH " + _USABLE.format(w=600) + ", k AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 6) SELECT conv_id, count(*) AS n_turns, string_agg(CASE role WHEN 'user' THEN 'User: ' ELSE 'Assistant: ' END || x, chr(10) ORDER BY turn) AS history FROM k GROUP BY conv_id")
+def history_window(spark, sf):
+    return conversation.history(t(spark, sf, "conversations"))
+
+
+@query("WITH " + _USABLE.format(w=1000000) + r", f AS (SELECT conv_id, arg_max(x, turn) FILTER (role = 'user') AS message, max(turn) FILTER (role = 'user') AS a, min(turn) AS b FROM u GROUP BY conv_id) SELECT conv_id, message, b < a AND NOT regexp_matches(message, '\b[A-Z]{2,5}\b') AND len(regexp_split_to_array(message, '\s+')) < 12 AS rewrite FROM f WHERE message IS NOT NULL")
+def needs_rewrite(spark, sf):
+    return conversation.follow_ups(t(spark, sf, "conversations"))
+
+
+@query("SELECT DISTINCT c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderdate >= TIMESTAMP '2000-01-01')")
+def missing_entity_plan(spark, sf):
+    return retrieval.missing(t(spark, sf, "customer").select(F.col("c_custkey").alias("id")), t(spark, sf, "orders").where("o_orderdate >= timestamp_ntz '2000-01-01'").select(F.col("o_custkey").alias("id")), ["id"])
+
+
+@query("""
+    WITH d AS (SELECT event_type, ts::DATE AS day, round(sum(round(value * 1000)::BIGINT)::DOUBLE / 1000, 3) AS total FROM events GROUP BY ALL),
+    s AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY day) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM d),
+    p AS (SELECT event_type, n, unnest(range(0, least(10, n))) AS pos FROM (SELECT DISTINCT event_type, n FROM s))
+    SELECT p.event_type, p.pos::INTEGER AS pos, s.day, s.total FROM p JOIN s ON s.event_type = p.event_type AND s.i = CASE WHEN p.n > 10 THEN CASE WHEN p.pos = 9 THEN p.n - 1 ELSE least(floor(p.pos * p.n / 10)::BIGINT, p.n - 1) END ELSE p.pos END
+""")
+def downsample_series(spark, sf):
+    days = t(spark, sf, "events").groupBy("event_type", F.to_date("ts").alias("day")).agg(F.round(F.sum(F.expr("cast(round(value * 1000) as bigint)")).cast("double") / 1000, 3).alias("total"))
+    return catalog.downsample(days, ["event_type"], "day", "total", 10)
+
+
+@query("WITH d AS (SELECT event_type, ts::DATE AS day, count(*) AS n FROM events GROUP BY ALL) SELECT event_type, day, round((n - min(n) OVER w)::DOUBLE / coalesce(nullif(max(n) OVER w - min(n) OVER w, 0), 1), 6) AS scaled FROM d WINDOW w AS (PARTITION BY event_type)")
+def sparkline_scale(spark, sf):
+    days = t(spark, sf, "events").groupBy("event_type", F.to_date("ts").alias("day")).agg(F.count("*").cast("double").alias("n"))
+    return rounded(catalog.scale_unit(days, ["event_type"], "n"), 6, "scaled").drop("n")
+
+
+@query(r"SELECT page_id, CASE WHEN length(html) <= 2000 THEN html WHEN regexp_extract(substr(html, 1, 2000), '(?s)^.*</p>') <> '' THEN regexp_extract(substr(html, 1, 2000), '(?s)^.*</p>') ELSE substr(html, 1, 2000) END AS payload FROM pages")
+def payload_truncate(spark, sf):
+    return t(spark, sf, "pages").select("page_id", scalars.cut_payload(F.col("html"), F.lit(True), 2000, "</p>").alias("payload"))
+
+
+@query("SELECT event_type, count(*) AS n, sum((props->>'$.k')::BIGINT)::BIGINT AS total, max((props->>'$.k')::BIGINT) AS largest FROM events GROUP BY event_type")
+def json_props(spark, sf):
+    k = F.get_json_object("props", "$.k").cast("long")
+    return t(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.sum(k).alias("total"), F.max(k).alias("largest"))
+
+
+@query("SELECT user_id, arg_max(event_type, ts) AS event_type, max(ts) AS ts FROM events GROUP BY user_id")
+def latest_stage(spark, sf):
+    return catalog.latest_stage(t(spark, sf, "events"), "user_id", "event_type", "ts")
+
+
+@query("SELECT doc_id, substr(replace(text, chr(10), ' '), 1, 160) AS snippet, CASE WHEN length(text) <= 250 THEN text WHEN strpos(right(text, 250), ' ') > 0 THEN substr(right(text, 250), strpos(right(text, 250), ' ') + 1) ELSE right(text, 250) END AS tail FROM documents")
+def snippets_and_tails(spark, sf):
+    return t(spark, sf, "documents").select("doc_id", text.snippet(F.col("text")).alias("snippet"), text.tail(F.col("text")).alias("tail"))
+
+
+@query("""
+    SELECT s_suppkey, CASE WHEN abs(v) >= 1e9 THEN '$' || printf('%.1f', v / 1e9) || 'B' WHEN abs(v) >= 1e6 THEN '$' || printf('%.1f', v / 1e6) || 'M' ELSE '$' || format('{:,}', round(v)::BIGINT) END AS shown
+    FROM (SELECT s_suppkey, floor(abs(s_acctbal) * 1000 + 0.3e0) AS v FROM supplier)
+""")
+def money_format(spark, sf):
+    return t(spark, sf, "supplier").select("s_suppkey", scalars.money(F.floor(F.abs("s_acctbal") * 1000 + 0.3).cast("double")).alias("shown"))
+
+
+@query("WITH e AS (SELECT user_id, event_type, event_id FROM events) SELECT event_id, user_id, event_type FROM e QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) = 1")
+def first_seen(spark, sf):
+    return retrieval.first_seen(t(spark, sf, "events").select("event_id", "user_id", "event_type"), ["user_id", "event_type"], "event_id")
+
+
+@query()
+def page_sections(spark, sf):
+    blocks = partition(t(spark, sf, "pages"), "page_id", "html")
+    rows = chunking.carry_sections(blocks, "page_id", "pos", F.col("kind") == "title", F.col("content"))
+    return rows.select("page_id", "pos", "kind", "section", F.sha2("content", 256).alias("sha256"))
+
