@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterable
 
 import numpy as np
 import pandas as pd
@@ -56,6 +57,33 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(sc.applicationId)
 
 
+class RecentWords:
+    """Bytes by word for the words used lately: two generations of about `limit` entries, the older one dropped as a whole.
+
+    `compute` gets distinct unknown words and gives their bytes in order.
+    """
+
+    def __init__(self, limit: int, compute: Callable[[list[str]], Iterable[bytes]]) -> None:
+        self.limit, self.compute = limit, compute
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def many(self, words: list[str]) -> list[bytes]:
+        get = self.new.get
+        out = [get(w) for w in words]
+        unknown = {w for w, x in zip(words, out) if x is None}
+        if unknown:
+            old = self.old.get
+            found = {w: x for w in unknown if (x := old(w)) is not None}
+            rest = [w for w in unknown if w not in found]
+            found.update(zip(rest, self.compute(rest)))
+            if len(self.new) >= self.limit:
+                self.old, self.new = self.new, {}
+            self.new.update(found)
+            out = [found[w] if x is None else x for w, x in zip(words, out)]
+        return out
+
+
 def small_side(df: DataFrame, limit: int) -> bool:
     """True if a materialized table has at most `limit` rows, so that it may be broadcast."""
     return df.limit(limit + 1).count() <= limit

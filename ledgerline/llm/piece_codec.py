@@ -15,13 +15,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2
 
-from ledgerline.llm.common import ship_package
+from ledgerline.llm.common import RecentWords, ship_package
 
 _SPACE = "▁"
 _SPACE_BYTES = _SPACE.encode()
 _RUNS = re.compile("▁+[^▁]*")
 _INNER = re.compile("[^▁]▁")
-_WORD_LIMIT = 400_000
+_WORD_LIMIT = 200_000
 
 
 class CharMap:
@@ -138,13 +138,11 @@ class Codec:
         self.by_word = plain and self.normalize.map is None and not self.normalize.squeeze and self.normalize.prefix and self.normalize.escape and not model.trainer_spec.treat_whitespace_as_suffix
         self.lengths = np.array([1 if p.type == kind.BYTE else len(p.piece.encode()) for p in model.pieces], dtype=np.int64)
         self.unknown = self.lib.unk_id()
-        self.words: dict[str, bytes] = {}
+        self.words = RecentWords(_WORD_LIMIT, self._learn)
 
-    def _learn(self, words: list[str]) -> None:
-        if len(self.words) + len(words) > _WORD_LIMIT:
-            self.words.clear()
-        for word, ids in zip(words, self.lib.encode(words, num_threads=1)):
-            self.words[word] = np.array(ids or self.lib.piece_to_id([_SPACE]), dtype="<i4").tobytes()
+    def _learn(self, words: list[str]) -> list[bytes]:
+        mark = self.lib.piece_to_id(_SPACE)
+        return [struct.pack(f"<{len(ids)}i", *ids) if ids else struct.pack("<i", mark) for ids in self.lib.encode(words, num_threads=1)] if words else []
 
     def ids(self, text: str) -> np.ndarray:
         if not self.by_word:
@@ -153,13 +151,7 @@ class Codec:
             return np.zeros(0, dtype="<i4")
         spaced = _SPACE + text.replace(" ", _SPACE)
         words = spaced.split(_SPACE)[1:] if _SPACE * 2 not in spaced else [w[1:] for w in _RUNS.findall(spaced)]
-        get = self.words.get
-        out = [get(w) for w in words]
-        if None in out:
-            self._learn(list({w for w, x in zip(words, out) if x is None}))
-            fresh = {w: self.words[w] for w, x in zip(words, out) if x is None}
-            out = [fresh[w] if x is None else x for w, x in zip(words, out)]
-        return np.frombuffer(b"".join(out), dtype="<i4")
+        return np.frombuffer(b"".join(self.words.many(words)), dtype="<i4")
 
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids, begin, end): each piece's span in the bytes of the text in UTF-8; pieces made of one character share its span."""

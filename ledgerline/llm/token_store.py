@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, pre_tokenizers
 
-from ledgerline.llm.common import materialize, range_shards, shard_count, ship_package, with_shard
+from ledgerline.llm.common import RecentWords, materialize, range_shards, shard_count, ship_package, with_shard
 
 #: File: header, frames, index, footer. Header: magic, id width in bytes, SHA-256 of the dictionary (zeros: none).
 _MAGIC = b"LLTK0001"
@@ -27,7 +27,7 @@ _HEADER = struct.Struct("<8sB32s")
 _INDEX = (("doc_id", "<i8"), ("known", "u1"), ("offset", "<u8"), ("n_tokens", "<u8"))
 _FOOTER = struct.Struct("<QQ8s")
 _MANIFEST = "file string, temp string, n_docs long, n_tokens long, n_bytes long, first_id long, last_id long, sha256 string"
-_WORD_LIMIT = 500_000
+_WORD_LIMIT = 200_000
 _PLAIN = regex.compile(r"[!-~¡-¬®-ÿ]+")
 
 
@@ -50,8 +50,9 @@ class WordEncoder:
         if self.by_word:
             self.pattern = regex.compile(splits[0]["pattern"]["Regex"])
             self.added = [t["content"] for t in spec["added_tokens"]]
+            self.model, self.spell = self.tokenizer.model, struct.Struct("<H" if self.width == 2 else "<I").pack
             self.level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-            self.words: dict[str, bytes] = {"": b""}
+            self.words = RecentWords(_WORD_LIMIT, lambda words: map(self._word, words))
             self.pieces: dict[str, bytes] = {}
 
     def _piece(self, piece: str) -> bytes:
@@ -60,29 +61,27 @@ class WordEncoder:
             if len(self.pieces) >= _WORD_LIMIT:
                 self.pieces.clear()
             spelled = piece if piece.isascii() else self.level.pre_tokenize_str(piece)[0][0]
-            got = self.pieces[piece] = np.array([t.id for t in self.tokenizer.model.tokenize(spelled)], dtype=self.kind).tobytes()
+            got = self.pieces[piece] = b"".join([self.spell(t.id) for t in self.model.tokenize(spelled)])
         return got
 
     def _word(self, word: str) -> bytes:
-        if len(self.words) >= _WORD_LIMIT:
-            self.words.clear()
-            self.words[""] = b""
+        if word.isascii():
+            # Letters alone, or letters and one mark, are what the pattern would cut them to.
+            if word.isalpha():
+                return self._piece(word.lower())
+            if word[-1:] in (".", ",") and word[:-1].isalpha():
+                return self._piece(word[:-1].lower()) + self._piece(word[-1])
+        if not word:
+            return b""
         if _PLAIN.fullmatch(word) and not any(t in word for t in self.added) and unicodedata.is_normalized("NFC", word):
-            got = b"".join(map(self._piece, self.pattern.findall(word.lower())))
-        else:
-            got = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype=self.kind).tobytes()
-        self.words[word] = got
-        return got
+            return b"".join(map(self._piece, self.pattern.findall(word.lower())))
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype=self.kind).tobytes()
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian integers of self.width bytes."""
         if not self.by_word:
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.kind).tobytes()
-        known, out = self.words.get, []
-        for word in text.replace("\n", " ").split(" "):
-            ids = known(word)
-            out.append(self._word(word) if ids is None else ids)
-        return b"".join(out)
+        return b"".join(self.words.many(text.replace("\n", " ").split(" ")))
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
