@@ -16,12 +16,10 @@ from ledgerline.llm.common import materialize, ship_package
 
 _SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
 _SYMBOLS = b"#*$%&|<>"
-_UPPER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-_MARKS = b"!?=~^_+{}[]\\/@"
 _CONTINUED = bytes(range(0x80, 0xC0))
-_STATS = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_distinct", "n_upper", "n_digits", "n_marks"]
-#: What the forest sees: shares and means, so that a long clean text is no anomaly.
-FEATURES = ["symbol_share", "dup_line_share", "repeat_share", "word_length", "upper_share", "digit_share", "mark_share", "distinct_rate", "line_words"]
+_STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_distinct"]
+#: What the forest sees: shares, means and rates, so that a long clean text is no anomaly.
+FEATURES = ["symbol_share", "repeat_share", "word_length", "distinct_rate"]
 
 
 def text_stats(text: bytes) -> tuple[int, ...]:
@@ -44,7 +42,7 @@ def text_stats(text: bytes) -> tuple[int, ...]:
     def count(chars: bytes) -> int:
         return len(bare) - len(bare.translate(None, chars))
 
-    return (len(words), len(bare) - count(_CONTINUED), count(_SYMBOLS), sum(lines.values()), sum(lines.values()) - len(lines), repeated, len(codes), count(_UPPER), count(b"0123456789"), count(_MARKS))
+    return len(words), len(bare) - count(_CONTINUED), count(_SYMBOLS), sum(lines.values()) - len(lines), repeated, len(codes)
 
 
 def document_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -63,13 +61,14 @@ def document_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def with_features(stats: DataFrame) -> DataFrame:
-    words, chars, lines = (F.greatest(F.col(c), F.lit(1)) for c in ("n_words", "word_chars", "n_lines"))
+    words = F.greatest(F.col("n_words"), F.lit(1))
     made = {
-        "symbol_share": F.col("n_symbols") / words, "dup_line_share": F.col("n_dup_lines") / lines, "repeat_share": F.col("n_repeat_words") / words, "word_length": F.col("word_chars") / words,
-        "upper_share": F.col("n_upper") / chars, "digit_share": F.col("n_digits") / chars, "mark_share": F.col("n_marks") / chars,
+        "symbol_share": F.col("n_symbols") / words,
+        "repeat_share": F.col("n_repeat_words") / words,
+        "word_length": F.col("word_chars") / words,
         # Distinct words grow about as a power of the length; the rate takes that out.
-        "distinct_rate": F.ln(F.greatest(F.col("n_distinct"), F.lit(1)) + 1.0) / F.ln(words + 1.0), "line_words": F.ln(words / lines + 1.0),
-    }
+        "distinct_rate": F.ln(F.greatest(F.col("n_distinct"), F.lit(1)) + 1.0) / F.ln(words + 1.0),
+    }
     return stats.withColumns({k: made[k].cast("double") for k in FEATURES})
 
 
@@ -120,7 +119,7 @@ class Forest:
         return np.exp2(-total / len(self.trees) / max(1e-9, float(_mean_depth(self.sample))))
 
 
-def fit_forest(stats: DataFrame, trees: int = 100, sample: int = 256, seed: int = 11) -> Forest:
+def fit_forest(stats: DataFrame, trees: int = 100, sample: int = 128, seed: int = 11) -> Forest:
     """Grow every tree in a task of its own on about `sample` rows drawn by hash from all rows, trees x sample in all."""
     n = stats.count()
     if not n:
@@ -185,7 +184,7 @@ def calibrate(scored: DataFrame, labels: DataFrame, id_col: str = "doc_id", grad
     return float(best.max()) / bins
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "quality", trees: int = 100, sample: int = 256, max_clean_loss: float = 0.005) -> DataFrame:
+def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "quality", trees: int = 100, sample: int = 128, max_clean_loss: float = 0.005) -> DataFrame:
     """One row per input row: id, the counts, base_failed, score, threshold, kept.
 
     A row is kept unless it fails the base rules (under 50 words, or more than half of them in repeated 3-word windows) or its
