@@ -17,7 +17,9 @@ from ledgerline.llm.common import ship_package
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _MARK = np.uint64(0x2545F4914F6CDD1D)
-_CACHE_LIMIT = 500_000
+_CACHE_LIMIT = 200_000
+#: Hashes in one batch that a task hands on.
+_PART = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -94,17 +96,19 @@ def _gram_rows(docs: DataFrame, id_col: str, text_col: str, sizes: tuple[int, ..
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Hashes()
         for b in batches:
-            bodies, uids, counts, grams = [], [], [], []
-            for x in b.column(1):
+            start, held, rows = 0, 0, []
+            for i, x in enumerate(b.column(1)):
                 words = words_of(x.as_py() or b"")
                 body = b" ".join(words)
-                bodies.append(body)
-                uids.append(xxhash.xxh3_128_digest(body))
-                counts.append(len(words))
-                grams.append(np.concatenate([*(gram_hashes(words, k, known) for k in sizes), [_MARK]]).astype(np.uint64).view(np.int64))
-            ends = np.concatenate([[0], np.cumsum([len(g) for g in grams], dtype=np.int64)]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(grams) if grams else np.zeros(0, dtype=np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(bodies, pa.binary()).cast(pa.string()), pa.array(uids, pa.binary()), pa.array(counts, pa.int64()), lists], names=["id", "body", "uid", "n_words", "grams"])
+                rows.append((body, xxhash.xxh3_128_digest(body), len(words), np.concatenate([*(gram_hashes(words, k, known) for k in sizes), [_MARK]]).astype(np.uint64).view(np.int64)))
+                held += len(rows[-1][3])
+                # Hand on a part at a time: the hashes of a whole batch would weigh many times its texts.
+                if held >= _PART or i + 1 == b.num_rows:
+                    bodies, uids, counts, grams = zip(*rows)
+                    ends = np.concatenate([[0], np.cumsum([len(g) for g in grams])]).astype(np.int32)
+                    lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(grams)))
+                    yield pa.RecordBatch.from_arrays([b.column(0).slice(start, len(rows)), pa.array(bodies, pa.binary()).cast(pa.string()), pa.array(uids, pa.binary()), pa.array(counts, pa.int64()), lists], names=["id", "body", "uid", "n_words", "grams"])
+                    start, held, rows = i + 1, 0, []
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t"))
     return rows.mapInArrow(run, schema=f"id {kind}, body string, uid binary, n_words long, grams array<long>")

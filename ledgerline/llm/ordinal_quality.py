@@ -6,7 +6,7 @@ import math
 import re
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -55,6 +55,7 @@ class OrdinalModel:
     weights: np.ndarray
     cuts: np.ndarray
     size: int
+    min_tail: float = 0.5
     scale: float = 10.0
 
     def cumulative(self, scores: np.ndarray) -> np.ndarray:
@@ -72,12 +73,61 @@ def _features(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(run, schema="grade int, slots array<int>")
 
 
-def fit(docs: DataFrame, grades: DataFrame, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "grade", max_rows: int = 20_000, size: int = 1 << 18, min_docs: int = 20, l2: float = 1e-4, rounds: int = 50, rate: float = 0.3, parts: int = 8) -> OrdinalModel:
+def _scored(model: OrdinalModel, b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(document, weight) of each slot in use, and (root of the number of slots, score) of each document of a batch of (grade, slots)."""
+    where = np.full(model.size, -1, dtype=np.int64)
+    where[model.slots] = np.arange(len(model.slots))
+    sizes = b.column(1).value_lengths().to_numpy(zero_copy_only=False)
+    doc, slot = np.repeat(np.arange(b.num_rows), sizes), where[b.column(1).flatten().to_numpy(zero_copy_only=False)]
+    doc, slot = doc[slot >= 0], slot[slot >= 0]
+    root = np.sqrt(np.maximum(1, sizes))
+    return doc, slot, root, model.scale * np.bincount(doc, model.weights[slot], minlength=b.num_rows) / root
+
+
+def _tails(model: OrdinalModel):
+    """Task: the tail probability of each row of (grade, slots)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array(model.cumulative(_scored(model, b)[3])[:, -1])], names=["tail"])
+
+    return run
+
+
+def _gradient(model: OrdinalModel):
+    """Task: the gradient of the negative log-likelihood over its rows of (grade, slots), by slot in use and by cut."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, on_cuts = np.zeros(len(model.slots)), np.zeros(len(model.cuts))
+        for b in batches:
+            if not b.num_rows:
+                continue
+            grade = np.searchsorted(model.levels, b.column(0).to_numpy(zero_copy_only=False))
+            doc, slot, root, score = _scored(model, b)
+            cum = np.concatenate([np.zeros((b.num_rows, 1)), 1.0 - model.cumulative(score), np.ones((b.num_rows, 1))], axis=1)
+            rows = np.arange(b.num_rows)
+            p = np.maximum(cum[rows, grade + 1] - cum[rows, grade], 1e-12)
+            slope = cum * (1 - cum)
+            on_score = (slope[rows, grade + 1] - slope[rows, grade]) / p
+            total += np.bincount(slot, model.scale * (on_score / root)[doc], minlength=len(total))
+            for j in range(len(on_cuts)):
+                on_cuts[j] -= np.sum(((grade == j) * slope[:, j + 1] - (grade == j + 1) * slope[:, j + 1]) / p)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary()), pa.array([on_cuts.tobytes()], pa.binary())], names=["w", "c"])
+
+    return run
+
+
+def fit(docs: DataFrame, grades: DataFrame, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "grade", max_rows: int = 20_000, size: int = 1 << 18, min_docs: int = 20, penalty: float = 4.0, rounds: int = 80, rate: float = 0.3, parts: int = 8, max_loss: float = 0.005, tails: tuple[float, float] = (0.3, 0.7)) -> OrdinalModel:
     """Fit on a hash-drawn sample of about `max_rows` graded rows (all, if there are fewer).
 
     Each round sums the exact gradient of the sample over `parts` tasks, of one number a slot in use; slots in fewer than
-    `min_docs` sampled documents (or a hundredth of them, if that is less) have no weight. Rows without a grade or a text are
+    `min_docs` sampled documents (or a hundredth of them, if that is less) have no weight; `penalty` is that on squared weights, against
+    the sum over the sample. Rows without a grade or a text are
     left out. Without two grades the model has no weights and no cuts.
+
+    A fifth of the sample is held out of the fit: the tail probability that selects is the one that loses `max_loss` of its
+    rows of the highest grade, kept inside `tails`, as few rows tell little; it is one half with fewer than fifty such rows.
     """
     spark = docs.sparkSession
     ship_package(spark)
@@ -91,6 +141,8 @@ def fit(docs: DataFrame, grades: DataFrame, id_col: str = "doc_id", text_col: st
     levels = tuple(sorted(r[0] for r in rows.select("grade").distinct().limit(65).collect()))
     if len(levels) > 64:
         raise ValueError("more than 64 grades")
+    apart = F.pmod(F.xxhash64("slots", F.lit(9)), F.lit(5)) == 0
+    held, rows = (rows.where(apart), rows.where(~apart)) if rows.count() >= 250 else (rows.limit(0), rows)
     n = rows.count()
     least = max(1, min(min_docs, n // 100))
     active = np.array(sorted(r[0] for r in rows.select(F.explode("slots").alias("s")).groupBy("s").count().where(F.col("count") >= least).select("s").collect()), dtype=np.int64)
@@ -102,47 +154,21 @@ def fit(docs: DataFrame, grades: DataFrame, id_col: str = "doc_id", text_col: st
     cuts = np.log(below / (1 - below))
     weights = np.zeros(len(active))
     square, cut_square = np.full(len(active), 1e-6), np.full(k - 1, 1e-6)
-    scale = OrdinalModel.scale
-
-    def gradient(model: OrdinalModel):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total, on_cuts = np.zeros(len(model.slots)), np.zeros(len(model.cuts))
-            where = np.full(model.size, -1, dtype=np.int64)
-            where[model.slots] = np.arange(len(model.slots))
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                grade = np.searchsorted(model.levels, b.column(0).to_numpy(zero_copy_only=False))
-                lists = b.column(1)
-                doc = np.repeat(np.arange(b.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
-                slot = where[lists.flatten().to_numpy(zero_copy_only=False)]
-                root = np.sqrt(np.maximum(1, lists.value_lengths().to_numpy(zero_copy_only=False)))
-                doc, slot = doc[slot >= 0], slot[slot >= 0]
-                score = model.scale * np.bincount(doc, model.weights[slot], minlength=b.num_rows) / root
-                cum = np.concatenate([np.zeros((b.num_rows, 1)), 1.0 - model.cumulative(score), np.ones((b.num_rows, 1))], axis=1)
-                rows_ = np.arange(b.num_rows)
-                p = np.maximum(cum[rows_, grade + 1] - cum[rows_, grade], 1e-12)
-                slope = cum * (1 - cum)
-                on_score = (slope[rows_, grade + 1] - slope[rows_, grade]) / p
-                total += np.bincount(slot, model.scale * (on_score / root)[doc], minlength=len(total))
-                for j in range(len(on_cuts)):
-                    on_cuts[j] -= np.sum(((grade == j) * slope[:, j + 1] - (grade == j + 1) * slope[:, j + 1]) / p)
-            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary()), pa.array([on_cuts.tobytes()], pa.binary())], names=["w", "c"])
-
-        return run
 
     for _ in range(rounds):
-        got = rows.coalesce(parts).mapInArrow(gradient(OrdinalModel(levels, active, weights, cuts, size)), schema="w binary, c binary").collect()
-        g = sum(np.frombuffer(r["w"]) for r in got) / n + l2 * weights
+        got = rows.coalesce(parts).mapInArrow(_gradient(OrdinalModel(levels, active, weights, cuts, size)), schema="w binary, c binary").collect()
+        g = sum(np.frombuffer(r["w"]) for r in got) / n + penalty / n * weights
         gc = sum(np.frombuffer(r["c"]) for r in got) / n
         square, cut_square = square + g**2, cut_square + gc**2
         weights = weights - rate * g / np.sqrt(square)
         cuts = np.sort(cuts - rate * gc / np.sqrt(cut_square))
-    return OrdinalModel(levels, active, weights, cuts, size)
+    model = OrdinalModel(levels, active, weights, cuts, size)
+    found = sorted(r[0] for r in held.where(F.col("grade") == levels[-1]).mapInArrow(_tails(model), schema="tail double").collect())
+    return replace(model, min_tail=min(max(found[int(max_loss * len(found))], tails[0]), tails[1]) if len(found) >= 50 else 0.5)
 
 
-def predict(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col: str = "text", min_tail: float = 0.5) -> DataFrame:
-    """One row per input row: id, expected_grade, tail_probability (of the highest grade), kept (tail at least `min_tail`).
+def predict(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: id, expected_grade, tail_probability (of the highest grade), kept (tail at least the model's `min_tail`).
 
     Null and empty texts have only their length mark. A model of one grade expects that grade with tail 1; one fitted without
     any graded row gives nulls and keeps every row. Repeated rows give repeated results; other columns are not looked at.
@@ -169,7 +195,7 @@ def predict(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_c
             yield pa.RecordBatch.from_arrays([b.column(0), grade, tail], names=["id", "expected_grade", "tail_probability"])
 
     out = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t")).mapInArrow(run, schema=f"id {kind}, expected_grade double, tail_probability double")
-    return out.select(F.col("id").alias(id_col), "expected_grade", "tail_probability", F.coalesce(F.col("tail_probability") >= min_tail, F.lit(True)).alias("kept"))
+    return out.select(F.col("id").alias(id_col), "expected_grade", "tail_probability", F.coalesce(F.col("tail_probability") >= model.min_tail, F.lit(True)).alias("kept"))
 
 
 def graded(quality: Column, toxic: Column) -> Column:
