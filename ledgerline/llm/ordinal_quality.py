@@ -118,7 +118,7 @@ def _gradient(model: OrdinalModel):
     return run
 
 
-def fit(docs: DataFrame, grades: DataFrame, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "grade", max_rows: int = 20_000, size: int = 1 << 18, min_docs: int = 20, penalty: float = 4.0, rounds: int = 80, rate: float = 0.3, parts: int = 8, max_loss: float = 0.005, tails: tuple[float, float] = (0.3, 0.7)) -> OrdinalModel:
+def fit(docs: DataFrame, grades: DataFrame, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "grade", max_rows: int = 20_000, size: int = 1 << 18, min_docs: int = 20, penalty: float = 4.0, rounds: int = 80, rate: float = 0.3, parts: int = 8, max_loss: float = 0.005, tails: tuple[float, float] = (0.05, 0.7)) -> OrdinalModel:
     """Fit on a hash-drawn sample of about `max_rows` graded rows (all, if there are fewer).
 
     Each round sums the exact gradient of the sample over `parts` tasks, of one number a slot in use; slots in fewer than
