@@ -23,8 +23,9 @@ def insider_limits(rows: DataFrame, entity: str, filing_col: str, seq_col: str,
     return ranked.withColumn("_n", F.row_number().over(w.orderBy(filing_col, seq_col))).where(F.col("_n") <= limit).drop("_f", "_n")
 
 
-def insider_flow(rows: DataFrame, keys: Sequence[str], side: Column = F.col("side"), shares: Column = F.col("shares")) -> DataFrame:
-    """Buys, sells, and shares bought, sold and net."""
+def insider_flow(rows: DataFrame, keys: Sequence[str], side: Column | None = None, shares: Column | None = None) -> DataFrame:
+    """Buys, sells, and shares bought, sold and net; from the columns side and shares unless others are given."""
+    side, shares = F.col("side") if side is None else side, F.col("shares") if shares is None else shares
     bought, sold = F.sum(F.when(side == "buy", shares).otherwise(0.0)), F.sum(F.when(side == "sell", shares).otherwise(0.0))
     return rows.groupBy(*keys).agg(F.count_if(side == "buy").alias("buys"), F.count_if(side == "sell").alias("sells"), bought.alias("shares_bought"), sold.alias("shares_sold")).withColumn("net_shares", F.col("shares_bought") - F.col("shares_sold"))
 

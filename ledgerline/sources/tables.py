@@ -23,7 +23,7 @@ CHUNKS = T.StructType(
         T.StructField("chunk_type", T.StringType()),
         T.StructField("text_content", T.StringType()),
         T.StructField("raw_payload", T.StringType()),
-        T.StructField("vector", T.ArrayType(T.FloatType(), containsNull=False)),
+        T.StructField("vector", T.ArrayType(T.FloatType())),
     ]
 )
 HOLDINGS_INDEX = "fund string, cik string, ticker string, issuer string, value double, shares double, pct double, as_of string, change string, prev_shares double"
