@@ -39,8 +39,15 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of an Arrow batch unless the session sets a number: documents are long, and a worker holds a whole batch.
+BATCH_ROWS = 1024
+_BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def ship_package(spark: SparkSession) -> None:
-    """Make this package importable in Python workers that do not share the driver's path."""
+    """Make this package importable in Python workers that do not share the driver's path, and keep their batches small."""
+    if spark.conf.get(_BATCH_CONF, None) in (None, "10000"):
+        spark.conf.set(_BATCH_CONF, str(BATCH_ROWS))
     sc = spark.sparkContext
     if sc.applicationId in _SHIPPED:
         return

@@ -53,14 +53,19 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
-def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of `docs`, all columns, without those that `exact_dedup` drops; one of rows that tie in text and id stays."""
+def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 500_000, **options) -> DataFrame:
+    """The rows of `docs`, all columns, without those that `exact_dedup` drops; one of rows that tie in text and id stays.
+
+    Up to `broadcast_rows` dropped ids are broadcast, so that no text is shuffled; more of them are joined by id.
+    """
     digest = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
-    gone = exact_dedup(docs, id_col, text_col, carry=[digest.alias("digest")], **options).where("not kept")
+    gone = exact_dedup(docs, id_col, text_col, broadcast_rows=broadcast_rows, carry=[digest.alias("digest")], **options).where("not kept")
     gone = materialize(gone.select(F.col(id_col).alias("gone_id"), F.col("digest").alias("gone_digest"), F.col(id_col).eqNullSafe(F.col("keep_id")).alias("twin")), "exact-gone")
     # The whole row travels as one struct, so that no column of it can clash with a name used here.
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), digest.alias("digest"))
-    out = rows.join(gone.where("not twin"), F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("digest") == F.col("gone_digest")), "left_anti")
+    lost = gone.where("not twin")
+    lost = F.broadcast(lost) if small_side(lost, broadcast_rows) else lost
+    out = rows.join(lost, F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("digest") == F.col("gone_digest")), "left_anti")
     if gone.where("twin").limit(1).count():
         out = out.dropDuplicates(["id", "digest"])
     return out.select("row.*")

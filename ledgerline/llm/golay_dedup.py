@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import materialize, ship_package
+from ledgerline.llm.common import materialize, ship_package, small_side
 from ledgerline.llm.components import connected_components
 from ledgerline.llm.golay import decode, near_indices
 
@@ -159,15 +159,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return joined.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("top").alias("component_id"))
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 500_000, **options) -> DataFrame:
     """The rows of `docs`, all columns, of which one a component stays: that with the component's least id.
 
+    Up to `broadcast_rows` dropped ids are broadcast, so that no text is shuffled; more of them are joined by id.
     Rows that tie in that id are cut to one. Rows whose id is null stay only if no other row of the component has an id.
     """
     found = near_duplicates(docs, id_col, text_col, **options).select(F.col(id_col).alias("gone_id"), "component_id")
     gone = materialize(found.where(~F.col("gone_id").eqNullSafe(F.col("component_id"))).select("gone_id").distinct(), "golay-gone")
     # The whole row travels as one struct, so that no column of it can clash with a name used here.
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"))
+    gone = F.broadcast(gone) if small_side(gone, broadcast_rows) else gone
     out = rows.join(gone, F.col("id").eqNullSafe(F.col("gone_id")), "left_anti")
     if docs.groupBy(id_col).count().where("count > 1").limit(1).count():
         out = out.dropDuplicates(["id"])

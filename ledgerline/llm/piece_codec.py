@@ -21,7 +21,7 @@ _SPACE = "▁"
 _SPACE_BYTES = _SPACE.encode()
 _RUNS = re.compile("▁+[^▁]*")
 _INNER = re.compile("[^▁]▁")
-_WORD_LIMIT = 200_000
+_WORD_LIMIT = 100_000
 
 
 class CharMap:

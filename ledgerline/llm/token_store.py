@@ -27,7 +27,7 @@ _HEADER = struct.Struct("<8sB32s")
 _INDEX = (("doc_id", "<i8"), ("known", "u1"), ("offset", "<u8"), ("n_tokens", "<u8"))
 _FOOTER = struct.Struct("<QQ8s")
 _MANIFEST = "file string, temp string, n_docs long, n_tokens long, n_bytes long, first_id long, last_id long, sha256 string"
-_WORD_LIMIT = 200_000
+_WORD_LIMIT = 100_000
 _PLAIN = regex.compile(r"[!-~¡-¬®-ÿ]+")
 
 
