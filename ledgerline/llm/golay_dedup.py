@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -49,18 +49,19 @@ def _tally(hashes: np.ndarray) -> np.ndarray:
     return seen @ _BITS
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, seed: int = 42) -> DataFrame:
-    """(id, fp) for each row: the SimHash over XXH64 of the shingles of `width` words, repeats included."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, seed: int = 42, carry: Sequence[Column] = ()) -> DataFrame:
+    """(id, fp) for each row, then the `carry` columns: the SimHash over XXH64 of the shingles of `width` words, repeats included."""
     ship_package(docs.sparkSession)
-    kind = docs.schema[id_col].dataType
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t"), *carry)
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema if f.name != "t"}
+    extra = [c for c in kinds if c != "id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = [simhash(t.as_py() or b"", width, seed) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], names=["id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64()), *b.columns[2:]], names=["id", "fp", *extra])
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t"))
-    return rows.mapInArrow(run, schema=f"id {kind.simpleString()}, fp long")
+    return rows.mapInArrow(run, schema=", ".join([f"id {kinds['id']}", "fp long", *(f"{c} {kinds[c]}" for c in extra)]))
 
 
 def fuzzy_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -139,6 +140,16 @@ def fingerprint_links(fps: DataFrame) -> DataFrame:
     return nodes.join(second, "label", "left").select("node", F.coalesce("top", "label").alias("label"))
 
 
+def component_tops(rows: DataFrame, least: Column) -> DataFrame:
+    """(node, top) for each fingerprint of column fp: the least value of `least` over the rows of its component."""
+    # Equal fingerprints are one node, whatever the size of their group.
+    nodes = materialize(rows.groupBy("fp").agg(F.min(least).alias("least")), "golay-nodes")
+    links = materialize(fingerprint_links(nodes), "golay-links")
+    named = nodes.join(links.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
+    tops = materialize(named.groupBy("label").agg(F.min("least").alias("top")), "golay-tops")
+    return materialize(named.select("fp", "label").join(tops, "label").select(F.col("fp").alias("node"), "top"), "golay-named")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, seed: int = 42) -> DataFrame:
     """One row per input row: id, fingerprint (16 hex digits), component_id (least id reachable over links, itself included).
 
@@ -149,12 +160,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     are ignored. Texts are read whole, one at a time.
     """
     rows = materialize(fingerprints(docs, id_col, text_col, width, seed), "golay-fp")
-    # Equal fingerprints are one node, whatever the size of their group.
-    nodes = materialize(rows.groupBy("fp").agg(F.min("id").alias("least")), "golay-nodes")
-    links = materialize(fingerprint_links(nodes), "golay-links")
-    named = nodes.join(links.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
-    tops = materialize(named.groupBy("label").agg(F.min("least").alias("top")), "golay-tops")
-    named = materialize(named.select("fp", "label").join(tops, "label").select(F.col("fp").alias("node"), "top"), "golay-named")
+    named = component_tops(rows, F.col("id"))
     joined = rows.join(named, rows["fp"] == named["node"])
     return joined.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("top").alias("component_id"))
 
@@ -162,15 +168,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 500_000, **options) -> DataFrame:
     """The rows of `docs`, all columns, of which one a component stays: that with the component's least id.
 
+    Rows are told apart by id and text, so every component keeps exactly one row, whatever ids others have. Of rows that tie in
+    the id that with the least SHA-256 of its text stays, of rows that tie in both any one. Rows whose id is null stay only if no
+    other row of the component has an id.
+
     Up to `broadcast_rows` dropped ids are broadcast, so that no text is shuffled; more of them are joined by id.
-    Rows that tie in that id are cut to one. Rows whose id is null stay only if no other row of the component has an id.
     """
-    found = near_duplicates(docs, id_col, text_col, **options).select(F.col(id_col).alias("gone_id"), "component_id")
-    gone = materialize(found.where(~F.col("gone_id").eqNullSafe(F.col("component_id"))).select("gone_id").distinct(), "golay-gone")
+    digest = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
+    found = materialize(fingerprints(docs, id_col, text_col, carry=[digest.alias("digest")], **options), "golay-fp")
+    named = component_tops(found, F.struct(F.col("id").isNull().alias("none"), "id", "digest"))
+    top = F.col("id").eqNullSafe(F.col("top.id")) & (F.col("digest") == F.col("top.digest"))
+    judged = materialize(found.join(named, found["fp"] == named["node"]).select("id", "digest", top.alias("kept")), "golay-judged")
+    gone = materialize(judged.where("not kept").select(F.col("id").alias("gone_id"), F.col("digest").alias("gone_digest")).distinct(), "golay-gone")
     # The whole row travels as one struct, so that no column of it can clash with a name used here.
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), digest.alias("digest"))
     gone = F.broadcast(gone) if small_side(gone, broadcast_rows) else gone
-    out = rows.join(gone, F.col("id").eqNullSafe(F.col("gone_id")), "left_anti")
-    if docs.groupBy(id_col).count().where("count > 1").limit(1).count():
-        out = out.dropDuplicates(["id"])
+    out = rows.join(gone, F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("digest") == F.col("gone_digest")), "left_anti")
+    if judged.where("kept").groupBy("id", "digest").count().where("count > 1").limit(1).count():
+        out = out.dropDuplicates(["id", "digest"])
     return out.select("row.*")

@@ -82,6 +82,24 @@ def test_near_duplicates_awkward_rows(spark):
     assert near_duplicates(empty(spark)).count() == 0
 
 
+def test_near_copies_are_dropped_by_row_not_by_id(spark):
+    """Null ids and one id with two texts: each component keeps one row, and no other row goes with a dropped one."""
+    body = [" ".join(f"{name}{i}" for i in range(60)) for name in ("ash", "birch", "cedar", "dogwood", "elm", "fir")]
+    rows = [
+        *((None, t) for t in body[:3]),
+        # A null id beside an id, in one component; then an id with two texts, of which one is a copy of a smaller id's.
+        *((1, body[3]), (None, body[3].upper())),
+        *((5, body[4]), (5, body[3] + "\n")),
+        *((6, body[5]), (6, "quite another text under the same id")),
+        # Rows that tie in id and text.
+        *((7, "one text twice under one id"), (7, "one text twice under one id")),
+    ]
+    want = sorted((str(d), t) for d, t in [*rows[:4], rows[5], *rows[7:10]])
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for wide in (500_000, 0):
+        assert sorted((str(r["doc_id"]), r["text"]) for r in drop_near_copies(docs, broadcast_rows=wide).collect()) == want
+
+
 def test_dense_group_and_chain_of_fingerprints(spark):
     """Fingerprints a few bits apart, in a dense ball and in a chain, close to the same components as all pairs."""
     from ledgerline.llm.golay_dedup import fingerprint_links
