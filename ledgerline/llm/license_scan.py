@@ -8,7 +8,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ledgerline.llm.common import ship_package
@@ -24,11 +24,15 @@ _PART = 1 << 18
 
 @dataclass(frozen=True)
 class Template:
-    """A phrase to look for. An exact one counts only where all its words stand in a row."""
+    """A phrase to look for. An exact one counts only where all its words stand in a row.
+
+    The phrases of `must` tell it from its neighbours: each has to stand, word by word, at the place of the match.
+    """
 
     label: str
     text: str
     exact: bool = False
+    must: tuple[str, ...] = ()
 
 
 #: Phrases and labels of the base rules.
@@ -40,24 +44,26 @@ BASE = (
 
 #: Notices that name a licence, as their publishers word them.
 NOTICES = (
-    Template("agpl", "licensed under the GNU Affero General Public License, version 3"),
-    Template("apache-2.0", "Licensed under the Apache License, Version 2.0"),
+    Template("agpl", "licensed under the GNU Affero General Public License, version 3", must=("GNU Affero General Public License", "version 3")),
+    Template("apache-2.0", "Licensed under the Apache License, Version 2.0", must=("Version 2",)),
     Template("apache-2.0", "you may not use this file except in compliance with the License. You may obtain a copy of the License at"),
     Template("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     Template("bsd", "Use of this source code is governed by a BSD-style license"),
-    Template("cc-by-4.0", "licensed under CC BY 4.0"),
-    Template("cc-by-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
-    Template("cc-by-nc-4.0", "Licensed under CC BY-NC 4.0"),
-    Template("cc-by-sa-4.0", "Licensed under CC BY-SA 4.0"),
+    Template("cc-by-4.0", "licensed under CC BY 4.0", must=("CC BY 4",)),
+    Template("cc-by-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License", must=("Attribution 4",)),
+    Template("cc-by-nc-4.0", "Licensed under CC BY-NC 4.0", must=("CC BY-NC 4",)),
+    Template("cc-by-sa-4.0", "Licensed under CC BY-SA 4.0", must=("CC BY-SA 4",)),
     Template("cc0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work"),
-    Template("gpl-2.0", "the terms of the GNU General Public License, version 2"),
-    Template("gpl-3.0", "This work is licensed under the GNU General Public License, version 3"),
-    Template("gpl-notice", "under the terms of the GNU General Public License as published by the Free Software Foundation"),
+    Template("gpl-2.0", "the terms of the GNU General Public License, version 2", must=("GNU General Public License", "version 2")),
+    Template("gpl-2.0", "licensed under the GNU General Public License, version 2", must=("GNU General Public License", "version 2")),
+    Template("gpl-3.0", "licensed under the GNU General Public License, version 3", must=("GNU General Public License", "version 3")),
+    Template("gpl-3.0", "This work is licensed under the GNU General Public License, version 3", must=("GNU General Public License", "version 3")),
+    Template("gpl-notice", "under the terms of the GNU General Public License as published by the Free Software Foundation", must=("GNU General Public License",)),
     Template("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
-    Template("lgpl", "licensed under the GNU Lesser General Public License"),
+    Template("lgpl", "licensed under the GNU Lesser General Public License", must=("GNU Lesser General Public License",)),
     Template("mit", "Released under the MIT License"),
     Template("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
-    Template("mpl-2.0", "subject to the terms of the Mozilla Public License, v. 2.0"),
+    Template("mpl-2.0", "subject to the terms of the Mozilla Public License, v. 2.0", must=("Mozilla Public License", "v. 2")),
     Template("no-warranty", "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED"),
     Template("unlicense", "This is free and unencumbered software released into the public domain"),
 )
@@ -122,7 +128,8 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     at most `max_templates` templates of a few words each bound its size. Every match is verified word by word and votes for the
     diagonal (place in the text less place in the template). A base phrase is found where all of its grams vote for one diagonal.
     For the rest neighbouring diagonals merge, so that a word more or less does not break a span, and a span counts
-    when it covers `min_cover` of the template's words in about its length. `score` is the best cover; labels are distinct,
+    when it covers `min_cover` of the template's words in about its length and the template's `must` phrases stand there.
+    `score` is the best cover of any span, counted or not; labels are distinct,
     sorted and joined by commas (none: empty). spans lists (label, first word, last word, cover) of merged spans.
 
     A null or empty text has no word, no label and score 0. Repeated rows give repeated results. An empty table gives no rows;
@@ -133,15 +140,16 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     every = [*BASE, *templates]
     if len(every) > max_templates:
         raise ValueError(f"more than {max_templates} templates")
-    sizes, known, rows = (2, long_gram), _Hashes(), [(int(_MARK.view(np.int64)), -1, 0, 0, 0, "", "", False)]
+    sizes, known, rows = (2, long_gram), _Hashes(), [(int(_MARK.view(np.int64)), -1, 0, 0, 0, "", "", False, [])]
     for i, t in enumerate(every):
         words = words_of(t.text.encode())
         if len(words) < 2:
             raise ValueError(f"the template {t.text!r} has under two words")
+        must = [b" ".join(words_of(m.encode())).decode() for m in t.must]
         k = 2 if t.exact or len(words) < long_gram else long_gram
         for j, h in enumerate(gram_hashes(words, k, known).view(np.int64).tolist()):
-            rows.append((h, i, j, k, len(words), t.label, b" ".join(words[j : j + k]).decode(), t.exact))
-    table = spark.createDataFrame(rows, "gram long, template int, at int, k int, len int, label string, words string, exact boolean")
+            rows.append((h, i, j, k, len(words), t.label, b" ".join(words[j : j + k]).decode(), t.exact, must))
+    table = spark.createDataFrame(rows, "gram long, template int, at int, k int, len int, label string, words string, exact boolean, must array<string>")
 
     grams = _gram_rows(docs, id_col, text_col, sizes).select("id", "uid", "body", "n_words", F.posexplode("grams").alias("p", "gram"))
     # The 2-grams come first, then the long grams, then the mark.
@@ -150,33 +158,42 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     kind = F.when(F.col("p") < pairs, 2).when(F.col("p") < pairs + F.greatest(F.col("n_words") - (long_gram - 1), F.lit(0)), long_gram).otherwise(0)
     same = F.array_join(F.slice(F.split("body", " "), place.cast("int") + 1, F.greatest(F.col("k"), F.lit(1))), " ") == F.col("words")
     hits = grams.join(F.broadcast(table), "gram").where((F.col("k") == kind) & ((F.col("k") == 0) | same))
-    hits = hits.select("id", "uid", "n_words", "template", "label", "exact", "k", "len", "at", F.when(F.col("k") == 0, 0).otherwise(place).cast("long").alias("pos"))
+    # The words where the template would lie, with as many on either side as a span may be off.
+    begin = F.greatest(place.cast("int") - F.col("at") - _slack(), F.lit(0))
+    around = F.concat(F.lit(" "), F.array_join(F.slice(F.split("body", " "), begin + 1, (F.col("len") + 2 * _slack()).cast("int")), " "), F.lit(" "))
+    told = F.when(F.size("must") == 0, F.lit(True)).otherwise(F.forall("must", lambda m: F.contains(around, F.concat(F.lit(" "), m, F.lit(" ")))))
+    hits = hits.select("id", "uid", "n_words", "template", "label", "exact", "k", "len", "at", F.when(F.col("k") == 0, 0).otherwise(place).cast("long").alias("pos"), told.alias("told"))
 
     # One row a diagonal; the mark of a document counts how often its row is repeated.
-    diagonals = hits.withColumn("diag", F.col("pos") - F.col("at")).groupBy("id", "uid", "n_words", "template", "label", "exact", "k", "len", "diag").agg(F.count("*").alias("n"), F.collect_set("at").alias("ats"), F.min("pos").alias("first"), F.max("pos").alias("last"))
-    slack = F.when(F.col("exact"), 0).otherwise(F.least(F.lit(3), F.floor(F.col("len") / 4)))
-    opens = F.coalesce(F.col("diag") - F.lag("diag").over(_by("template", "diag")) > slack, F.lit(True)).cast("int")
+    diagonals = hits.withColumn("diag", F.col("pos") - F.col("at")).groupBy("id", "uid", "n_words", "template", "label", "exact", "k", "len", "diag").agg(F.count("*").alias("n"), F.collect_set("at").alias("ats"), F.min("pos").alias("first"), F.max("pos").alias("last"), F.max("told").alias("told"))
+    opens = F.coalesce(F.col("diag") - F.lag("diag").over(_by("template", "diag")) > _slack(), F.lit(True)).cast("int")
     runs = diagonals.withColumn("_open", opens).withColumn("run", F.sum("_open").over(_by("template", "diag")))
-    spans = runs.groupBy("id", "uid", "n_words", "template", "label", "exact", "k", "len", "run").agg(F.max("n").alias("n"), F.flatten(F.collect_list("ats")).alias("ats"), F.min("first").alias("first"), (F.max("last") + F.first("k") - 1).alias("last"))
+    spans = runs.groupBy("id", "uid", "n_words", "template", "label", "exact", "k", "len", "run").agg(F.max("n").alias("n"), F.flatten(F.collect_list("ats")).alias("ats"), F.min("first").alias("first"), (F.max("last") + F.first("k") - 1).alias("last"), F.max("told").alias("told"))
     covered = F.size(F.array_distinct(F.flatten(F.transform("ats", lambda a: F.sequence(a, a + F.col("k") - 1)))))
     spans = spans.withColumn("cover", F.when(F.col("k") == 0, 0.0).otherwise(covered / F.col("len")))
-    found = F.when(F.col("exact"), F.col("cover") == 1.0).otherwise((F.col("cover") >= min_cover) & (F.col("last") - F.col("first") < 1.5 * F.col("len")))
-    spans = spans.where((F.col("k") == 0) | found)
-    base = F.col("exact") & (F.col("k") > 0)
+    found = F.when(F.col("exact"), F.col("cover") == 1.0).otherwise(F.col("told") & (F.col("cover") >= min_cover) & (F.col("last") - F.col("first") < 1.5 * F.col("len")))
+    # The score is taken over all spans, found or not.
+    spans = spans.withColumn("found", (F.col("k") > 0) & found)
+    base = F.col("exact") & F.col("found")
     per_doc = spans.groupBy("id", "uid", "n_words").agg(
         F.max(F.when(F.col("k") == 0, F.col("n"))).alias("copies"),
         F.count_if(base).alias("n_base"),
         F.min(F.when(base, F.col("first"))).alias("first_word"),
         F.max(F.when(base, F.col("first"))).alias("last_word"),
         F.array_join(F.array_sort(F.collect_set(F.when(base, F.col("label")))), ",").alias("base_labels"),
-        F.array_join(F.array_sort(F.collect_set(F.when(F.col("k") > 0, F.col("label")))), ",").alias("labels"),
+        F.array_join(F.array_sort(F.collect_set(F.when(F.col("found"), F.col("label")))), ",").alias("labels"),
         F.max("cover").alias("score"),
-        F.array_sort(F.collect_list(F.when(F.col("k") > 0, F.struct("label", "first", "last", "cover")))).alias("spans"),
+        F.array_sort(F.collect_list(F.when(F.col("found"), F.struct("label", "first", "last", "cover")))).alias("spans"),
     )
     copied = per_doc.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
     return copied.select(F.col("id").alias(id_col), "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans")
 
 
+def _slack() -> Column:
+    """By how many words neighbouring diagonals of a template may differ."""
+    return F.when(F.col("exact"), 0).otherwise(F.least(F.lit(3), F.floor(F.col("len") / 4))).cast("int")
+
+
 def _by(template: str, diagonal: str) -> WindowSpec:
     """Over the diagonals of one template in one document."""
     return Window.partitionBy("id", "uid", "n_words", template).orderBy(diagonal)

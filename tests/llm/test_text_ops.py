@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.llm import queries
 from ledgerline.llm.lang_compress import classify, drop_rejected, learn
-from ledgerline.llm.license_scan import Template, license_scan
+from ledgerline.llm.license_scan import NOTICES, Template, license_scan
 from ledgerline.llm.ordinal_quality import fit, graded, predict
 from ledgerline.llm.quality_forest import quality_rules
 
@@ -39,6 +39,24 @@ def test_license_awkward_rows(spark):
     assert license_scan(empty(spark)).count() == 0
 
 
+def test_each_notice_gives_its_own_labels(spark):
+    want = {
+        "This work is licensed under the GNU General Public License, version 3": "gpl,gpl-3.0",
+        "This work is licensed under the GNU General Public License, version 2": "gpl,gpl-2.0",
+        "Licensed under the GNU General Public License, version 3": "gpl,gpl-3.0",
+        "This work is licensed under the GNU Affero General Public License, version 3": "agpl,gpl",
+        "This file is subject to the terms of the Mozilla Public License, v. 1.1": "",
+        "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation": "gpl",
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License": "",
+        "Licensed under the Apache License, Version 2": "apache-2.0",
+    }
+    want |= {t.text: ",".join(sorted({t.label} | set(license_base(t.text)[4].split(",")) - {""})) for t in NOTICES}
+    rows = license_scan(spark.createDataFrame(list(enumerate(want)), "doc_id int, text string")).collect()
+    assert {r["doc_id"]: r["labels"] for r in rows} == dict(enumerate(want.values()))
+    # The best cover counts even where it is too little for a label.
+    assert round([r["score"] for r in rows if r["doc_id"] == 4][0], 6) == round(10 / 12, 6)
+
+
 def test_license_rejects_templates_it_cannot_vote_for(spark):
     with pytest.raises(ValueError):
         license_scan(awkward(spark), templates=[Template("x", "word")])
