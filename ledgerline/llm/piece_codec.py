@@ -6,22 +6,22 @@ import hashlib
 import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2
 
-from ledgerline.llm.common import RecentWords, ship_package
+from ledgerline.llm.common import gather, scatter, ship_package, string_bytes, text_groups
+from ledgerline.llm.pair_merge import MAX_SYMBOLS, PairMerger
 
-_SPACE = "▁"
-_SPACE_BYTES = _SPACE.encode()
-_RUNS = re.compile("▁+[^▁]*")
+_SPACE_BYTES = "▁".encode()
 _INNER = re.compile("[^▁]▁")
-_WORD_LIMIT = 100_000
 
 
 class CharMap:
@@ -59,22 +59,43 @@ class CharMap:
 class Normalizer:
     """Text to normalised bytes and, for each of them, the place of its source in the text's UTF-8 bytes."""
 
-    def __init__(self, spec) -> None:
+    def __init__(self, spec, symbols: Sequence[str] = ()) -> None:
+        """`symbols` are the user-defined pieces, which no rule changes."""
         self.map = CharMap(spec.precompiled_charsmap) if spec.precompiled_charsmap else None
         self.prefix, self.squeeze, self.escape = spec.add_dummy_prefix, spec.remove_extra_whitespaces, spec.escape_whitespaces
+        self.symbols = re.compile(b"|".join(re.escape(s.encode()) for s in sorted(symbols, key=len, reverse=True))) if symbols else None
+        #: Nothing but spaces changes, and every text by itself.
+        self.plain = self.map is None and not self.squeeze and self.escape and not symbols
+
+    def all(self, raw: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(normalised bytes, their sources, bytes by text, end of the used part by text) of texts that stand one after the other."""
+        if not self.plain:
+            parts = [self(raw[a : a + n].tobytes()) for a, n in zip(begins.tolist(), sizes.tolist())]
+            body = np.frombuffer(b"".join(p[0] for p in parts), dtype=np.uint8)
+            return body, np.concatenate([*(p[1][:-1] for p in parts), np.zeros(0, dtype=np.int64)]), np.array([len(p[0]) for p in parts], dtype=np.int64), np.array([p[1][-1] for p in parts], dtype=np.int64)
+        mark = len(_SPACE_BYTES)
+        wide = np.where(raw == 32, mark, 1)
+        head = np.where(sizes > 0, mark if self.prefix else 0, 0)
+        starts = begins[sizes > 0]
+        # The mark before a text goes in front of its first byte, as copies of that which are overwritten.
+        if self.prefix:
+            wide[starts] += mark
+        ends = np.cumsum(wide)
+        at = np.repeat(np.arange(len(raw)), wide)
+        body = raw[at]
+        spaces = (ends - mark)[raw == 32]
+        fronts = (ends - wide)[starts] if self.prefix else starts[:0]
+        for i, c in enumerate(_SPACE_BYTES):
+            body[spaces + i] = c
+            body[fronts + i] = c
+        lengths = np.add.reduceat(np.append(wide, 0), begins) if len(begins) else head
+        lengths = np.where(sizes > 0, lengths, 0)
+        return body, at - np.repeat(begins, lengths), lengths, sizes
 
     def __call__(self, data: bytes) -> tuple[bytes, np.ndarray]:
         """(normalised, source): source has one number more than there are bytes, the end of the text that was used."""
         if not data:
             return b"", np.zeros(1, dtype=np.int64)
-        if self.map is None and not self.squeeze and self.escape:
-            raw = np.frombuffer(data, dtype=np.uint8)
-            source = np.repeat(np.arange(len(raw), dtype=np.int64), np.where(raw == 32, 3, 1))
-            head = 3 if self.prefix else 0
-            return (_SPACE_BYTES if head else b"") + data.replace(b" ", _SPACE_BYTES), np.concatenate([np.zeros(head, dtype=np.int64), source, [len(raw)]])
-        return self._general(data)
-
-    def _general(self, data: bytes) -> tuple[bytes, np.ndarray]:
         mark = _SPACE_BYTES if self.escape else b" "
         out, source, at, end = bytearray(), [], 0, len(data)
         if self.squeeze:
@@ -114,6 +135,8 @@ class Normalizer:
         return bytes(out), np.array([*source, last], dtype=np.int64)
 
     def _unit(self, data: bytes, at: int) -> tuple[int, bytes]:
+        if self.symbols and (own := self.symbols.match(data, at)):
+            return own.end() - at, own[0]
         first = data[at]
         if self.map is not None and first in self.map.heads and (found := self.map.longest(data, at)):
             return found
@@ -121,49 +144,113 @@ class Normalizer:
         return n, data[at : at + n]
 
 
+@dataclass(frozen=True)
+class Encoded:
+    """The pieces of a group of texts: ids and byte spans, one text after the other, and the number of pieces of each text."""
+
+    ids: np.ndarray
+    begins: np.ndarray
+    ends: np.ndarray
+    counts: np.ndarray
+
+    def split(self, values: np.ndarray) -> list[np.ndarray]:
+        return np.split(values, np.cumsum(self.counts)[:-1]) if len(self.counts) else []
+
+
 class Codec:
-    """Encodes exactly as the library does and gives each piece its span of source bytes.
+    """Normalises texts, encodes the normalised bytes exactly as the library does and projects each piece to its source bytes.
 
-    Where no piece reaches from a letter over a following space and the map is empty, words encode one by one and are remembered;
-    other models encode texts whole.
+    What is encoded is this module's normalisation: the library serves a copy of the model that normalises nothing. Where no
+    piece reaches from a letter over a following space mark, each distinct word of a group of texts is encoded once, all words
+    together, by merging the neighbours that make the best piece; words with a character that is no piece, and models of another
+    kind, go to that copy of the model.
     """
 
     def __init__(self, path: str) -> None:
         self.lib = sentencepiece.SentencePieceProcessor(model_file=path)
         model = sentencepiece_model_pb2.ModelProto()
         model.ParseFromString(self.lib.serialized_model_proto())
-        self.normalize = Normalizer(model.normalizer_spec)
+        if model.trainer_spec.treat_whitespace_as_suffix:
+            raise ValueError("models that mark the ends of words are not known here")
         kind = sentencepiece_model_pb2.ModelProto.SentencePiece.Type
-        plain = not any(p.type in (kind.USER_DEFINED,) or _INNER.search(p.piece) for p in model.pieces) and model.trainer_spec.model_type == sentencepiece_model_pb2.TrainerSpec.BPE and model.trainer_spec.byte_fallback
-        self.by_word = plain and self.normalize.map is None and not self.normalize.squeeze and self.normalize.prefix and self.normalize.escape and not model.trainer_spec.treat_whitespace_as_suffix
+        self.normalize = Normalizer(model.normalizer_spec, [p.piece for p in model.pieces if p.type == kind.USER_DEFINED])
         self.lengths = np.array([1 if p.type == kind.BYTE else len(p.piece.encode()) for p in model.pieces], dtype=np.int64)
         self.unknown = self.lib.unk_id()
-        self.words = RecentWords(_WORD_LIMIT, self._learn)
-
-    def _learn(self, words: list[str]) -> list[bytes]:
-        mark = self.lib.piece_to_id(_SPACE)
-        return [struct.pack(f"<{len(ids)}i", *ids) if ids else struct.pack("<i", mark) for ids in self.lib.encode(words, num_threads=1)] if words else []
-
-    def ids(self, text: str) -> np.ndarray:
-        if not self.by_word:
-            return np.array(self.lib.encode(text), dtype="<i4")
-        if not text:
-            return np.zeros(0, dtype="<i4")
-        spaced = _SPACE + text.replace(" ", _SPACE)
-        words = spaced.split(_SPACE)[1:] if _SPACE * 2 not in spaced else [w[1:] for w in _RUNS.findall(spaced)]
-        return np.frombuffer(b"".join(self.words.many(words)), dtype="<i4")
+        self.by_word = model.trainer_spec.model_type == sentencepiece_model_pb2.TrainerSpec.BPE and model.trainer_spec.byte_fallback and self.normalize.escape and not any(p.type in (kind.USER_DEFINED, kind.UNUSED) or _INNER.search(p.piece) for p in model.pieces)
+        if self.by_word:
+            self._tables({p.piece: (i, p.score) for i, p in enumerate(model.pieces) if p.type == kind.NORMAL})
+        spec = model.normalizer_spec
+        spec.name, spec.precompiled_charsmap = "identity", b""
+        spec.add_dummy_prefix = spec.remove_extra_whitespaces = spec.escape_whitespaces = False
+        self.bare = sentencepiece.SentencePieceProcessor(model_proto=model.SerializeToString())
+
+    def _tables(self, pieces: dict[str, tuple[int, float]]) -> None:
+        """Pairs of pieces that make a piece, ranked by its score, and the ids of single characters by code point."""
+        order = {score: rank for rank, score in enumerate(sorted({s for _, s in pieces.values()}, reverse=True))}
+        left, right, rank, made = [], [], [], []
+        for piece, (i, score) in pieces.items():
+            for at in range(1, len(piece)):
+                if piece[:at] in pieces and piece[at:] in pieces:
+                    left.append(pieces[piece[:at]][0])
+                    right.append(pieces[piece[at:]][0])
+                    rank.append(order[score])
+                    made.append(i)
+        # Two characters that are no pieces cannot be told apart here.
+        self.by_word = all(c in pieces for p in pieces for c in p)
+        self.merge = PairMerger(left, right, rank, made)
+        self.chars = np.full(0x110000, -1, dtype=np.int32)
+        for piece, (i, _) in pieces.items():
+            if len(piece) == 1:
+                self.chars[ord(piece)] = i
+
+    def _words(self, words: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, their number by word) for distinct words."""
+        points = np.frombuffer("".join(words.to_pylist()).encode("utf-32-le"), dtype="<u4")
+        sizes = pc.utf8_length(words).to_numpy().astype(np.int64)
+        symbols = self.chars[points]
+        fine = (sizes <= MAX_SYMBOLS) & (np.minimum.reduceat(symbols, np.cumsum(sizes) - sizes) >= 0)
+        ids, counts = self.merge(symbols[np.repeat(fine, sizes)], sizes[fine])
+        slow = np.flatnonzero(~fine)
+        others = [np.array(x, dtype=np.int32) for x in self.bare.encode(words.take(pa.array(slow)).to_pylist(), num_threads=1)] if len(slow) else []
+        return scatter(len(words), [(np.flatnonzero(fine), ids, counts), (slow, np.concatenate([*others, ids[:0]]), np.array([len(x) for x in others], dtype=np.int64))])
+
+    def encode_all(self, texts: pa.StringArray) -> Encoded:
+        """Pieces with their spans in the UTF-8 bytes of each text; pieces made of one character share its span. A null counts as empty."""
+        body, source, lengths, used = self.normalize.all(*string_bytes(texts.fill_null("")))
+        stops = np.cumsum(lengths)
+        if self.by_word:
+            at_mark = np.zeros(len(body) + 3, dtype=bool)
+            at_mark[: max(0, len(body) - 2)] = (body[:-2] == _SPACE_BYTES[0]) & (body[1:-1] == _SPACE_BYTES[1]) & (body[2:] == _SPACE_BYTES[2])
+            # A word begins at a mark that does not follow another, and where a text does.
+            first = at_mark[: len(body)].copy()
+            first[3:] &= ~at_mark[: max(0, len(body) - 3)]
+            first[(stops - lengths)[lengths > 0]] = True
+            cuts = np.flatnonzero(first)
+            words = pa.StringArray.from_buffers(len(cuts), pa.array(np.append(cuts, len(body)).astype(np.int32)).buffers()[1], pa.py_buffer(body)).dictionary_encode()
+            ids, counts = gather(*self._words(words.dictionary), words.indices.to_numpy()) if len(cuts) else (np.zeros(0, dtype=np.int32), cuts)
+            counts = np.diff(np.append(0, np.cumsum(counts))[np.append(0, np.searchsorted(cuts, stops))])
+            sizes = self.lengths[ids]
+        else:
+            rows = [bytes(body[z - n : z]).decode() for z, n in zip(stops.tolist(), lengths.tolist())]
+            found = [self.bare.encode(t) for t in rows]
+            ids, counts = np.array([i for f in found for i in f], dtype=np.int32), np.array([len(f) for f in found], dtype=np.int64)
+            sizes = self.lengths[ids]
+            if (ids == self.unknown).any():
+                sizes = np.array([1 if self.bare.is_byte(i) else len(p.encode()) for t, f in zip(rows, found) for i, p in zip(f, self.bare.encode(t, out_type=str))], dtype=np.int64)
+        ends = np.cumsum(sizes)
+        if (ends[-1] if len(ends) else 0) != len(body):
+            raise ValueError("the pieces do not cover the normalised text")
+        # A piece ends where the next one begins, the last of a text where its used part ends.
+        begin = source[ends - sizes]
+        end = np.append(begin[1:], 0)
+        some = counts > 0
+        end[np.cumsum(counts)[some] - 1] = used[some]
+        return Encoded(ids, begin, end, counts)
 
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(ids, begin, end): each piece's span in the bytes of the text in UTF-8; pieces made of one character share its span."""
-        ids = self.ids(text)
-        body, source = self.normalize(text.encode())
-        sizes = self.lengths[ids]
-        if (ids == self.unknown).any():
-            sizes = np.array([1 if self.lib.is_byte(int(i)) else len(p.encode()) for i, p in zip(ids, self.lib.encode(text, out_type=str))], dtype=np.int64)
-        ends = np.cumsum(sizes)
-        if len(ids) and ends[-1] != len(body):
-            raise ValueError(f"pieces cover {ends[-1]} of {len(body)} normalised bytes")
-        return ids, source[ends - sizes], source[ends]
+        """(ids, begin, end) of one text."""
+        got = self.encode_all(pa.array([text], pa.string()))
+        return got.ids, got.begins, got.ends
 
     def decode(self, ids: np.ndarray) -> str:
         return self.lib.decode(ids.tolist())
@@ -173,7 +260,7 @@ _CODECS: dict[str, Codec] = {}
 
 
 def codec(path: str) -> Codec:
-    """One codec a worker process, which keeps its words from task to task."""
+    """One codec a worker process."""
     if path not in _CODECS:
         _CODECS[path] = Codec(path)
     return _CODECS[path]
@@ -190,15 +277,13 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model)
-        for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
-                found = [c.encode(t.as_py() or "") for t in part.column(1)]
-                bounds = pa.array(np.concatenate([[0], np.cumsum([len(x[0]) for x in found])]).astype(np.int32))
-                lists = [pa.ListArray.from_arrays(bounds, pa.array(np.concatenate([x[i] for x in found]).astype(np.int32))) for i in range(3)]
-                yield pa.RecordBatch.from_arrays([part.column(0), *lists], names=["id", "ids", "begins", "ends"])
-
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
+        for part, texts in text_groups(batches):
+            got = c.encode_all(texts)
+            bounds = pa.array(np.append(0, np.cumsum(got.counts)).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(bounds, pa.array(x.astype(np.int32))) for x in (got.ids, got.begins, got.ends)]
+            yield pa.RecordBatch.from_arrays([part.column(0), *lists], names=["id", "ids", "begins", "ends"])
+
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t"))
     return rows.mapInArrow(run, schema=f"id {kind}, ids array<int>, begins array<int>, ends array<int>").withColumnRenamed("id", id_col)
 
 
@@ -206,22 +291,22 @@ def round_trip(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: st
     """One row per input row: id, n_tokens, ids_sha256, decoded_sha256, spans_crc32, exact.
 
     Encodes with offsets and decodes each whole text. ids_sha256 is over the decimal ids joined by commas, decoded_sha256 over the
-    decoded text in UTF-8; spans_crc32 is over the spans, and `exact` says that the decoded text is the text. Null texts are empty.
+    decoded text in UTF-8; spans_crc32 is over the spans, and `exact` says that the decoded text is the text. Null texts are empty and
+    have no piece; repeated rows give repeated results, an empty table none; other columns are not looked at. Texts are worked
+    on in groups of some megabytes, a longer one by itself.
     """
     ship_package(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model)
-        for b in batches:
-            rows = []
-            for t in b.column(1):
-                text = t.as_py() or ""
-                ids, begins, ends = c.encode(text)
-                back = c.decode(ids)
-                rows.append((len(ids), hashlib.sha256(",".join(map(str, ids.tolist())).encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest(), zlib.crc32(np.stack([begins, ends]).astype("<i8").tobytes()), back == text))
+        for part, texts in text_groups(batches):
+            got, rows = c.encode_all(texts), []
+            for text, ids, begins, ends in zip(texts, *map(got.split, (got.ids, got.begins, got.ends))):
+                back, ids = (c.decode(ids), ids.tolist())
+                rows.append((len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest(), zlib.crc32(np.stack([begins, ends]).astype("<i8").tobytes()), back == (text.as_py() or "")))
             kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, k) for x, k in zip(zip(*rows) if rows else [()] * 5, kinds))], names=["id", "n_tokens", "ids_sha256", "decoded_sha256", "spans_crc32", "exact"])
+            yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(x, k) for x, k in zip(zip(*rows), kinds))], names=["id", "n_tokens", "ids_sha256", "decoded_sha256", "spans_crc32", "exact"])
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t"))
     return rows.mapInArrow(run, schema=f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, spans_crc32 long, exact boolean").withColumnRenamed("id", id_col)
