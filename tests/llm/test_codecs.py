@@ -69,6 +69,60 @@ def test_character_map_against_the_library(squeeze):
         assert [chars[i] for i in starts] == list(offsets)[: len(starts)]
 
 
+def _mapped_model(tmp_path, squeeze):
+    """The model with another one's compiled character map: nothing is trained."""
+    rules = sentencepiece_model_pb2.ModelProto()
+    rules.ParseFromString(sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc", add_dummy_prefix=True, escape_whitespaces=True, remove_extra_whitespaces=squeeze).serialized_model_proto())
+    model = sentencepiece_model_pb2.ModelProto()
+    with open(queries.PIECE_MODEL, "rb") as f:
+        model.ParseFromString(f.read())
+    model.normalizer_spec.CopyFrom(rules.normalizer_spec)
+    path = str(tmp_path / f"mapped-{squeeze}.model")
+    with open(path, "wb") as f:
+        f.write(model.SerializeToString())
+    return path
+
+
+@pytest.mark.parametrize("squeeze", [True, False])
+def test_operator_on_a_model_with_a_character_map(spark, tmp_path, squeeze):
+    """Ids and spans of the whole operator against the library, whose surfaces are the text between the spans."""
+    path = _mapped_model(tmp_path, squeeze)
+    lib = sentencepiece.SentencePieceProcessor(model_file=path)
+    texts = ["", " ", "  ﬁne  ｶﾞ Ⅷ　x ", "é ½ ™​\u0007 end", "㌔㌢ à́", "plain words  with  two spaces", "한국어 текст ☃", "ﬁ\t\n ok", "▁▁ mark", *(r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").where("length(text) < 2000").limit(60).collect())]
+    rows = {r["doc_id"]: r for r in encode(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path).collect()}
+    for i, t in enumerate(texts):
+        want = lib.encode(t, return_type="proto")
+        assert rows[i]["ids"] == [p.id for p in want.pieces], t
+        # The library's surfaces: where a piece ends inside what one character became, both sides share the character.
+        spans = [t.encode()[a:z].decode() for a, z in zip(rows[i]["begins"], rows[i]["ends"])]
+        assert spans == [p.surface for p in want.pieces], t
+
+
+def test_numbers_at_both_ends(spark):
+    """Ids of 64 bits reach neither an overflow nor a float; rows of one id and of none are spread, and stay in order."""
+    edge = 1 << 63
+    ids = [-edge, edge - 1, -edge + 1, edge - 2, 0, 2**53 + 1, 2**53, None, None, *([77] * 200), *range(1000, 1040)]
+    docs = spark.createDataFrame([(d, f"text {i}") for i, d in enumerate(ids)], "doc_id long, text string")
+    root = scratch_path(spark, "test-tokens")
+    manifest = write_tokens(docs, root, queries.WORD_VOCABULARY)
+    got = [r["doc_id"] for r in read_tokens(spark, root).orderBy("start").collect()]
+    assert got == sorted(ids, key=lambda x: (x is not None, x or 0)) and len(manifest["files"]) > 2
+    assert len({e["file"].split("-")[1] for e in manifest["files"] if e["first_id"] == e["last_id"] == 77}) > 1
+    root = scratch_path(spark, "test-warc")
+    write_warc(docs.selectExpr("doc_id as page_id", "'http://u' as url", "text as html"), root)
+    assert sorted(str(r["page_id"]) for r in read_warc(spark, root).collect()) == sorted(map(str, ids))
+    for bad in ("string", "double"):
+        with pytest.raises(ValueError):
+            write_tokens(docs.withColumn("doc_id", docs["doc_id"].cast(bad)), scratch_path(spark, "test-tokens"), queries.WORD_VOCABULARY)
+
+
+def test_texts_that_are_no_utf8(spark):
+    docs = spark.createDataFrame([(1, b"ab \xff\xfe cd"), (2, b"fine")], "doc_id long, raw binary").selectExpr("doc_id", "cast(raw as string) as text")
+    root = scratch_path(spark, "test-tokens")
+    write_tokens(docs, root, queries.WORD_VOCABULARY)
+    assert read_tokens(spark, root).count() == 2 and round_trip(docs, queries.PIECE_MODEL).count() == 2
+
+
 def test_token_files_round_trip(spark):
     docs = sorted((r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect())
     got = {r["doc_id"]: (r["start"], r["n_tokens"], r["ids_crc32"]) for r in queries.op3_token_store(spark, SF).collect()}
@@ -125,6 +179,37 @@ def test_pieces_awkward_rows(spark):
     assert round_trip(empty(spark), queries.PIECE_MODEL).count() == 0
 
 
+def test_warc_headers_are_true(spark):
+    pages = spark.createDataFrame([(1, "http://a/%20x?q=100%25", "same"), (2, "http://b/é", "same"), (3, " odd\n", "other")], "page_id long, url string, html string")
+    root = scratch_path(spark, "test-warc")
+    (entry,) = write_warc(pages, root, roll_bytes=1 << 30)[:1]
+    rows = {r["page_id"]: r for r in read_warc(spark, root).collect()}
+    assert {k: r["url"] for k, r in rows.items()} == {"1": "http://a/%20x?q=100%25", "2": "http://b/é", "3": " odd\n"}
+    store, base = fs.FileSystem.from_uri(root)
+    heads = {}
+    for name in sorted({r["file"] for r in rows.values()}):
+        with store.open_input_stream(f"{base}/{name}", compression=None) as f:
+            records = [x.partition(b"\r\n\r\n")[0].decode().split("\r\n")[1:] for x in f.read() and _inflate(store, f"{base}/{name}")]
+        assert "WARC-Type: warcinfo" in records[0] and f"WARC-Filename: {name}" in records[0]
+        for r in records[1:]:
+            head = dict(x.split(": ", 1) for x in r)
+            heads[head["X-Page-Id"]] = head
+    assert heads["1"]["WARC-Target-URI"] == "http://a/%20x?q=100%25"
+    assert heads["1"]["WARC-Refers-To"] == heads["2"]["WARC-Record-ID"] and heads["1"]["WARC-Refers-To-Target-URI"] == "http://b/é" and "WARC-Refers-To-Date" in heads["1"]
+    assert entry["n_records"] >= 1
+
+
+def _inflate(store, path):
+    with store.open_input_stream(path, compression=None) as f:
+        data = f.read()
+    out = []
+    while data:
+        d = zlib.decompressobj(31)
+        out.append(d.decompress(data))
+        data = d.unused_data
+    return out
+
+
 PAGES = [(1, "http://a/1", "<p>x</p>"), (2, "http://a/2", "<p>x</p>"), (3, None, None), (4, "u\r\nWARC-Type: response", ""), (5, "http://é/", "é☃"), (5, "http://é/", "é☃"), (None, "n", "<p>x</p>"), (6, "big", "y" * 300_000), (7, "http://b", "z")]
 
 
