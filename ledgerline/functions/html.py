@@ -16,86 +16,122 @@ _NUMERIC = re.compile(r"\d{2,}")
 _VOID = {"br", "hr", "img", "input", "meta", "link", "col"}
 
 
-class _Tables(HTMLParser):
-    """Rows of cells of the first outermost table; nested tables stay inside their cell as text."""
+class _Node:
+    """An element with its attributes as written and its children: text or elements."""
+
+    def __init__(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        self.tag, self.attrs, self.children = tag, attrs, []
+
+    def text(self) -> str:
+        return "".join(c.text() if isinstance(c, _Node) else c.strip() for c in self.children)
+
+    def render(self) -> str:
+        head = "".join(f' {k}="{escape(v or "")}"' for k, v in self.attrs)
+        if self.tag in _VOID:
+            return f"<{self.tag}{head}/>"
+        return f"<{self.tag}{head}>{''.join(c.render() if isinstance(c, _Node) else escape(c, quote=False) for c in self.children)}</{self.tag}>"
+
+    def own(self, *tags: str) -> list[_Node]:
+        """Elements of these tags below this one, outside nested tables and each other."""
+        out = []
+        for c in self.children:
+            if isinstance(c, _Node) and c.tag in tags:
+                out.append(c)
+            elif isinstance(c, _Node) and c.tag != "table":
+                out += c.own(*tags)
+        return out
+
+
+class _FirstTable(HTMLParser):
+    """The tree of the first outermost table; cells and rows that are left open end where the next one begins."""
+
+    _ENDS = {"td": ("td", "th"), "th": ("td", "th"), "tr": ("td", "th", "tr"), "thead": ("td", "th", "tr", "thead", "tbody", "tfoot"), "tbody": ("td", "th", "tr", "thead", "tbody", "tfoot"), "tfoot": ("td", "th", "tr", "thead", "tbody", "tfoot")}
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.depth, self.rows, self.cell, self.done = 0, [], None, False
+        self.root, self.open = None, []
 
     def handle_starttag(self, tag, attrs):
-        if tag == "table":
-            self.depth += 0 if self.done else 1
-        elif self.depth == 1 and not self.done:
-            if tag == "tr":
-                self._end_cell()
-                self.rows.append([])
-            elif tag in ("td", "th"):
-                self._end_cell()
-                if not self.rows:
-                    self.rows.append([])
-                self.cell = (tag, [f' {k}="{escape(v or "")}"' for k, v in attrs if k in ("colspan", "rowspan")], [])
+        if self.root is None:
+            if tag == "table":
+                self.root = _Node(tag, attrs)
+                self.open = [self.root]
+            return
+        if not self.open:
+            return
+        # Only what is open inside the innermost table can be ended by what begins here.
+        while self.open[-1].tag in self._ENDS.get(tag, ()):
+            self.open.pop()
+        node = _Node(tag, attrs)
+        self.open[-1].children.append(node)
+        if tag not in _VOID:
+            self.open.append(node)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
-        if tag in ("td", "th"):
-            self._end_cell()
+        if tag not in _VOID and self.open and self.open[-1].tag == tag:
+            self.open.pop()
 
     def handle_endtag(self, tag):
-        if tag == "table" and self.depth:
-            if self.depth == 1:
-                self._end_cell()
-                self.done = True
-            self.depth -= 1
-        elif self.depth == 1 and tag in ("td", "th", "tr"):
-            self._end_cell()
+        inner = next((i for i in range(len(self.open) - 1, -1, -1) if self.open[i].tag in (tag, "table")), None)
+        if inner is not None and self.open[inner].tag == tag:
+            del self.open[inner:]
 
     def handle_data(self, data):
-        if self.depth and self.cell is not None:
-            self.cell[2].append(data)
-
-    def _end_cell(self):
-        if self.cell is not None:
-            tag, attrs, text = self.cell
-            self.rows[-1].append([tag, "".join(attrs), " ".join("".join(text).split())])
-            self.cell = None
-
-
-def _join_symbols(row: list[list[str]]) -> list[list[str]]:
-    """A lone currency sign goes to the next cell, a lone percent sign to the one before."""
-    out: list[list[str]] = []
-    held = ""
-    for i, (tag, attrs, text) in enumerate(row):
-        if text in CURRENCY and i + 1 < len(row):
-            held += text
-        elif text == "%" and out:
-            out[-1][2] += "%"
+        if self.open:
+            self.open[-1].children.append(data)
+
+
+def _join_symbols(row: _Node) -> None:
+    """A lone currency sign goes into the next cell of the row, a lone percent sign into the one before."""
+    cells = row.own("td", "th")
+    kept: list[_Node] = []
+    gone: list[_Node] = []
+    for i, cell in enumerate(cells):
+        text = cell.text()
+        if text in CURRENCY and i + 1 < len(cells):
+            cells[i + 1].children = [text + cells[i + 1].text()]
+            gone.append(cell)
+        elif text == "%" and kept:
+            kept[-1].children = [kept[-1].text() + "%"]
+            gone.append(cell)
         else:
-            out.append([tag, attrs, held + text])
-            held = ""
-    return out
+            kept.append(cell)
+    row.children = [c for c in row.children if not any(c is g for g in gone)]
 
 
 def clean_table(html: str | None) -> str | None:
-    """The outermost table with signs joined, empty rows dropped, and leading rows without a number as its head; else the input."""
+    """The first outermost table with signs joined, empty rows dropped, and leading rows without a number as its head.
+
+    Nested tables, other markup and all attributes stay as they are. A number is two digits in a row; a table without any is all head. Text
+    without a table, and null, come back as they are.
+    """
     if html is None or not html.strip():
         return html
-    parser = _Tables()
+    parser = _FirstTable()
     try:
         parser.feed(html)
         parser.close()
-    except (ValueError, AssertionError):
+    except (ValueError, AssertionError, RecursionError):
         return html
-    rows = [r for r in map(_join_symbols, parser.rows) if any(c[2] for c in r)]
-    if not rows:
+    table = parser.root
+    if table is None:
         return html
-    head = next((i for i, r in enumerate(rows) if any(_NUMERIC.search(c[2]) for c in r)), 0)
-
-    def render(part: list[list[list[str]]], tag: str) -> str:
-        body = "".join("<tr>" + "".join(f"<{c[0]}{c[1]}>{escape(c[2], quote=False)}</{c[0]}>" for c in r) + "</tr>" for r in part)
-        return f"<{tag}>{body}</{tag}>" if part else ""
-
-    return f"<table>{render(rows[:head], 'thead')}{render(rows[head:], 'tbody')}</table>"
+    rows = table.own("tr")
+    if not rows:
+        return table.render()
+    for r in rows:
+        _join_symbols(r)
+    rows = [r for r in rows if not (cells := r.own("td", "th")) or any(c.text() for c in cells)]
+    head = next((i for i, r in enumerate(rows) if any(_NUMERIC.search(c.text()) for c in r.own("td", "th"))), len(rows))
+    rest = [c for c in table.children if not (isinstance(c, _Node) and c.tag in ("tr", "thead", "tbody", "tfoot"))]
+    for tag, part in (("thead", rows[:head]), ("tbody", rows[head:])):
+        if part:
+            section = _Node(tag, [])
+            section.children = list(part)
+            rest.append(section)
+    table.children = rest
+    return table.render()
 
 
 def clean_tables(html: Column) -> Column:

@@ -154,33 +154,104 @@ def cut_payload(payload: Column, is_table: Column, limit: int = 2000, row_end: s
     return F.when(F.length(payload) <= limit, payload).when(is_table & (rows != ""), rows).otherwise(head)
 
 
+def fixed(c: Column, digits: int, grouped: bool = False) -> Column:
+    """A number with so many digits behind the point, rounded from its exact binary value; halves go to the even digit."""
+    shown = F.format_number(c.cast("double"), digits)
+    return shown if grouped else F.replace(shown, F.lit(","), F.lit(""))
+
+
 def money(c: Column) -> Column:
-    """Dollars by billions, millions or whole; halves round up."""
+    """Dollars by billions, millions or whole."""
     size = F.abs(c)
-    return F.when(c.isNull(), "n/a").when(size >= 1e9, F.format_string("$%.1fB", c / 1e9)).when(size >= 1e6, F.format_string("$%.1fM", c / 1e6)).otherwise(F.format_string("$%,.0f", c))
+    return F.when(c.isNull(), "n/a").when(size >= 1e9, F.concat(F.lit("$"), fixed(c / 1e9, 1), F.lit("B"))).when(size >= 1e6, F.concat(F.lit("$"), fixed(c / 1e6, 1), F.lit("M"))).otherwise(F.concat(F.lit("$"), fixed(c, 0, True)))
 
 
 def percent(c: Column) -> Column:
-    return F.when(c.isNull(), "n/a").otherwise(F.format_string("%.1f%%", c * 100))
+    return F.when(c.isNull(), "n/a").otherwise(F.concat(fixed(c * 100, 1), F.lit("%")))
 
 
 def times(c: Column) -> Column:
-    return F.when(c.isNull(), "n/a").otherwise(F.format_string("%.1fx", c))
+    return F.when(c.isNull(), "n/a").otherwise(F.concat(fixed(c, 1), F.lit("x")))
 
 
 def flow_tone(buys: Column, sells: Column) -> Column:
     return F.when(buys > sells, "positive").when(sells > buys, "negative").otherwise("neutral")
 
 
+def verdict_tone(c: Column) -> Column:
+    return F.when(c == "cheap", "positive").when(c == "expensive", "negative").otherwise("neutral")
+
+
+def flag_tone(direction: Column) -> Column:
+    return F.when(direction == "bull", "positive").when(direction == "bear", "negative").otherwise("neutral")
+
+
+def _finite(c: Column) -> Column:
+    return c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
+
+
+def dollars_text(c: Column) -> Column:
+    """Dollars by billions, millions, thousands or whole, without a zero behind the point; a dash where there is no number."""
+    size, sign = F.abs(c), F.when(c < 0, "−").otherwise("")
+
+    def compact(scale: float, mark: str) -> Column:
+        return F.concat(sign, F.lit("$"), F.regexp_replace(fixed(size / scale, 1), r"\.0$", ""), F.lit(mark))
+
+    return F.when(~F.coalesce(_finite(c), F.lit(False)), "—").when(size >= 1e9, compact(1e9, "B")).when(size >= 1e6, compact(1e6, "M")).when(size >= 1e3, compact(1e3, "K")).otherwise(F.concat(sign, F.lit("$"), fixed(size, 0, True)))
+
+
+def shares_text(c: Column) -> Column:
+    """A number of shares by millions, thousands or whole, with one digit below ten of a unit; a dash where there is no number."""
+    size = F.abs(c)
+
+    def compact(scale: float, mark: str) -> Column:
+        return F.concat(F.when(size >= 10 * scale, fixed(c / scale, 0)).otherwise(fixed(c / scale, 1)), F.lit(mark))
+
+    return F.when(~F.coalesce(_finite(c), F.lit(False)), "—").when(size >= 1e6, compact(1e6, "M")).when(size >= 1e3, compact(1e3, "K")).otherwise(fixed(c, 0, True))
+
+
+def price_text(c: Column) -> Column:
+    return F.when(_finite(c), F.concat(F.lit("$"), fixed(c, 2)))
+
+
+def share_of_book_text(c: Column) -> Column:
+    """Percent of a book; null where there is none."""
+    return F.when(_finite(c) & (c != 0), F.concat(F.when(c >= 10, fixed(c, 0)).otherwise(fixed(c, 1)), F.lit("%")))
+
+
 def change_tone(label: Column) -> Column:
     return F.when(label.isin("new", "added"), "positive").when(label.isin("trimmed", "exited"), "negative").otherwise("neutral")
 
 
-def friendly_error(message: Column) -> Column:
+#: Parts of an error's text and what the user reads, in order.
+ERRORS = (
+    (("no xbrl", "not found", "no filing", "no matching"), "Couldn't find {ticker}'s {doc_type} on EDGAR — it may not exist or use a different ticker."),
+    (("rate", "429", "too many", "throttl"), "SEC EDGAR is rate-limiting right now — try {ticker} again in a moment."),
+    (("timeout", "timed out", "connection", "network", "resolve", "getaddrinfo", "ssl"), "Couldn't reach SEC EDGAR right now — try {ticker} again shortly."),
+)
+ANY_ERROR = "Couldn't fetch {ticker}'s {doc_type} right now — please try again."
+
+
+def friendly_error(message: Column, ticker: Column, doc_type: Column) -> Column:
+    """What the user reads of an error: the first rule with a part that the text holds."""
     low = F.lower(F.coalesce(message, F.lit("")))
-    return (
-        F.when(low.contains("rate") | low.contains("429"), "The service is busy; try again in a minute.")
-        .when(low.contains("timeout") | low.contains("timed out"), "The request took too long.")
-        .when(low.contains("not found") | low.contains("404"), "Nothing was found for this request.")
-        .otherwise("Something went wrong.")
-    )
+
+    def said(text: str) -> Column:
+        return F.replace(F.replace(F.lit(text), F.lit("{ticker}"), ticker), F.lit("{doc_type}"), doc_type)
+
+    out = said(ANY_ERROR)
+    for needles, text in reversed(ERRORS):
+        found = F.lit(False)
+        for n in needles:
+            found = found | low.contains(n)
+        out = F.when(found, said(text)).otherwise(out)
+    return out
+
+
+def clamped(value: Column, low: int, high: int) -> Column:
+    """A number of results inside its bounds."""
+    return F.least(F.greatest(value, F.lit(low)), F.lit(high))
+
+
+#: Bounds of what may be asked for.
+INSIDER_LIMIT, FUND_TOP, SEARCH_TOP = (1, 30), (1, 100), (1, 20)

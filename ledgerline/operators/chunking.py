@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerline.functions.html import clean_tables
 from ledgerline.functions.scalars import strip
 from ledgerline.functions.text import collapse_spaces, tail
+from ledgerline.sources.tables import chunk_id
 
 # Fixed values.
 TARGET, OVERLAP, LEAST = 2500, 250, 200
@@ -53,12 +57,26 @@ def merge_chunks(elements: DataFrame, doc: str, target: int = TARGET, overlap: i
     return folded.select(doc, F.posexplode("_c").alias("pos", "c")).select(doc, "pos", "c.*")
 
 
-def chunk_rows(merged: DataFrame, doc: str, summaries: DataFrame | None = None, least: int = LEAST) -> DataFrame:
-    """Chunks long enough to keep, numbered by their place before the cut; a table takes its summary as text and keeps its payload."""
+def chunk_rows(merged: DataFrame, doc: str, summaries: DataFrame | None = None, least: int = LEAST, raw_html: Column | None = None, meta: Sequence[Column] | None = None, offset: int = 0) -> DataFrame:
+    """Chunks long enough to keep, numbered by their place before the cut; a table takes its summary as text and its cleaned HTML as payload.
+
+    `raw_html` is a table's HTML (else its content), `meta` (ticker, form, year, quarter) makes chunk ids with `offset` added to the place.
+    """
     rows = merged.where(F.length("content") >= least)
     if summaries is not None:
         rows = rows.join(summaries.select(doc, "pos", "summary"), [doc, "pos"], "left")
     else:
         rows = rows.withColumn("summary", F.lit(None).cast("string"))
     table = F.col("kind") == "table"
-    return rows.withColumn("text_content", F.when(table, F.coalesce("summary", "content")).otherwise(F.col("content"))).withColumn("chunk_type", F.when(table, "table").otherwise("text"))
+    # Only tables reach the parser.
+    cleaned = clean_tables(F.when(table, F.coalesce(raw_html if raw_html is not None else F.col("content"), F.col("content"))))
+    rows = rows.withColumn("raw_payload", F.coalesce(cleaned, F.col("content")))
+    if meta is not None:
+        rows = rows.withColumn("chunk_id", chunk_id(*meta, F.col("pos") + offset))
+    return rows.withColumn("text_content", F.when(table, F.coalesce(F.nullif("summary", F.lit("")), "content")).otherwise(F.col("content"))).withColumn("chunk_type", F.when(table, "table").otherwise("text"))
+
+
+def section_map(elements: DataFrame, doc: str, section: str = "section") -> DataFrame:
+    """(doc, sections): the contents of each section in order, sections as first seen."""
+    listed = elements.groupBy(doc, section).agg(F.min("pos").alias("_p"), F.transform(F.array_sort(F.collect_list(F.struct("pos", "content"))), lambda x: x["content"]).alias("_c"))
+    return listed.groupBy(doc).agg(F.map_from_entries(F.transform(F.array_sort(F.collect_list(F.struct("_p", section, "_c"))), lambda x: F.struct(x[section], x["_c"]))).alias("sections"))

@@ -23,6 +23,14 @@ def history(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", last: i
     return recent.groupBy(conv).agg(F.count("*").alias("n_turns"), F.array_join(F.transform(listed, lambda x: x["l"]), "\n").alias("history"))
 
 
+def synthesis_history(turns: DataFrame, messages: DataFrame, conv: str = "conv_id", turn: str = "turn", message: str = "message", last: int = 6, width: int = 1000) -> DataFrame:
+    """One row a conversation, as for `history`: a last user turn that equals the conversation's current message is left out first."""
+    rows = usable_turns(turns, 1_000_000).join(messages.select(conv, strip(F.col(message)).alias("_message")), conv, "left")
+    is_last = F.row_number().over(Window.partitionBy(conv).orderBy(F.desc(turn))) == 1
+    rows = rows.withColumn("_last", is_last).where(~(F.col("_last") & (F.col("role") == "user") & F.col("text").eqNullSafe(F.col("_message"))))
+    return history(rows.select(*turns.columns), conv, turn, last, width)
+
+
 def follow_ups(turns: DataFrame, conv: str = "conv_id", turn: str = "turn") -> DataFrame:
     """(conv, message, rewrite) for each conversation's last user turn: whether it needs what was said before."""
     rows = usable_turns(turns, 1_000_000)

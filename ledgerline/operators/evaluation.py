@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -31,3 +31,19 @@ def report(ranks: DataFrame, ks: Sequence[int] = (1, 3, 5), digits: int = 4) ->
     hits = [F.round(F.coalesce(F.avg(F.coalesce((F.col("first_rank") <= k).cast("double"), F.lit(0.0))), F.lit(0.0)), digits).alias(f"hit_{k}") for k in ks]
     mrr = F.round(F.coalesce(F.avg(F.coalesce(1 / F.col("first_rank"), F.lit(0.0))), F.lit(0.0)), digits).alias("mrr")
     return ranks.agg(F.count("*").alias("n"), *hits, mrr)
+
+
+def run_cases(cases: DataFrame, chunks: DataFrame, filters: dict[str, str], measure: Column, match: Column, item: str, top_k: int = 5, ks: Sequence[int] = (1, 3, 5), case: str = "case_id") -> tuple[DataFrame, DataFrame]:
+    """(ranks, report) of searching every case within its own filters.
+
+    `filters` names a column of the chunks by that of the cases that has to equal it where the case gives a value. The cases are a stated
+    set, broadcast against all chunks; each task keeps `top_k` rows a case by falling `measure` (ties by item) before anything is shuffled.
+    """
+    allowed = F.lit(True)
+    for own, theirs in filters.items():
+        allowed = allowed & (F.col(own).isNull() | (F.col(own) == F.col(theirs)))
+    scored = chunks.join(F.broadcast(cases), allowed).select(case, item, measure.alias("score"), F.coalesce(match, F.lit(False)).alias("hit"))
+    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy(case).orderBy(F.desc("score"), item))).where(F.col("rank") <= top_k)
+    best = ranked.where("hit").groupBy(case).agg(F.min("rank").alias("first_rank"))
+    ranks = cases.select(case).join(best, case, "left")
+    return ranks, report(ranks, ks)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions import vectors
-from ledgerline.functions.scalars import DOC_TYPES
+from ledgerline.functions.scalars import DOC_TYPES, clamp_doc_type, clean_ticker
 from ledgerline.functions.text import tokens
 
 # Fixed values.
@@ -47,38 +47,80 @@ def predicate(ticker: str | None = None, year: int | str | None = None, document
     return out
 
 
-def vector_top_k(rows: DataFrame, queries: DataFrame, k: int, row_id: str, row_vector: str, query_id: str, query_vector: str, metric: str = "cosine", digits: int = 9, max_queries: int = 1000) -> DataFrame:
-    """(query, row, similarity or distance, vec_rank): the k nearest rows of each query, ties by row id; exact.
+def vector_top_k(rows: DataFrame, queries: DataFrame, k: int, row_id: str, row_vector: str, query_id: str, query_vector: str, metric: str = "cosine", digits: int = 9, block: int = 1000, carry: Sequence[str] = ()) -> DataFrame:
+    """(query, row, similarity or distance, vec_rank, carry): the k nearest rows of each query, ties by row id; exact.
 
-    The query set is stated and of a checked size (`max_queries`): it is broadcast against all rows, and
-    each task keeps its k best a query before anything is shuffled (a window group limit).
+    The stated query set is broadcast against all rows in blocks of about `block` queries, and each task keeps its k best a query
+    before anything is shuffled (a window group limit). Norms are taken once a row. `carry` names columns of the rows that go along.
     """
-    if queries.limit(max_queries + 1).count() > max_queries:
-        raise ValueError(f"more than {max_queries} queries; search in blocks of them")
-    measure = {"cosine": vectors.cosine, "l2": vectors.l2}[metric](F.col("_q"), F.col("_v"))
     q = queries.select(F.col(query_id).alias("query_id"), F.col(query_vector).alias("_q"))
-    pairs = rows.select(F.col(row_id).alias("item_id"), F.col(row_vector).alias("_v")).join(F.broadcast(q), F.lit(True))
-    scored = pairs.select("query_id", "item_id", F.round(measure, digits).alias("score"))
+    v = rows.select(F.col(row_id).alias("item_id"), F.col(row_vector).alias("_v"), *carry)
+    if metric == "cosine":
+        q, v = q.withColumn("_qn", vectors.norm(F.col("_q"))), v.withColumn("_vn", vectors.norm(F.col("_v")))
+        measure = F.try_divide(vectors.dot(F.col("_q"), F.col("_v")), F.col("_qn") * F.col("_vn"))
+    else:
+        measure = vectors.l2(F.col("_q"), F.col("_v"))
     order = F.desc("score") if metric == "cosine" else F.asc("score")
-    return scored.withColumn("vec_rank", F.row_number().over(Window.partitionBy("query_id").orderBy(order, "item_id"))).where(F.col("vec_rank") <= k)
+    blocks = max(1, -(-queries.count() // block))
+    out = None
+    for i in range(blocks):
+        part = q if blocks == 1 else q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)
+        scored = v.join(F.broadcast(part), F.lit(True)).select("query_id", "item_id", F.round(measure, digits).alias("score"), *carry)
+        best = scored.withColumn("vec_rank", F.row_number().over(Window.partitionBy("query_id").orderBy(order, "item_id"))).where(F.col("vec_rank") <= k)
+        out = best if out is None else out.unionByName(best)
+    return out
+
+
+def retrieved(found: DataFrame, chunks: DataFrame, chunk_col: str = "chunk_id", synthetic: Column | None = None) -> DataFrame:
+    """Results (query_id, item_id, score, rank) with their chunk's columns: `distance` is the raw measure, zero where there is none.
+
+    Blank dates become null; is_synthetic marks rows that stand for tool results instead of stored chunks.
+    """
+    own = chunks.withColumnRenamed(chunk_col, "item_id")
+    rows = found.join(own, "item_id", "left").withColumn("distance", F.coalesce("score", F.lit(0.0)))
+    if "period_of_report" in chunks.columns:
+        rows = rows.withColumn("period_of_report", F.nullif(F.col("period_of_report").cast("string"), F.lit("")))
+    return rows.withColumn("is_synthetic", F.lit(False) if synthetic is None else F.coalesce(synthetic, F.lit(False)))
+
+
+def effective(explicit: Column, extracted: Column, valid: Column) -> Column:
+    """A filter value: the explicit one before what was read out of the question; null, so no filter at all, where any value is invalid."""
+    return F.when(valid, F.coalesce(explicit, extracted))
 
 
-def bm25(candidates: DataFrame, query_col: str = "query", text_col: str = "text", keys: Sequence[str] = ("query_id", "item_id"), k1: float = K1, b: float = B) -> DataFrame:
+def ingest_plan(requested: DataFrame, present: DataFrame, ticker: str = "ticker", form: str = "doc_type") -> DataFrame:
+    """(ticker, doc_type) to fetch: tickers that were asked for and are not among the results; forms that cannot be fetched become 10-K."""
+    wanted = requested.select(clean_ticker(F.col(ticker)).alias(ticker), F.coalesce(clamp_doc_type(F.col(form)), F.lit("10-K")).alias(form)).where(F.col(ticker).isNotNull()).distinct()
+    return wanted.join(present.select(clean_ticker(F.col(ticker)).alias(ticker)).distinct(), ticker, "left_anti")
+
+
+def bm25(candidates: DataFrame, query_col: str = "query", text_col: str = "text", keys: Sequence[str] = ("query_id", "item_id"), k1: float = K1, b: float = B, max_candidates: int = 1000) -> DataFrame:
     """Candidates with a lexical score; statistics are over the candidates of each query, so these must be fixed before.
 
-    Query terms count once; a query or text without terms scores zero. Term counts are taken inside each row against the few
-    terms of its query, so what is shuffled is one row a term and candidate that match, not the texts' words.
+    Query terms count once; a query or text without terms scores zero. The candidates of a query are a list cut by rank where it is made
+    (more than `max_candidates` raise): it is folded inside one row, so that candidates are computed and moved once.
     """
     query, item = keys
-    docs = candidates.select(query, item, F.array_distinct(tokens(F.col(query_col))).alias("_terms"), tokens(F.col(text_col)).alias("_words"))
-    sized = docs.select(query, item, F.size("_words").alias("_len"), F.transform("_terms", lambda t: F.struct(t.alias("t"), F.size(F.filter("_words", lambda w: w == t)).alias("tf"))).alias("_tf"))
-    totals = sized.groupBy(query).agg(F.count("*").alias("_n"), F.avg("_len").alias("_avg"))
-    hits = sized.select(query, item, "_len", F.explode("_tf").alias("h")).select(query, item, "_len", "h.*").where("tf > 0")
-    df = hits.groupBy(query, "t").agg(F.count("*").alias("_df"))
-    idf = F.log1p((F.col("_n") - F.col("_df") + 0.5) / (F.col("_df") + 0.5))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("_len") / F.col("_avg")))
-    scores = hits.join(df, [query, "t"]).join(totals, query).groupBy(query, item).agg(F.sum(part).alias("lex_score"))
-    return candidates.join(scores, [query, item], "left").withColumn("lex_score", F.coalesce("lex_score", F.lit(0.0)))
+    terms, words = F.array_distinct(tokens(F.col(query_col))), tokens(F.col(text_col))
+    counted = candidates.withColumn("_words", words).withColumn("_len", F.size("_words")).withColumn("_tf", F.transform(terms, lambda t: F.size(F.filter("_words", lambda w: w == t)))).drop("_words")
+    rest = [c for c in candidates.columns if c != query]
+    listed = counted.groupBy(query).agg(F.collect_list(F.struct(*rest, "_len", "_tf")).alias("_c"))
+    listed = listed.withColumn("_c", F.when(F.size("_c") <= max_candidates, F.col("_c")).otherwise(F.raise_error(F.lit(f"more than {max_candidates} candidates of one query"))))
+    n = F.size("_c")
+    mean = F.aggregate("_c", F.lit(0).cast("long"), lambda s, c: s + c["_len"]) / n
+    zero = F.transform(F.col("_c")[0]["_tf"], lambda x: F.lit(0))
+    held = F.aggregate("_c", zero, lambda s, c: F.zip_with(s, c["_tf"], lambda d, x: d + (x > 0).cast("int")))
+    listed = listed.withColumns({"_n": n, "_avg": mean, "_df": held})
+
+    def score(c: Column) -> Column:
+        def part(tf: Column, df: Column) -> Column:
+            idf = F.log1p((F.col("_n") - df + 0.5) / (df + 0.5))
+            return F.when(tf > 0, idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * c["_len"] / F.col("_avg")))).otherwise(0.0)
+
+        return F.aggregate(F.zip_with(c["_tf"], F.col("_df"), part), F.lit(0.0), lambda s, x: s + x)
+
+    scored = F.transform("_c", lambda c: F.struct(*(c[x].alias(x) for x in rest), score(c).alias("lex_score")))
+    return listed.select(query, F.inline(scored)).select(*candidates.columns, "lex_score")
 
 
 def fuse(candidates: DataFrame, query: str = "query_id", first_rank: str = "vec_rank", score: str = "lex_score", k: int = RRF_K, digits: int = 9) -> DataFrame:

@@ -49,8 +49,11 @@ def write_chunks(chunks: DataFrame, path: str, dim: int) -> None:
 
 
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:
-    """The chunk table; columns that older files lack are null."""
-    return spark.read.schema(CHUNKS).parquet(path).select(*CHUNKS.fieldNames())
+    """The chunk table; columns that older files lack hold the default of their type: '' for text, 0 for numbers, else null."""
+    stored = spark.read.option("mergeSchema", "true").parquet(path)
+    blank = {f.name: "" if f.dataType.typeName() == "string" else 0 if f.dataType.typeName() == "integer" else None for f in CHUNKS.fields}
+    # Files of one table may differ in their columns.
+    return with_schema(stored, CHUNKS, blank).fillna({k: v for k, v in blank.items() if v is not None})
 
 
 def upsert_filings(stored: DataFrame, incoming: DataFrame) -> DataFrame:

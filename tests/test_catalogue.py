@@ -48,3 +48,17 @@ def test_filters_reach_the_scan(spark):
     assert "EqualTo(o_orderstatus,F)" in plan and "o_totalprice" not in plan
     plan = catalogue.QUERIES["filtered_vector_topk"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(label,3)" in plan and "WindowGroupLimit" in plan
+
+
+def _scans(spark, name, table):
+    plan = catalogue.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    # A reused exchange is listed by reference and not scanned again.
+    return plan.count(f"{SF}/{table}.parquet")
+
+
+@pytest.mark.parametrize(
+    "name,table,most",
+    [("bm25_candidates", "documents", 1), ("rrf_fusion", "documents", 1), ("hybrid_search", "documents", 1), ("mmr_rerank", "documents", 1), ("prompt_context", "documents", 1), ("position_changes", "lineitem", 1), ("ownership_summary", "lineitem", 1), ("fund_topn", "lineitem", 1), ("vector_topk", "embeddings", 2), ("eval_hit_mrr", "embeddings", 4)],
+)
+def test_tables_are_scanned_once(spark, name, table, most):
+    assert 1 <= _scans(spark, name, table) <= most

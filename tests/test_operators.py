@@ -97,8 +97,12 @@ def test_jaccard_is_symmetric(spark):
         ("<table><tr><td>Net</td><td>$</td><td>12</td></tr></table>", "<table><tbody><tr><td>Net</td><td>$12</td></tr></tbody></table>"),
         ("<table><tr><td>a</td></tr><tr><td>7</td><td>45</td><td>%</td></tr></table>", "<table><thead><tr><td>a</td></tr></thead><tbody><tr><td>7</td><td>45%</td></tr></tbody></table>"),
         ("<table><tr><td> </td></tr><tr><th colspan=2>20</th></tr></table>", '<table><tbody><tr><th colspan="2">20</th></tr></tbody></table>'),
-        ("<table><tr><td>x<table><tr><td>99</td></tr></table></td></tr></table>", "<table><tbody><tr><td>x99</td></tr></tbody></table>"),
-        ("no table", "no table"), ("  ", "  "), (None, None), ("<table><tr><td>$</td></tr></table>", "<table><tbody><tr><td>$</td></tr></tbody></table>"),
+        ("<table><tr><td>x<table><tr><td>99</td></tr></table></td></tr></table>", "<table><tbody><tr><td>x<table><tr><td>99</td></tr></table></td></tr></tbody></table>"),
+        ("no table", "no table"), ("  ", "  "), (None, None), ("<table><tr><td>$</td></tr></table>", "<table><thead><tr><td>$</td></tr></thead></table>"),
+        ("<table><tr><td>a</td></tr><tr><td>9</td></tr></table>", "<table><thead><tr><td>a</td></tr><tr><td>9</td></tr></thead></table>"),
+        ('<table class="x"><tr><td></td></tr></table>', '<table class="x"></table>'),
+        ('<table id="t"><tr><td class="n" rowspan="2"><b>A</b>&amp;B</td><td>10<table><tr><td>22</td></tr></table></td></tr></table>', '<table id="t"><tbody><tr><td class="n" rowspan="2"><b>A</b>&amp;B</td><td>10<table><tr><td>22</td></tr></table></td></tr></tbody></table>'),
+        ("<table><tr><td>x<td>5000<tr><th>y", "<table><tbody><tr><td>x</td><td>5000</td></tr><tr><th>y</th></tr></tbody></table>"),
     ],
 )
 def test_table_cleaning(given, want):
@@ -137,7 +141,7 @@ def test_extraction(spark):
     got = facts.extract(spark.createDataFrame(RAW, FRAME), filings, taxonomy.concepts(spark))
     rows = {(r["canonical_key"], str(r["period_end"])): r["value"] for r in got.collect()}
     assert rows == {("revenue", "2023-12-31"): 90.0, ("revenue", "2022-12-31"): 80.0, ("total_liabilities", "2023-12-31"): 60.0, ("gross_profit", "2023-12-31"): 30.0}
-    assert {r["statement"] for r in got.collect()} == {"income", "balance"}
+    assert {r["statement"] for r in got.collect()} == {"income_statement", "balance_sheet"}
 
 
 FACT = "ticker string, canonical_key string, period_end string, value double, filing_date string, arrival_seq long"
@@ -241,10 +245,19 @@ def test_signals_and_thesis(spark):
     by = {e: [(r["dimension"], r["direction"]) for r in got.where(f"entity = '{e}'").orderBy("pos").collect()] for e in ("up", "down", "none", "flat")}
     assert by["up"] == [("profitability", "bull"), ("returns", "bull"), ("cash_flow", "bull"), ("balance_sheet", "bull"), ("growth", "bull"), ("valuation", "bull")]
     assert [d for _, d in by["down"]] == ["bear", "bear", "bear", "bear", "neutral", "bear", "bear", "bear", "bear"] and by["none"] == [] and by["flat"] == [("growth", "neutral")]
-    t = {r["entity"]: r for r in valuation.thesis(got, "entity").collect()}
-    assert t["down"]["watch"].split("\n") == [valuation.WATCH[d] for d in ("profitability", "returns", "cash_flow")] and t["up"]["bear"] == ""
-    assert "High net margin (net margin 15.0%)" in t["up"]["bull"]
-    assert "Revenue $1,000" in valuation.fundamentals_text(valuation.period_metrics(wide(spark)), "entity", "yr").first()["text"]
+    valued = rows.withColumns({"yr": F.lit(2024), "price": F.when(F.col("entity") != "flat", 10.0), "dcf_base": F.when(F.col("entity").isin("down", "flat"), 12.345), "dcf_low": F.lit(11.0), "dcf_high": F.lit(13.0)})
+    t = {r["entity"]: r["text"].split("\n") for r in valuation.thesis(valued, got, "entity", "yr").collect()}
+    assert t["down"][0] == "down — investment thesis scaffold (heuristic signals on filed numbers, latest 2024):"
+    watch = t["down"][t["down"].index("WHAT WOULD CHANGE THE VIEW:") + 1 : -1]
+    assert watch == [f"  • {valuation.WATCH[d]}" for d in ("profitability", "returns", "cash_flow")]
+    assert "VALUATION: price $10.00, DCF intrinsic $12.35 (range $11.00–$13.00) — trading above the DCF estimate." in t["down"] and "WATCH:" in t["down"]
+    assert "VALUATION: DCF intrinsic $12.35 (range $11.00–$13.00) — trading above the DCF estimate." in t["flat"]
+    assert "  + High net margin (net margin 15.0%)" in t["up"] and t["up"][t["up"].index("BEAR:") + 1] == "  (none flagged)"
+    # Bulls alone: one thing to watch for them; no signal at all: nothing to watch, but a text.
+    assert t["up"][-2] == f"  • {valuation.WATCH_BULLS}" and "WHAT WOULD CHANGE THE VIEW:" not in t["none"] and t["none"].count("  (none flagged)") == 2
+    table = wide(spark)
+    text = valuation.fundamentals_text(valuation.period_metrics(table), table, "entity", "yr").first()["text"]
+    assert "Revenue $1,000" in text and "Growth — revenue YoY n/a" in text and "history" not in text
 
 
 # Holdings --------------------------------------------------------------------------------------------------------------
@@ -334,8 +347,9 @@ def test_vectors_and_loops(spark):
     for metric, want in (("cosine", [1, 3]), ("l2", [1, 3])):
         got = retrieval.vector_top_k(v, v.where("id = 1"), 2, "id", "v", "id", "v", metric).orderBy("vec_rank").collect()
         assert [r["item_id"] for r in got] == want
-    with pytest.raises(ValueError):
-        retrieval.vector_top_k(v, v, 2, "id", "v", "id", "v", max_queries=3)
+    # In blocks of queries the result is the same.
+    whole, parts = ([tuple(r) for r in retrieval.vector_top_k(v, v, 2, "id", "v", "id", "v", block=b).orderBy("query_id", "vec_rank").collect()] for b in (1000, 1))
+    assert whole == parts and len(whole) == 8
     steps = spark.createDataFrame([("r", 1, "a", 2), ("r", 2, "b", 1), ("r", 3, "b", 1), ("s", 1, "a", 0), ("t", 1, "a", 1)], "run string, step int, sig string, fresh int")
     assert {(r["run"], r["step"], r["reason"]) for r in retrieval.loop_stops(steps, "run", "step", "sig", "fresh").collect()} == {("r", 3, "repeated"), ("s", 1, "nothing new")}
     ctx = retrieval.context_text(spark.createDataFrame([(1, 2, "t2", "p2"), (1, 1, "t1", "p1")], "q int, o int, t string, p string"), "q", "o", F.col("t"), F.col("p")).first()["context"]
