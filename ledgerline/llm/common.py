@@ -13,7 +13,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Applications whose workers have the package.
@@ -91,7 +91,7 @@ def ship_package(spark: SparkSession) -> None:
 
 
 #: Bytes of texts that a task encodes together, so that each distinct word is computed once for many of them.
-GROUP_BYTES = 8 << 20
+GROUP_BYTES = 4 << 20
 
 
 def text_groups(batches: Iterator[pa.RecordBatch], column: int = 1) -> Iterator[tuple[pa.RecordBatch, pa.StringArray]]:
@@ -141,6 +141,43 @@ def small_side(df: DataFrame, limit: int) -> bool:
     return df.limit(limit + 1).count() <= limit
 
 
+#: Bits of a map of keys: at most 2^19 rows of two longs, whatever the number of keys.
+MAP_BITS = 25
+
+
+def key_map(hashes: DataFrame, bits: int = MAP_BITS) -> DataFrame:
+    """(word, mask) of the bits that the 64-bit numbers of column `hash` set in a map of 2^bits bits."""
+    marks = hashes.selectExpr(f"shiftrightunsigned(hash, {64 - bits + 6}) as word", f"shiftleft(1L, cast(shiftrightunsigned(hash, {64 - bits}) & 63 as int)) as mask")
+    return materialize(marks.groupBy("word").agg(F.bit_or("mask").alias("mask")), "key-map")
+
+
+def in_map(rows: DataFrame, keys: DataFrame, hashed: Column, flag: str, bits: int = MAP_BITS) -> DataFrame:
+    """The rows with a boolean: false if their key surely is none of those in the map. The map is broadcast; its size is bounded by its bits."""
+    marked = rows.withColumn("_hash", hashed).withColumn("_word", F.expr(f"shiftrightunsigned(_hash, {64 - bits + 6})"))
+    found = marked.join(F.broadcast(keys.withColumnRenamed("word", "_word").withColumnRenamed("mask", "_mask")), "_word", "left")
+    return found.withColumn(flag, F.expr(f"coalesce(_mask & shiftleft(1L, cast(shiftrightunsigned(_hash, {64 - bits}) & 63 as int)) <> 0, false)")).drop("_word", "_hash", "_mask")
+
+
+def row_key(id_col: Column, text: Column) -> Column:
+    """32 bytes that tell rows apart by id and text; a null text counts as empty, a null id as none."""
+    digest = F.sha2(F.coalesce(text, F.lit("")), 256)
+    return F.unhex(F.sha2(F.concat(digest, F.coalesce(F.concat(F.lit(":"), id_col.cast("string")), F.lit(""))), 256))
+
+
+def without_rows(docs: DataFrame, key: Column, gone: DataFrame, twins: DataFrame, bits: int = MAP_BITS) -> DataFrame:
+    """The rows of `docs`, all columns, whose key is not in `gone`; of rows that share a key in `twins` one stays.
+
+    Both tables have one column `key`. A bounded map of their keys tells rows that surely stay as they are; only the others, which
+    are little more than those of the two tables, are joined by key, and only their texts can be shuffled.
+    """
+    marks = key_map(gone.union(twins).select(F.xxhash64("key").alias("hash")), bits)
+    # The whole row travels as one struct, so that no column of it can clash with a name used here.
+    rows = docs.select(F.struct(*docs.columns).alias("row"), key.alias("key"))
+    rows = in_map(rows, marks, F.xxhash64("key"), "maybe", bits)
+    judged = rows.where("maybe").join(gone, "key", "left_anti").dropDuplicates(["key"])
+    return rows.where("not maybe").select("row").union(judged.select("row")).select("row.*")
+
+
 def shard_count(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -7,42 +7,35 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import materialize, small_side
+from ledgerline.llm.common import MAP_BITS, discard, in_map, join_groups, key_map, materialize, row_key, without_rows
 
 
-def _flagged(rows: DataFrame, keys: DataFrame, on: list[str], broadcast_rows: int, flag: str) -> DataFrame:
-    """Rows with a boolean: their key is among the surviving keys."""
-    keys = keys.select(*on, F.lit(True).alias(flag))
-    if small_side(keys, broadcast_rows):
-        return rows.join(F.broadcast(keys), on, "left").withColumn(flag, F.coalesce(flag, F.lit(False)))
-    # Too many groups to broadcast: every row goes on to the next, sharper key, so no text is ever shuffled.
-    return rows.withColumn(flag, F.lit(True))
-
-
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = 128, broadcast_rows: int = 500_000, carry: Sequence[Column] = ()) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = 128, bits: int = MAP_BITS, carry: Sequence[Column] = ()) -> DataFrame:
     """One row per input row: id, keep_id, group_size, kept, then the `carry` columns (expressions over the input).
 
     Texts are equal when they are identical; a null counts as the empty text. Of equal texts the row with the largest id
     stays (null ids sort lowest). Repeated rows are copies too: of rows that tie in text and id exactly one is kept.
-    Empty tables give no rows. Other columns, whatever their names, are ignored.
+    Empty tables give no rows. Other columns, whatever their names, are ignored. Long texts are hashed where they are read.
 
     Lengths are counted first; only rows of a repeated length get a prefix hash; only rows of a repeated
-    (length, prefix) are read whole and hashed by SHA-256. Group tables are broadcast up to `broadcast_rows` rows; beyond
-    that all rows take the next hash instead, and the joins stay narrow. No text is shuffled.
+    (length, prefix) are read whole and hashed by SHA-256. What repeats is broadcast as a map of 2^`bits` bits, which has the same
+    bounded size for every corpus: a chance hit costs one more hash and changes no result, and beyond some 2^`bits` groups
+    nearly all rows are hashed. No text is shuffled, and rows meet their group without a hot key.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    lengths = materialize(docs.groupBy(F.octet_length(text).alias("_n")).agg(F.count("*").alias("_c")).where("_c > 1").select("_n"), "exact-len")
+    lengths = docs.groupBy(F.octet_length(text).alias("_n")).agg(F.count("*").alias("_c")).where("_c > 1")
+    lengths = key_map(lengths.select(F.xxhash64("_n").alias("hash")), bits)
     sized = docs.select(F.col(id_col).alias("_id"), text.alias("_t"), F.octet_length(text).alias("_n"), F.struct(F.lit(0), *carry).alias("_carry"))
-    probed = _flagged(sized, lengths, ["_n"], broadcast_rows, "_l").withColumn("_p", F.when(F.col("_l"), F.xxhash64(F.substring("_t", 1, prefix_chars))))
-    prefixes = materialize(probed.where("_l").groupBy("_n", "_p").agg(F.count("*").alias("_c")).where("_c > 1").select("_n", "_p"), "exact-prefix")
-    full = _flagged(probed, prefixes, ["_n", "_p"], broadcast_rows, "_s")
-    rows = materialize(full.select("_id", F.monotonically_increasing_id().alias("_rid"), F.when(F.col("_s"), F.sha2("_t", 256)).alias("_h"), "_carry"), "exact-rows")
+    probed = in_map(sized, lengths, F.xxhash64("_n"), "_l", bits).withColumn("_p", F.when(F.col("_l"), F.xxhash64(F.substring("_t", 1, prefix_chars))))
+    prefixes = probed.where("_l").groupBy("_n", "_p").agg(F.count("*").alias("_c")).where("_c > 1")
+    prefixes = key_map(prefixes.select(F.xxhash64("_n", "_p").alias("hash")), bits)
+    full = in_map(probed, prefixes, F.xxhash64("_n", "_p"), "_s", bits)
+    rows = materialize(full.select("_id", F.monotonically_increasing_id().alias("_rid"), F.when(F.col("_l") & F.col("_s"), F.unhex(F.sha2("_t", 256))).alias("_h"), "_carry"), "exact-rows")
+    discard(lengths, prefixes)
 
     best = F.max(F.struct("_id", "_rid")).alias("_best")
-    groups = materialize(rows.where("_h is not null").groupBy("_h").agg(best, F.count("*").alias("_c")).where("_c > 1").select(F.col("_h").alias("_k"), "_best", "_c"), "exact-groups")
-    # Rows of no group get a key of their own, so that they do not all meet in one task.
-    keyed = rows.withColumn("_k", F.coalesce("_h", F.concat(F.lit("row "), F.col("_rid"))))
-    joined = keyed.join(groups, "_k", "left")
+    groups = materialize(rows.where("_h is not null").groupBy("_h").agg(best, F.count("*").alias("_c")).where("_c > 1"), "exact-groups")
+    joined = join_groups(rows, groups, "_h", "_c", rows.count())
     names = [c for c in rows.schema["_carry"].dataType.names[1:]]
     return joined.select(
         F.col("_id").alias(id_col),
@@ -53,19 +46,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
-def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 500_000, **options) -> DataFrame:
-    """The rows of `docs`, all columns, without those that `exact_dedup` drops; one of rows that tie in text and id stays.
+def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of `docs`, all columns, without those that `exact_dedup` drops.
 
-    Up to `broadcast_rows` dropped ids are broadcast, so that no text is shuffled; more of them are joined by id.
+    Rows are told apart by id and text: of equal texts the rows with the largest id stay, of rows that tie in both one. Null ids sort
+    lowest, a null text is an empty one, an empty table gives no rows. Texts that are copies of none are not shuffled.
     """
-    digest = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
-    gone = exact_dedup(docs, id_col, text_col, broadcast_rows=broadcast_rows, carry=[digest.alias("digest")], **options).where("not kept")
-    gone = materialize(gone.select(F.col(id_col).alias("gone_id"), F.col("digest").alias("gone_digest"), F.col(id_col).eqNullSafe(F.col("keep_id")).alias("twin")), "exact-gone")
-    # The whole row travels as one struct, so that no column of it can clash with a name used here.
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), digest.alias("digest"))
-    lost = gone.where("not twin")
-    lost = F.broadcast(lost) if small_side(lost, broadcast_rows) else lost
-    out = rows.join(lost, F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("digest") == F.col("gone_digest")), "left_anti")
-    if gone.where("twin").limit(1).count():
-        out = out.dropDuplicates(["id", "digest"])
-    return out.select("row.*")
+    key = row_key(F.col(id_col), F.col(text_col))
+    found = materialize(exact_dedup(docs, id_col, text_col, carry=[key.alias("key")], **options).where("not kept").select("key", F.col(id_col).eqNullSafe(F.col("keep_id")).alias("twin")), "exact-gone")
+    return without_rows(docs, key, found.where("not twin").select("key"), found.where("twin").select("key"))
