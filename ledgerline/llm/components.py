@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import materialize
+from ledgerline.llm.common import discard, materialize
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -17,7 +17,9 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         out = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         out = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-    return materialize(out.where("u <> v").distinct(), "cc-edges")
+    out = materialize(out.where("u <> v").distinct(), "cc-edges")
+    discard(low)
+    return out
 
 
 def _settled(cur: DataFrame) -> bool:
@@ -36,7 +38,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     if not cur.limit(1).count():
         return cur.select(F.col("u").alias("node"), F.col("v").alias("label"))
     for _ in range(max_rounds):
-        cur = _star(_star(cur, True), False)
+        wide = _star(cur, True)
+        last, cur = cur, _star(wide, False)
+        discard(last, wide)
         if _settled(cur):
             return cur.select(F.col("u").alias("node"), F.col("v").alias("label")).union(cur.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
     raise RuntimeError("components did not settle")

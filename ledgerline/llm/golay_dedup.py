@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import materialize, ship_package, small_side
+from ledgerline.llm.common import discard, join_groups, materialize, row_key, ship_package, without_rows
 from ledgerline.llm.components import connected_components
 from ledgerline.llm.golay import decode, near_indices
 
@@ -115,13 +115,24 @@ def _near(a: str, b: str, bits: int) -> Column:
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= bits
 
 
-def fingerprint_links(fps: DataFrame) -> DataFrame:
+#: Beyond this many fingerprints the members of a bucket are not joined pairwise but by exact fifths of their bits.
+_CROWD = 256
+
+
+def _parts(crowd: int) -> Column:
+    """Where members of a bucket meet: all in one place, or, in a crowd, by each fifth, of which four errors leave one exact."""
+    fifths = [F.struct(F.lit(i).alias("fifth"), F.expr(f"shiftrightunsigned(fp, {13 * i}) & 8191").alias("bits")) for i in range(5)]
+    return F.explode(F.when(F.col("m") <= crowd, F.array(F.struct(F.lit(-1).alias("fifth"), F.lit(0).cast("long").alias("bits")))).otherwise(F.array(*fifths)))
+
+
+def fingerprint_links(fps: DataFrame, crowd: int = _CROWD) -> DataFrame:
     """(node, label) for the distinct fingerprints of column fp that link, through any chain, at four or fewer bits.
 
     Keys meet in one shuffle; a window keeps buckets with two different fingerprints. First each member is checked
     against the least of its bucket, which gives one row a member and closes dense groups; then only buckets that still
-    hold two components are joined pairwise, and only between components. So every link between different texts counts
-    towards the components while a group of m copies gives m rows, not m squared.
+    hold two components are joined pairwise, and only between components. A bucket of more than `crowd` such members is split
+    further: fingerprints within four bits agree in one of five parts of 13 bits, so its members meet by these. So every link between
+    different texts counts towards the components while a group of m copies gives m rows, not m squared.
     """
     keys = fps.select("fp").mapInArrow(_emit, schema="bucket long, fp long")
     bucket = "min(fp) over (partition by bucket)", "max(fp) over (partition by bucket)"
@@ -129,25 +140,32 @@ def fingerprint_links(fps: DataFrame) -> DataFrame:
     met = materialize(met, "golay-met")
     first = materialize(connected_components(met.where(_near("fp", "low", 4)).select(F.col("fp").alias("u"), F.col("low").alias("v"))), "golay-first")
     named = met.select("bucket", "fp").join(first.withColumnRenamed("node", "fp"), "fp", "left").select("bucket", "fp", F.coalesce("label", "fp").alias("label"))
-    open_ = named.selectExpr("bucket", "fp", "label", "min(label) over (partition by bucket) as l", "max(label) over (partition by bucket) as h").where("l <> h").select("bucket", "fp", "label")
-    open_ = materialize(open_, "golay-open")
-    other = open_.select("bucket", F.col("fp").alias("fp2"), F.col("label").alias("label2"))
-    pairs = open_.join(other, "bucket").where((F.col("label") < F.col("label2")) & _near("fp", "fp2", 4))
+    over = "over (partition by bucket)"
+    open_ = named.selectExpr("bucket", "fp", "label", f"min(label) {over} as l", f"max(label) {over} as h", f"count(*) {over} as m").where("l <> h").select("bucket", "fp", "label", "m")
+    open_ = materialize(open_.withColumn("part", _parts(crowd)).drop("m"), "golay-open")
+    discard(met)
+    other = open_.select("bucket", "part", F.col("fp").alias("fp2"), F.col("label").alias("label2"))
+    pairs = open_.join(other, ["bucket", "part"]).where((F.col("label") < F.col("label2")) & _near("fp", "fp2", 4))
     second = connected_components(pairs.select(F.col("label2").alias("u"), F.col("label").alias("v")))
     second = materialize(second.select(F.col("node").alias("label"), F.col("label").alias("top")), "golay-second")
+    discard(open_)
     # Fingerprints that only the second pass links are their own first label.
     nodes = first.unionByName(second.join(first, second["label"] == first["node"], "left_anti").select(F.col("label").alias("node"), F.col("label")))
     return nodes.join(second, "label", "left").select("node", F.coalesce("top", "label").alias("label"))
 
 
 def component_tops(rows: DataFrame, least: Column) -> DataFrame:
-    """(node, top) for each fingerprint of column fp: the least value of `least` over the rows of its component."""
+    """(fp, top, c) for each fingerprint of column fp: the least value of `least` over the rows of its component, and its own rows."""
     # Equal fingerprints are one node, whatever the size of their group.
-    nodes = materialize(rows.groupBy("fp").agg(F.min(least).alias("least")), "golay-nodes")
+    nodes = materialize(rows.groupBy("fp").agg(F.min(least).alias("least"), F.count("*").alias("c")), "golay-nodes")
     links = materialize(fingerprint_links(nodes), "golay-links")
-    named = nodes.join(links.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
-    tops = materialize(named.groupBy("label").agg(F.min("least").alias("top")), "golay-tops")
-    return materialize(named.select("fp", "label").join(tops, "label").select(F.col("fp").alias("node"), "top"), "golay-named")
+    named = nodes.join(links.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", "c", F.coalesce("label", "fp").alias("label"))
+    tops = materialize(named.groupBy("label").agg(F.min("least").alias("top"), F.sum("c").alias("members")), "golay-tops")
+    # A component may hold any share of the fingerprints.
+    out = join_groups(named.select("fp", "c", "label"), tops, "label", "members", nodes.count())
+    out = materialize(out.select("fp", "top", "c"), "golay-named")
+    discard(nodes, links, tops)
+    return out
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, seed: int = 42) -> DataFrame:
@@ -160,30 +178,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     are ignored. Texts are read whole, one at a time.
     """
     rows = materialize(fingerprints(docs, id_col, text_col, width, seed), "golay-fp")
-    named = component_tops(rows, F.col("id"))
-    joined = rows.join(named, rows["fp"] == named["node"])
+    joined = join_groups(rows, component_tops(rows, F.col("id")), "fp", "c", rows.count())
     return joined.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("top").alias("component_id"))
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 500_000, **options) -> DataFrame:
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of `docs`, all columns, of which one a component stays: that with the component's least id.
 
     Rows are told apart by id and text, so every component keeps exactly one row, whatever ids others have. Of rows that tie in
-    the id that with the least SHA-256 of its text stays, of rows that tie in both any one. Rows whose id is null stay only if no
-    other row of the component has an id.
-
-    Up to `broadcast_rows` dropped ids are broadcast, so that no text is shuffled; more of them are joined by id.
+    the id that with the least hash of id and text stays, of rows that tie in both any one. Rows whose id is null stay only if no
+    other row of the component has an id. Texts without a word are one component; an empty table gives no rows. Texts that
+    have no near copy are not shuffled; every text, however long, is read whole.
     """
-    digest = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
-    found = materialize(fingerprints(docs, id_col, text_col, carry=[digest.alias("digest")], **options), "golay-fp")
-    named = component_tops(found, F.struct(F.col("id").isNull().alias("none"), "id", "digest"))
-    top = F.col("id").eqNullSafe(F.col("top.id")) & (F.col("digest") == F.col("top.digest"))
-    judged = materialize(found.join(named, found["fp"] == named["node"]).select("id", "digest", top.alias("kept")), "golay-judged")
-    gone = materialize(judged.where("not kept").select(F.col("id").alias("gone_id"), F.col("digest").alias("gone_digest")).distinct(), "golay-gone")
-    # The whole row travels as one struct, so that no column of it can clash with a name used here.
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), digest.alias("digest"))
-    gone = F.broadcast(gone) if small_side(gone, broadcast_rows) else gone
-    out = rows.join(gone, F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("digest") == F.col("gone_digest")), "left_anti")
-    if judged.where("kept").groupBy("id", "digest").count().where("count > 1").limit(1).count():
-        out = out.dropDuplicates(["id", "digest"])
-    return out.select("row.*")
+    key = row_key(F.col(id_col), F.col(text_col))
+    found = materialize(fingerprints(docs, id_col, text_col, carry=[key.alias("key")], **options), "golay-fp")
+    named = component_tops(found, F.struct(F.col("id").isNull().alias("none"), "id", "key"))
+    judged = join_groups(found, named, "fp", "c", found.count()).select("key", (F.col("key") == F.col("top.key")).alias("kept"))
+    judged = materialize(judged.groupBy("key").agg(F.first("kept").alias("kept"), F.count("*").alias("n")), "golay-judged")
+    discard(found, named)
+    return without_rows(docs, key, judged.where("not kept").select("key"), judged.where("kept and n > 1").select("key"))
