@@ -96,7 +96,11 @@ def gram_hashes(words: Sequence[bytes], k: int, known: dict) -> np.ndarray:
 
 
 def _gram_rows(docs: DataFrame, id_col: str, text_col: str, sizes: tuple[int, ...]) -> DataFrame:
-    """(id, body, uid, n_words, grams): the words joined by spaces, and the hashes of every k-gram of each size in turn, then a mark."""
+    """(id, body, uid, n_words, starts, grams) for each row.
+
+    body holds the words joined by spaces, starts where each word begins and where one more would; grams are the hashes of every k-gram
+    of each size in turn, then a mark.
+    """
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,18 +110,18 @@ def _gram_rows(docs: DataFrame, id_col: str, text_col: str, sizes: tuple[int, ..
             for i, x in enumerate(b.column(1)):
                 words = words_of(x.as_py() or b"")
                 body = b" ".join(words)
-                rows.append((body, xxhash.xxh3_128_digest(body), len(words), np.concatenate([*(gram_hashes(words, k, known) for k in sizes), [_MARK]]).astype(np.uint64).view(np.int64)))
-                held += len(rows[-1][3])
+                starts = np.append(0, np.cumsum(np.fromiter(map(len, words), dtype=np.int32, count=len(words)) + 1)).astype(np.int32)
+                rows.append((body, xxhash.xxh3_128_digest(body), len(words), starts, np.concatenate([*(gram_hashes(words, k, known) for k in sizes), [_MARK]]).astype(np.uint64).view(np.int64)))
+                held += len(rows[-1][4])
                 # Hand on a part at a time: the hashes of a whole batch would weigh many times its texts.
                 if held >= _PART or i + 1 == b.num_rows:
-                    bodies, uids, counts, grams = zip(*rows)
-                    ends = np.concatenate([[0], np.cumsum([len(g) for g in grams])]).astype(np.int32)
-                    lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(grams)))
-                    yield pa.RecordBatch.from_arrays([b.column(0).slice(start, len(rows)), pa.array(bodies, pa.binary()).cast(pa.string()), pa.array(uids, pa.binary()), pa.array(counts, pa.int64()), lists], names=["id", "body", "uid", "n_words", "grams"])
+                    bodies, uids, counts, *arrays = zip(*rows)
+                    lists = [pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum([len(x) for x in a])).astype(np.int32)), pa.array(np.concatenate(a))) for a in arrays]
+                    yield pa.RecordBatch.from_arrays([b.column(0).slice(start, len(rows)), pa.array(bodies, pa.binary()), pa.array(uids, pa.binary()), pa.array(counts, pa.int64()), *lists], names=["id", "body", "uid", "n_words", "starts", "grams"])
                     start, held, rows = i + 1, 0, []
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t"))
-    return rows.mapInArrow(run, schema=f"id {kind}, body string, uid binary, n_words long, grams array<long>")
+    return rows.mapInArrow(run, schema=f"id {kind}, body binary, uid binary, n_words long, starts array<int>, grams array<long>")
 
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: Sequence[Template] = NOTICES, long_gram: int = 4, min_cover: float = 0.8, max_templates: int = 10_000) -> DataFrame:
@@ -133,35 +137,37 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     sorted and joined by commas (none: empty). spans lists (label, first word, last word, cover) of merged spans.
 
     A null or empty text has no word, no label and score 0. Repeated rows give repeated results. An empty table gives no rows;
-    other columns are not looked at. Nothing but matches and one mark a document is shuffled.
+    other columns are not looked at. A match costs the same in texts of any length. Nothing but matches and one mark a document is
+    shuffled.
     """
     spark = docs.sparkSession
     ship_package(spark)
     every = [*BASE, *templates]
     if len(every) > max_templates:
         raise ValueError(f"more than {max_templates} templates")
-    sizes, known, rows = (2, long_gram), _Hashes(), [(int(_MARK.view(np.int64)), -1, 0, 0, 0, "", "", False, [])]
+    sizes, known, rows = (2, long_gram), _Hashes(), [(int(_MARK.view(np.int64)), -1, 0, 0, 0, "", b"", False, [])]
     for i, t in enumerate(every):
         words = words_of(t.text.encode())
         if len(words) < 2:
             raise ValueError(f"the template {t.text!r} has under two words")
-        must = [b" ".join(words_of(m.encode())).decode() for m in t.must]
+        must = [b" " + b" ".join(words_of(m.encode())) + b" " for m in t.must]
         k = 2 if t.exact or len(words) < long_gram else long_gram
         for j, h in enumerate(gram_hashes(words, k, known).view(np.int64).tolist()):
-            rows.append((h, i, j, k, len(words), t.label, b" ".join(words[j : j + k]).decode(), t.exact, must))
-    table = spark.createDataFrame(rows, "gram long, template int, at int, k int, len int, label string, words string, exact boolean, must array<string>")
+            rows.append((h, i, j, k, len(words), t.label, b" ".join(words[j : j + k]), t.exact, must))
+    table = spark.createDataFrame(rows, "gram long, template int, at int, k int, len int, label string, words binary, exact boolean, must array<binary>")
 
-    grams = _gram_rows(docs, id_col, text_col, sizes).select("id", "uid", "body", "n_words", F.posexplode("grams").alias("p", "gram"))
+    grams = _gram_rows(docs, id_col, text_col, sizes).select("id", "uid", "body", "n_words", "starts", F.posexplode("grams").alias("p", "gram"))
     # The 2-grams come first, then the long grams, then the mark.
     pairs = F.greatest(F.col("n_words") - 1, F.lit(0))
     place = F.when(F.col("k") == 2, F.col("p")).otherwise(F.col("p") - pairs)
     kind = F.when(F.col("p") < pairs, 2).when(F.col("p") < pairs + F.greatest(F.col("n_words") - (long_gram - 1), F.lit(0)), long_gram).otherwise(0)
-    same = F.array_join(F.slice(F.split("body", " "), place.cast("int") + 1, F.greatest(F.col("k"), F.lit(1))), " ") == F.col("words")
+    same = _words_at(place, F.col("k")) == F.col("words")
     hits = grams.join(F.broadcast(table), "gram").where((F.col("k") == kind) & ((F.col("k") == 0) | same))
     # The words where the template would lie, with as many on either side as a span may be off.
-    begin = F.greatest(place.cast("int") - F.col("at") - _slack(), F.lit(0))
-    around = F.concat(F.lit(" "), F.array_join(F.slice(F.split("body", " "), begin + 1, (F.col("len") + 2 * _slack()).cast("int")), " "), F.lit(" "))
-    told = F.when(F.size("must") == 0, F.lit(True)).otherwise(F.forall("must", lambda m: F.contains(around, F.concat(F.lit(" "), m, F.lit(" ")))))
+    begin = F.greatest(place - F.col("at") - _slack(), F.lit(0))
+    blank = F.lit(b" ")
+    around = F.concat(blank, _words_at(begin, F.least(F.col("len") + 2 * _slack(), F.col("n_words") - begin)), blank)
+    told = F.when(F.size("must") == 0, F.lit(True)).otherwise(F.forall("must", lambda m: F.contains(around, m)))
     hits = hits.select("id", "uid", "n_words", "template", "label", "exact", "k", "len", "at", F.when(F.col("k") == 0, 0).otherwise(place).cast("long").alias("pos"), told.alias("told"))
 
     # One row a diagonal; the mark of a document counts how often its row is repeated.
@@ -189,6 +195,13 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return copied.select(F.col("id").alias(id_col), "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans")
 
 
+def _words_at(first: Column, n: Column) -> Column:
+    """n words of the body from a word on, cut by their places in bytes: the cost does not depend on the length of the text."""
+    first = first.cast("int")
+    start = F.get("starts", first)
+    return F.substring("body", start + 1, F.get("starts", first + n.cast("int")) - start - 1)
+
+
 def _slack() -> Column:
     """By how many words neighbouring diagonals of a template may differ."""
     return F.when(F.col("exact"), 0).otherwise(F.least(F.lit(3), F.floor(F.col("len") / 4))).cast("int")
