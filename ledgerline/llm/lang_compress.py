@@ -8,18 +8,23 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.llm.common import ship_package
 
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 UNKNOWN = "und"
+_SPACE = 1 << 30
 
 
 def letters_of(text: str) -> bytes:
     """Lower-cased letters in UTF-8, one space for anything between them."""
-    return _NOT_LETTERS.sub(" ", text.lower()).strip().encode()
+    body = _NOT_LETTERS.sub(" ", text.lower())
+    if not body.replace(" ", "").isalpha():
+        # Fractions, powers and the like count as word characters, but are no letters.
+        body = " ".join("".join(c if c.isalpha() else " " for c in body).split())
+    return body.strip().encode()
 
 
 @dataclass(frozen=True)
@@ -39,27 +44,31 @@ class Dictionaries:
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_lang: int = 64, max_chars: int = 4096, dict_bytes: int = 32_768, block: int = 2048, max_langs: int = 256) -> Dictionaries:
     """Fit one dictionary a language on a bounded sample of the labelled rows.
 
-    About three times `docs_per_lang` rows of each language, of at most `max_chars` characters, are drawn by a hash of the id and
-    their letters fill `dict_bytes`. Counts by language cover all rows. Rows with a null text or language teach nothing. A
-    language of longer documents only is sampled from these, each cut to `max_chars`.
+    The sample is of three times `docs_per_lang` rows of each language, those with the least hash of id and text among the rows of at
+    most `max_chars` characters; their letters fill `dict_bytes`. Counts by language cover all rows. Null and repeated ids are sampled
+    like others, since the text counts too; rows that repeat each other count once. Rows with a null text or language teach nothing. A
+    language of longer documents only is sampled from these, each cut to `max_chars`. Without a labelled row nothing is learnt.
     """
-    rows = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n"), F.count_if(F.length("text") <= max_chars).alias("short")).limit(max_langs + 1).collect()
+    rows = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"), F.pmod(F.xxhash64(F.col(id_col), F.col(text_col), F.lit(5)), F.lit(_SPACE)).alias("h"))
+    short = F.length("text") <= max_chars
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n"), F.count_if(short).alias("short"), F.min("h").alias("least"), F.min(F.when(short, F.col("h"))).alias("least_short")).limit(max_langs + 1).collect()
     if len(counts) > max_langs:
         raise ValueError(f"more than {max_langs} languages")
     counts.sort(key=lambda r: (-r["n"], r["lang"]))
     if not counts:
         return Dictionaries((), (), block)
-    space = 1 << 30
-    wanted = F.lit(None).cast("long")
+    wanted, wide = 3 * docs_per_lang, F.lit(None).cast("long")
     for r in counts:
-        wanted = F.when(F.col("lang") == r["lang"], F.lit(min(space, 3 * docs_per_lang * space // (r["short"] or r["n"])))).otherwise(wanted)
+        # Twice what is wanted passes the threshold, so that the order can choose; the least row always does.
+        n, least = (r["short"], r["least_short"]) if r["short"] else (r["n"], r["least"])
+        wide = F.when(F.col("lang") == r["lang"], F.lit(max(least + 1, min(_SPACE, 2 * wanted * _SPACE // n)))).otherwise(wide)
     only_long = [r["lang"] for r in counts if not r["short"]]
-    drawn = rows.where((F.length("text") <= max_chars) | F.col("lang").isin(only_long)).withColumn("h", F.pmod(F.xxhash64(F.col("id"), F.lit(5)), F.lit(space))).where(F.col("h") < wanted)
-    sample = drawn.select("lang", "h", F.substring("text", 1, max_chars).alias("text")).limit(12 * docs_per_lang * len(counts)).collect()
+    drawn = rows.where((short | F.col("lang").isin(only_long)) & (F.col("h") < wide)).select("lang", "h", F.substring("text", 1, max_chars).alias("text")).distinct()
+    first = drawn.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("rank") <= wanted)
+    sample = first.select("lang", "rank", "text").collect()
     contents = []
     for r in counts:
-        own = [letters_of(x["text"]) for x in sorted((x for x in sample if x["lang"] == r["lang"]), key=lambda x: (x["h"], x["text"]))]
+        own = [letters_of(x["text"]) for x in sorted((x for x in sample if x["lang"] == r["lang"]), key=lambda x: x["rank"])]
         contents.append(b" ".join(own)[:dict_bytes] or b"        ")
     return Dictionaries(tuple(r["lang"] for r in counts), tuple(contents), block)
 
@@ -70,7 +79,7 @@ def classify(docs: DataFrame, model: Dictionaries, id_col: str = "doc_id", text_
     The whole text is compressed block by block with each dictionary. `score` is the margin: one less the ratio of the smallest
     size to the next, from 0 to 1. A row is rejected when its margin is below `min_margin` or it has no letter; a null or
     letterless text is `und` with score 0. A tie goes to the more frequent language; a single learned language scores 1; with
-    none learned every row is `und` and rejected. Repeated rows give repeated results; other columns are not looked at.
+    none learned every row is `und` and rejected. Bytes that are no UTF-8 are no letters. Repeated rows give repeated results; other columns are not looked at.
     """
     ship_package(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
@@ -80,7 +89,7 @@ def classify(docs: DataFrame, model: Dictionaries, id_col: str = "doc_id", text_
         for b in batches:
             langs, scores = [], []
             for text in b.column(1):
-                body = letters_of(text.as_py() or "")
+                body = letters_of((text.as_py() or b"").decode("utf-8", "replace"))
                 if not body or not packers:
                     langs.append(UNKNOWN)
                     scores.append(0.0)
@@ -93,11 +102,15 @@ def classify(docs: DataFrame, model: Dictionaries, id_col: str = "doc_id", text_
                 scores.append(1.0 - sizes[best] / min(rest) if rest else 1.0)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["id", "lang_pred", "score"])
 
-    found = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInArrow(run, schema=f"id {kind}, lang_pred string, score double")
+    found = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t")).mapInArrow(run, schema=f"id {kind}, lang_pred string, score double")
     return found.select(F.col("id").alias(id_col), "lang_pred", "score", ((F.col("lang_pred") == UNKNOWN) | (F.col("score") < min_margin)).alias("rejected"))
 
 
 def drop_rejected(docs: DataFrame, model: Dictionaries, id_col: str = "doc_id", text_col: str = "text", min_margin: float = 0.01) -> DataFrame:
-    """The rows of `docs`, all columns, whose language is told with a wide enough margin; rows that repeat an id go or stay by their own text."""
+    """The rows of `docs`, all columns, whose language is told with a wide enough margin.
+
+    Each row goes or stays by its own text, whatever its id; null, empty and letterless texts go, long ones are judged whole. With
+    nothing learnt no row stays; an empty table gives no rows.
+    """
     judged = classify(docs.select(F.struct(*docs.columns).alias("_row"), F.col(text_col).alias("_text")), model, "_row", "_text", min_margin)
     return judged.where("not rejected").select("_row.*")
