@@ -14,27 +14,40 @@ from ledgerline.llm.source_mix import mixed_documents
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is told; the dictionaries are learnt from the labelled documents themselves."""
+    """Documents whose language is told; the dictionaries are learnt from the labelled documents themselves.
+
+    Null, empty and letterless texts go; every row is judged by its own text, however long. Empty in, empty out.
+    """
     return drop_rejected(docs, learn(docs))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts, that with the largest id."""
+    """One document of each group of equal texts, that with the largest id; a null text is an empty one, a null id the smallest.
+
+    Of rows that tie in id and text one stays. Empty in, empty out.
+    """
     return drop_exact_copies(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies, that with the least id."""
+    """One document of each component of near copies (fingerprints within four bits), that with the least id.
+
+    A row without an id stays only where no other of its component has one; texts without a word are one component. Empty in, empty out.
+    """
     return drop_near_copies(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document once or more: sources are repeated towards equal shares, none over twice as often as another."""
+    """Every document once or more: sources are repeated towards equal shares, none over twice as often as another.
+
+    A null source is one of the empty name; rows that share id and source are taken together; texts without a token come in every pass.
+    Empty in, empty out.
+    """
     return mixed_documents(docs, target_entropy=0.95, max_repeat=2.0)
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids of every document with their byte spans, in the mixed order."""
+    """Piece ids of every document with their byte spans, in the mixed order; a null or empty text has none. Empty in, empty out."""
     return encode(docs, PIECE_MODEL)
 
 

@@ -121,6 +121,7 @@ def insider_text(trades: DataFrame, entity: str, order: Sequence[Column], top: i
     line = F.concat(F.lit("  "), "date", F.lit(" "), "insider", F.lit(" ("), "position", F.lit(") "), F.upper("side"), F.lit(" "), fixed(shares, 0, True), F.lit(" sh"), F.when(F.coalesce(price, F.lit(0.0)) != 0, F.concat(F.lit(" @ $"), fixed(price, 2, True))).otherwise(""), F.lit(" ["), "description", F.lit("]"))
     bought, sold = F.sum(F.when(F.col("side") == "buy", shares).otherwise(0.0)), F.sum(F.when(F.col("side") == "sell", shares).otherwise(0.0))
     rows = trades.groupBy(entity).agg(F.count_if(F.col("side") == "buy").alias("b"), F.count_if(F.col("side") == "sell").alias("s"), bought.alias("bs"), sold.alias("ss"), _listed(order, line, top).alias("l"))
+    # The wording of the lines.
     head = F.concat(F.col(entity).cast("string"), F.lit(" insider activity (recent Form 4s): "), F.col("b").cast("string"), F.lit(" open-market buys ("), fixed(F.col("bs"), 0, True), F.lit(" sh), "), F.col("s").cast("string"), F.lit(" sells ("), fixed(F.col("ss"), 0, True), F.lit(" sh), net "), fixed(F.col("bs") - F.col("ss"), 0, True), F.lit(" sh."))
     return rows.select(entity, F.array_join(F.concat(F.array(head), "l"), "\n").alias("text"))
 
@@ -129,6 +130,7 @@ def fund_text(positions: DataFrame, fund: str, name: Column, as_of: Column, top:
     """(fund, text) from fund_top's rows: size of the book and its largest positions."""
     line = F.concat(F.lit("  "), name, F.lit(": "), F.lit("$"), fixed(F.col("value"), 0, True), F.lit(" ("), fixed(F.col("pct"), 1), F.lit("%)"))
     rows = positions.groupBy(fund).agg(F.max(as_of.cast("string")).alias("a"), F.max("total_holdings").alias("n"), F.max("total_value").alias("v"), _listed([F.col("rank")], line, top).alias("l"))
+    # The wording of the lines.
     head = F.concat(F.col(fund).cast("string"), F.lit(" 13F holdings as of "), "a", F.lit(": "), F.col("n").cast("string"), F.lit(" positions, $"), fixed(F.col("v"), 0, True), F.lit(" total. Top holdings:"))
     return rows.select(fund, F.array_join(F.concat(F.array(head), "l"), "\n").alias("text"))
 
@@ -142,6 +144,7 @@ def ownership_text(index: DataFrame, ticker: str, fund: str, refreshed_at: Colum
     order = [-F.col("value"), F.col(fund)]
     gone = F.col("change") == "exited"
     rows = index.groupBy(ticker).agg(_listed(order, held, top, ~gone).alias("h"), _listed(order, left, top, gone).alias("x"), F.max(F.substring(refreshed_at.cast("string"), 1, 10)).alias("a"))
+    # The wording of the lines.
     head = F.concat(F.lit("Tracked funds holding "), F.col(ticker), F.lit(" (as of "), "a", F.lit("):"))
     return rows.select(ticker, F.array_join(F.concat(F.array(head), "h", "x"), "\n").alias("text"))
 

@@ -196,6 +196,7 @@ def thesis(valued: DataFrame, signals: DataFrame, entity: str, period_col: str)
         shown = F.when(F.size(lines) == 0, F.array(F.lit("  (none flagged)")) if empty else none).otherwise(lines)
         return F.when(F.size(shown) == 0, none).otherwise(F.concat(F.array(F.lit(title)), shown))
 
+    # The wording of the lines.
     dcf = F.concat(
         F.lit("VALUATION: "), F.coalesce(F.concat(F.lit("price $"), fixed(F.col("price"), 2), F.lit(", ")), F.lit("")) if "price" in valued.columns else F.lit(""), F.lit("DCF intrinsic $"), _range(), F.lit(") — trading "),
         F.when(F.coalesce("dcf_upside", F.lit(0.0)) > 0, "below").otherwise("above"), F.lit(" the DCF estimate."),
@@ -229,6 +230,7 @@ def fundamentals_text(latest: DataFrame, wide: DataFrame, entity: str, period_co
     past = wide.groupBy(entity).agg(newest("revenue").alias("_rev"), F.try_element_at(newest("net_income"), F.lit(1))["v"].alias("_net"))
     rows = latest.drop("revenue", "net_income").join(past, entity).join(trends(wide, entity, period_col), entity)
     shown = F.array_join(F.transform(F.slice("_rev", 1, history), lambda r: F.concat(r["p"].cast("string"), F.lit(": "), money(r["v"]))), ", ")
+    # The wording of the lines.
     parts = [
         F.concat(c(entity), F.lit(" — structured financials (from XBRL filings), latest period "), c(period_col).cast("string"), F.lit(":")),
         F.concat(F.lit("  Revenue "), money(F.try_element_at("_rev", F.lit(1))["v"]), F.lit(" | Net income "), money(c("_net")), F.lit(" | FCF "), money(c("fcf")), F.lit(" | EBITDA "), money(c("ebitda"))),
@@ -246,6 +248,7 @@ def valuation_text(valued: DataFrame, entity: str, period_col: str, a: Assumptio
     c = F.col
     dcf = c("dcf_base").isNotNull()
     upside = F.coalesce(F.concat(F.lit("; upside vs price "), F.when(c("dcf_upside").isNotNull(), percent(c("dcf_upside")))), F.lit(""))
+    # The wording of the lines.
     parts = [
         F.concat(c(entity), F.lit(" — valuation (latest period "), c(period_col).cast("string"), F.lit("):")),
         F.when(c(price).isNull(), F.lit("  Price unavailable — multiples skipped (fundamentals + DCF only).")).otherwise(F.concat(F.lit("  Price $"), fixed(c(price), 2), F.lit(" | Market cap "), money(c("market_cap")), F.lit(" | EV "), money(c("enterprise_value")))),
