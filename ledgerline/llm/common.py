@@ -7,12 +7,14 @@ import tempfile
 import uuid
 import zipfile
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,7 +64,7 @@ def discard(*tables: DataFrame) -> None:
 
 
 #: Bytes of an Arrow batch unless the session sets a number: documents may be long, and a worker holds a whole batch.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 _BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
 _BATCH_DEFAULT = "67108864b"
 
@@ -91,7 +93,7 @@ def ship_package(spark: SparkSession) -> None:
 
 
 #: Bytes of texts that a task encodes together, so that each distinct word is computed once for many of them.
-GROUP_BYTES = 4 << 20
+GROUP_BYTES = 2 << 20
 
 
 def text_groups(batches: Iterator[pa.RecordBatch], column: int = 1) -> Iterator[tuple[pa.RecordBatch, pa.StringArray]]:
@@ -136,9 +138,20 @@ def scatter(n: int, parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> t
     return gather(np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts]), back)
 
 
-def small_side(df: DataFrame, limit: int) -> bool:
-    """True if a materialized table has at most `limit` rows, so that it may be broadcast."""
-    return df.limit(limit + 1).count() <= limit
+def small_side(df: DataFrame, limit: int, max_bytes: int = 32 << 20) -> bool:
+    """True if a materialized table has at most `limit` rows and so many bytes of text, so that it may be broadcast."""
+    text = [F.coalesce(F.sum(F.octet_length(f.name)), F.lit(0)) for f in df.schema.fields if f.dataType.typeName() in ("string", "binary")]
+    size = F.lit(0).cast("long")
+    for t in text:
+        size = size + t
+    rows, size = df.limit(limit + 1).agg(F.count("*"), size).first()
+    return rows <= limit and size <= max_bytes
+
+
+def publish(store: fs.FileSystem, base: str, renames: list[tuple[str, str]]) -> None:
+    """Rename files below a folder, some at a time."""
+    with ThreadPoolExecutor(16) as pool:
+        list(pool.map(lambda x: store.move(f"{base}/{x[0]}", f"{base}/{x[1]}"), renames))
 
 
 #: Bits of a map of keys: at most 2^19 rows of two longs, whatever the number of keys.

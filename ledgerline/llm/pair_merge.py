@@ -11,6 +11,8 @@ _EMPTY = np.int64(-1)
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 #: Longer sequences are better left to a library: the cost of one is the square of its length.
 MAX_SYMBOLS = 48
+#: Sequences that are merged side by side.
+_ROWS = 16_384
 
 
 class PairMerger:
@@ -103,10 +105,12 @@ class PairMerger:
         out, counts = np.full(len(symbols), -1, dtype=np.int32), np.zeros(len(sizes), dtype=np.int64)
         widths = (sizes + 3) // 4 * 4
         for width in np.unique(widths).tolist():
-            group = np.flatnonzero(widths == width)
-            at = (ends - sizes)[group, None] + np.arange(width)
-            here = np.arange(width) < sizes[group, None]
-            merged = self._merge(np.where(here, symbols[np.minimum(at, len(symbols) - 1)], -1).astype(np.int32))
-            out[at[here]] = merged[here]
-            counts[group] = (merged >= 0).sum(axis=1)
+            whole = np.flatnonzero(widths == width)
+            for low in range(0, len(whole), _ROWS):
+                group = whole[low : low + _ROWS]
+                at = (ends - sizes)[group, None] + np.arange(width)
+                here = np.arange(width) < sizes[group, None]
+                merged = self._merge(np.where(here, symbols[np.minimum(at, len(symbols) - 1)], -1).astype(np.int32))
+                out[at[here]] = merged[here]
+                counts[group] = (merged >= 0).sum(axis=1)
         return out[out >= 0], counts

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, pre_tokenizers
 
-from ledgerline.llm.common import discard, gather, materialize, range_shards, scatter, shard_count, ship_package, string_bytes, text_groups, whole_numbers, with_shard
+from ledgerline.llm.common import discard, gather, materialize, publish, range_shards, scatter, shard_count, ship_package, string_bytes, text_groups, whole_numbers, with_shard
 from ledgerline.llm.pair_merge import MAX_SYMBOLS, PairMerger
 
 #: File: header, frames, index, footer. Header: magic, id width in bytes, SHA-256 of the dictionary (zeros: none).
@@ -271,9 +271,9 @@ def write_tokens(docs: DataFrame, root: str, tokenizer: str, end_id: int = 2, id
     store, base = fs.FileSystem.from_uri(root)
     store.create_dir(f"{base}/_temporary", recursive=True)
     files = sorted((r.asDict() for r in dealt.mapInArrow(write, schema=_MANIFEST).collect()), key=lambda r: r["file"])
+    publish(store, base, [(entry.pop("temp"), entry["file"]) for entry in files])
     start = 0
     for entry in files:
-        store.move(f"{base}/{entry.pop('temp')}", f"{base}/{entry['file']}")
         entry["start"] = start
         start += entry["n_tokens"]
     store.delete_dir(f"{base}/_temporary")
@@ -315,7 +315,9 @@ def _index(f: pa.NativeFile, manifest: dict) -> dict[str, np.ndarray]:
 def read_tokens(spark: SparkSession, root: str) -> DataFrame:
     """One row per document of the files in the manifest: doc_id, start (tokens of all documents before it), n_tokens, ids.
 
-    `ids` has the ids as little-endian unsigned 32-bit integers. Fails if a dictionary hash, count or frame does not fit.
+    `ids` has the ids as little-endian unsigned 32-bit integers. Documents without an id have a null one and come first, those that
+    share an id come one after the other; an empty manifest gives no rows. A long document is unpacked by itself. Fails if a dictionary
+    hash, count or frame does not fit.
     """
     ship_package(spark)
     files = [(e["file"], e["start"]) for e in _load(root)[2]["files"]]
@@ -350,7 +352,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def lookup(root: str, doc_id: int) -> list[np.ndarray]:
-    """The ids of the documents with this id, read through manifest and index: one index and the frames themselves."""
+    """The ids of the documents with this id, in their order; none if there is none. Reads manifest, indexes and the frames themselves."""
     store, base, manifest, shared = _load(root)
     unpack, found = zstandard.ZstdDecompressor(dict_data=_dictionary(shared)), []
     for e in manifest["files"]:
