@@ -128,7 +128,8 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The rows of `docs`, all columns, once for each pass that takes them, dealt and sorted by mix_order.
 
-    mix_order is even over [0, 1] in tokens, so slices of it make even partitions without sampling.
+    mix_order is even over [0, 1] in tokens, so slices of it make even partitions without sampling. Rows that share id and source are taken
+    together, null ids and sources like any other; texts without a token come in every pass, long ones whole. An empty table gives no rows.
     """
     plan = mix_plan(docs, id_col, text_col, source_col, **options)
     plan = materialize(plan.select(F.col(id_col).alias("plan_id"), F.col(source_col).alias("plan_source"), "mix_order"), "mix-plan")

@@ -14,7 +14,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import discard, join_groups, materialize, range_shards, shard_count, ship_package, whole_numbers, with_shard
+from ledgerline.llm.common import discard, join_groups, materialize, publish, range_shards, shard_count, ship_package, whole_numbers, with_shard
 
 _DATE = "1970-01-01T00:00:00Z"
 _SCHEMA = "file string, temp string, n_records long, n_bytes long, first_id string, last_id string, sha256 string"
@@ -168,9 +168,7 @@ def write_warc(pages: DataFrame, root: str, id_col: str = "page_id", url_col: st
     store, base = fs.FileSystem.from_uri(root)
     store.create_dir(f"{base}/_temporary", recursive=True)
     files = sorted((r.asDict() for r in dealt.mapInArrow(run, schema=_SCHEMA).collect()), key=lambda r: r["file"])
-    for entry in files:
-        store.move(f"{base}/{entry['temp']}", f"{base}/{entry['file']}")
-        del entry["temp"]
+    publish(store, base, [(entry.pop("temp"), entry["file"]) for entry in files])
     store.delete_dir(f"{base}/_temporary")
     discard(keys, best)
     with store.open_output_stream(f"{base}/manifest.json.tmp") as out:
