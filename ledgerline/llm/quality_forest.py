@@ -17,9 +17,10 @@ from ledgerline.llm.common import materialize, ship_package
 _SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
 _SYMBOLS = b"#*$%&|<>"
 _CONTINUED = bytes(range(0x80, 0xC0))
-_STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_distinct"]
-#: What the forest sees: shares, means and rates, so that a long clean text is no anomaly.
-FEATURES = ["symbol_share", "repeat_share", "word_length", "distinct_rate"]
+_STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_distinct", "n_lines"]
+#: What the forest sees: shares, means and rates, so that a long clean text is no anomaly. Few of them, since random splits on a statistic
+#: that tells nothing only blur the paths.
+FEATURES = ["symbol_share", "copied_share", "word_length", "distinct_rate"]
 
 
 def text_stats(text: bytes) -> tuple[int, ...]:
@@ -42,11 +43,15 @@ def text_stats(text: bytes) -> tuple[int, ...]:
     def count(chars: bytes) -> int:
         return len(bare) - len(bare.translate(None, chars))
 
-    return len(words), len(bare) - count(_CONTINUED), count(_SYMBOLS), sum(lines.values()) - len(lines), repeated, len(codes)
+    return len(words), len(bare) - count(_CONTINUED), count(_SYMBOLS), sum(lines.values()) - len(lines), repeated, len(codes), sum(lines.values())
 
 
 def document_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, the counts, base_failed) for each row; a null text has no word."""
+    """(id, the counts, base_failed) for each row.
+
+    A null, empty or blank text has no word and fails. Texts of any length are counted whole, one at a time; repeated rows give repeated
+    results, an empty table none; other columns are not looked at.
+    """
     ship_package(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -64,7 +69,8 @@ def with_features(stats: DataFrame) -> DataFrame:
     words = F.greatest(F.col("n_words"), F.lit(1))
     made = {
         "symbol_share": F.col("n_symbols") / words,
-        "repeat_share": F.col("n_repeat_words") / words,
+        # Words of repeated windows or repeated lines, whichever is more of the text.
+        "copied_share": F.greatest(F.col("n_repeat_words") / words, F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1))),
         "word_length": F.col("word_chars") / words,
         # Distinct words grow about as a power of the length; the rate takes that out.
         "distinct_rate": F.ln(F.greatest(F.col("n_distinct"), F.lit(1)) + 1.0) / F.ln(words + 1.0),
@@ -147,7 +153,7 @@ def fit_forest(stats: DataFrame, trees: int = 100, sample: int = 128, seed: int
 
 
 def score_rows(stats: DataFrame, forest: Forest) -> DataFrame:
-    """The rows with a column `score`."""
+    """The rows with a column `score`; zero for every row where no tree was grown. An empty table gives no rows."""
     ship_package(stats.sparkSession)
     names = stats.columns
 
@@ -190,7 +196,8 @@ def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     A row is kept unless it fails the base rules (under 50 words, or more than half of them in repeated 3-word windows) or its
     isolation score reaches the threshold calibrated from the labelled rows. Counts cover whole texts; the forest is fitted
     on at most 1.5 x trees x sample rows. A null text counts as having no word and fails the base rules. Repeated
-    rows give repeated results; labels without a document, and null grades, are ignored; an empty table gives no rows.
+    rows give repeated results; labels without a document, and null grades, are ignored; an empty table gives no rows. Long texts are
+    judged by shares and rates like short ones.
     """
     stats = materialize(with_features(document_stats(docs, id_col, text_col)), "quality-stats")
     scored = materialize(score_rows(stats, fit_forest(stats, trees, sample)), "quality-scored")
