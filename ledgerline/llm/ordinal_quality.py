@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -64,13 +64,15 @@ class OrdinalModel:
 
 
 def _features(docs: DataFrame, size: int) -> DataFrame:
+    """(grade, fold, slots) of rows (grade, fold, text)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slots = _Slots(size)
         for b in batches:
-            found = [sorted({slots[t] for t in text_tokens(x.as_py() or b"")}) for x in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int32()))], names=["grade", "slots"])
+            found = [sorted({slots[t] for t in text_tokens(x.as_py() or b"")}) for x in b.column(2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.list_(pa.int32()))], names=["grade", "fold", "slots"])
 
-    return docs.mapInArrow(run, schema="grade int, slots array<int>")
+    return docs.mapInArrow(run, schema="grade int, fold long, slots array<int>")
 
 
 def _scored(model: OrdinalModel, b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -96,10 +98,10 @@ def _tails(model: OrdinalModel):
 
 
 def _gradient(model: OrdinalModel):
-    """Task: the gradient of the negative log-likelihood over its rows of (grade, slots), by slot in use and by cut."""
+    """Task: the negative log-likelihood over its rows of (grade, slots), and its gradient by slot in use and by cut."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, on_cuts = np.zeros(len(model.slots)), np.zeros(len(model.cuts))
+        loss, total, on_cuts = 0.0, np.zeros(len(model.slots)), np.zeros(len(model.cuts))
         for b in batches:
             if not b.num_rows:
                 continue
@@ -108,69 +110,120 @@ def _gradient(model: OrdinalModel):
             cum = np.concatenate([np.zeros((b.num_rows, 1)), 1.0 - model.cumulative(score), np.ones((b.num_rows, 1))], axis=1)
             rows = np.arange(b.num_rows)
             p = np.maximum(cum[rows, grade + 1] - cum[rows, grade], 1e-12)
+            loss -= np.log(p).sum()
             slope = cum * (1 - cum)
             on_score = (slope[rows, grade + 1] - slope[rows, grade]) / p
             total += np.bincount(slot, model.scale * (on_score / root)[doc], minlength=len(total))
             for j in range(len(on_cuts)):
                 on_cuts[j] -= np.sum(((grade == j) * slope[:, j + 1] - (grade == j + 1) * slope[:, j + 1]) / p)
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary()), pa.array([on_cuts.tobytes()], pa.binary())], names=["w", "c"])
+        yield pa.RecordBatch.from_arrays([pa.array([loss]), pa.array([total.tobytes()], pa.binary()), pa.array([on_cuts.tobytes()], pa.binary())], names=["loss", "w", "c"])
 
     return run
 
 
-def fit(docs: DataFrame, grades: DataFrame, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "grade", max_rows: int = 20_000, size: int = 1 << 18, min_docs: int = 20, penalty: float = 4.0, rounds: int = 80, rate: float = 0.3, parts: int = 8, max_loss: float = 0.005, tails: tuple[float, float] = (0.05, 0.7)) -> OrdinalModel:
+def _cuts(theta: np.ndarray) -> np.ndarray:
+    """Ordered thresholds: the first, and the logarithms of the gaps behind it."""
+    return np.cumsum(np.concatenate([theta[:1], np.exp(theta[1:])]))
+
+
+def minimize(objective: Callable[[np.ndarray], tuple[float, np.ndarray]], x: np.ndarray, evaluations: int, memory: int = 8) -> np.ndarray:
+    """The best point of a limited-memory quasi-Newton descent with halved steps, after at most so many evaluations."""
+    value, grad = objective(x)
+    used, past = 1, []
+    while used < evaluations and np.abs(grad).max(initial=0.0) > 1e-9:
+        way, kept = grad.copy(), []
+        for s, y, rho in reversed(past):
+            kept.append(rho * (s @ way))
+            way -= kept[-1] * y
+        way *= (past[-1][0] @ past[-1][1]) / (past[-1][1] @ past[-1][1]) if past else 50 / max(1.0, np.abs(grad).sum())
+        for (s, y, rho), a in zip(past, reversed(kept)):
+            way += (a - rho * (y @ way)) * s
+        step = 1.0
+        while True:
+            there = x - step * way
+            new, new_grad = objective(there)
+            used += 1
+            if new <= value - 1e-4 * step * (grad @ way) or used >= evaluations:
+                break
+            step /= 2
+        if new >= value:
+            break
+        s, y = there - x, new_grad - grad
+        if s @ y > 1e-12:
+            past = [*past, (s, y, 1 / (s @ y))][-memory:]
+        x, value, grad = there, new, new_grad
+    return x
+
+
+def fit(docs: DataFrame, grades: DataFrame, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "grade", max_rows: int = 20_000, size: int = 1 << 18, min_docs: int = 3, penalty: float = 4.0, rounds: int = 40, parts: int = 8, max_loss: float = 0.005) -> OrdinalModel:
     """Fit on a hash-drawn sample of about `max_rows` graded rows (all, if there are fewer).
 
-    Each round sums the exact gradient of the sample over `parts` tasks, of one number a slot in use; slots in fewer than
-    `min_docs` sampled documents (or a hundredth of them, if that is less) have no weight; `penalty` is that on squared weights, against
-    the sum over the sample. Rows without a grade or a text are
-    left out. Without two grades the model has no weights and no cuts.
+    Each of `rounds` evaluations sums the exact loss and gradient of the sample over `parts` tasks, one number a slot in use, for a
+    quasi-Newton step; slots in fewer than `min_docs` sampled documents have no weight; `penalty` is that on half the squared
+    weights, against the sum over the sample. Rows without
+    an id, a grade or a text are left out, and so are ids that are graded differently. An id of several documents grades them all.
+    Rows that repeat each other count once. Long texts are read whole. Without two grades the model has no weights and no cuts.
 
-    A fifth of the sample is held out of the fit: the tail probability that selects is the one that loses `max_loss` of its
-    rows of the highest grade, kept inside `tails`, as few rows tell little; it is one half with fewer than fifty such rows.
+    A fifth of the sample, drawn by hash, is held out of the fit: the tail probability that selects is the one that loses `max_loss` of
+    its rows of the highest grade; it is one half with fewer than fifty such rows.
     """
     spark = docs.sparkSession
     ship_package(spark)
-    marks = grades.where(F.col(grade_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(grade_col).cast("int").alias("grade"))
-    n = marks.count()
-    space = 1 << 30
-    if n > max_rows:
-        marks = marks.where(F.pmod(F.xxhash64("_id", F.lit(3)), F.lit(space)) < F.lit(max_rows * space // n))
+    marks = grades.where(F.col(grade_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.min(F.col(grade_col).cast("int")).alias("grade"), F.max(F.col(grade_col).cast("int")).alias("_most")).where("grade = _most").drop("_most")
+    marks = _thinned(marks, F.xxhash64("_id", F.lit(3)), marks.count(), max_rows)
+    # At most `max_rows` pairs of id and grade, give or take the chance of the hash.
+    marks = F.broadcast(materialize(marks.limit(2 * max_rows), "ordinal-marks"))
     texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("_key"), F.col(text_col).cast("binary").alias("text"))
-    rows = materialize(_features(marks.join(texts, F.col("_id") == F.col("_key")).select("grade", "text"), size).repartition(parts, F.xxhash64("slots")), "ordinal-rows")
+    n = texts.select("_key").join(marks, F.col("_id") == F.col("_key"), "left_semi").count()
+    joined = texts.join(marks, F.col("_id") == F.col("_key")).select("grade", F.xxhash64("_key", "text").alias("fold"), "text")
+    found = _features(_thinned(joined, F.xxhash64("fold", F.lit(4)), n, max_rows), size).groupBy("grade", "fold").agg(F.first("slots").alias("slots"))
+    rows = materialize(found.repartition(parts, "fold"), "ordinal-rows")
+    apart = F.pmod(F.xxhash64("fold", F.lit(9)), F.lit(5)) == 0
     levels = tuple(sorted(r[0] for r in rows.select("grade").distinct().limit(65).collect()))
     if len(levels) > 64:
         raise ValueError("more than 64 grades")
-    apart = F.pmod(F.xxhash64("slots", F.lit(9)), F.lit(5)) == 0
-    held, rows = (rows.where(apart), rows.where(~apart)) if rows.count() >= 250 else (rows.limit(0), rows)
+    held, rows = rows.where(apart), rows.where(~apart)
     n = rows.count()
-    least = max(1, min(min_docs, n // 100))
-    active = np.array(sorted(r[0] for r in rows.select(F.explode("slots").alias("s")).groupBy("s").count().where(F.col("count") >= least).select("s").collect()), dtype=np.int64)
+    active = np.array(sorted(r[0] for r in rows.select(F.explode("slots").alias("s")).groupBy("s").count().where(F.col("count") >= min_docs).select("s").collect()), dtype=np.int64)
     if len(levels) < 2:
         return OrdinalModel(levels, active[:0], np.zeros(0), np.zeros(0), size)
 
     k = len(levels)
-    below = np.array([rows.where(F.col("grade") <= lv).count() / n for lv in levels[:-1]])
+    counts = {r["grade"]: r["count"] for r in rows.groupBy("grade").count().collect()}
+    # A grade that no row of the fit has leaves hardly a gap between its cuts.
+    below = (np.cumsum([counts.get(lv, 0) for lv in levels[:-1]]) + 0.5) / (n + 1)
     cuts = np.log(below / (1 - below))
-    weights = np.zeros(len(active))
-    square, cut_square = np.full(len(active), 1e-6), np.full(k - 1, 1e-6)
 
-    for _ in range(rounds):
-        got = rows.coalesce(parts).mapInArrow(_gradient(OrdinalModel(levels, active, weights, cuts, size)), schema="w binary, c binary").collect()
-        g = sum(np.frombuffer(r["w"]) for r in got) / n + penalty / n * weights
-        gc = sum(np.frombuffer(r["c"]) for r in got) / n
-        square, cut_square = square + g**2, cut_square + gc**2
-        weights = weights - rate * g / np.sqrt(square)
-        cuts = np.sort(cuts - rate * gc / np.sqrt(cut_square))
-    model = OrdinalModel(levels, active, weights, cuts, size)
-    found = sorted(r[0] for r in held.where(F.col("grade") == levels[-1]).mapInArrow(_tails(model), schema="tail double").collect())
-    return replace(model, min_tail=min(max(found[int(max_loss * len(found))], tails[0]), tails[1]) if len(found) >= 50 else 0.5)
+    def model_of(x: np.ndarray) -> OrdinalModel:
+        return OrdinalModel(levels, active, x[: len(active)], _cuts(x[len(active) :]), size)
+
+    def objective(x: np.ndarray) -> tuple[float, np.ndarray]:
+        got = rows.select("grade", "slots").coalesce(parts).mapInArrow(_gradient(model_of(x)), schema="loss double, w binary, c binary").collect()
+        # Sums in a fixed order, so that the fit does not depend on which task ends first.
+        got = sorted(got, key=lambda r: (r["loss"], bytes(r["w"])))
+        w, theta = x[: len(active)], x[len(active) :]
+        on_cuts = sum((np.frombuffer(r["c"]) for r in got), np.zeros(k - 1))
+        behind = np.cumsum(on_cuts[::-1])[::-1]
+        on_theta = behind * np.concatenate([[1.0], np.exp(theta[1:])])
+        grad = np.concatenate([sum((np.frombuffer(r["w"]) for r in got), np.zeros(len(active))) + penalty * w, on_theta])
+        return (sum(r["loss"] for r in got) + penalty / 2 * (w @ w)) / max(1, n), grad / max(1, n)
+
+    start = np.concatenate([np.zeros(len(active)), cuts[:1], np.log(np.maximum(np.diff(cuts), 1e-3))])
+    model = model_of(minimize(objective, start, rounds))
+    found = sorted(r[0] for r in held.where(F.col("grade") == levels[-1]).select("grade", "slots").mapInArrow(_tails(model), schema="tail double").collect())
+    return replace(model, min_tail=found[int(max_loss * len(found))] if len(found) >= 50 else 0.5)
+
+
+def _thinned(rows: DataFrame, hashed: Column, n: int, wanted: int) -> DataFrame:
+    """About `wanted` of n rows, drawn by a hash; all, if there are fewer."""
+    space = 1 << 30
+    return rows.where(F.pmod(hashed, F.lit(space)) < F.lit(wanted * space // n)) if n > wanted else rows
 
 
 def predict(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, expected_grade, tail_probability (of the highest grade), kept (tail at least the model's `min_tail`).
 
-    Null and empty texts have only their length mark. A model of one grade expects that grade with tail 1; one fitted without
+    Null and empty texts have only their length mark; long ones are read whole, one at a time. A model of one grade expects that grade with tail 1; one fitted without
     any graded row gives nulls and keeps every row. Repeated rows give repeated results; other columns are not looked at.
     """
     ship_package(docs.sparkSession)
