@@ -102,3 +102,54 @@ def components(ids, fps, bits=4):
 
 def held_out(doc_id):
     return zlib.crc32(str(doc_id).encode()) % 3 == 1
+
+
+def license_votes(text, templates, base, long_gram=4, min_cover=0.8):
+    """(labels, score) by a plain diagonal vote over one text."""
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(text))
+
+    def cut(phrase):
+        return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(phrase))
+
+    places = {k: {} for k in (2, long_gram)}
+    for k, at in places.items():
+        for i in range(len(words) - k + 1):
+            at.setdefault(tuple(words[i : i + k]), []).append(i)
+    labels, score = set(), 0.0
+    for t in (*base, *templates):
+        own = cut(t.text)
+        k = 2 if t.exact or len(own) < long_gram else long_gram
+        slack = 0 if t.exact else min(3, len(own) // 4)
+        votes = {}
+        for a in range(len(own) - k + 1):
+            for i in places[k].get(tuple(own[a : a + k]), ()):
+                around = " " + " ".join(words[max(i - a - slack, 0) :][: len(own) + 2 * slack]) + " "
+                told = all(" " + " ".join(cut(m)) + " " in around for m in t.must)
+                votes.setdefault(i - a, []).append((a, i, told))
+        spans, last = [], None
+        for d in sorted(votes):
+            if last is None or d - last > slack:
+                spans.append([])
+            spans[-1] += votes[d]
+            last = d
+        for span in spans:
+            covered = {a + j for a, _, _ in span for j in range(k)}
+            cover = len(covered) / len(own)
+            width = max(i for _, i, _ in span) + k - 1 - min(i for _, i, _ in span)
+            score = max(score, cover)
+            if cover == 1 if t.exact else any(x[2] for x in span) and cover >= min_cover and width < 1.5 * len(own):
+                labels.add(t.label)
+    return ",".join(sorted(labels)), score
+
+
+def spark_xxhash64(*parts):
+    """Spark's chained xxhash64 of longs, ints and strings, as a signed number."""
+    import struct
+
+    seed = 42
+    for p in parts:
+        if p is None:
+            continue
+        data = p.encode() if isinstance(p, str) else struct.pack("<i", p[0]) if isinstance(p, tuple) else struct.pack("<q", p)
+        seed = xxhash.xxh64_intdigest(data, seed)
+    return seed - (1 << 64) if seed >> 63 else seed

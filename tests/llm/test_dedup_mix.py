@@ -17,8 +17,9 @@ SF = "/root/testdata/sf0.01"
 
 
 def test_exact_awkward_rows(spark):
-    for wide in (500_000, 0):
-        rows = exact_dedup(awkward(spark), broadcast_rows=wide).collect()
+    # A map of so few bits lets nearly all rows through to the full hash.
+    for bits in (25, 7):
+        rows = exact_dedup(awkward(spark), bits=bits).collect()
         assert len(rows) == 16
         groups = {}
         for d in awkward(spark).collect():
@@ -31,6 +32,21 @@ def test_exact_awkward_rows(spark):
     assert exact_dedup(empty(spark)).count() == 0 and drop_exact_copies(empty(spark)).count() == 0
 
 
+def test_exact_copies_are_dropped_by_row(spark):
+    """Null and repeated ids: of equal texts the largest id stays, and no text goes with another's id."""
+    rows = [(None, "a"), (None, "b"), (None, "b"), (1, "a"), (2, "c"), (2, "d"), (2, "d"), (3, None), (4, ""), (5, "e"), (5, "c")]
+    out = drop_exact_copies(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((str(r["doc_id"]), r["text"] or "") for r in out.collect()) == sorted([("1", "a"), ("None", "b"), ("2", "d"), ("4", ""), ("5", "e"), ("5", "c")])
+
+
+def test_exact_dedup_hashes_survivors_alone(spark):
+    plan = exact_dedup(spark.createDataFrame([(1, "a")], "doc_id long, text string"))
+    assert plan.count() == 1
+    docs = spark.createDataFrame([(i, "x" * i) for i in range(1, 50)], "doc_id long, text string")
+    # All lengths differ: no row gets a group hash.
+    assert all(r["group_size"] == 1 and r["kept"] and r["keep_id"] == r["doc_id"] for r in exact_dedup(docs).collect())
+
+
 def test_golay_code_is_perfect():
     rng = np.random.default_rng(3)
     words = rng.integers(0, 1 << 23, 2000, dtype=np.uint32)
@@ -64,8 +80,8 @@ def test_fuzzy_keys_meet_within_four_bits(errors):
 
 
 def test_near_duplicates_on_the_corpus(spark):
-    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").where("length(text) < 4000").collect()}
-    got = {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in near_duplicates(spark.read.parquet(f"{SF}/documents.parquet").where("length(text) < 4000")).collect()}
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    got = {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in near_duplicates(spark.read.parquet(f"{SF}/documents.parquet")).collect()}
     ids = sorted(docs)
     fps = [simhash(docs[d]) for d in ids]
     assert got == {d: (f"{f:016x}", c) for d, f, c in zip(ids, fps, components(ids, fps))}
@@ -96,8 +112,7 @@ def test_near_copies_are_dropped_by_row_not_by_id(spark):
     ]
     want = sorted((str(d), t) for d, t in [*rows[:4], rows[5], *rows[7:10]])
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    for wide in (500_000, 0):
-        assert sorted((str(r["doc_id"]), r["text"]) for r in drop_near_copies(docs, broadcast_rows=wide).collect()) == want
+    assert sorted((str(r["doc_id"]), r["text"]) for r in drop_near_copies(docs).collect()) == want
 
 
 def test_dense_group_and_chain_of_fingerprints(spark):
@@ -113,9 +128,13 @@ def test_dense_group_and_chain_of_fingerprints(spark):
         chain ^= sum(1 << b for b in rng.sample(range(64), 4))
         fps.append(chain)
     fps = sorted({f - (1 << 64) if f >> 63 else f for f in fps} | {rng.getrandbits(63) for _ in range(200)})
-    got = {r["node"]: r["label"] for r in fingerprint_links(spark.createDataFrame([(f,) for f in fps], "fp long")).collect()}
+    # Many fingerprints that share the bits of a key and are far from each other, with some pairs among them.
+    far = [rng.getrandbits(32) << 32 | 5 for _ in range(120)]
+    fps = sorted({*fps, *(f - (1 << 64) if f >> 63 else f for f in far + [f ^ 1 << 40 ^ 1 << 50 for f in far[:30]])})
     want = components(fps, [f & (1 << 64) - 1 for f in fps])
-    assert [got.get(f, f) for f in fps] == want
+    for crowd in (256, 2):
+        got = {r["node"]: r["label"] for r in fingerprint_links(spark.createDataFrame([(f,) for f in fps], "fp long"), crowd).collect()}
+        assert [got.get(f, f) for f in fps] == want
 
 
 def test_components(spark):

@@ -1,14 +1,20 @@
 """License scan, quality rules, language ID and quality classifier against plain versions and held-out rows."""
 
+import math
 import pytest
-from brute import awkward, empty, held_out, license_base, quality_base
+import unicodedata
+import zlib
+
+import numpy as np
+import zstandard
+from brute import awkward, empty, held_out, license_base, license_votes, quality_base, spark_xxhash64
 from pyspark.sql import functions as F
 
 from ledgerline.llm import queries
 from ledgerline.llm.lang_compress import classify, drop_rejected, learn
-from ledgerline.llm.license_scan import NOTICES, Template, license_scan
-from ledgerline.llm.ordinal_quality import fit, graded, predict
-from ledgerline.llm.quality_forest import quality_rules
+from ledgerline.llm.license_scan import BASE, NOTICES, Template, license_scan
+from ledgerline.llm.ordinal_quality import fit, graded, minimize, predict, text_tokens
+from ledgerline.llm.quality_forest import FEATURES, document_stats, fit_forest, quality_rules, with_features
 
 SF = "/root/testdata/sf0.01"
 
@@ -28,6 +34,21 @@ def test_license_base_on_the_corpus(spark, texts):
     assert got == {d: license_base(t) for d, t in texts.items()}
 
 
+def test_license_votes_on_the_corpus(spark, texts):
+    """Labels and scores of all documents against a plain diagonal vote."""
+    got = {r["doc_id"]: (r["labels"], round(r["score"], 9)) for r in queries.op1_license_scan(spark, SF).collect()}
+    want = {d: license_votes(t, NOTICES, BASE) for d, t in texts.items()}
+    assert got == {d: (labels, round(score, 9)) for d, (labels, score) in want.items()}
+    assert sum(bool(labels) for labels, _ in want.values()) > 20
+
+
+def test_license_in_a_text_that_repeats_it(spark):
+    """Ten thousand notices in one text: matches are verified by place, and the count is whole."""
+    text = "Released under the MIT License. All rights reserved. é " * 10_000
+    (row,) = license_scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert row["n_base"] == 10_000 and row["labels"] == "mit,reserved" and row["last_word"] == 90_000 - 4
+
+
 def test_license_awkward_rows(spark):
     rows = license_scan(awkward(spark)).collect()
     source = awkward(spark).collect()
@@ -69,7 +90,33 @@ def test_quality_stats_and_calibration(spark, texts):
     grade = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
     judged = [(grade[r["doc_id"]], r["kept"]) for r in rows if r["doc_id"] in grade and not r["base_failed"]]
     good, bad = [k for g, k in judged if g], [k for g, k in judged if not g]
-    assert sum(good) >= 0.99 * len(good) and sum(bad) < 0.5 * len(bad)
+    assert sum(good) >= 0.99 * len(good) and sum(bad) < 0.15 * len(bad)
+
+
+def test_quality_verdicts_are_those_of_the_trees(spark, docs):
+    """Scores from plain walks down the trees, the threshold from a plain scan over all cuts, and the verdicts that follow."""
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    stats = with_features(document_stats(docs))
+    forest = fit_forest(stats)
+    n, mean = forest.sample, 2 * (math.log(forest.sample - 1) + 0.5772156649015329) - 2 * (forest.sample - 1) / forest.sample
+
+    def path(tree, x):
+        feature, cut, left, right, length = tree
+        at = 0
+        while feature[at] >= 0:
+            at = int(left[at] if x[feature[at]] <= cut[at] else right[at])
+        return length[at]
+
+    rows = {r["doc_id"]: r for r in queries.op2_quality_forest(spark, SF).collect()}
+    scores = {r["id"]: 2 ** -(sum(path(t, [r[f] for f in FEATURES]) for t in forest.trees) / len(forest.trees) / mean) for r in stats.collect()}
+    assert len(forest.trees) == 100 and n == 128
+    assert all(abs(rows[d]["score"] - s) < 1e-9 for d, s in scores.items())
+    judged = [(min(999, int(scores[r["doc_id"]] * 1000)), r["quality"] > 0) for r in labels.collect() if r["quality"] is not None and r["doc_id"] in rows and not rows[r["doc_id"]]["base_failed"]]
+    good, bad = [b for b, g in judged if g], [b for b, g in judged if not g]
+    found = {k: sum(b >= k for b in bad) for k in range(1000) if sum(b >= k for b in good) <= 0.005 * len(good)}
+    threshold = max(k for k, v in found.items() if v == max(found.values())) / 1000
+    assert {r["threshold"] for r in rows.values()} == {threshold}
+    assert all(r["kept"] == (not r["base_failed"] and r["score"] < threshold) for r in rows.values())
 
 
 def test_quality_awkward_rows(spark):
@@ -90,6 +137,50 @@ def test_language_held_out_accuracy(spark, docs):
     assert sum(r["rejected"] for r in rows) < 0.02 * len(rows)
 
 
+def _plain_letters(text):
+    return " ".join("".join(c if unicodedata.category(c)[0] == "L" else " " for c in text.lower()).split()).encode()
+
+
+def test_language_by_plain_compression(spark):
+    """Dictionaries drawn and texts compressed one by one give the same languages and scores."""
+    small = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = learn(small, docs_per_lang=8)
+    rows = [(r["doc_id"], r["text"], r["lang"]) for r in small.collect()]
+    for lang, content in zip(model.langs, model.contents):
+        own = {(spark_xxhash64(d, t, (5,)) % (1 << 30), t[:4096]) for d, t, g in rows if g == lang and t is not None and len(t) <= 4096}
+        n = sum(g == lang and t is not None and len(t) <= 4096 for _, t, g in rows)
+        space = 1 << 30
+        own = sorted(x for x in own if x[0] < max(min(own)[0] + 1, min(space, 48 * space // n)))[:24]
+        assert content == b" ".join(_plain_letters(t) for _, t in own)[: 32_768]
+    want = {}
+    for d, t, _ in rows:
+        body = _plain_letters(t or "")
+        sizes = []
+        for content in model.contents:
+            params = zstandard.ZstdCompressionParameters(strategy=zstandard.STRATEGY_LAZY2, min_match=4, window_log=17, chain_log=16, hash_log=16, search_log=4, target_length=32, write_content_size=False, write_checksum=False, write_dict_id=False)
+            press = zstandard.ZstdCompressor(compression_params=params, dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT))
+            sizes.append(sum(len(press.compress(body[i : i + 2048])) for i in range(0, len(body), 2048)))
+        order = sorted(range(len(sizes)), key=lambda i: (sizes[i], i))
+        want[d] = ("und", 0.0) if not body else (model.langs[order[0]], 1 - sizes[order[0]] / sizes[order[1]])
+    assert {r["doc_id"]: (r["lang_pred"], r["score"]) for r in classify(small, model).collect()} == want
+
+
+def test_language_needs_a_letter(spark):
+    model = learn(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
+    rows = spark.createDataFrame(list(enumerate(["½ ² ③ Ⅻ _ 12", "½a", "☃ !", "한"])), "doc_id long, text string")
+    assert [r["lang_pred"] == "und" for r in classify(rows, model).orderBy("doc_id").collect()] == [True, False, True, False]
+
+
+def test_samples_do_not_hang_on_the_ids(spark, docs):
+    """Null ids, and one id for all rows, teach as much as others do."""
+    for one in (F.lit(None).cast("long"), F.lit(1).cast("long")):
+        model = learn(docs.withColumn("doc_id", one))
+        assert len(model.langs) == 4 and all(len(c) > 10_000 for c in model.contents)
+    marks = spark.createDataFrame([(1, 2), (None, 0)], "doc_id long, grade int")
+    few = docs.limit(30).withColumn("doc_id", F.lit(1).cast("long"))
+    assert fit(few, marks, rounds=2).levels == (2,)
+
+
 def test_language_awkward_rows(spark, docs):
     model = learn(docs.where("doc_id % 3 <> 1"))
     assert model.langs[0] == "en" and set(model.langs) == {"en", "fr", "de", "es"} and all(len(c) <= 32_768 for c in model.contents)
@@ -114,12 +205,61 @@ def test_ordinal_held_out(spark):
     rows = predict(docs, model).join(labels.where("doc_id % 4 = 0"), "doc_id").collect()
     kept = {g: [r["kept"] for r in rows if r["grade"] == g] for g in (0, 1, 2)}
     # Under 2,400 graded rows teach this; the bounds are for that.
-    assert sum(kept[2]) > 0.97 * len(kept[2]) and sum(kept[0]) < 0.6 * len(kept[0]) and sum(kept[1]) < 0.65 * len(kept[1])
+    assert sum(kept[2]) > 0.97 * len(kept[2]) and sum(kept[0]) < 0.3 * len(kept[0]) and sum(kept[1]) < 0.2 * len(kept[1])
     mean = {g: sum(r["expected_grade"] for r in rows if r["grade"] == g) / len(kept[g]) for g in kept}
-    assert max(mean[0], mean[1]) < mean[2] - 0.5
+    assert mean[0] < mean[1] < mean[2] - 0.5
     assert all(0 <= r["tail_probability"] <= 1 and 0 <= r["expected_grade"] <= 2 for r in rows)
 
 
+def test_ordinal_fit_is_that_of_a_plain_objective(spark, docs):
+    """Weights, thresholds and predictions against a plain loss over all rows in one process."""
+    labels = spark.read.parquet(f"{SF}/labels.parquet").withColumn("grade", graded(F.col("quality"), F.col("toxic")))
+    model = fit(docs, labels, rounds=12)
+    rows = docs.join(labels, "doc_id").where("grade is not null and text is not null").select("doc_id", "text", "grade").collect()
+    folds = [spark_xxhash64(r["doc_id"], r["text"]) for r in rows]
+    used = [r for r, f in zip(rows, folds) if spark_xxhash64(f, (9,)) % 5]
+    slots = [sorted({zlib.crc32(t) % (1 << 18) for t in text_tokens(r["text"].encode())}) for r in used]
+    count = np.bincount(np.concatenate(slots), minlength=1 << 18)
+    active = np.flatnonzero(count >= 3)
+    assert model.slots.tolist() == active.tolist()
+    where = {s: i for i, s in enumerate(active.tolist())}
+    x = np.zeros((len(used), len(active)))
+    for i, own in enumerate(slots):
+        for s in own:
+            if s in where:
+                x[i, where[s]] = 10 / math.sqrt(len(own))
+    grade = np.array([r["grade"] for r in used])
+
+    def objective(theta):
+        w, (first, gap) = theta[:-2], theta[-2:]
+        cuts = np.array([-np.inf, first, first + np.exp(gap), np.inf])
+        s = x @ w
+        upper, lower = (1 / (1 + np.exp(-np.clip(cuts[grade + k] - s, -35, 35))) for k in (1, 0))
+        upper, lower = np.where(grade == 2, 1.0, upper), np.where(grade == 0, 0.0, lower)
+        p = np.maximum(upper - lower, 1e-12)
+        up, low = upper * (1 - upper), lower * (1 - lower)
+        by_cut = [-np.sum(((grade == j) * up - (grade == j + 1) * low) / p) for j in (0, 1)]
+        grad = np.concatenate([x.T @ ((up - low) / p) + 4 * w, [sum(by_cut), by_cut[1] * np.exp(gap)]])
+        return (-np.log(p).sum() + 2 * w @ w) / len(used), grad / len(used)
+
+    below = (np.array([np.sum(grade <= k) for k in (0, 1)]) + 0.5) / (len(used) + 1)
+    start = np.log(below / (1 - below))
+    theta = minimize(objective, np.concatenate([np.zeros(len(active)), [start[0], np.log(start[1] - start[0])]]), 12)
+    assert np.abs(model.weights - theta[:-2]).max() < 1e-7 and np.abs(model.cuts - [theta[-2], theta[-2] + np.exp(theta[-1])]).max() < 1e-7
+    # The gradient is that of the loss.
+    rng = np.random.default_rng(1)
+    way = rng.normal(size=len(theta)) * 1e-3
+    value, grad = objective(theta)
+    assert objective(theta + way)[0] - objective(theta - way)[0] == pytest.approx(2 * grad @ way, rel=1e-3)
+    got = {r["doc_id"]: r for r in predict(docs, model).collect()}
+    table = dict(zip(model.slots.tolist(), model.weights))
+    for r in rows[:200]:
+        own = {zlib.crc32(t) % (1 << 18) for t in text_tokens(r["text"].encode())}
+        score = 10 * sum(table.get(s, 0.0) for s in own) / math.sqrt(len(own))
+        above = [1 - 1 / (1 + math.exp(-(c - score))) for c in model.cuts]
+        assert got[r["doc_id"]]["expected_grade"] == pytest.approx(sum(above), abs=1e-9) and got[r["doc_id"]]["tail_probability"] == pytest.approx(above[1], abs=1e-9)
+
+
 def test_ordinal_awkward_rows(spark):
     grades = spark.createDataFrame([(1, 2), (5, 0), (12, 1), (2, 1), (3, None), (99, 1)], "doc_id long, grade int")
     model = fit(awkward(spark), grades, rounds=3)
