@@ -145,7 +145,8 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     every = [*BASE, *templates]
     if len(every) > max_templates:
         raise ValueError(f"more than {max_templates} templates")
-    sizes, known, rows = (2, long_gram), _Hashes(), [(int(_MARK.view(np.int64)), -1, 0, 0, 0, "", b"", False, [])]
+    most = max(len(t.must) for t in every)
+    sizes, known, rows = (2, long_gram), _Hashes(), [(int(_MARK.view(np.int64)), -1, 0, 0, 0, "", b"", False, *[None] * most)]
     for i, t in enumerate(every):
         words = words_of(t.text.encode())
         if len(words) < 2:
@@ -153,8 +154,8 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         must = [b" " + b" ".join(words_of(m.encode())) + b" " for m in t.must]
         k = 2 if t.exact or len(words) < long_gram else long_gram
         for j, h in enumerate(gram_hashes(words, k, known).view(np.int64).tolist()):
-            rows.append((h, i, j, k, len(words), t.label, b" ".join(words[j : j + k]), t.exact, must))
-    table = spark.createDataFrame(rows, "gram long, template int, at int, k int, len int, label string, words binary, exact boolean, must array<binary>")
+            rows.append((h, i, j, k, len(words), t.label, b" ".join(words[j : j + k]), t.exact, *must, *[None] * (most - len(must))))
+    table = spark.createDataFrame(rows, "gram long, template int, at int, k int, len int, label string, words binary, exact boolean" + "".join(f", must{i} binary" for i in range(most)))
 
     grams = _gram_rows(docs, id_col, text_col, sizes).select("id", "uid", "body", "n_words", "starts", F.posexplode("grams").alias("p", "gram"))
     # The 2-grams come first, then the long grams, then the mark.
@@ -167,7 +168,10 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     begin = F.greatest(place - F.col("at") - _slack(), F.lit(0))
     blank = F.lit(b" ")
     around = F.concat(blank, _words_at(begin, F.least(F.col("len") + 2 * _slack(), F.col("n_words") - begin)), blank)
-    told = F.when(F.size("must") == 0, F.lit(True)).otherwise(F.forall("must", lambda m: F.contains(around, m)))
+    # No lambda here: in one generated loop with the join, bodies are looked at in place and never copied to its rows.
+    told = F.lit(True)
+    for i in range(most):
+        told = told & F.coalesce(F.contains(around, F.col(f"must{i}")), F.lit(True))
     hits = hits.select("id", "uid", "n_words", "template", "label", "exact", "k", "len", "at", F.when(F.col("k") == 0, 0).otherwise(place).cast("long").alias("pos"), told.alias("told"))
 
     # One row a diagonal; the mark of a document counts how often its row is repeated.
