@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ledgerline.llm.common import scratch_path
 from ledgerline.llm.exact_dedup import exact_dedup
 from ledgerline.llm.golay_dedup import near_duplicates
+from ledgerline.llm.hard_negatives import hard_negatives, vector_rows
 from ledgerline.llm.lang_compress import classify, learn
 from ledgerline.llm.license_scan import license_scan
 from ledgerline.llm.ordinal_quality import fit, graded, predict
@@ -79,6 +80,13 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "source", "n_tokens", "epoch", "block", "position", *(F.round(c, 6).alias(c) for c in ("weight", "repeats", "mix_order")))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # The contract moves the label of every seventh row on by one.
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = vector_rows(_table(spark, sf_dir, "embeddings"), "vec_id", "embedding", label)
+    return hard_negatives(rows, rows.where("id % 100 = 0"))
+
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_quality_forest": op2_quality_forest,
@@ -90,6 +98,7 @@ QUERIES = {
     "op8_warc_writer": op8_warc_writer,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_source_mix": op10_source_mix,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 #: Base32 by SQL: five hex digits are twenty bits, which are four letters.
@@ -150,4 +159,16 @@ ORACLES = {
                round(coalesce((epoch * tokens + position) / nullif(repeats * tokens, 0), 0.0), 6) AS mix_order
         FROM p WHERE epoch < whole OR position < rest
     """,
+    "op13_hard_negatives": """
+        WITH r AS (
+            SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT a.id AS anchor_id, b.id, a.label = b.label AS same, list_dot_product(a.v, b.v)::BIGINT AS score FROM r a, r b WHERE a.id % 100 = 0 AND a.id <> b.id),
+        p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5),
+        n AS (
+            SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.id)::INTEGER AS rank, s.id AS negative_id, positive_score, s.score AS negative_score
+            FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * s.score AND 100 * s.score <= 100 * positive_score)
+        SELECT * FROM n WHERE rank <= 5
+    """,
 }
