@@ -13,6 +13,7 @@ from ledgerline.llm.hard_negatives import hard_negatives, vector_rows
 from ledgerline.llm.lang_compress import classify, learn
 from ledgerline.llm.license_scan import license_scan
 from ledgerline.llm.ordinal_quality import fit, graded, predict
+from ledgerline.llm.phrase_mining import collocations
 from ledgerline.llm.piece_codec import round_trip
 from ledgerline.llm.quality_forest import quality_rules
 from ledgerline.llm.source_mix import mix_plan
@@ -80,6 +81,10 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "source", "n_tokens", "epoch", "block", "position", *(F.round(c, 6).alias(c) for c in ("weight", "repeats", "mix_order")))
 
 
+def op12_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(_table(spark, sf_dir, "documents"))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     # The contract moves the label of every seventh row on by one.
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
@@ -98,6 +103,7 @@ QUERIES = {
     "op8_warc_writer": op8_warc_writer,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_source_mix": op10_source_mix,
+    "op12_phrase_mining": op12_phrase_mining,
     "op13_hard_negatives": op13_hard_negatives,
 }
 
@@ -159,6 +165,24 @@ ORACLES = {
                round(coalesce((epoch * tokens + position) / nullif(repeats * tokens, 0), 0.0), 6) AS mix_order
         FROM p WHERE epoch < whole OR position < rest
     """,
+    "op12_phrase_mining": r"""
+        WITH p AS (
+            SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w
+            FROM (SELECT lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+        n AS (SELECT lang, sum(len(w))::HUGEINT AS n FROM p GROUP BY lang HAVING sum(len(w)) > 0),
+        o AS (SELECT lang, w, size, unnest(range(1, len(w) - size + 2)) AS pos FROM (SELECT lang, w, unnest(range(1, least(5, len(w)) + 1)) AS size FROM p)),
+        f AS (SELECT lang, array_to_string(w[pos : pos + size - 1], ' ') AS phrase, size, count(*) AS f FROM o GROUP BY ALL HAVING count(*) >= 100),
+        c AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE size > 1),
+        k AS (SELECT lang, phrase, w, size, f AS a, unnest(range(1, size)) AS k FROM c),
+        s AS (
+            SELECT k.lang, k.phrase, a, h.f AS l, t.f AS r, n, k, (1000 * a::HUGEINT * n) // (h.f::HUGEINT * t.f) AS score
+            FROM k JOIN f h ON h.lang = k.lang AND h.phrase = array_to_string(w[1 : k], ' ') JOIN f t ON t.lang = k.lang AND t.phrase = array_to_string(w[k + 1 :], ' ') JOIN n ON n.lang = k.lang),
+        b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+        i AS (SELECT lang, array_to_string(w[pos : pos + z - 1], ' ') AS phrase, max(f) AS g FROM (SELECT *, unnest(range(1, size - z + 2)) AS pos FROM (SELECT *, unnest(range(2, size)) AS z FROM c)) GROUP BY ALL),
+        d AS (SELECT b.* FROM b LEFT JOIN i USING (lang, phrase) WHERE g IS NULL OR 100 * g < 100 * a)
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a, l, r, n::BIGINT AS n, score::BIGINT AS score
+        FROM d QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) <= 2000
+    """,
     "op13_hard_negatives": """
         WITH r AS (
             SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
