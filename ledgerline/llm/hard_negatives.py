@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.llm.common import materialize, scratch_path, ship_package
 
-#: Sums of products below this are exact in double precision; larger components are multiplied as Python integers.
+#: Sums of products below this are exact in double precision; larger components are multiplied as 64-bit integers.
 _EXACT = 1 << 53
 #: Components of a row that takes part are smaller, so that scores of up to 1,024 of them fit 64 bits.
 _LARGEST = 1 << 26
@@ -21,11 +21,12 @@ _LARGEST = 1 << 26
 
 @dataclass(frozen=True)
 class Codebooks:
-    """Centroids of the first and the second half of the components; `width` is the longest vector."""
+    """Centroids of the first and the second half of the components; `width` is the longest vector, `largest` the largest component."""
 
     first: np.ndarray
     second: np.ndarray
     width: int
+    largest: int
 
     def halves(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         cut = self.width // 2
@@ -69,7 +70,7 @@ def train(rows: DataFrame, codes: int = 16, sample: int = 20_000, rounds: int =
 
     The books only decide in which order cells are visited: results do not depend on the sample.
     """
-    n, width = rows.agg(F.count("*"), F.max(F.size("v"))).first()
+    n, width, largest = rows.agg(F.count("*"), F.max(F.size("v")), F.max(F.array_max(F.transform("v", F.abs)))).first()
     width = max(2, width or 0)
     space = 1 << 40
     share = min(1.0, sample / max(n, 1))
@@ -77,7 +78,7 @@ def train(rows: DataFrame, codes: int = 16, sample: int = 20_000, rounds: int =
     x = _matrix([r["v"] for r in sorted(drawn)] or [[]], width).astype(np.float64)
     rng = np.random.default_rng(seed)
     cut = width // 2
-    return Codebooks(_k_means(x[:, :cut], codes, rounds, rng), _k_means(x[:, cut:], codes, rounds, rng), width)
+    return Codebooks(_k_means(x[:, :cut], codes, rounds, rng), _k_means(x[:, cut:], codes, rounds, rng), width, int(largest or 0))
 
 
 def _matrix(vectors: list[list[int]], width: int) -> np.ndarray:
@@ -107,9 +108,9 @@ class MultiIndex:
         cell = books.cells(x.astype(np.float64))
         order = np.lexsort((ids, cell))
         self.books, self.ids, self.labels, self.cell = books, ids[order], labels[order], cell[order]
-        self.exact = bool(not len(x) or float(np.abs(x).max()) ** 2 * books.width < _EXACT)
+        exact = books.largest**2 * books.width < _EXACT
         x = x[order]
-        self.x = x.astype(np.float64) if self.exact else x.astype(object)
+        self.x = x.astype(np.float64 if exact else np.int64)
         self.starts = np.searchsorted(self.cell, np.arange(len(books.first) * len(books.second) + 1))
         # A radius is the largest distance of a member's half from its centroid.
         self.radii = []
@@ -144,44 +145,65 @@ class MultiIndex:
                     pushed.add((s, t))
                     heapq.heappush(heap, (-(ba[s] + bb[t]), s, t))
 
-    def scored(self, q: np.ndarray, cell: int) -> tuple[slice, np.ndarray]:
-        part = slice(int(self.starts[cell]), int(self.starts[cell + 1]))
-        product = self.x[part] @ (q.astype(np.float64) if self.exact and float(np.abs(q).max(initial=0)) * float(np.abs(self.x[part]).max(initial=0)) * len(q) < _EXACT else q.astype(object))
-        return part, product.astype(np.int64) if product.dtype != object else np.array([int(p) for p in product], dtype=object)
+    def runs(self, q: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
+        """(places of rows, their scores, bound of all rows to come): cells as they are visited, taken together to runs that double."""
+        walk = self.visit(q)
+        ahead = next(walk, None)
+        least, whole = 128, q.astype(self.x.dtype)
+        while ahead:
+            cells, size = [], 0
+            while ahead and size < least:
+                cells.append(np.arange(self.starts[ahead[1]], self.starts[ahead[1] + 1]))
+                size += len(cells[-1])
+                ahead = next(walk, None)
+            least = min(2 * least, 4096)
+            at = np.concatenate(cells)
+            yield at, (self.x[at] @ whole).astype(np.int64), ahead[0] if ahead else -np.inf
+
+    def best(self, at: np.ndarray, scores: np.ndarray, k: int) -> list[tuple[int, int]]:
+        """The first k (score, id)."""
+        if len(at) > 4 * k:
+            top = scores >= np.partition(scores, len(at) - k)[len(at) - k]
+            at, scores = at[top], scores[top]
+        order = np.lexsort((self.ids[at], -scores))[:k]
+        return list(zip(scores[order].tolist(), self.ids[at[order]].tolist()))
 
     def positives(self, q: np.ndarray, own: int, label: int, k: int) -> list[tuple[int, int]]:
-        """(score, id) of the first k rows of the label with another id; cells are visited until none can hold a better one."""
-        best: list[tuple[int, int]] = []
-        for bound, cell in self.visit(q):
-            if len(best) == k and best[-1][0] > bound:
+        """The first k (score, id) of the label with another id; cells are visited until none can hold a better one."""
+        found: list[tuple[int, int]] = []
+        for at, s, bound in self.runs(q):
+            fine = (self.labels[at] == label) & (self.ids[at] != own)
+            if len(found) == k:
+                fine &= s >= found[-1][0]
+            if fine.any():
+                found = sorted(found + self.best(at[fine], s[fine], k), key=_first)[:k]
+            if len(found) == k and found[-1][0] > bound:
                 break
-            part, s = self.scored(q, cell)
-            for at in np.flatnonzero((self.labels[part] == label) & (self.ids[part] != own)):
-                best.append((int(s[at]), int(self.ids[part][at])))
-            best = sorted(best, key=lambda x: (-x[0], x[1]))[:k]
-        return best
+        return found
 
     def windows(self, q: np.ndarray, label: int, windows: list[tuple[int, int]], k: int) -> list[list[tuple[int, int]]]:
         """For each window (low, high) the first k (score, id) of other labels between both; a window is certified, and no
         longer searched, once its k rows beat the bound of all cells to come or no such cell reaches its low end."""
         found: list[list[tuple[int, int]]] = [[] for _ in windows]
-        for bound, cell in self.visit(q):
-            open_ = [w for w, (low, _) in enumerate(windows) if bound >= low and not (len(found[w]) == k and found[w][-1][0] > bound)]
-            if not open_:
-                break
-            part, s = self.scored(q, cell)
-            other = self.labels[part] != label
+        open_ = list(range(len(windows)))
+        for at, s, bound in self.runs(q) if windows else ():
+            other = self.labels[at] != label
             for w in open_:
                 low, high = windows[w]
-                hit = np.flatnonzero(other & (s >= low) & (s <= high))
-                if len(hit) > k:
-                    hit = hit[np.lexsort((self.ids[part][hit], -s[hit].astype(np.int64)))[:k]] if s.dtype != object else np.array(sorted(hit, key=lambda a: (-s[a], self.ids[part][a]))[:k])
-                if len(hit):
-                    found[w] = sorted(found[w] + [(int(s[a]), int(self.ids[part][a])) for a in hit], key=lambda x: (-x[0], x[1]))[:k]
+                fine = other & (s >= (found[w][-1][0] if len(found[w]) == k else low)) & (s <= high)
+                if fine.any():
+                    found[w] = sorted(found[w] + self.best(at[fine], s[fine], k), key=_first)[:k]
+            open_ = [w for w in open_ if bound >= windows[w][0] and not (len(found[w]) == k and found[w][-1][0] > bound)]
+            if not open_:
+                break
         return found
 
 
-def build_index(rows: DataFrame, books: Codebooks, shard_rows: int = 8192) -> DataFrame:
+def _first(hit: tuple[int, int]) -> tuple[int, int]:
+    return -hit[0], hit[1]
+
+
+def build_index(rows: DataFrame, books: Codebooks, shard_rows: int = 16_384) -> DataFrame:
     """(shard, ids, labels, v): every row in one of the shards of about `shard_rows` rows, dealt by a hash so that no cell makes a large one."""
     n = max(1, -(-rows.count() // shard_rows))
     return materialize(rows.withColumn("shard", F.pmod(F.xxhash64("id", "label", "v"), F.lit(n)).cast("int")).repartitionById(n, F.col("shard")), "multi-index")
@@ -213,7 +235,7 @@ def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [()] * len(names))], names=names)
 
 
-def hard_negatives(rows: DataFrame, anchors: DataFrame, positives: int = 5, negatives: int = 5, low: int = 80, high: int = 100, codes: int = 16, sample: int = 20_000, shard_rows: int = 8192, block: int = 1000) -> DataFrame:
+def hard_negatives(rows: DataFrame, anchors: DataFrame, positives: int = 5, negatives: int = 5, low: int = 80, high: int = 100, codes: int = 16, sample: int = 20_000, shard_rows: int = 16_384, block: int = 1000) -> DataFrame:
     """anchor_id, positive_id, rank, negative_id, positive_score, negative_score for rows (id, label, v) as `vector_rows` makes them.
 
     `anchors` is a stated set of the rows. Scores are integer inner products; higher ones come first, ties by the smaller id. An
