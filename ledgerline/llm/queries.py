@@ -13,6 +13,7 @@ from ledgerline.llm.hard_negatives import hard_negatives, vector_rows
 from ledgerline.llm.lang_compress import classify, learn
 from ledgerline.llm.license_scan import license_scan
 from ledgerline.llm.ordinal_quality import fit, graded, predict
+from ledgerline.llm.overlap_join import overlap_components
 from ledgerline.llm.phrase_mining import collocations
 from ledgerline.llm.piece_codec import round_trip
 from ledgerline.llm.quality_forest import quality_rules
@@ -81,6 +82,10 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "source", "n_tokens", "epoch", "block", "position", *(F.round(c, 6).alias(c) for c in ("weight", "repeats", "mix_order")))
 
 
+def op11_overlap_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlap_components(_table(spark, sf_dir, "documents"))
+
+
 def op12_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(_table(spark, sf_dir, "documents"))
 
@@ -103,6 +108,7 @@ QUERIES = {
     "op8_warc_writer": op8_warc_writer,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_source_mix": op10_source_mix,
+    "op11_overlap_join": op11_overlap_join,
     "op12_phrase_mining": op12_phrase_mining,
     "op13_hard_negatives": op13_hard_negatives,
 }
@@ -165,6 +171,20 @@ ORACLES = {
                round(coalesce((epoch * tokens + position) / nullif(repeats * tokens, 0), 0.0), 6) AS mix_order
         FROM p WHERE epoch < whole OR position < rest
     """,
+    "op11_overlap_join": r"""
+        WITH RECURSIVE d AS (
+            SELECT row_number() OVER () AS rid, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+        s AS (
+            SELECT rid, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                   ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] || ' ' || w[i + 4])) END AS g
+            FROM d),
+        n AS (SELECT rid, doc_id, len(g)::BIGINT AS n_shingles FROM s),
+        e AS (SELECT rid, unnest(g) AS x FROM s),
+        c AS (SELECT a.rid AS a, b.rid AS b, count(*) AS m FROM e a JOIN e b ON a.x = b.x AND a.rid <> b.rid GROUP BY ALL),
+        l AS (SELECT a, b FROM c JOIN n p ON p.rid = a JOIN n q ON q.rid = b WHERE 100 * m >= 80 * (p.n_shingles + q.n_shingles - m)),
+        r AS (SELECT rid AS a, rid AS b FROM n UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+        SELECT k.doc_id, k.n_shingles, min(m.doc_id) AS component_id FROM n k JOIN r ON r.a = k.rid JOIN n m ON m.rid = r.b GROUP BY k.rid, k.doc_id, k.n_shingles
+    """,
     "op12_phrase_mining": r"""
         WITH p AS (
             SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w
