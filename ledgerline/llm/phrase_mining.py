@@ -80,12 +80,12 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[_Part]:
                 held.append((langs.setdefault(lang, len(langs)), own))
                 size += len(own)
                 if size >= _FLUSH:
-                    yield _Part(list(langs), list(codes), np.repeat([x for x, _ in held], [len(r) for _, r in held]), np.concatenate([r for _, r in held]))
+                    yield _Part(list(langs), list(codes), np.repeat(np.array([x for x, _ in held], dtype=np.int64), [len(r) for _, r in held]), np.concatenate([r for _, r in held]))
                     held, size = [], 0
             if not held:
                 codes, langs = _Codes({_END: 0}), {}
     if held:
-        yield _Part(list(langs), list(codes), np.repeat([x for x, _ in held], [len(r) for _, r in held]), np.concatenate([r for _, r in held]))
+        yield _Part(list(langs), list(codes), np.repeat(np.array([x for x, _ in held], dtype=np.int64), [len(r) for _, r in held]), np.concatenate([r for _, r in held]))
 
 
 def _prefix_hashes(part: _Part) -> Iterator[np.ndarray]:
@@ -99,10 +99,22 @@ def _prefix_hashes(part: _Part) -> Iterator[np.ndarray]:
         yield h
 
 
-def _nodes(previous: np.ndarray, codes: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
-    """One level of a subtree: (row that stands for each node, node of each row), nodes being equal (node above, word)."""
-    _, first, node = np.unique(previous * base + codes, return_index=True, return_inverse=True)
-    return first, node
+def _sorted(lang: np.ndarray, rows: np.ndarray, base: int) -> np.ndarray:
+    """The order of suffixes by language and words; up to 2^21 words, three to five of them are compared as one number."""
+    if max(base, int(lang.max(initial=0)) + 1) <= 1 << 21:
+        low, high = (a << 42 | b << 21 | c for a, b, c in (rows[:, 2:].T.astype(np.int64), (lang, *rows[:, :2].T.astype(np.int64))))
+        return np.lexsort((low, high))
+    return np.lexsort((*rows.T[::-1], lang))
+
+
+def _branches(lang: np.ndarray, rows: np.ndarray) -> Iterator[np.ndarray]:
+    """For each depth whether a sorted suffix differs there, or above, from the one before it: where the nodes of that depth begin."""
+    new = np.ones(len(rows), dtype=bool)
+    new[1:] = lang[1:] != lang[:-1]
+    for d in range(DEPTH):
+        new = new.copy()
+        new[1:] |= rows[1:, d] != rows[:-1, d]
+        yield new
 
 
 @dataclass(frozen=True)
@@ -182,11 +194,12 @@ def _scatter(texts: DataFrame, groups: Groups) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _parts(batches):
-            first, node = np.zeros(0, dtype=np.int64), part.lang.astype(np.int64)
-            for d in range(DEPTH):
-                first, node = _nodes(node, part.rows[:, d], len(part.words))
-            counts = np.bincount(node)
-            own = _Part(part.langs, part.words, part.lang[first], part.rows[first])
+            order = _sorted(part.lang, part.rows, len(part.words))
+            lang, rows = part.lang[order], part.rows[order]
+            *_, new = _branches(lang, rows)
+            first = np.flatnonzero(new)
+            counts = np.diff(np.append(first, len(rows)))
+            own = _Part(part.langs, part.words, lang[first], rows[first])
             place = groups.find(own) * np.int64(len(part.langs)) + own.lang
             order = np.argsort(place, kind="stable")
             edges = np.flatnonzero(np.diff(place[order], prepend=-1))
@@ -216,21 +229,20 @@ def _subtrees(scattered: DataFrame, groups: Groups, least: int) -> DataFrame:
                 level = int(groups.level[grp])
                 own = np.array([0, *map(codes.__getitem__, words.split(b" "))], dtype=np.int32) if words else np.zeros(1, dtype=np.int32)
                 rows = own[np.frombuffer(suffixes, dtype=np.int32)].reshape(-1, DEPTH)
-                held.append((np.full(len(rows), langs.setdefault(lang, len(langs))), rows, np.frombuffer(counts, dtype=np.int64)))
+                held.append((np.full(len(rows), langs.setdefault(lang, len(langs)), dtype=np.int64), rows, np.frombuffer(counts, dtype=np.int64)))
         if not held:
             return
         words, names = list(codes), list(langs)
-        node, rows, counts = (np.concatenate(x) for x in zip(*held))
+        lang, rows, counts = (np.concatenate(x) for x in zip(*held))
         held.clear()
-        lang = node
-        for d in range(DEPTH):
-            here = rows[:, d] > 0
-            node, rows, counts, lang = node[here], rows[here], counts[here], lang[here]
-            first, node = _nodes(node, rows[:, d], len(words))
-            total = np.zeros(len(first), dtype=np.int64)
-            np.add.at(total, node, counts)
+        order = _sorted(lang, rows, len(words))
+        lang, rows, counts = lang[order], rows[order], counts[order]
+        for d, new in enumerate(_branches(lang, rows)):
+            first = np.flatnonzero(new)
+            total = np.add.reduceat(counts, first)
             whole = d + 1 >= level
-            kept = np.flatnonzero(total >= (least if whole else 1))
+            # A node without a word at this depth stands for suffixes that end above it.
+            kept = np.flatnonzero((total >= (least if whole else 1)) & (rows[first, d] > 0))
             for at in range(0, len(kept), 10_000):
                 part = kept[at : at + 10_000]
                 phrases = [b" ".join(words[w] for w in rows[i, : d + 1]) for i in first[part]]
