@@ -12,45 +12,94 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import discard, in_map, join_groups, key_map, materialize, shard_count, ship_package
+from ledgerline.llm.common import discard, in_map, join_groups, key_map, materialize, shard_count, ship_package, string_bytes
 from ledgerline.llm.components import connected_components
 
-#: A shingle is the sum of the hashes of its words, each times a power of this odd number, and mixed.
-_BASE, _MIX = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
-_STEP = 1 << 20
-#: Tokens of lists that a task sorts at once; rows of a list that travel as one array.
-_LIST_TOKENS, _LIST_ROWS = 1 << 20, 256
+#: A word is the sum of random numbers of its bytes, each times a power of the first number; a shingle that of its words, by the second.
+_BYTE, _BASE, _MIX = 0x5851F42D4C957F2D, 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
+_BYTES = np.arange(256, dtype=np.uint8)
+_SPACE = np.isin(_BYTES, [0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D])
+_RANDOM = np.random.default_rng(42).integers(0, 1 << 64, size=256, dtype=np.uint64)
+_RANDOM[0x41:0x5B] = _RANDOM[0x61:0x7B]
+#: Bytes whose words are hashed at once.
+_SEGMENT = 1 << 20
+#: Tokens of lists that a task sorts at once; rows of a list that travel as one array; sets of a list from which on it is a crowd.
+_LIST_TOKENS, _LIST_ROWS, _CROWD = 1 << 20, 256, 64
+#: With how many others a set of a crowd is compared at first.
+_NEIGHBOURS = 32
 #: A shingle of so many texts of one batch is taken for a common one.
 _COMMON = 16
 
 
-def _shingles(words: list[bytes], width: int, known: dict[bytes, int]) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the shingles; a shorter sequence is one shingle of its own kind."""
-    if not words:
-        return np.zeros(0, dtype=np.uint64)
-    if len(words) < width:
-        return np.array([xxhash.xxh64_intdigest(b" ".join(words), len(words))], dtype=np.uint64)
-    h = np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
-    sums = np.zeros(len(words) - width + 1, dtype=np.uint64)
-    for i in range(width):
-        sums = sums * np.uint64(_BASE) + h[i : i + len(sums)]
-    sums ^= sums >> np.uint64(32)
-    sums *= np.uint64(_MIX)
-    sums ^= sums >> np.uint64(29)
-    return np.unique(sums)
+def _powers(base: int) -> np.ndarray:
+    out = np.full(_SEGMENT + 1, base, dtype=np.uint64)
+    out[0] = 1
+    return np.cumprod(out, dtype=np.uint64)
 
 
-class _Hashes(dict):
-    """Hashes of the distinct words of a batch."""
+_UP, _DOWN = _powers(_BYTE), _powers(pow(_BYTE, -1, 1 << 64))
 
-    def __missing__(self, word: bytes) -> int:
-        h = self[word] = xxhash.xxh64_intdigest(word, 42)
-        return h
 
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(_MIX)
+    return h ^ (h >> np.uint64(29))
 
-def _sets(batch: pa.RecordBatch, column: int, width: int) -> list[np.ndarray]:
-    known = _Hashes()
-    return [_shingles((t.as_py() or b"").lower().split(), width, known) for t in batch.column(column)]
+
+def _words(raw: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of the words, where they begin) of at most _SEGMENT bytes; a text that begins at one of `begins` ends the word before it."""
+    word = ~_SPACE[raw]
+    after = np.append(True, ~word[:-1])
+    after[begins[begins < len(raw)]] = True
+    first = np.flatnonzero(word & after)
+    last = np.flatnonzero(word & np.append(~word[1:] | after[1:], True)) + 1
+    sums = np.append(np.uint64(0), np.cumsum(_RANDOM[raw] * _DOWN[: len(raw)], dtype=np.uint64))
+    return _mixed((sums[last] - sums[first]) * _UP[first] + (last - first).astype(np.uint64)), first
+
+
+def _word_runs(raw: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(hashes of the words, words of each text) of texts that stand one after the other, some _SEGMENT bytes at a time."""
+    at = 0
+    while at < len(offsets) - 1:
+        stop = max(at + 1, int(np.searchsorted(offsets, offsets[at] + _SEGMENT, side="right")) - 1)
+        begin, end = int(offsets[at]), int(offsets[stop])
+        if end - begin <= _SEGMENT:
+            h, first = _words(raw[begin:end], offsets[at:stop] - begin)
+            yield h, np.diff(np.searchsorted(first, offsets[at : stop + 1] - begin))
+        else:
+            # One long text, cut where white space stands; a word of more than a segment is hashed in parts.
+            parts = []
+            while begin < end:
+                cut = min(end, begin + _SEGMENT)
+                if cut < end:
+                    blank = np.flatnonzero(_SPACE[raw[begin:cut]])
+                    cut = begin + int(blank[-1]) + 1 if len(blank) else cut
+                parts.append(_words(raw[begin:cut], np.zeros(1, dtype=np.int64))[0])
+                begin = cut
+            h = np.concatenate(parts)
+            yield h, np.array([len(h)])
+        at = stop
+
+
+def _sets(column: pa.BinaryArray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted distinct 64-bit hashes of the shingles of each text, their number): a shorter sequence is one shingle of its own kind."""
+    raw, begins, sizes = string_bytes(column.fill_null(b""))
+    found = []
+    for h, counts in _word_runs(raw, np.append(begins, begins[-1] + sizes[-1] if len(begins) else 0)):
+        sums = np.zeros(max(0, len(h) - width + 1), dtype=np.uint64)
+        for i in range(width):
+            sums = sums * np.uint64(_BASE) + h[i : i + len(sums)]
+        sums = _mixed(sums)
+        for start, n in zip((np.cumsum(counts) - counts).tolist(), counts.tolist()):
+            if n >= width:
+                own = np.sort(sums[start : start + n - width + 1])
+                found.append(own[np.append(True, own[1:] != own[:-1])])
+            else:
+                found.append(np.frombuffer(xxhash.xxh64_digest(h[start : start + n].tobytes(), n), dtype=np.uint64) if n else h[:0])
+    return np.concatenate(found) if found else np.zeros(0, dtype=np.uint64), np.array([len(x) for x in found], dtype=np.int64)
+
+
+def _cut(flat: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
+    return np.split(flat, np.cumsum(counts)[:-1]) if len(counts) else []
 
 
 def _digest(s: np.ndarray) -> tuple[int, int]:
@@ -80,24 +129,24 @@ def _plan(n: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
 
 
 def document_sets(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(id, n, rec, check) for each row, n distinct shingles and the two halves of the digest of the set; and, with n = -1,
-    (rec, check) = (shingle, count) of shingles that are common in some batch of texts. A null text has no shingle."""
+    """(id, text, n, rec, check) for each row: a hash of the text, the number of distinct shingles and both halves of the digest of the set;
+    and, with n = -1, (rec, check) = (shingle, count) of shingles that are common in some batch of texts. A null text has no shingle."""
     ship_package(docs.sparkSession)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t"), F.xxhash64(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = _sets(b, 1, width)
+            sets = _cut(*_sets(b.column(1), width))
             digests = [_digest(s) for s in sets]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), *(pa.array(c, pa.int64()) for c in (zip(*digests) if digests else ((), ())))], names=["id", "n", "rec", "check"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([len(s) for s in sets], pa.int64()), *(pa.array(c, pa.int64()) for c in (zip(*digests) if digests else ((), ())))], names=["id", "text", "n", "rec", "check"])
             own = list(dict(zip(digests, sets)).values())
             if len(own) >= _COMMON:
                 token, count = np.unique(np.concatenate(own), return_counts=True)
                 token, count = token[count >= _COMMON].view(np.int64), count[count >= _COMMON]
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(token), b.schema.field(0).type), pa.array(np.full(len(token), -1)), pa.array(token), pa.array(count.astype(np.int64))], names=["id", "n", "rec", "check"])
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(token), b.schema.field(0).type), pa.nulls(len(token), pa.int64()), pa.array(np.full(len(token), -1)), pa.array(token), pa.array(count.astype(np.int64))], names=["id", "text", "n", "rec", "check"])
 
-    return rows.mapInArrow(run, schema=f"id {kind}, n long, rec long, check long")
+    return rows.mapInArrow(run, schema=f"id {kind}, text long, n long, rec long, check long")
 
 
 def _prefix_lists(docs: DataFrame, text_col: str, width: int, percent: int, common: tuple[np.ndarray, np.ndarray], parts: int) -> DataFrame:
@@ -111,31 +160,28 @@ def _prefix_lists(docs: DataFrame, text_col: str, width: int, percent: int, comm
 
     def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            tokens, recs, sizes, seen = [], [], [], set()
-            for s in _sets(b, 0, width):
+            flat, counts = _sets(b.column(0), width)
+            firsts = _plan(counts, percent)[0].tolist()
+            at = np.minimum(np.searchsorted(hot, flat), max(len(hot) - 1, 0))
+            is_hot = hot[at] == flat if len(hot) else np.zeros(len(flat), dtype=bool)
+            # Sets are numbered inside the batch, so that an entry is a shingle and a small number; equal sets are one.
+            tokens, number = [], {}
+            for s, late, place, first in zip(_cut(flat, counts), _cut(is_hot, counts), _cut(at, counts), firsts):
                 rec = _digest(s)[0]
-                if not len(s) or rec in seen:
+                if not len(s) or rec in number:
                     continue
-                seen.add(rec)
-                first = int(_plan(np.array(len(s)), percent)[0])
-                at = np.minimum(np.searchsorted(hot, s), max(len(hot) - 1, 0))
-                is_hot = hot[at] == s if len(hot) else np.zeros(len(s), dtype=bool)
-                if is_hot.any():
-                    late = s[is_hot]
-                    late = late[np.lexsort((late, weight[at[is_hot]]))]
-                    s = np.concatenate([s[~is_hot], late])
-                tokens.append(s[:first])
-                recs.append(np.full(first, rec, dtype=np.int64))
-                sizes.append(np.full(first, len(s), dtype=np.int32))
+                number[rec] = len(s)
+                early = s[~late][:first]
+                if len(early) < first:
+                    rest = s[late]
+                    early = np.append(early, rest[np.lexsort((rest, weight[place[late]]))][: first - len(early)])
+                tokens.append(early)
             if not tokens:
                 continue
-            token, rec, size = np.concatenate(tokens), np.concatenate(recs), np.concatenate(sizes)
-            order = np.argsort(token, kind="stable")
-            token, rec, size = token[order], rec[order], size[order]
-            # Sets are numbered inside the batch, so that an entry is a shingle and a small number.
-            names, number = np.unique(rec, return_inverse=True)
-            first_at = np.zeros(len(names), dtype=np.int32)
-            first_at[number] = size
+            names, first_at = np.array(list(number), dtype=np.int64), np.array(list(number.values()), dtype=np.int32)
+            token, number = np.concatenate(tokens), np.repeat(np.arange(len(tokens)), [len(x) for x in tokens])
+            order = np.argsort(token)
+            token, number = token[order], number[order]
             part = np.searchsorted(bounds, token, side="right")
             edges = np.flatnonzero(np.diff(part, prepend=-1))
             out = []
@@ -172,13 +218,13 @@ def _prefix_lists(docs: DataFrame, text_col: str, width: int, percent: int, comm
 
 
 def _short_lists(entries: DataFrame, percent: int) -> DataFrame:
-    """(token, rec, n) of the lists that each set merges: the longest of its lists are set aside, and a set that shares too few
+    """(token, rec, n, lists) of the lists that each set merges, and their number: the longest of its lists are set aside, and a set that shares too few
     shingles with any other to have a partner is left out."""
     t = F.ceil(F.col("n") * percent / 100)
     least = F.greatest(F.lit(1), F.floor(F.ceil(t * percent / 100) / 4))
     lists = entries.groupBy("rec").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "token"))).alias("lists")).withColumn("least", least.cast("int"))
     kept = lists.where(F.size("lists") >= F.col("least")).withColumn("lists", F.slice("lists", F.lit(1), F.size("lists") - F.floor(F.col("least") / 2).cast("int")))
-    return kept.select("rec", "n", F.explode("lists.token").alias("token"))
+    return kept.select("rec", "n", F.size("lists").alias("lists"), F.explode("lists.token").alias("token"))
 
 
 def _similar(a: Column, b: Column, percent: int) -> Column:
@@ -187,32 +233,67 @@ def _similar(a: Column, b: Column, percent: int) -> Column:
 
 
 def _candidate_sets(docs: DataFrame, text_col: str, width: int, wanted: DataFrame) -> DataFrame:
-    """(rec, tokens) of the sets in `wanted`, one row each."""
+    """(rec, n, tokens, marks) of the sets of the texts whose hashes are in `wanted`; `marks` has a bit of four for each shingle.
+
+    A map of the hashes tells most other texts before they leave the scan; its size follows their number up to 2^28 bits. Equal texts and
+    sets are brought together by set, so nothing but one row a task and set is moved.
+    """
+    bits = min(28, max(20, int(wanted.count()).bit_length() + 4))
+    keys = key_map(wanted.select(F.xxhash64("text").alias("hash")), bits)
+    texts = docs.select(F.col(text_col).cast("binary").alias("t"), F.xxhash64(text_col).alias("text")).where(F.col("t").isNotNull())
+    maybe = in_map(texts, keys, F.xxhash64("text"), "maybe", bits).where("maybe").select("t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            seen = {}
-            for s in _sets(b, 0, width):
-                if len(s):
-                    seen.setdefault(_digest(s)[0], s)
-            recs, sets = list(seen), list(seen.values())
-            offsets = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-            flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(recs, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["rec", "tokens"])
-
-    sets = docs.select(F.col(text_col).cast("binary").alias("t")).mapInArrow(run, schema="rec long, tokens array<long>")
-    # A map of the wanted sets spares the shuffle of most others; its size follows their number up to 2^28 bits.
-    bits = min(28, max(20, int(wanted.count()).bit_length() + 4))
-    marks = key_map(wanted.select(F.xxhash64("rec").alias("hash")), bits)
-    maybe = in_map(sets, marks, F.xxhash64("rec"), "maybe", bits).where("maybe").select("rec", "tokens")
-    return materialize(maybe.join(wanted, "rec", "left_semi").groupBy("rec").agg(F.first("tokens").alias("tokens")), "overlap-sets")
+            own = {_digest(s)[0]: s for s in _cut(*_sets(b.column(0), width)) if len(s)}
+            offsets = np.cumsum([0, *map(len, own.values())]).astype(np.int32)
+            flat = np.concatenate(list(own.values())).view(np.int64) if own else np.zeros(0, dtype=np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.int64()), pa.array(np.diff(offsets).astype(np.int64)), lists, pa.array([_marks(s) for s in own.values()], pa.binary())], names=["rec", "n", "tokens", "marks"])
+
+    sets = maybe.mapInArrow(run, schema="rec long, n long, tokens array<long>, marks binary")
+    return materialize(sets.groupBy("rec").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.first("marks").alias("marks")), "overlap-sets")
+
+
+def _marks(s: np.ndarray) -> bytes:
+    """A bit for each shingle in a row of about four times as many bits."""
+    bits = min(20, max(8, int(4 * len(s) - 1).bit_length()))
+    out = np.zeros(1 << bits, dtype=bool)
+    out[s >> np.uint64(64 - bits)] = True
+    return np.packbits(out).tobytes()
+
+
+def _folded(marks: bytes, size: int) -> np.ndarray:
+    """Marks of at most `size` bytes: neighbouring bits are one, as a shingle's bit is the head of its hash."""
+    x = np.frombuffer(marks, dtype=np.uint8)
+    while len(x) > size:
+        y = x | x << 1
+        y = (y >> 7 & 1) << 3 | (y >> 5 & 1) << 2 | (y >> 3 & 1) << 1 | y >> 1 & 1
+        x = y[::2] << 4 | y[1::2]
+    return x
+
+
+def _may_link(n: int, m: int, a: bytes, b: bytes, percent: int) -> bool:
+    """False if the marks alone show that sets of n and m shingles overlap too little: a bit that the other lacks is a shingle it lacks."""
+    size = min(len(a), len(b))
+    x, y = _folded(a, size), _folded(b, size)
+    most = min(n - int(np.bitwise_count(x & ~y).sum()), m - int(np.bitwise_count(y & ~x).sum()))
+    return 100 * most >= percent * (n + m - most)
 
 
 def _probe(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, v) whose sets overlap enough: shingles of the smaller set are looked up by binary search in the larger."""
-    both = pairs.select("u", "v").join(sets.select(F.col("rec").alias("u"), F.col("tokens").alias("a")), "u").join(sets.select(F.col("rec").alias("v"), F.col("tokens").alias("b")), "v")
+    """The pairs (u, v) whose sets overlap enough. Marks of a sixteenth of the size go first; then the shingles of the smaller set are
+    looked up by binary search in the larger."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def side(name: str, *columns: str) -> DataFrame:
+        return sets.select(F.col("rec").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in columns))
+
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n, m, x, y = (c.to_pylist() for c in b.columns[2:])
+            yield b.select(["u", "v"]).filter(pa.array([_may_link(*z, percent) for z in zip(n, m, x, y)], pa.bool_()))
+
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             kept = []
             lists = [(c.offsets.to_numpy(), c.values.to_numpy().view(np.uint64)) for c in b.columns[2:]]
@@ -223,7 +304,9 @@ def _probe(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 kept.append(100 * common >= percent * (len(x) + len(y) - common))
             yield b.select(["u", "v"]).filter(pa.array(kept, pa.bool_()))
 
-    return both.select("u", "v", "a", "b").mapInArrow(run, schema="u long, v long")
+    marked = pairs.select("u", "v").join(side("u", "n", "marks"), "u").join(side("v", "n", "marks"), "v").select("u", "v", "n_u", "n_v", "marks_u", "marks_v")
+    maybe = materialize(marked.mapInArrow(sift, schema="u long, v long"), "overlap-maybe")
+    return maybe.join(side("u", "tokens"), "u").join(side("v", "tokens"), "v").select("u", "v", "tokens_u", "tokens_v").mapInArrow(look_up, schema="u long, v long")
 
 
 def merge_skip(lists: list[list[int]], least: int) -> list[int]:
@@ -255,14 +338,33 @@ def merge_skip(lists: list[list[int]], least: int) -> list[int]:
     return out
 
 
+def _in_chunks(lists: DataFrame) -> DataFrame:
+    """List entries (token, rec, m), m their number, with the chunk of about _LIST_ROWS sets that holds them."""
+    return lists.withColumn("chunk", F.pmod(F.xxhash64("rec", "token"), F.ceil(F.col("m") / _LIST_ROWS)))
+
+
+def _first_pairs(short: DataFrame, percent: int) -> DataFrame:
+    """(u, v) to compare first: each set with the least of every list, and in crowded lists with its neighbours in a random order, some
+    _NEIGHBOURS of them over all its lists. That closes dense groups without all their pairs; what it leaves open is searched."""
+    heads = short.groupBy("token").agg(F.min(F.struct("rec", "n")).alias("head"), F.count("*").alias("m")).where("m > 1").select("token", F.col("head.rec").alias("v"), F.col("head.n").alias("vn"), "m")
+    met = materialize(short.join(heads, "token"), "overlap-met")
+    to_head = met.where((F.col("rec") != F.col("v")) & _similar(F.col("n"), F.col("vn"), percent)).select(F.col("rec").alias("u"), "v")
+    drawn = met.where((F.col("m") > _CROWD) & (F.pmod(F.xxhash64("token", "rec"), F.col("lists")) < _NEIGHBOURS))
+    listed = _in_chunks(drawn).groupBy("token", "chunk").agg(F.sort_array(F.collect_list(F.struct(F.xxhash64("token", "rec", F.lit(1)).alias("h"), "rec", "n"))).alias("list"))
+    beside = listed.select(F.explode(F.expr("transform(slice(list, 1, size(list) - 1), (x, i) -> struct(x, list[i + 1] as y))")).alias("p"))
+    beside = beside.where(_similar(F.col("p.x.n"), F.col("p.y.n"), percent)).select(F.greatest("p.x.rec", "p.y.rec").alias("u"), F.least("p.x.rec", "p.y.rec").alias("v"))
+    pairs = materialize(to_head.union(beside).distinct(), "overlap-pairs")
+    discard(met)
+    return pairs
+
+
 def _search(open_: DataFrame, percent: int) -> DataFrame:
     """(u, v): for every set of `open_` (token, rec, n, label) the sets of other components that its merged lists show often enough.
 
     Lists travel in arrays of some _LIST_ROWS sets of like size, and only to sets of like size.
     """
     sizes = open_.groupBy("token").agg(F.count("*").alias("m"))
-    chunked = open_.join(sizes, "token").withColumn("chunk", F.pmod(F.xxhash64("rec"), F.ceil(F.col("m") / _LIST_ROWS)))
-    lists = chunked.groupBy("token", "chunk").agg(F.sort_array(F.collect_list(F.struct("rec", "n", "label"))).alias("list"))
+    lists = _in_chunks(open_.join(sizes, "token")).groupBy("token", "chunk").agg(F.sort_array(F.collect_list(F.struct("rec", "n", "label"))).alias("list"))
     q = open_.select("token", F.col("rec").alias("q"), F.col("n").alias("qn"), F.col("label").alias("ql"))
     smaller = "filter(list, x -> x.label <> ql and (x.n < qn or x.n = qn and x.rec < q) and 100 * x.n >= " + f"{percent} * qn)"
     met = q.join(lists, "token").select("q", "qn", F.expr(f"transform({smaller}, x -> x.rec)").alias("list")).where(F.size("list") > 0)
@@ -300,11 +402,9 @@ def set_links(docs: DataFrame, text_col: str, width: int, percent: int, counted:
     entries = _prefix_lists(docs, text_col, width, percent, common, parts)
     short = materialize(_short_lists(entries, percent), "overlap-lists")
 
-    # First each set against the least of every list: dense groups close with a pair a set and list, not all pairs.
-    heads = short.groupBy("token").agg(F.min(F.struct("rec", "n")).alias("head"), F.count("*").alias("m")).where("m > 1").select("token", F.col("head.rec").alias("v"), F.col("head.n").alias("vn"))
-    pairs = short.join(heads, "token").where((F.col("rec") != F.col("v")) & _similar(F.col("n"), F.col("vn"), percent)).select(F.col("rec").alias("u"), "v").distinct()
-    pairs = materialize(pairs, "overlap-heads")
-    wanted = materialize(short.select("rec").distinct(), "overlap-wanted")
+    pairs = _first_pairs(short, percent)
+    wanted = counted.where("n > 0").join(short.select("rec").distinct(), "rec", "left_semi").groupBy("rec").agg(F.min("text").alias("text"))
+    wanted = materialize(wanted, "overlap-wanted")
     sets = _candidate_sets(docs, text_col, width, wanted)
     first = materialize(connected_components(_probe(pairs, sets, percent)), "overlap-first")
     discard(pairs, wanted)
