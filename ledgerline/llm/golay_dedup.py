@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -115,14 +116,32 @@ def _near(a: str, b: str, bits: int) -> Column:
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= bits
 
 
-#: Beyond this many fingerprints the members of a bucket are not joined pairwise but by exact fifths of their bits.
+#: Beyond this many fingerprints the members of a bucket are not joined pairwise but by four of eight parts of their bits.
 _CROWD = 256
+_FOURS = list(combinations(range(8), 4))
 
 
-def _parts(crowd: int) -> Column:
-    """Where members of a bucket meet: all in one place, or, in a crowd, by each fifth, of which four errors leave one exact."""
-    fifths = [F.struct(F.lit(i).alias("fifth"), F.expr(f"shiftrightunsigned(fp, {13 * i}) & 8191").alias("bits")) for i in range(5)]
-    return F.explode(F.when(F.col("m") <= crowd, F.array(F.struct(F.lit(-1).alias("fifth"), F.lit(0).cast("long").alias("bits")))).otherwise(F.array(*fifths)))
+def _halves(members: DataFrame) -> DataFrame:
+    """(bucket, fp, label, part, bits) for the members (bucket, fp, label) of crowds: where they meet.
+
+    A bucket's key fixes part of the bits, so what tells its members apart is counted: bits are ordered by how evenly the bucket has
+    zeros and ones there and dealt to eight parts in turn. Four errors leave four of the eight parts exact, so members that link share one of
+    the 70 choices of four, each of which holds half of the bits that differ.
+    """
+    ones = [F.sum(F.expr(f"shiftrightunsigned(fp, {i}) & 1")) for i in range(64)]
+    counted = members.groupBy("bucket").agg(F.array(*ones).alias("ones"), F.count("*").alias("size"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fps = b.column(1).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+            ones = b.column(3).flatten().to_numpy(zero_copy_only=False).reshape(-1, 64)
+            order = np.argsort(np.abs(2 * ones - b.column(4).to_numpy(zero_copy_only=False)[:, None]), axis=1, kind="stable")
+            masks = np.stack([(np.uint64(1) << order[:, i::8].astype(np.uint64)).sum(axis=1, dtype=np.uint64) for i in range(8)])
+            for part, four in enumerate(_FOURS):
+                bits = fps & np.bitwise_or.reduce(masks[list(four)], axis=0)
+                yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(np.full(len(fps), part, dtype=np.int32)), pa.array(bits.view(np.int64))], names=["bucket", "fp", "label", "part", "bits"])
+
+    return members.join(counted, "bucket").select("bucket", "fp", "label", "ones", "size").mapInArrow(run, schema="bucket long, fp long, label long, part int, bits long")
 
 
 def fingerprint_links(fps: DataFrame, crowd: int = _CROWD) -> DataFrame:
@@ -130,9 +149,9 @@ def fingerprint_links(fps: DataFrame, crowd: int = _CROWD) -> DataFrame:
 
     Keys meet in one shuffle; a window keeps buckets with two different fingerprints. First each member is checked
     against the least of its bucket, which gives one row a member and closes dense groups; then only buckets that still
-    hold two components are joined pairwise, and only between components. A bucket of more than `crowd` such members is split
-    further: fingerprints within four bits agree in one of five parts of 13 bits, so its members meet by these. So every link between
-    different texts counts towards the components while a group of m copies gives m rows, not m squared.
+    hold two components are joined pairwise, and only between components. Of a bucket of more than `crowd` such members only those meet
+    that agree in half of the bits that tell them apart (see _halves). So every link between different texts counts towards the
+    components while a group of m copies gives m rows, not m squared. An empty table has no links; null fingerprints are not allowed.
     """
     keys = fps.select("fp").mapInArrow(_emit, schema="bucket long, fp long")
     bucket = "min(fp) over (partition by bucket)", "max(fp) over (partition by bucket)"
@@ -142,10 +161,14 @@ def fingerprint_links(fps: DataFrame, crowd: int = _CROWD) -> DataFrame:
     named = met.select("bucket", "fp").join(first.withColumnRenamed("node", "fp"), "fp", "left").select("bucket", "fp", F.coalesce("label", "fp").alias("label"))
     over = "over (partition by bucket)"
     open_ = named.selectExpr("bucket", "fp", "label", f"min(label) {over} as l", f"max(label) {over} as h", f"count(*) {over} as m").where("l <> h").select("bucket", "fp", "label", "m")
-    open_ = materialize(open_.withColumn("part", _parts(crowd)).drop("m"), "golay-open")
+    open_ = materialize(open_, "golay-crowds")
+    some = open_.where(F.col("m") <= crowd).select("bucket", "fp", "label", F.lit(-1).alias("part"), F.lit(0).cast("long").alias("bits"))
+    split = materialize(some.unionByName(_halves(open_.where(F.col("m") > crowd).select("bucket", "fp", "label"))), "golay-open")
+    discard(open_)
+    open_ = split
     discard(met)
-    other = open_.select("bucket", "part", F.col("fp").alias("fp2"), F.col("label").alias("label2"))
-    pairs = open_.join(other, ["bucket", "part"]).where((F.col("label") < F.col("label2")) & _near("fp", "fp2", 4))
+    other = open_.select("bucket", "part", "bits", F.col("fp").alias("fp2"), F.col("label").alias("label2"))
+    pairs = open_.join(other, ["bucket", "part", "bits"]).where((F.col("label") < F.col("label2")) & _near("fp", "fp2", 4))
     second = connected_components(pairs.select(F.col("label2").alias("u"), F.col("label").alias("v")))
     second = materialize(second.select(F.col("node").alias("label"), F.col("label").alias("top")), "golay-second")
     discard(open_)

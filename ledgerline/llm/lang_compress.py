@@ -44,14 +44,13 @@ class Dictionaries:
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_lang: int = 64, max_chars: int = 4096, dict_bytes: int = 32_768, block: int = 2048, max_langs: int = 256) -> Dictionaries:
     """Fit one dictionary a language on a bounded sample of the labelled rows.
 
-    The sample is of three times `docs_per_lang` rows of each language, those with the least hash of id and text among the rows of at
-    most `max_chars` characters; their letters fill `dict_bytes`. Counts by language cover all rows. Null and repeated ids are sampled
-    like others, since the text counts too; rows that repeat each other count once. Rows with a null text or language teach nothing. A
-    language of longer documents only is sampled from these, each cut to `max_chars`. Without a labelled row nothing is learnt.
+    The sample is of three times `docs_per_lang` rows of each language, those with the least hash of id and text among all its rows; of a
+    text of more than `max_chars` characters a stretch of that length is taken, which begins at a place told by the hash. Their letters
+    fill `dict_bytes`. Counts by language cover all rows. Null and repeated ids are sampled like others, since the text counts too; rows
+    that repeat each other count once. Rows with a null text or language teach nothing. Without a labelled row nothing is learnt.
     """
     rows = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"), F.pmod(F.xxhash64(F.col(id_col), F.col(text_col), F.lit(5)), F.lit(_SPACE)).alias("h"))
-    short = F.length("text") <= max_chars
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n"), F.count_if(short).alias("short"), F.min("h").alias("least"), F.min(F.when(short, F.col("h"))).alias("least_short")).limit(max_langs + 1).collect()
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n"), F.min("h").alias("least")).limit(max_langs + 1).collect()
     if len(counts) > max_langs:
         raise ValueError(f"more than {max_langs} languages")
     counts.sort(key=lambda r: (-r["n"], r["lang"]))
@@ -60,10 +59,9 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     wanted, wide = 3 * docs_per_lang, F.lit(None).cast("long")
     for r in counts:
         # Twice what is wanted passes the threshold, so that the order can choose; the least row always does.
-        n, least = (r["short"], r["least_short"]) if r["short"] else (r["n"], r["least"])
-        wide = F.when(F.col("lang") == r["lang"], F.lit(max(least + 1, min(_SPACE, 2 * wanted * _SPACE // n)))).otherwise(wide)
-    only_long = [r["lang"] for r in counts if not r["short"]]
-    drawn = rows.where((short | F.col("lang").isin(only_long)) & (F.col("h") < wide)).select("lang", "h", F.substring("text", 1, max_chars).alias("text")).distinct()
+        wide = F.when(F.col("lang") == r["lang"], F.lit(max(r["least"] + 1, min(_SPACE, 2 * wanted * _SPACE // r["n"])))).otherwise(wide)
+    begin = F.pmod(F.xxhash64("h"), F.greatest(F.length("text") - max_chars, F.lit(0)) + 1).cast("int")
+    drawn = rows.where(F.col("h") < wide).select("lang", "h", F.substring("text", begin + 1, F.lit(max_chars)).alias("text")).distinct()
     first = drawn.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("rank") <= wanted)
     sample = first.select("lang", "rank", "text").collect()
     contents = []

@@ -195,7 +195,10 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.max("cover").alias("score"),
         F.array_sort(F.collect_list(F.when(F.col("found"), F.struct("label", "first", "last", "cover")))).alias("spans"),
     )
-    copied = per_doc.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    # A repeated row comes as often as it stands in the input, by two steps, so that no array holds all its numbers.
+    thousand = 1000
+    some = per_doc.withColumn("_some", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / thousand))))
+    copied = some.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(thousand).cast("long"), F.col("copies") - thousand * F.col("_some")))))
     return copied.select(F.col("id").alias(id_col), "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans")
 
 

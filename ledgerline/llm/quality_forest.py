@@ -9,7 +9,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.llm.common import materialize, ship_package
@@ -126,22 +126,30 @@ class Forest:
 
 
 def fit_forest(stats: DataFrame, trees: int = 100, sample: int = 128, seed: int = 11) -> Forest:
-    """Grow every tree in a task of its own on about `sample` rows drawn by hash from all rows, trees x sample in all."""
+    """Grow every tree in a task of its own on at most `sample` rows drawn from all rows.
+
+    One rule for every size: each row is drawn for each tree with the same chance, told by a hash of row and tree, 1.5 x `sample` being
+    expected a tree, of which `sample` are chosen. Rows that are equal in id and statistics are counted first and drawn by their number, so
+    that repeated rows, null ids among them, weigh as much as others. An empty table grows no tree.
+    """
     n = stats.count()
     if not n:
         return Forest((), sample, 0)
     height = max(1, int(np.ceil(np.log2(sample))))
-    space = 1 << 40
-    draw = F.pmod(F.xxhash64(F.col("id"), *FEATURES, F.lit(seed)), F.lit(space))
-    share = min(1.0, 1.5 * trees * sample / n)
-    # A small table serves every tree whole; of a large one each row serves one tree at most.
-    copies = stats.select("id", *FEATURES, draw.alias("h")).where(F.col("h") < int(share * space))
-    copies = copies.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))) if n <= trees * sample else F.pmod(F.xxhash64("h"), F.lit(trees)).cast("int"))
+    share = min(1.0, 1.5 * sample / n)
+    equal = stats.groupBy("id", *FEATURES).agg(F.count("*").alias("copies")).withColumn("h", F.xxhash64("id", *FEATURES, F.lit(seed)))
+
+    def drawn(tree: Column) -> Column:
+        return F.floor(F.col("copies") * share + F.pmod(F.xxhash64("h", tree), F.lit(1 << 40)) / float(1 << 40)).cast("int")
+
+    copies = equal.withColumn("tree", F.explode(F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: drawn(t) > 0)))
+    copies = copies.select(*FEATURES, "h", "tree", drawn(F.col("tree")).alias("drawn"))
 
     def grow(frame: pd.DataFrame) -> pd.DataFrame:
         tree = int(frame["tree"].iloc[0])
         rng = np.random.default_rng([seed, tree])
         frame = frame.sort_values(["h", *FEATURES])
+        frame = frame.iloc[np.repeat(np.arange(len(frame)), np.minimum(frame["drawn"], 2 * sample))]
         if len(frame) > sample:
             frame = frame.iloc[np.sort(rng.choice(len(frame), sample, replace=False))]
         nodes = grow_tree(frame[FEATURES].to_numpy(dtype=float), rng, height)

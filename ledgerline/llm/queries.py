@@ -133,8 +133,8 @@ ORACLES = {
     """,
     "op10_source_mix": r"""
         WITH RECURSIVE u AS (
-            SELECT doc_id, coalesce(source, '') AS source, coalesce(sum(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+'))), 0)::BIGINT AS n_tokens
-            FROM documents GROUP BY ALL),
+            SELECT doc_id, twin, coalesce(source, '') AS source, coalesce(sum(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+'))), 0)::BIGINT AS n_tokens
+            FROM (SELECT doc_id, source, text, CASE WHEN doc_id IS NULL THEN md5(coalesce(text, '')) END AS twin FROM documents) GROUP BY doc_id, coalesce(source, ''), twin),
         s AS (SELECT source, sum(n_tokens)::BIGINT AS tokens, sum(n_tokens)::DOUBLE / (SELECT sum(n_tokens) FROM u) AS share FROM u GROUP BY source),
         k AS (SELECT count(*) AS n, min(share) AS low, max(share) AS high FROM s WHERE share > 0),
         -- Halve [0, 1] forty times for the entropy, and once more for the repetition limit.
@@ -163,10 +163,10 @@ ORACLES = {
         w AS (SELECT *, floor(repeats + 1e-9)::BIGINT AS whole FROM b),
         v AS (SELECT *, greatest(round((repeats - whole) * tokens), 0)::BIGINT AS rest FROM w),
         c AS (
-            SELECT *, md5('17:' || epoch || ':' || coalesce(doc_id::VARCHAR, '')) AS h
+            SELECT *, md5('17:' || epoch || ':' || coalesce(doc_id::VARCHAR, twin)) AS h
             FROM (SELECT u.*, tokens, weight, repeats, whole, rest, unnest(range(0, CASE WHEN rest > 0 THEN whole + 1 ELSE whole END)) AS epoch FROM u JOIN v USING (source))),
         d AS (SELECT *, ('0x' || substr(h, 1, 8))::BIGINT % least(65536, greatest(1, ceil(tokens / 32768.0)))::BIGINT AS block FROM c),
-        p AS (SELECT *, (sum(n_tokens) OVER (PARTITION BY source, epoch ORDER BY block, h, doc_id ROWS UNBOUNDED PRECEDING) - n_tokens)::BIGINT AS position FROM d)
+        p AS (SELECT *, (sum(n_tokens) OVER (PARTITION BY source, epoch ORDER BY block, h, doc_id, twin ROWS UNBOUNDED PRECEDING) - n_tokens)::BIGINT AS position FROM d)
         SELECT doc_id, source, n_tokens, epoch, block, position, round(weight, 6) AS weight, round(repeats, 6) AS repeats,
                round(coalesce((epoch * tokens + position) / nullif(repeats * tokens, 0), 0.0), 6) AS mix_order
         FROM p WHERE epoch < whole OR position < rest

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.llm.common import materialize, shard_count, small_side
@@ -14,10 +15,19 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def unit_tokens(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    """(id, source, n_tokens); rows that share id and source are one unit. A null source is the empty name, a null text has no token."""
+    """(id, source, twin, n_tokens); rows that share id and source are one unit, and without an id rows that share text and source, whose
+    digest is `twin`. A null source is the empty name, a null text has no token."""
     n = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"), n.alias("n_tokens"))
-    return rows.groupBy("id", "source").agg(F.sum("n_tokens").alias("n_tokens"))
+    rows = docs.select(F.col(id_col).alias("id"), _source(source_col), _twin(id_col, text_col), n.alias("n_tokens"))
+    return rows.groupBy("id", "source", "twin").agg(F.sum("n_tokens").alias("n_tokens"))
+
+
+def _source(source_col: str) -> Column:
+    return F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source")
+
+
+def _twin(id_col: str, text_col: str) -> Column:
+    return F.when(F.col(id_col).isNull(), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))).alias("twin")
 
 
 def source_shares(units: DataFrame) -> DataFrame:
@@ -92,7 +102,7 @@ def source_budgets(shares: DataFrame, alpha: float, budget: int | None = None) -
 
 
 def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", target_entropy: float | None = 0.95, max_repeat: float | None = 2.0, budget: int | None = None, block_tokens: int = 32_768, max_blocks: int = 65_536, seed: int = 17, broadcast_rows: int = 100_000) -> DataFrame:
-    """One row per unit and pass: id, source, n_tokens, weight, repeats, epoch, block, position, mix_order.
+    """One row per unit and pass: id, source, twin (see unit_tokens), n_tokens, weight, repeats, epoch, block, position, mix_order.
 
     Every pass over a source is a permutation of its own: units fall into blocks by a hash of (seed, pass, id), blocks
     follow each other by number and units inside a block by the rest of the hash. The last, partial pass takes the units
@@ -101,7 +111,7 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     to their weights. Running sums stay inside one block, so a source with a third of all rows is spread over its blocks.
 
     Units without tokens join the passes and take no budget. Rows that repeat an id and source are one unit; null sources are
-    one source of the empty name; null ids are one unit a source. Empty tables give no rows; other columns are ignored.
+    one source of the empty name; rows without an id are told apart by their text. Empty tables give no rows; other columns are ignored.
     """
     units = materialize(unit_tokens(docs, id_col, text_col, source_col), "mix-units")
     shares = source_shares(units)
@@ -111,31 +121,47 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
 
     epochs = F.when(F.col("rest") > 0, F.col("whole")).otherwise(F.col("whole") - 1)
     copies = units.join(side, "source").where(epochs >= 0).withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), epochs)))
-    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("epoch").cast("string"), F.coalesce(F.col("id").cast("string"), F.lit(""))).cast("binary"))
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("epoch").cast("string"), F.coalesce(F.col("id").cast("string"), F.col("twin"))).cast("binary"))
     blocks = F.least(F.lit(max_blocks), F.greatest(F.lit(1), F.ceil(F.col("tokens") / F.lit(block_tokens))))
     copies = copies.withColumn("_h", digest).withColumn("block", (F.conv(F.substring("_h", 1, 8), 16, 10).cast("long") % blocks).cast("long"))
 
     # Running sums: over the block totals of a pass, then over the units of a block.
-    inner = copies.selectExpr("*", "sum(n_tokens) over (partition by source, epoch, block order by _h, id rows unbounded preceding) - n_tokens as _in")
+    inner = copies.selectExpr("*", "sum(n_tokens) over (partition by source, epoch, block order by _h, id, twin rows unbounded preceding) - n_tokens as _in")
     sums = copies.groupBy("source", "epoch", "block").agg(F.sum("n_tokens").alias("_n"))
     starts = materialize(sums.selectExpr("source", "epoch", "block", "sum(_n) over (partition by source, epoch order by block rows unbounded preceding) - _n as _start"), "mix-blocks")
     placed = inner.join(F.broadcast(starts) if small_side(starts, broadcast_rows) else starts, ["source", "epoch", "block"])
     placed = placed.withColumn("position", F.col("_start") + F.col("_in")).where((F.col("epoch") < F.col("whole")) | (F.col("position") < F.col("rest")))
     order = F.try_divide(F.col("epoch") * F.col("tokens") + F.col("position"), F.col("repeats") * F.col("tokens"))
-    return placed.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "n_tokens", "weight", "repeats", "epoch", "block", "position", F.coalesce(order, F.lit(0.0)).alias("mix_order"))
+    return placed.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "twin", "n_tokens", "weight", "repeats", "epoch", "block", "position", F.coalesce(order, F.lit(0.0)).alias("mix_order"))
+
+
+def written_order(docs: DataFrame) -> Column:
+    """Where a row stands in a table that was written in order and is read back: by the number of its file, and then inside the file.
+
+    Spark numbers the files of a write by partition, and reads them in any order. 2^25 partitions of up to 64 files with 2^32 rows each are
+    told apart. A table that is not read from files stands as it comes.
+    """
+    try:
+        meta = docs.metadataColumn("_metadata")
+        docs.select(meta.getField("file_name"))
+    except AnalysisException:
+        return F.monotonically_increasing_id()
+    name = meta.getField("file_name")
+    part, piece = F.regexp_extract(name, r"part-(\d+)", 1).cast("long"), F.regexp_extract(name, r"-c(\d+)", 1).try_cast("long")
+    return F.shiftleft(part, 38) + F.shiftleft(F.coalesce(piece, F.lit(0)), 32) + meta.getField("row_index")
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The rows of `docs`, all columns, once for each pass that takes them, dealt and sorted by mix_order.
 
     mix_order is even over [0, 1] in tokens, so slices of it make even partitions without sampling. Rows that share id and source are taken
-    together, null ids and sources like any other; texts without a token come in every pass, long ones whole. An empty table gives no rows.
+    together, without an id those that share the text; texts without a token come in every pass, long ones whole. An empty table gives no rows.
     """
     plan = mix_plan(docs, id_col, text_col, source_col, **options)
-    plan = materialize(plan.select(F.col(id_col).alias("plan_id"), F.col(source_col).alias("plan_source"), "mix_order"), "mix-plan")
+    plan = materialize(plan.select(F.col(id_col).alias("plan_id"), F.col(source_col).alias("plan_source"), F.col("twin").alias("plan_twin"), "mix_order"), "mix-plan")
     # The whole row travels as one struct, so that no column of it can clash with a name used here.
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"))
-    out = rows.join(plan, F.col("id").eqNullSafe(F.col("plan_id")) & (F.col("source") == F.col("plan_source")))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), _source(source_col), _twin(id_col, text_col))
+    out = rows.join(plan, F.col("id").eqNullSafe(F.col("plan_id")) & (F.col("source") == F.col("plan_source")) & F.col("twin").eqNullSafe(F.col("plan_twin")))
     n = shard_count(docs.sparkSession)
     slot = F.least(F.lit(n - 1), F.floor(F.col("mix_order") * n)).cast("int")
     return out.withColumn("slot", slot).repartitionById(n, F.col("slot")).sortWithinPartitions("mix_order", "id").select("row.*")

@@ -10,7 +10,7 @@ from ledgerline.llm import queries
 from ledgerline.llm.components import connected_components
 from ledgerline.llm.exact_dedup import drop_exact_copies, exact_dedup
 from ledgerline.llm.golay import decode, near_indices
-from ledgerline.llm.golay_dedup import drop_near_copies, fuzzy_keys, near_duplicates
+from ledgerline.llm.golay_dedup import drop_near_copies, fingerprint_links, fuzzy_keys, near_duplicates
 from ledgerline.llm.source_mix import mix_plan, mixed_documents, mixing_exponent
 
 SF = "/root/testdata/sf0.01"
@@ -117,8 +117,6 @@ def test_near_copies_are_dropped_by_row_not_by_id(spark):
 
 def test_dense_group_and_chain_of_fingerprints(spark):
     """Fingerprints a few bits apart, in a dense ball and in a chain, close to the same components as all pairs."""
-    from ledgerline.llm.golay_dedup import fingerprint_links
-
     rng = random.Random(7)
     fps = []
     for centre in (rng.getrandbits(64) for _ in range(6)):
@@ -204,7 +202,7 @@ def test_sql(spark, name):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     got = queries.QUERIES[name](spark, SF)
     want = con.execute(queries.ORACLES[name])
@@ -212,3 +210,29 @@ def test_sql(spark, name):
     assert names == sorted(d[0] for d in want.description)
     rows = con.execute(f"SELECT {', '.join(names)} FROM ({queries.ORACLES[name]})").fetchall()
     assert sorted(map(repr, (tuple(r[c] for c in names) for r in got.collect()))) == sorted(map(repr, rows))
+
+
+def test_crowded_bucket_meets_by_bits_that_differ(spark):
+    """Members that share the segments A and C: few pairs for 3,000 of them, and the components of all pairs."""
+    from ledgerline.llm.golay_dedup import _halves
+
+    rng = random.Random(11)
+    low, high = rng.getrandbits(23), rng.getrandbits(18)
+    fps = sorted({high << 46 | rng.getrandbits(23) << 23 | low for _ in range(3000)})
+    fps = [f - (1 << 64) if f >> 63 else f for f in fps]
+    halves = _halves(spark.createDataFrame([(1, f, f) for f in fps], "bucket long, fp long, label long")).groupBy("part", "bits").count()
+    met = halves.selectExpr("sum(count * (count - 1) div 2) as pairs", "sum(count) as n").first()
+    assert met["n"] == 70 * len(fps) and met["pairs"] < len(fps) ** 2 / 2 / 20
+    some = fps[:400]
+    got = {r["node"]: r["label"] for r in fingerprint_links(spark.createDataFrame([(f,) for f in some], "fp long"), 64).collect()}
+    assert [got.get(f, f) for f in some] == components(some, [f & (1 << 64) - 1 for f in some])
+
+
+def test_rows_without_an_id_are_units_of_their_own_text(spark):
+    rows = [(None, f"text {i} " * 5, "a") for i in range(40)] + [(None, "text 1 " * 5, "a"), (1, "x y", "a"), (1, "z", "a"), (2, "x y", "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    plan = mix_plan(docs, max_repeat=1.0)
+    assert plan.where("doc_id is null").select("twin", "epoch").distinct().count() == plan.where("doc_id is null").count() >= 40
+    out = mixed_documents(docs, max_repeat=1.0)
+    assert out.where("doc_id is null").select("text").distinct().count() == 40
+    assert len({r["mix_order"] for r in plan.where("doc_id is null and epoch = 0").collect()}) == 40

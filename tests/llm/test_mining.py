@@ -227,18 +227,3 @@ def test_hard_negatives_awkward_rows(spark):
     none = made.where("id < 0")
     assert hard_negatives(none, none).collect() == []
     assert hard_negatives(made, none).collect() == []
-
-
-@pytest.mark.parametrize("name", ["op11_overlap_join", "op12_phrase_mining", "op13_hard_negatives"])
-def test_sql(spark, name):
-    import duckdb
-
-    from ledgerline.llm import queries
-
-    con = duckdb.connect()
-    for table in ("documents", "embeddings"):
-        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
-    got = queries.QUERIES[name](spark, SF)
-    want = con.execute(queries.ORACLES[name]).fetchall()
-    names = [d[0] for d in con.description]
-    assert sorted(tuple(r[c] for c in names) for r in got.collect()) == sorted(want)

@@ -8,6 +8,7 @@ from brute import awkward, components, empty, simhash
 
 from ledgerline.llm import queries
 from ledgerline.llm.lang_compress import UNKNOWN, learn, letters_of
+from ledgerline.llm.source_mix import mix_plan
 
 SF = "/root/testdata/sf0.001"
 
@@ -33,6 +34,13 @@ def test_pipeline(spark):
     want = {r[0]: lib.encode(r[1]) for r in rows}
     got = corpus_pipeline.run(spark, SF).collect()
     assert {r["doc_id"]: r["ids"] for r in got} == want
+    # Sorted by its place every stretch deals the sources in proportion to their budgets, as the mixing stage sorts them.
+    source = {r[0]: r[2] for r in rows}
+    dealt = [source[r["doc_id"]] for r in sorted(got, key=lambda r: r["mix_order"])]
+    assert len({r["mix_order"] for r in got}) == len(got)
+    kept = spark.createDataFrame([(d, t, s) for d, t, s in rows], "doc_id long, text string, source string")
+    plan = mix_plan(kept, target_entropy=0.95, max_repeat=2.0).orderBy("mix_order", "doc_id").collect()
+    assert dealt == [r["source"] for r in plan]
     # Every source gets at least one pass and at most two.
     assert set(Counter(r["doc_id"] for r in got).values()) <= {1, 2}
 
@@ -43,5 +51,5 @@ def test_stages_keep_columns_and_take_awkward_rows(spark):
             out = stage(spark, docs, SF)
             assert out.columns == docs.columns
             out.count()
-        assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).columns == ["doc_id", "ids", "begins", "ends"]
+        assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).columns == ["doc_id", "mix_order", "ids", "begins", "ends"]
     assert UNKNOWN == "und"

@@ -6,6 +6,7 @@ import unicodedata
 import zlib
 
 import numpy as np
+import xxhash
 import zstandard
 from brute import awkward, empty, held_out, license_base, license_votes, quality_base, spark_xxhash64
 from pyspark.sql import functions as F
@@ -146,9 +147,19 @@ def test_language_by_plain_compression(spark):
     small = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     model = learn(small, docs_per_lang=8)
     rows = [(r["doc_id"], r["text"], r["lang"]) for r in small.collect()]
+
+    def place(h):
+        n = xxhash.xxh64_intdigest(h.to_bytes(8, "little"), 42)
+        return n - (1 << 64) if n >> 63 else n
+
     for lang, content in zip(model.langs, model.contents):
-        own = {(spark_xxhash64(d, t, (5,)) % (1 << 30), t[:4096]) for d, t, g in rows if g == lang and t is not None and len(t) <= 4096}
-        n = sum(g == lang and t is not None and len(t) <= 4096 for _, t, g in rows)
+        own = set()
+        for d, t, g in rows:
+            if g == lang and t is not None:
+                h = spark_xxhash64(d, t, (5,)) % (1 << 30)
+                at = place(h) % (max(len(t) - 4096, 0) + 1)
+                own.add((h, t[at : at + 4096]))
+        n = sum(g == lang and t is not None for _, t, g in rows)
         space = 1 << 30
         own = sorted(x for x in own if x[0] < max(min(own)[0] + 1, min(space, 48 * space // n)))[:24]
         assert content == b" ".join(_plain_letters(t) for _, t in own)[: 32_768]
@@ -269,3 +280,29 @@ def test_ordinal_awkward_rows(spark):
     assert {(r["expected_grade"], r["tail_probability"]) for r in predict(awkward(spark), one).collect()} == {(2.0, 1.0)}
     none = fit(awkward(spark), grades.limit(0), rounds=3)
     assert all(r["expected_grade"] is None and r["kept"] for r in predict(awkward(spark), none).collect())
+
+
+def test_forest_draws_repeated_rows_by_their_number(spark):
+    """Equal rows without an id are drawn as often as their share, whatever the size of the table, and no tree gets more than its sample."""
+    rows = spark.range(20_000).selectExpr("cast(null as long) as doc_id", "'' as text").union(spark.range(20_000).selectExpr("id as doc_id", "repeat(concat('w', id, ' '), 60) as text"))
+    stats = with_features(document_stats(rows))
+    forest = fit_forest(stats, trees=12, sample=64)
+    assert len(forest.trees) == 12
+    # The blank rows are half of every sample, and so a leaf of their own with a mean depth of some 32 rows.
+    x = np.array([[0.0, 0.0, 0.0, 1.0]])
+    assert 0.2 < float(forest.scores(x)[0]) < 0.6
+    one = fit_forest(with_features(document_stats(rows.where("doc_id is null"))), trees=3, sample=64)
+    assert len(one.trees) == 3 and all(len(t[0]) == 1 for t in one.trees)
+
+
+def test_a_repeated_row_comes_as_often_as_it_stands(spark):
+    rows = spark.range(2500).selectExpr("7L as doc_id", "'all rights reserved by us' as text")
+    got = license_scan(rows)
+    assert got.count() == 2500 and got.where("base_labels = 'reserved' and n_base = 1").count() == 2500
+
+
+def test_long_texts_teach_like_short_ones(spark):
+    """A language of mostly long texts is learnt from stretches of them, beginning anywhere."""
+    rows = [(i, f"begin {i} " + "alpha beta gamma " * 3000 + "omega psi", "x") for i in range(30)] + [(100, "kurz", "x")]
+    model = learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.contents[0].count(b"gamma") > 1000 and b"begin" not in model.contents[0][:4000]
