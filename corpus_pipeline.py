@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ledgerline.llm.common import materialize
 from ledgerline.llm.exact_dedup import drop_exact_copies
@@ -10,7 +11,7 @@ from ledgerline.llm.golay_dedup import drop_near_copies
 from ledgerline.llm.lang_compress import drop_rejected, learn
 from ledgerline.llm.piece_codec import encode
 from ledgerline.llm.queries import PIECE_MODEL
-from ledgerline.llm.source_mix import mixed_documents
+from ledgerline.llm.source_mix import mixed_documents, written_order
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,8 +48,12 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids of every document with their byte spans, in the mixed order; a null or empty text has none. Empty in, empty out."""
-    return encode(docs, PIECE_MODEL)
+    """Piece ids of every document with their byte spans, and its place in the mixed order; a null or empty text has no piece.
+
+    The order is that of the written mix: `mix_order` grows with it, over all files. Empty in, empty out.
+    """
+    placed = docs.select(F.struct("doc_id", written_order(docs).alias("mix_order")).alias("place"), "text")
+    return encode(placed, PIECE_MODEL, "place").select("place.*", "ids", "begins", "ends")
 
 
 STAGES = [
