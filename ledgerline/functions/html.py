@@ -22,23 +22,44 @@ class _Node:
     def __init__(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.tag, self.attrs, self.children = tag, attrs, []
 
+    # Markup may be nested to any depth, so the tree is walked with a list of what is still to come, last first.
+
     def text(self) -> str:
-        return "".join(c.text() if isinstance(c, _Node) else c.strip() for c in self.children)
+        out, todo = [], self.children[::-1]
+        while todo:
+            c = todo.pop()
+            if isinstance(c, _Node):
+                todo += c.children[::-1]
+            else:
+                out.append(c.strip())
+        return "".join(out)
 
     def render(self) -> str:
-        head = "".join(f' {k}="{escape(v or "")}"' for k, v in self.attrs)
-        if self.tag in _VOID:
-            return f"<{self.tag}{head}/>"
-        return f"<{self.tag}{head}>{''.join(c.render() if isinstance(c, _Node) else escape(c, quote=False) for c in self.children)}</{self.tag}>"
+        out, todo = [], [self]
+        while todo:
+            c = todo.pop()
+            if isinstance(c, tuple):
+                out.append(c[0])
+            elif isinstance(c, _Node):
+                head = "".join(f' {k}="{escape(v or "")}"' for k, v in c.attrs)
+                out.append(f"<{c.tag}{head}{'/' if c.tag in _VOID else ''}>")
+                if c.tag not in _VOID:
+                    # What is ready stands in a tuple.
+                    todo.append((f"</{c.tag}>",))
+                    todo += c.children[::-1]
+            else:
+                out.append(escape(c, quote=False))
+        return "".join(out)
 
     def own(self, *tags: str) -> list[_Node]:
         """Elements of these tags below this one, outside nested tables and each other."""
-        out = []
-        for c in self.children:
+        out, todo = [], self.children[::-1]
+        while todo:
+            c = todo.pop()
             if isinstance(c, _Node) and c.tag in tags:
                 out.append(c)
             elif isinstance(c, _Node) and c.tag != "table":
-                out += c.own(*tags)
+                todo += c.children[::-1]
         return out
 
 
@@ -112,7 +133,7 @@ def clean_table(html: str | None) -> str | None:
     try:
         parser.feed(html)
         parser.close()
-    except (ValueError, AssertionError, RecursionError):
+    except (ValueError, AssertionError):
         return html
     table = parser.root
     if table is None:

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions.html import clean_tables
-from ledgerline.functions.scalars import strip
-from ledgerline.functions.text import collapse_spaces, tail
+from ledgerline.functions.text import collapse_spaces
 from ledgerline.sources.tables import chunk_id
 
 # Fixed values.
@@ -27,34 +27,66 @@ def merge_chunks(elements: DataFrame, doc: str, target: int = TARGET, overlap: i
     """(doc, pos, kind, section, content) from elements (doc, pos, kind, section, content).
 
     Texts of one section are joined by blank lines; a piece that has reached the target closes before the next text and hands it
-    its tail. A table stands alone; neither it nor a change of section hands anything on. An element is never split. The
-    fold runs inside one row a document, over that document's elements in order.
+    its tail. A table stands alone; neither it nor a change of section hands anything on. An element is never split, a null content
+    counts as empty.
+
+    The elements of a document are sorted together and folded as they stream by: time follows their number and memory holds the
+    piece that is open, however long the document is.
     """
-    piece = "struct<kind:string,section:string,content:string>"
-    state = f"struct<buf:string,section:string,out:array<{piece}>>"
-    listed = elements.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct("pos", "kind", "section", "content"))).alias("_e"))
-    start = F.expr(f"named_struct('buf', cast(null as string), 'section', cast(null as string), 'out', cast(array() as array<{piece}>))")
-
-    def closed(s: Column) -> Column:
-        full = F.coalesce(strip(s["buf"]), F.lit("")) != ""
-        return F.when(full, F.concat(s["out"], F.array(F.struct(F.lit("text").alias("kind"), s["section"].alias("section"), strip(s["buf"]).alias("content"))))).otherwise(s["out"])
-
-    def new(buf: Column, section: Column, out: Column) -> Column:
-        return F.struct(buf.cast("string").alias("buf"), section.cast("string").alias("section"), out.alias("out")).cast(state)
-
-    def add(s: Column, e: Column) -> Column:
-        alone = F.struct(F.lit("table").alias("kind"), e["section"].alias("section"), e["content"].alias("content"))
-        joined = F.concat(s["buf"], F.lit("\n\n"), e["content"])
-        return (
-            F.when(e["kind"] == "table", new(F.lit(None), F.lit(None), F.concat(closed(s), F.array(alone))))
-            .when(s["buf"].isNull(), new(e["content"], e["section"], s["out"]))
-            .when(~s["section"].eqNullSafe(e["section"]), new(e["content"], e["section"], closed(s)))
-            .when(F.length(s["buf"]) >= target, new(F.concat(tail(s["buf"], overlap), F.lit("\n\n"), e["content"]), e["section"], closed(s)))
-            .otherwise(new(joined, s["section"], s["out"]))
-        )
-
-    folded = listed.select(doc, F.aggregate("_e", start, add, closed).alias("_c"))
-    return folded.select(doc, F.posexplode("_c").alias("pos", "c")).select(doc, "pos", "c.*")
+    kind_of = elements.schema[doc].dataType.simpleString()
+    rows = elements.select(F.col(doc).alias("doc"), "pos", "kind", "section", F.coalesce("content", F.lit("")).alias("content"))
+    rows = rows.repartition(F.col("doc")).sortWithinPartitions("doc", "pos", "kind", "section", "content").drop("pos")
+    blank = " \t\n\v\f\r"
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, at, section, held, size = None, 0, None, [], 0
+        out: list[tuple] = []
+
+        def close() -> str:
+            nonlocal at, held, size
+            text = "\n\n".join(held)
+            if text.strip(blank):
+                out.append((key, at, "text", section, text.strip(blank)))
+                at += 1
+            held, size = [], 0
+            return text
+
+        def packed(keys: pa.DataType) -> pa.RecordBatch:
+            kinds = [keys, pa.int32(), pa.string(), pa.string(), pa.string()]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [()] * 5, kinds)], names=["doc", "pos", "kind", "section", "content"])
+
+        keys = pa.null()
+        for b in batches:
+            keys = b.schema.field("doc").type
+            for d, kind, name, content in zip(*(c.to_pylist() for c in b.columns)):
+                if d != key:
+                    close()
+                    key, at = d, 0
+                if kind == "table":
+                    close()
+                    out.append((key, at, "table", name, content))
+                    at += 1
+                    continue
+                if held and name != section:
+                    close()
+                elif held and size >= target:
+                    last = close()
+                    if len(last) > overlap:
+                        last = last[-overlap:] if overlap else ""
+                        last = last[last.find(" ") + 1 :]
+                    held, size = [last], len(last)
+                section = name
+                size += len(content) + (2 if held else 0)
+                held.append(content)
+            if out:
+                yield packed(keys)
+                out.clear()
+        close()
+        if out:
+            yield packed(keys)
+
+    folded = rows.mapInArrow(fold, schema=f"doc {kind_of}, pos int, kind string, section string, content string")
+    return folded.withColumnRenamed("doc", doc)
 
 
 def chunk_rows(merged: DataFrame, doc: str, summaries: DataFrame | None = None, least: int = LEAST, raw_html: Column | None = None, meta: Sequence[Column] | None = None, offset: int = 0) -> DataFrame:

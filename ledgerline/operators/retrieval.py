@@ -94,16 +94,31 @@ def ingest_plan(requested: DataFrame, present: DataFrame, ticker: str = "ticker"
     return wanted.join(present.select(clean_ticker(F.col(ticker)).alias(ticker)).distinct(), ticker, "left_anti")
 
 
-def bm25(candidates: DataFrame, query_col: str = "query", text_col: str = "text", keys: Sequence[str] = ("query_id", "item_id"), k1: float = K1, b: float = B, max_candidates: int = 1000) -> DataFrame:
+def bm25(candidates: DataFrame, query_col: str = "query", text_col: str = "text", keys: Sequence[str] = ("query_id", "item_id"), k1: float = K1, b: float = B, max_candidates: int | None = 1000) -> DataFrame:
     """Candidates with a lexical score; statistics are over the candidates of each query, so these must be fixed before.
 
-    Query terms count once; a query or text without terms scores zero. The candidates of a query are a list cut by rank where it is made
-    (more than `max_candidates` raise): it is folded inside one row, so that candidates are computed and moved once.
+    Query terms count once; a query or text without terms scores zero. Where the candidates of a query are a list cut by rank to at most
+    `max_candidates` it is folded inside one row, so that candidates are computed and moved once (more raise). With None there may be any
+    number of them: counts are aggregated by query and term and joined back, and no query is gathered.
     """
     query, item = keys
     terms, words = F.array_distinct(tokens(F.col(query_col))), tokens(F.col(text_col))
     counted = candidates.withColumn("_words", words).withColumn("_len", F.size("_words")).withColumn("_tf", F.transform(terms, lambda t: F.size(F.filter("_words", lambda w: w == t)))).drop("_words")
     rest = [c for c in candidates.columns if c != query]
+
+    def score(tf: Column, held: Column, length: Column) -> Column:
+        def part(tf: Column, df: Column) -> Column:
+            idf = F.log1p((F.col("_n") - df + 0.5) / (df + 0.5))
+            return F.when(tf > 0, idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / F.col("_avg")))).otherwise(0.0)
+
+        return F.aggregate(F.zip_with(tf, held, part), F.lit(0.0), lambda s, x: s + x)
+
+    if max_candidates is None:
+        sums = counted.groupBy(query).agg(F.count("*").alias("_n"), F.avg("_len").alias("_avg"))
+        terms_in = counted.select(query, F.posexplode("_tf").alias("_i", "_x")).groupBy(query, "_i").agg(F.count_if(F.col("_x") > 0).alias("_d"))
+        held = terms_in.groupBy(query).agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_d"))), lambda x: x["_d"]).alias("_df"))
+        joined = counted.join(sums.join(held, query, "left"), query)
+        return joined.select(*candidates.columns, F.coalesce(score(F.col("_tf"), F.col("_df"), F.col("_len")), F.lit(0.0)).alias("lex_score"))
     listed = counted.groupBy(query).agg(F.collect_list(F.struct(*rest, "_len", "_tf")).alias("_c"))
     listed = listed.withColumn("_c", F.when(F.size("_c") <= max_candidates, F.col("_c")).otherwise(F.raise_error(F.lit(f"more than {max_candidates} candidates of one query"))))
     n = F.size("_c")
@@ -111,15 +126,7 @@ def bm25(candidates: DataFrame, query_col: str = "query", text_col: str = "text"
     zero = F.transform(F.col("_c")[0]["_tf"], lambda x: F.lit(0))
     held = F.aggregate("_c", zero, lambda s, c: F.zip_with(s, c["_tf"], lambda d, x: d + (x > 0).cast("int")))
     listed = listed.withColumns({"_n": n, "_avg": mean, "_df": held})
-
-    def score(c: Column) -> Column:
-        def part(tf: Column, df: Column) -> Column:
-            idf = F.log1p((F.col("_n") - df + 0.5) / (df + 0.5))
-            return F.when(tf > 0, idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * c["_len"] / F.col("_avg")))).otherwise(0.0)
-
-        return F.aggregate(F.zip_with(c["_tf"], F.col("_df"), part), F.lit(0.0), lambda s, x: s + x)
-
-    scored = F.transform("_c", lambda c: F.struct(*(c[x].alias(x) for x in rest), score(c).alias("lex_score")))
+    scored = F.transform("_c", lambda c: F.struct(*(c[x].alias(x) for x in rest), score(c["_tf"], F.col("_df"), c["_len"]).alias("lex_score")))
     return listed.select(query, F.inline(scored)).select(*candidates.columns, "lex_score")
 
 
@@ -135,14 +142,14 @@ def reciprocal_rank_sum(rankings: DataFrame, query: str, item: str, rank: str, k
     return rankings.groupBy(query, item).agg(F.sum(1 / (F.col(rank) + k)).alias("rrf"))
 
 
-def mmr(candidates: DataFrame, top_k: int, query: str = "query_id", item: str = "item_id", rank: str = "rank", text: str = "text", lam: float = MMR_LAMBDA, max_candidates: int = 200) -> DataFrame:
+def mmr(candidates: DataFrame, top_k: int, query: str = "query_id", item: str = "item_id", rank: str = "rank", text: str = "text", lam: float = MMR_LAMBDA) -> DataFrame:
     """(query, item, pick): greedy choice by lam x relevance - (1 - lam) x the largest Jaccard similarity to what is chosen.
 
-    Relevance falls evenly with the rank; of equals the better ranked wins. The candidates of a query are bounded: the list is cut by
-    rank where it is made, over-fetched and at most `max_candidates` long, and the choice folds over it inside one row.
+    Relevance falls evenly with the rank; of equals the better ranked wins. All candidates take part, however many: whoever makes the
+    list cuts it by rank, and the choice folds over it inside one row, so fewer picks are a prefix of more. A query without `top_k`
+    candidates gives all it has.
     """
-    near = candidates.where(F.col(rank) <= max_candidates)
-    listed = near.groupBy(query).agg(F.array_sort(F.collect_list(F.struct(F.col(rank).alias("r"), F.col(item).alias("i"), F.array_distinct(tokens(F.col(text))).alias("w")))).alias("_c"))
+    listed = candidates.groupBy(query).agg(F.array_sort(F.collect_list(F.struct(F.col(rank).alias("r"), F.col(item).alias("i"), F.array_distinct(tokens(F.col(text))).alias("w")))).alias("_c"))
     kind = candidates.schema[item].dataType.simpleString()
     state = f"struct<left:array<struct<r:int,i:{kind},rel:double,sim:double,w:array<string>>>,picked:array<{kind}>>"
     n = F.size("_c")
@@ -167,9 +174,9 @@ def mmr(candidates: DataFrame, top_k: int, query: str = "query_id", item: str =
 
 
 def search(candidates: DataFrame, top_k: int, **options) -> DataFrame:
-    """Candidates (query_id, query, item_id, text, vec_rank) through lexical scores, fusion and diversity to the top k."""
+    """Candidates (query_id, query, item_id, text, vec_rank) through lexical scores, fusion and diversity to the top k, of any size."""
     pool = candidates.where(F.col("vec_rank") <= max(top_k * OVERFETCH, top_k))
-    return mmr(fuse(bm25(pool)), top_k, **options)
+    return mmr(fuse(bm25(pool, max_candidates=1000 if top_k * OVERFETCH <= 1000 else None)), top_k, **options)
 
 
 def context_text(rows: DataFrame, query: str, order: str, title: Column, payload: Column) -> DataFrame:

@@ -716,6 +716,7 @@ def section_carry_forward(spark, sf):
 
 
 _USABLE = r"""u AS (SELECT conv_id, turn, role, substr(x, 1, {w}) AS x FROM (SELECT conv_id, turn, role, regexp_replace(text, '^\s+|\s+$', '', 'g') AS x FROM conversations WHERE role IN ('user', 'assistant')) WHERE x <> '')"""
+_WHOLE = _USABLE.format(w=1).replace("substr(x, 1, 1) AS x", "x")
 
 
 @query("WITH " + _USABLE.format(w=600) + ", k AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 6) SELECT conv_id, count(*) AS n_turns, string_agg(CASE role WHEN 'user' THEN 'User: ' ELSE 'Assistant: ' END || x, chr(10) ORDER BY turn) AS history FROM k GROUP BY conv_id")
@@ -723,7 +724,7 @@ def history_window(spark, sf):
     return conversation.history(t(spark, sf, "conversations"))
 
 
-@query("WITH " + _USABLE.format(w=1000000) + r", f AS (SELECT conv_id, arg_max(x, turn) FILTER (role = 'user') AS message, max(turn) FILTER (role = 'user') AS a, min(turn) AS b FROM u GROUP BY conv_id) SELECT conv_id, message, b < a AND NOT regexp_matches(message, '\b[A-Z]{2,5}\b') AND len(regexp_split_to_array(message, '\s+')) < 12 AS rewrite FROM f WHERE message IS NOT NULL")
+@query("WITH " + _WHOLE + r", f AS (SELECT conv_id, arg_max(x, turn) FILTER (role = 'user') AS message, max(turn) FILTER (role = 'user') AS a, min(turn) AS b FROM u GROUP BY conv_id) SELECT conv_id, message, b < a AND NOT regexp_matches(message, '\b[A-Z]{2,5}\b') AND len(regexp_split_to_array(message, '\s+')) < 12 AS rewrite FROM f WHERE message IS NOT NULL")
 def needs_rewrite(spark, sf):
     return conversation.follow_ups(t(spark, sf, "conversations"))
 
@@ -904,19 +905,19 @@ def loop_guards(spark, sf):
     return retrieval.loop_stops(steps, "run", "step", "signature", "new_ids")
 
 
-@query(f"WITH {_POOL} SELECT query_id, string_agg('[' || vec_rank || '] Document ' || item_id || chr(10) || substr(text, 1, 80), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY vec_rank) AS context FROM c WHERE vec_rank <= 3 GROUP BY query_id")
+@query(f"WITH {_POOL} SELECT query_id, string_agg('[' || vec_rank || '] Document ' || item_id || chr(10) || text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY vec_rank) AS context FROM c WHERE vec_rank <= 3 GROUP BY query_id")
 def prompt_context(spark, sf):
-    return retrieval.context_text(_pool(spark, sf, 3), "query_id", "vec_rank", F.concat(F.lit("Document "), F.col("item_id").cast("string")), F.substring("text", 1, 80))
+    return retrieval.context_text(_pool(spark, sf, 3), "query_id", "vec_rank", F.concat(F.lit("Document "), F.col("item_id").cast("string")), F.col("text"))
 
 
 @query(r"""
     WITH l AS (SELECT doc_id, i - 1 AS pos, x[i] AS content FROM (SELECT doc_id, x, unnest(range(1, len(x) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents)))
     SELECT doc_id, pos::INTEGER AS pos, CASE WHEN pos % 3 = 0 THEN 'table' ELSE 'text' END AS chunk_type, CASE WHEN pos % 6 = 0 THEN 'Table of ' || length(content) || ' characters' ELSE content END AS text_content,
-           'D' || doc_id || '_10-K_2024_FY_' || lpad((pos + 100)::VARCHAR, 5, '0') AS chunk_id
-    FROM l WHERE regexp_matches(content, '\S') AND length(content) >= 200 AND pos + 100 < 100000
+           'D' || doc_id || '_10-K_2024_FY_' || format('{:05d}', pos + 100) AS chunk_id
+    FROM l WHERE regexp_matches(content, '\S') AND length(content) >= 200
 """)
 def table_summaries(spark, sf):
-    lines = _lines(spark, sf).where("pos + 100 < 100000").withColumn("kind", F.when(F.col("pos") % 3 == 0, "table").otherwise("text"))
+    lines = _lines(spark, sf).withColumn("kind", F.when(F.col("pos") % 3 == 0, "table").otherwise("text"))
     summaries = lines.where("pos % 6 = 0").select("doc_id", "pos", F.format_string("Table of %d characters", F.length("content")).alias("summary"))
     meta = (F.concat(F.lit("D"), F.col("doc_id").cast("string")), F.lit("10-K"), F.lit(2024), F.lit("FY"))
     return chunking.chunk_rows(lines, "doc_id", summaries, meta=meta, offset=100).select("doc_id", "pos", "chunk_type", "text_content", "chunk_id")
@@ -934,13 +935,13 @@ def section_groups(spark, sf):
     return grouped.select("doc_id", "section", F.size("c").alias("n"), F.sha2(F.array_join("c", "\n"), 256).alias("sha256"))
 
 
-@query("WITH " + _USABLE.format(w=1000000) + """, m AS (SELECT conv_id, arg_max(x, turn) AS msg FROM u WHERE role = 'user' AND conv_id % 2 = 0 GROUP BY conv_id),
+@query("WITH " + _WHOLE + """, m AS (SELECT conv_id, arg_max(x, turn) AS msg FROM u WHERE role = 'user' AND conv_id % 2 = 0 GROUP BY conv_id),
     k AS (SELECT u.*, row_number() OVER (PARTITION BY u.conv_id ORDER BY turn DESC) AS r, msg FROM u LEFT JOIN m USING (conv_id)),
     j AS (SELECT * FROM k WHERE NOT (r = 1 AND role = 'user' AND x IS NOT DISTINCT FROM msg) QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 6)
     SELECT conv_id, count(*) AS n_turns, string_agg(CASE role WHEN 'user' THEN 'User: ' ELSE 'Assistant: ' END || substr(x, 1, 1000), chr(10) ORDER BY turn) AS history FROM j GROUP BY conv_id""")
 def synthesis_history(spark, sf):
     turns = t(spark, sf, "conversations")
-    messages = conversation.usable_turns(turns, 1_000_000).where("role = 'user' and conv_id % 2 = 0").groupBy("conv_id").agg(F.max_by("text", "turn").alias("message"))
+    messages = conversation.usable_turns(turns, None).where("role = 'user' and conv_id % 2 = 0").groupBy("conv_id").agg(F.max_by("text", "turn").alias("message"))
     return conversation.synthesis_history(turns, messages)
 
 

@@ -36,7 +36,8 @@ def with_schema(df: DataFrame, schema: T.StructType, defaults: dict[str, object]
 
 
 def chunk_id(ticker: Column, form: Column, year: Column, quarter: Column, index: Column) -> Column:
-    return F.concat_ws("_", ticker, form, year.cast("string"), quarter, F.lpad(index.cast("string"), 5, "0"))
+    """The filing and the place, padded to five digits and never cut."""
+    return F.concat_ws("_", ticker, form, year.cast("string"), quarter, F.format_string("%05d", index.cast("long")))
 
 
 def write_chunks(chunks: DataFrame, path: str, dim: int) -> None:
