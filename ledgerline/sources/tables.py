@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerline.functions.vectors import checked
+from ledgerline.sources.store import Store
 
 FILING = ("ticker", "document_type", "filing_year", "filing_quarter")
 CHUNKS = T.StructType(
@@ -43,17 +44,19 @@ def chunk_id(ticker: Column, form: Column, year: Column, quarter: Column, index:
 def write_chunks(chunks: DataFrame, path: str, dim: int) -> None:
     """Replace the filings that occur among the chunks, and only these; vectors of another width raise.
 
-    The table is partitioned by filing, so a replacement overwrites whole partitions and needs no read of the others.
+    The replacement is one commit of a store: readers see the filings as they were until all are written, also if the write fails.
     """
     rows = with_schema(chunks, CHUNKS).withColumn("vector", checked(F.col("vector"), dim))
-    rows.repartition(*FILING).sortWithinPartitions(*FILING, "chunk_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*FILING).parquet(path)
+    Store(chunks.sparkSession, path).replace(rows, FILING)
 
 
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:
     """The chunk table; columns that older files lack hold the default of their type: '' for text, 0 for numbers, else null."""
-    stored = spark.read.option("mergeSchema", "true").parquet(path)
+    stored = Store(spark, path).read()
+    if stored is None:
+        return spark.createDataFrame([], CHUNKS)
     blank = {f.name: "" if f.dataType.typeName() == "string" else 0 if f.dataType.typeName() == "integer" else None for f in CHUNKS.fields}
-    # Files of one table may differ in their columns.
+    # Commits of one table may differ in their columns.
     return with_schema(stored, CHUNKS, blank).fillna({k: v for k, v in blank.items() if v is not None})
 
 

@@ -4,46 +4,34 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ledgerline.operators.facts import FACT_KEY, newest_wins
+from ledgerline.sources.store import Store
 
 
 def merge_stream(stream: DataFrame, path: str, checkpoint: str, keys: Sequence[str] = FACT_KEY, date_col: str = "filing_date", partition_col: str = "ticker", once: bool = True) -> StreamingQuery:
-    """Merge a stream of facts into the Parquet table at `path`, partitioned by `partition_col`.
+    """Merge a stream of facts into the store at `path`; readers see each micro-batch whole or not at all.
 
-    A micro-batch rewrites only the partitions that occur in it. Its merged rows go to a side folder first, as a table
-    cannot be read and overwritten in one job; a batch that is run again gives the same table, since an equal fact of the same
-    batch replaces itself.
+    A micro-batch replaces the rows of the `partition_col` values that occur in it by their merge with what is stored. Its number is
+    published with it, so a batch that runs again after a failure changes nothing.
     """
-    spark = stream.sparkSession
-    schema = stream.schema
+    store = Store(stream.sparkSession, path)
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        fresh = batch.withColumn("_batch", F.lit(batch_id).cast("long")).withColumn("_seq", F.monotonically_increasing_id())
-        touched = fresh.select(partition_col).distinct()
-        side = f"{checkpoint}/side"
-        parts = [fresh]
-        if _exists(spark, path):
-            old = spark.read.schema(schema).parquet(path).join(touched, partition_col, "left_semi")
-            parts.append(old.withColumn("_batch", F.lit(-1).cast("long")).withColumn("_seq", F.lit(0).cast("long")))
-        both = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-        newest_wins(both, keys, date_col, F.desc("_batch"), F.desc("_seq")).drop("_batch", "_seq").write.mode("overwrite").parquet(side)
-        done = spark.read.schema(schema).parquet(side)
-        done.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition_col).parquet(path)
+        fresh = batch.withColumn("_new", F.lit(1)).withColumn("_seq", F.monotonically_increasing_id())
+        stored = store.read()
+        if stored is not None:
+            old = stored.join(batch.select(partition_col).distinct(), partition_col, "left_semi")
+            fresh = fresh.unionByName(old.withColumn("_new", F.lit(0)).withColumn("_seq", F.lit(0).cast("long")), allowMissingColumns=True)
+        store.replace(newest_wins(fresh, keys, date_col, F.desc("_new"), F.desc("_seq")).drop("_new", "_seq"), [partition_col], (checkpoint, batch_id))
 
     writer = stream.writeStream.foreachBatch(merge).option("checkpointLocation", f"{checkpoint}/log")
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
-
-
 def windowed_counts(events: DataFrame, time_col: str, key: str, value: str, width: str = "1 day", late: str = "1 day") -> DataFrame:
     """Counts and sums by window and key, for streams with a watermark and for tables alike."""
     return events.withWatermark(time_col, late).groupBy(F.window(time_col, width).alias("w"), key).agg(F.count("*").alias("n"), F.sum(value).alias("total")).select(F.col("w.start").alias("start"), key, "n", "total")

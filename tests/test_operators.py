@@ -12,6 +12,7 @@ from ledgerline.functions import html, scalars, text
 from ledgerline.operators import catalog, chunking, conversation, evaluation, facts, holdings, retrieval, valuation, watchlist
 from ledgerline.plans import catalogue
 from ledgerline.sources import boundary, tables, taxonomy
+from ledgerline.sources.store import Conflict, Store
 from ledgerline.streaming import facts_stream
 
 
@@ -417,6 +418,42 @@ def test_chunk_fold_against_a_plain_one(spark):
     assert kept.agg(F.min(F.length("content"))).first()[0] >= 200
 
 
+def test_long_documents_fold_in_a_stream(spark):
+    """A hundred thousand elements of one section, nulls and empty texts among them, are folded as a plain loop does."""
+    rows = spark.range(100_000).selectExpr("cast(id % 2 as int) as doc_id", "cast(id as int) as pos", "'text' as kind", "'A' as section", "if(id % 7 = 0, null, repeat(concat('w', id % 10, ' '), cast(id % 30 as int))) as content")
+    got = chunking.merge_chunks(rows, "doc_id").orderBy("doc_id", "pos").collect()
+    for d in (0, 1):
+        own = [("text", "A", "" if i % 7 == 0 else f"w{i % 10} " * (i % 30)) for i in range(d, 100_000, 2)]
+        assert [r["content"] for r in got if r["doc_id"] == d] == [c for _, _, c in fold(own)]
+
+
+def test_chunk_ids_are_never_cut(spark):
+    ids = spark.createDataFrame([(7,), (12345,), (123456,)], "i int").select(tables.chunk_id(F.lit("A"), F.lit("10-K"), F.lit(2023), F.lit("FY"), F.col("i")).alias("c"))
+    assert [r["c"] for r in ids.collect()] == ["A_10-K_2023_FY_00007", "A_10-K_2023_FY_12345", "A_10-K_2023_FY_123456"]
+
+
+def test_deeply_nested_tables():
+    deep = "<b>" * 5000 + "12" + "</b>" * 5000
+    assert html.clean_table(f"<table><tr><td>{deep}</td></tr></table>") == f"<table><tbody><tr><td>{deep}</td></tr></tbody></table>"
+
+
+def test_mmr_takes_all_candidates(spark):
+    rng = random.Random(5)
+    words = [" ".join(rng.choice("abcdefghij") for _ in range(rng.randrange(5))) for _ in range(300)]
+    rows = spark.createDataFrame([(1, i, i + 1, w) for i, w in enumerate(words)], "query_id int, item_id int, rank int, text string")
+    got = [r["item_id"] for r in retrieval.mmr(rows, 250).orderBy("pick").collect()]
+    assert got == greedy([(i, frozenset(w.split())) for i, w in enumerate(words)], 250, 0.7)
+    assert [r["item_id"] for r in retrieval.mmr(rows, 40).orderBy("pick").collect()] == got[:40]
+
+
+def test_bm25_of_any_number_of_candidates(spark):
+    rows = spark.range(60).selectExpr("id % 2 as query_id", "id as item_id", "if(id % 2 = 0, 'red fox', '') as query", "concat_ws(' ', repeat('red ', cast(id % 5 as int)), if(id % 3 = 0, 'fox', 'dog')) as text", "id + 1 as vec_rank")
+    listed, wide = ({(r["query_id"], r["item_id"]): round(r["lex_score"], 12) for r in retrieval.bm25(rows, max_candidates=n).collect()} for n in (1000, None))
+    assert listed == wide and len(wide) == 60 and max(wide.values()) > 0
+    with pytest.raises(Exception, match="more than 10"):
+        retrieval.bm25(rows, max_candidates=10).collect()
+
+
 def test_sections_and_summaries(spark):
     rows = spark.createDataFrame([(1, 0, "text", "intro"), (1, 1, "text", "Item 1.  Business"), (1, 2, "text", "body"), (1, 3, "table", "t" * 300)], "doc_id int, pos int, kind string, content string")
     got = chunking.carry_sections(rows, "doc_id", "pos", text.is_header(F.col("content")), F.col("content"))
@@ -519,13 +556,46 @@ def test_stream_of_facts(spark, tmp_path):
         spark.createDataFrame(list(rows), schema).write.mode("append").parquet(src)
         q = facts_stream.merge_stream(spark.readStream.schema(schema).parquet(src), out, log)
         q.awaitTermination()
-        return {(r["ticker"], r["value"]) for r in spark.read.schema(schema).parquet(out).collect()}
+        return {(r["ticker"], r["value"]) for r in Store(spark, out).read().collect()}
 
     assert push(("A", "revenue", "2023", 1.0, "2024-01-02"), ("B", "revenue", "2023", 1.0, None)) == {("A", 1.0), ("B", 1.0)}
     assert push(("A", "revenue", "2023", 2.0, "2024-01-01")) == {("A", 1.0), ("B", 1.0)}
     assert push(("A", "revenue", "2023", 3.0, "2024-01-02"), ("B", "revenue", "2023", 4.0, "2024-01-01")) == {("A", 3.0), ("B", 4.0)}
 
 
+def test_store_is_seen_whole(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    assert store.read() is None and store.compact() == 0
+
+    store.replace(spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (None, "n")], "k int, x string"), ["k"])
+    store.replace(spark.createDataFrame([(1, "d"), (3, "e")], "k int, x string"), ["k"])
+    want = [(1, "d"), (2, "c"), (3, "e")]
+    assert sorted(r for r in ((r["k"], r["x"]) for r in store.read().collect()) if r[0]) == want
+    store.replace(spark.createDataFrame([(None, "m")], "k int, x string"), ["k"])
+    assert [r["x"] for r in store.read().where("k is null").collect()] == ["m"]
+    store.replace(spark.createDataFrame([(9, "z")], "k int, x string").where("k < 0"), ["k"])
+    # A write that fails leaves the table as it was; a tag is taken once.
+    bad = spark.createDataFrame([(2, "bad")], "k int, x string").withColumn("x", F.raise_error(F.lit("no")).cast("string"))
+    with pytest.raises(Exception, match="no"):
+        store.replace(bad, ["k"])
+    assert [r for r in ((r["k"], r["x"]) for r in store.read().where("k is not null").orderBy("k").collect())] == want
+    store.replace(spark.createDataFrame([(2, "t")], "k int, x string"), ["k"], ("s", 4))
+    store.replace(spark.createDataFrame([(2, "u")], "k int, x string"), ["k"], ("s", 4))
+    assert (2, "t") in {(r["k"], r["x"]) for r in store.read().collect()}
+    # Two writers of one version: the second raises, and its rows are not seen.
+    state = store.state()
+    store._publish(state | {"version": state["version"] + 1})
+    with pytest.raises(Conflict):
+        store._publish(state | {"version": state["version"] + 1, "commits": []})
+    before = {(r["k"], r["x"]) for r in store.read().collect()}
+    store.compact()
+    assert store.vacuum() > 5 and {(r["k"], r["x"]) for r in store.read().collect()} == before
+    assert len(store.state()["commits"]) == 1
+    # A column that comes later is null in older rows.
+    store.replace(spark.createDataFrame([(2, "v", 1.5)], "k int, x string, y double"), ["k"])
+    assert {(r["k"], r["y"]) for r in store.read().collect()} == {(1, None), (2, 1.5), (3, None), (None, None)}
+
+
 def test_windowed_counts_on_a_table(spark):
     events = spark.read.parquet("/root/testdata/sf0.001/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     got = facts_stream.windowed_counts(events, "ts", "event_type", "value")
