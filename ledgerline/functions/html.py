@@ -239,3 +239,68 @@ def partition(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
     return pages.select(id_col, F.posexplode(split(F.col(html_col))).alias("pos", "b")).select(id_col, "pos", "b.*")
 
 
+
+
+# What may stand in a table that is shown.
+ALLOWED_TAGS = {"table", "thead", "tbody", "tfoot", "tr", "td", "th", "caption", "colgroup", "col", "span", "br"}
+ALLOWED_ATTRIBUTES = {"colspan", "rowspan", "scope"}
+#: Elements whose content is no text to show, and goes with them.
+_OPAQUE = {"script", "style", "iframe", "object", "embed", "svg", "noscript", "template", "title", "textarea", "select", "math", "audio", "video", "head"}
+
+
+class _Allowed(HTMLParser):
+    """Markup rewritten from allowed tags and attributes; a tag that is not allowed goes and its content stays, unless it is opaque."""
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.out, self.open, self.mute = [], [], []
+
+    def handle_starttag(self, tag, attrs):
+        if self.mute or tag in _OPAQUE:
+            # Only the same tag can end what is muted.
+            if not self.mute or tag == self.mute[-1]:
+                self.mute.append(tag)
+            return
+        if tag in ALLOWED_TAGS:
+            seen = dict((k, v) for k, v in reversed(attrs) if k in ALLOWED_ATTRIBUTES)
+            head = "".join(f' {k}="{escape(v or "")}"' for k, v in reversed(seen.items()))
+            self.out.append(f"<{tag}{head}>")
+            if tag not in _VOID:
+                self.open.append(tag)
+
+    def handle_startendtag(self, tag, attrs):
+        if not self.mute and tag not in _OPAQUE:
+            self.handle_starttag(tag, attrs)
+
+    def handle_endtag(self, tag):
+        if self.mute:
+            if tag == self.mute[-1]:
+                self.mute.pop()
+        elif tag in self.open:
+            while (last := self.open.pop()) != tag:
+                self.out.append(f"</{last}>")
+            self.out.append(f"</{tag}>")
+
+    def handle_data(self, data):
+        if not self.mute:
+            self.out.append(escape(data, quote=False))
+
+
+def sanitize(html: str | None) -> str | None:
+    """HTML of allowed tags and attributes only, every element closed; comments, declarations and opaque elements go. Null stays null."""
+    if html is None:
+        return None
+    parser = _Allowed()
+    parser.feed(html)
+    parser.close()
+    return "".join(parser.out) + "".join(f"</{t}>" for t in reversed(parser.open))
+
+
+def sanitized(html: Column) -> Column:
+    """sanitize over a column, in Arrow batches."""
+
+    @F.pandas_udf("string")
+    def run(pages: pd.Series) -> pd.Series:
+        return pages.map(sanitize, na_action="ignore")
+
+    return run(html)

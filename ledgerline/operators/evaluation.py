@@ -33,6 +33,22 @@ def report(ranks: DataFrame, ks: Sequence[int] = (1, 3, 5), digits: int = 4) ->
     return ranks.agg(F.count("*").alias("n"), *hits, mrr)
 
 
+def report_text(ranks: DataFrame, cases: DataFrame, ks: Sequence[int] = (1, 3, 5), case: str = "case_id", title: str = "Retrieval eval") -> DataFrame:
+    """One row, column `text`: a line a case with its rank, ticker and query, and the totals under a rule.
+
+    `cases` has ticker and query. A report is read by people: its cases are a stated set, and their lines are joined in one row.
+    """
+    rank = F.coalesce(F.col("first_rank").cast("string"), F.lit("\u2014"))
+    line = F.concat(F.lit("  rank="), F.lpad(rank, 3, " "), F.lit("  "), F.rpad("ticker", F.greatest(F.lit(6), F.length("ticker")), F.lit(" ")), F.lit(" "), F.substring("query", 1, 54))
+    lines = ranks.join(cases, case).select(F.col(case).alias("o"), line.alias("t"))
+    body = lines.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o", "t"))), lambda x: x["t"]), "\n").alias("body"))
+    totals = report(ranks, ks)
+    hits = [F.concat(F.lit(f"hit@{k}="), F.col(f"hit_{k}").cast("string")) for k in ks]
+    foot = F.concat(F.lit("  n="), F.col("n").cast("string"), F.lit("  MRR="), F.col("mrr").cast("string"), F.lit("  "), F.concat_ws("  ", *hits))
+    parts = [F.lit(""), F.lit(title), F.lit("=" * 40), F.nullif("body", F.lit("")), F.lit("-" * 40), foot]
+    return body.join(totals, F.lit(True)).select(F.array_join(F.array_compact(F.array(*parts)), "\n").alias("text"))
+
+
 def run_cases(cases: DataFrame, chunks: DataFrame, filters: dict[str, str], measure: Column, match: Column, item: str, top_k: int = 5, ks: Sequence[int] = (1, 3, 5), case: str = "case_id") -> tuple[DataFrame, DataFrame]:
     """(ranks, report) of searching every case within its own filters.
 

@@ -124,6 +124,16 @@ def coverage(tickers: DataFrame, facts: DataFrame) -> DataFrame:
     return tickers.join(seen, "ticker", "left").select("ticker", F.coalesce("core", F.lit(False)).alias("covered"), message.alias("message"))
 
 
+def ingest_facts(requested: DataFrame, rows: DataFrame, filings: DataFrame, concepts: DataFrame, stored: DataFrame, force: bool = False) -> DataFrame:
+    """The stored facts after an ingest of facts alone: reported rows of requested tickers without facts (all requested ones, if forced)
+    become facts, those of periods that do not add up lose confidence, and all are merged with what is stored, newest filing first."""
+    wanted = to_ingest(requested, stored, force)
+    # The tickers are narrow: only the filings that are wanted meet their rows.
+    fresh = extract(rows, filings.join(wanted, "ticker", "left_semi"), concepts)
+    flagged = flag_low_confidence(fresh).withColumn("arrival_seq", F.lit(0).cast("long"))
+    return upsert(stored, flagged)
+
+
 def to_ingest(requested: DataFrame, facts: DataFrame, force: bool = False) -> DataFrame:
     """Requested tickers, cleaned and distinct, without those that have facts."""
     wanted = requested.select(F.upper(strip(F.col("ticker"))).alias("ticker")).where("ticker <> ''").distinct()

@@ -190,6 +190,17 @@ def first_seen(rows: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(order))).where("_n = 1").drop("_n")
 
 
+def new_ids(steps: DataFrame, run: str, step: str, ids: str) -> DataFrame:
+    """(run, step, new_ids): how many ids of each step no earlier step of its run had; ids that repeat inside a step count once.
+
+    A null or empty list brings none. Each id's first step is found by an aggregate, so no run is gathered.
+    """
+    seen = steps.select(run, step, F.explode(ids).alias("_id")).where(F.col("_id").isNotNull())
+    first = seen.groupBy(run, "_id").agg(F.min(step).alias(step))
+    fresh = first.groupBy(run, step).agg(F.count("*").alias("new_ids"))
+    return steps.select(run, step).distinct().join(fresh, [run, step], "left").select(run, step, F.coalesce("new_ids", F.lit(0)).cast("long").alias("new_ids"))
+
+
 def loop_stops(steps: DataFrame, run: str, step: str, signature: str, new_ids: str, max_steps: int = 5) -> DataFrame:
     """(run, step, reason) of the first step that ends a run: the same action twice, a search without new ids, or the last step."""
     w = Window.partitionBy(run).orderBy(step)
