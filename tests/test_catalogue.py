@@ -62,3 +62,9 @@ def _scans(spark, name, table):
 )
 def test_tables_are_scanned_once(spark, name, table, most):
     assert 1 <= _scans(spark, name, table) <= most
+
+
+def test_index_recall_on_the_table(spark):
+    got = catalogue.QUERIES["vector_index_topk"](spark, SF).groupBy("query_id").agg({"recall": "first", "*": "count"}).collect()
+    assert len(got) == 10 and all(r["count(1)"] == 20 for r in got)
+    assert sum(r["first(recall)"] for r in got) / len(got) >= 0.9

@@ -3,13 +3,16 @@
 import datetime as dt
 import itertools
 import json
+import os
 import random
+import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from ledgerline.functions import html, scalars, text
-from ledgerline.operators import catalog, chunking, conversation, evaluation, facts, holdings, retrieval, valuation, watchlist
+from ledgerline.operators import catalog, chunking, conversation, evaluation, facts, holdings, retrieval, similarity, valuation, vector_index, watchlist
 from ledgerline.plans import catalogue
 from ledgerline.sources import boundary, tables, taxonomy
 from ledgerline.sources.store import Conflict, Store
@@ -604,3 +607,95 @@ def test_windowed_counts_on_a_table(spark):
 
 def test_catalogue_names_are_unique():
     assert len(catalogue.QUERIES) > 50
+
+
+def test_vector_index_finds_most_and_holds_all(spark, tmp_path):
+    rng = np.random.default_rng(0)
+    centres = rng.normal(size=(12, 16))
+    data = [(i, [float(x) for x in centres[i % 12] + 0.4 * rng.normal(size=16)]) for i in range(900)] + [(900, None), (901, [0.0] * 16)]
+    rows = spark.createDataFrame(data, "id long, v array<double>")
+    index = vector_index.build_index(rows, str(tmp_path / "index"), "id", "v", k=10, trials=40)
+    assert {r["item_id"] for r in index.rows(spark).collect()} == set(range(902)) - {900}
+    queries = rows.where("id % 50 = 0")
+    exact = retrieval.vector_top_k(rows.where("v is not null"), queries.where("v is not null"), 10, "id", "v", "id", "v")
+    for broadcast in (10_000, 0):
+        found = vector_index.search_index(index, queries, 10, "id", "v", broadcast_rows=broadcast)
+        assert vector_index.recall(found, exact).agg(F.avg("recall")).first()[0] >= 0.9
+    whole = vector_index.search_index(index, queries, 10, "id", "v", probes=1000)
+    assert {tuple(r) for r in whole.select("query_id", "item_id", "vec_rank").collect()} == {tuple(r) for r in exact.select("query_id", "item_id", "vec_rank").collect()}
+    assert index.probes < len(index.centroids)
+    assert vector_index.build_index(rows.limit(100), str(tmp_path / "none"), "id", "v") is None
+
+
+def test_similar_rows_against_all_pairs(spark):
+    rng = random.Random(9)
+    rows = []
+    for g in ("a", "b", None):
+        for f in range(6):
+            base = [f"{f}{i}" for i in range(rng.choice([1, 3, 6, 20]))]
+            for _ in range(8):
+                words = [w if rng.random() > 0.06 else f"x{rng.randrange(30)}" for w in base] + ["common"] * rng.randrange(2)
+                rows.append((len(rows), g, words))
+    rows += [(len(rows), "a", []), (len(rows) + 1, "a", None)]
+    got = {r["item"]: (r["class_id"], r["n_links"]) for r in similarity.similar_rows(spark.createDataFrame(rows, "id long, g string, w array<string>"), "id", "w", ["g"]).collect()}
+    sets = {}
+    for i, g, w in rows:
+        if w:
+            sets.setdefault((g, frozenset(w)), i)
+    links = {c: sum(g == h and a != b and 100 * len(a & b) >= 80 * len(a | b) for h, b in sets) for (g, a), c in sets.items()}
+    assert sum(links.values()) > 20
+    assert got == {i: (sets[g, frozenset(w)], links[sets[g, frozenset(w)]]) if w else (None, 0) for i, g, w in rows}
+
+
+@pytest.mark.parametrize(
+    "given,want",
+    [
+        ("<table onclick='x'><tr><td colspan=2 style='a'>1 &lt; 2<script>alert(1)</script></td></tr></table>", '<table><tr><td colspan="2">1 &lt; 2</td></tr></table>'),
+        ("<p>a<br/>b<img src=x onerror=y></p>", "a<br>b"),
+        ("<svg><td>no</td><svg></svg></svg><span scope='row' class=q>yes", '<span scope="row">yes</span>'),
+        ("<td><b>x</td></tr>", "<td>x</td>"),
+        ("<iframe><table></iframe>t<!-- c --><object>o", "t"),
+        ("<th scope='a\"b'>é&nbsp;</th>", "<th scope=\"a&quot;b\">é\xa0</th>"),
+        ("", ""),
+        (None, None),
+    ],
+)
+def test_sanitize(given, want):
+    assert html.sanitize(given) == want
+    assert want is None or html.sanitize(want) == want
+
+
+def test_texts_are_sent_once(spark, tmp_path):
+    """Equal texts cause one call; failures are retried, then sent one by one; what came is kept for the next run, what failed is not."""
+    log = tmp_path / "log"
+    log.mkdir()
+
+    def call(texts):
+        (log / f"{len(list(log.iterdir()))}-{os.getpid()}-{time.time_ns()}").write_text("\n".join(texts))
+        if "bad" in texts:
+            raise ValueError("bad")
+        return [t.upper() for t in texts]
+
+    rows = spark.createDataFrame([(i, ["a", "b", "bad", None, "c" * 50][i % 5]) for i in range(100)], "id long, t string").coalesce(1)
+    kept = boundary.Results(spark, str(tmp_path / "kept"), "string")
+    want = {(i, {"a": "A", "b": "B", "c" * 50: "C" * 50}.get(["a", "b", "bad", None, "c" * 50][i % 5])) for i in range(100)}
+    for more in (0, 1):
+        got = boundary.call_once(rows, "t", call, "out", kept=kept, most_items=10, most_chars=60, retries=1)
+        assert {(r["id"], r["out"]) for r in got.collect()} == want
+        sent = [p.read_text().split("\n") for p in log.iterdir()]
+        assert max(len("".join(s)) for s in sent) <= 60
+        fine = [s for s in sent if "bad" not in s]
+        assert sorted(x for s in fine for x in s) == ["a", "b", "c" * 50]
+        assert sum(s == ["bad"] for s in sent) >= 2 * (more + 1)
+
+
+def test_new_ids_and_ingest(spark):
+    steps = spark.createDataFrame([(1, 1, ["a", "b", "b"]), (1, 2, ["b"]), (1, 3, None), (2, 1, ["b", None]), (1, 4, ["c", "a"])], "run int, step int, ids array<string>")
+    assert sorted(tuple(r) for r in retrieval.new_ids(steps, "run", "step", "ids").collect()) == [(1, 1, 2), (1, 2, 0), (1, 3, 0), (1, 4, 1), (2, 1, 1)]
+
+
+def test_report_as_text(spark):
+    cases = spark.createDataFrame([(1, "AB", "what is " + "x" * 60), (2, "LONGERONE", "q")], "case_id int, ticker string, query string")
+    ranks = spark.createDataFrame([(1, 2), (2, None)], "case_id int, first_rank int")
+    want = ["", "Retrieval eval", "=" * 40, "  rank=  2  AB     what is " + "x" * 46, "  rank=  —  LONGERONE q", "-" * 40, "  n=2  MRR=0.25  hit@1=0.0  hit@3=0.5  hit@5=0.5"]
+    assert evaluation.report_text(ranks, cases).first()["text"].split("\n") == want
