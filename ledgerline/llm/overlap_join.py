@@ -25,6 +25,8 @@ _RANDOM[0x41:0x5B] = _RANDOM[0x61:0x7B]
 _SEGMENT = 1 << 20
 #: Tokens of lists that a task sorts at once; rows of a list that travel as one array; sets of a list from which on it is a crowd.
 _LIST_TOKENS, _LIST_ROWS, _CROWD = 1 << 20, 256, 64
+#: One in so many of the shingles that a partner needs has to stand among those that are looked at.
+_DEPTH = 2
 #: With how many others a set of a crowd is compared at first.
 _NEIGHBOURS = 32
 #: A shingle of so many texts of one batch is taken for a common one.
@@ -115,17 +117,25 @@ def required(n: np.ndarray | int, percent: int) -> np.ndarray | int:
     return -(-n * percent // 100)
 
 
-def _plan(n: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(lists looked at, lists of them set aside, overlap that the merged lists then have to show) for sets of n shingles.
+def _plan(n: np.ndarray | int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(lists looked at, lists of them set aside) for sets of n shingles.
 
     A set meets every partner in its first n - T + k shingles of one common order, in k of them at least, T being the least overlap and
-    k = max(1, T / 4). Of these it sets aside the longest lists, half as many as the k of its smallest partner.
+    k = max(1, T / _DEPTH). Of these it sets aside the longest lists, half as many as the k of its smallest partner.
     """
     t = required(n, percent)
-    first = n - t + np.maximum(1, t // 4)
-    least = np.maximum(1, required(required(n, percent), percent) // 4)
-    aside = least // 2
-    return first, aside, least - aside
+    return n - t + np.maximum(1, t // _DEPTH), np.maximum(1, required(t, percent) // _DEPTH) // 2
+
+
+def _shown(n: int, m: int, percent: int) -> int:
+    """How many of the lists that both merge a set of n and a partner of m shingles share at least.
+
+    Of the overlap that this pair needs, all but the shingles that one lacks stand among the first ones of the other; of those that
+    stand in both, the longest lists are set aside by one or the other, as many as the larger of both numbers.
+    """
+    need = -(-percent * (n + m) // (100 + percent))
+    (p, a), (q, b) = _plan(n, percent), _plan(m, percent)
+    return max(1, int(min(p - n, q - m) + need - max(a, b)))
 
 
 def document_sets(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
@@ -221,7 +231,7 @@ def _short_lists(entries: DataFrame, percent: int) -> DataFrame:
     """(token, rec, n, lists) of the lists that each set merges, and their number: the longest of its lists are set aside, and a set that shares too few
     shingles with any other to have a partner is left out."""
     t = F.ceil(F.col("n") * percent / 100)
-    least = F.greatest(F.lit(1), F.floor(F.ceil(t * percent / 100) / 4))
+    least = F.greatest(F.lit(1), F.floor(F.ceil(t * percent / 100) / _DEPTH))
     lists = entries.groupBy("rec").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "token"))).alias("lists")).withColumn("least", least.cast("int"))
     kept = lists.where(F.size("lists") >= F.col("least")).withColumn("lists", F.slice("lists", F.lit(1), F.size("lists") - F.floor(F.col("least") / 2).cast("int")))
     return kept.select("rec", "n", F.size("lists").alias("lists"), F.explode("lists.token").alias("token"))
@@ -309,8 +319,8 @@ def _probe(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return maybe.join(side("u", "tokens"), "u").join(side("v", "tokens"), "v").select("u", "v", "tokens_u", "tokens_v").mapInArrow(look_up, schema="u long, v long")
 
 
-def merge_skip(lists: list[list[int]], least: int) -> list[int]:
-    """Values that stand in at least `least` of the sorted lists: a heap of the list heads, which skips what cannot occur often enough."""
+def merge_skip(lists: list[list[int]], least: int) -> list[tuple[int, int]]:
+    """(value, count) of what stands in at least `least` of the sorted lists: a heap of their heads, which skips what cannot occur often enough."""
     if least > len(lists):
         return []
     heap = [(x[0], i, 0) for i, x in enumerate(lists) if x]
@@ -322,7 +332,7 @@ def merge_skip(lists: list[list[int]], least: int) -> list[int]:
         while heap and heap[0][0] == top:
             popped.append(heapq.heappop(heap))
         if len(popped) >= least:
-            out.append(top)
+            out.append((top, len(popped)))
             jump = top + 1
         else:
             # Too few: the next heads go too, so that least - 1 lists move on to the value then on top.
@@ -367,24 +377,27 @@ def _search(open_: DataFrame, percent: int) -> DataFrame:
     lists = _in_chunks(open_.join(sizes, "token")).groupBy("token", "chunk").agg(F.sort_array(F.collect_list(F.struct("rec", "n", "label"))).alias("list"))
     q = open_.select("token", F.col("rec").alias("q"), F.col("n").alias("qn"), F.col("label").alias("ql"))
     smaller = "filter(list, x -> x.label <> ql and (x.n < qn or x.n = qn and x.rec < q) and 100 * x.n >= " + f"{percent} * qn)"
-    met = q.join(lists, "token").select("q", "qn", F.expr(f"transform({smaller}, x -> x.rec)").alias("list")).where(F.size("list") > 0)
+    met = q.join(lists, "token").select("q", "qn", F.expr(smaller).alias("list")).where(F.size("list") > 0)
+    met = met.select("q", "qn", F.col("list.rec").alias("recs"), F.col("list.n").alias("sizes"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def found(q: int, n: int, lists: list[list[int]]) -> list[tuple[int, int]]:
-            return [(q, v) for v in merge_skip(lists, int(_plan(np.array(n), percent)[2]))]
+        def found(q: int, n: int, lists: list[list[int]], sizes: dict[int, int]) -> list[tuple[int, int]]:
+            shown = {m: _shown(n, m, percent) for m in set(sizes.values())}
+            return [(q, v) for v, count in merge_skip(lists, min(shown.values())) if count >= shown[sizes[v]]]
 
-        key, n, held = None, 0, []
+        key, n, held, sizes = None, 0, [], {}
         for b in batches:
             out = []
-            for q, size, one in zip(*(c.to_pylist() for c in b.columns)):
+            for q, size, recs, ns in zip(*(c.to_pylist() for c in b.columns)):
                 if q != key:
                     if key is not None:
-                        out += found(key, n, held)
-                    key, n, held = q, size, []
-                held.append(one)
+                        out += found(key, n, held, sizes)
+                    key, n, held, sizes = q, size, [], {}
+                held.append(recs)
+                sizes.update(zip(recs, ns))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["u", "v"])
-        if key is not None and (out := found(key, n, held)):
+        if key is not None and (out := found(key, n, held, sizes)):
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["u", "v"])
 
     return met.repartition(F.col("q")).sortWithinPartitions("q").mapInArrow(run, schema="u long, v long")
@@ -398,7 +411,7 @@ def set_links(docs: DataFrame, text_col: str, width: int, percent: int, counted:
     often = counted.where(F.col("n") < 0).groupBy("rec").agg(F.sum("check").alias("c")).where(F.col("c") > max(_COMMON, rows // 200)).toPandas().to_numpy(dtype=np.int64).reshape(-1, 2)
     often = often[np.argsort(often[:, 0].view(np.uint64))]
     common = often[:, 0].view(np.uint64).copy(), often[:, 1].copy()
-    parts = max(shard_count(spark), -(-int(0.4 * (tokens or 0)) // _LIST_TOKENS))
+    parts = max(shard_count(spark), -(-int(_plan(100, percent)[0] * (tokens or 0) / 100) // _LIST_TOKENS))
     entries = _prefix_lists(docs, text_col, width, percent, common, parts)
     short = materialize(_short_lists(entries, percent), "overlap-lists")
 

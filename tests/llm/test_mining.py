@@ -88,7 +88,7 @@ def test_merge_skip_is_a_count():
         lists = [sorted(rng.sample(range(30), rng.randrange(12))) for _ in range(rng.randrange(1, 9))]
         for least in (1, 2, 3, 5):
             counts = Counter(x for one in lists for x in one)
-            assert merge_skip(lists, least) == sorted(x for x, c in counts.items() if c >= least)
+            assert merge_skip(lists, least) == sorted((x, c) for x, c in counts.items() if c >= least)
 
 
 def test_marks_never_hide_a_link():
