@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 from ledgerline.functions import html, scalars, text
 from ledgerline.operators import catalog, chunking, conversation, evaluation, facts, holdings, retrieval, similarity, valuation, vector_index, watchlist
 from ledgerline.plans import catalogue
-from ledgerline.sources import boundary, tables, taxonomy
+from ledgerline.sources import boundary, folders, tables, taxonomy
 from ledgerline.sources.store import Conflict, Store
-from ledgerline.streaming import facts_stream
+from ledgerline.streaming import change_stream, facts_stream
 
 
 def one(spark, column, **values):
@@ -699,3 +699,45 @@ def test_report_as_text(spark):
     ranks = spark.createDataFrame([(1, 2), (2, None)], "case_id int, first_rank int")
     want = ["", "Retrieval eval", "=" * 40, "  rank=  2  AB     what is " + "x" * 46, "  rank=  —  LONGERONE q", "-" * 40, "  n=2  MRR=0.25  hit@1=0.0  hit@3=0.5  hit@5=0.5"]
     assert evaluation.report_text(ranks, cases).first()["text"].split("\n") == want
+
+
+def test_folders_of_filings_and_registries(spark, tmp_path):
+    folders.register(spark)
+    path = str(tmp_path / "filings")
+    rows = [("10-K", "a", "<p>é"), ("10-K", "b", None), ("8-K", "a", "x" * 100)]
+    spark.createDataFrame(rows, "form string, filing_id string, content string").write.format("filing_folder").mode("append").option("path", path).save()
+    (tmp_path / "filings" / "10-Q").mkdir()
+    (tmp_path / "filings" / "10-Q" / "broken.html").symlink_to(tmp_path / "nowhere")
+    source = spark.read.format("filing_folder").option("path", path).option("maxPartitionBytes", 50).load()
+    kept = source.where(F.col("form").isin("10-K", "8-K") & (F.col("filing_id") == "a"))
+    assert sorted(tuple(r) for r in kept.collect()) == [("10-K", "a", "<p>é"), ("8-K", "a", "x" * 100)]
+    assert kept.rdd.getNumPartitions() == 2
+    # A job that fails leaves no filing.
+    bad = spark.createDataFrame([("10-K", "new", "1"), ("10-K", "a/b", "2")], "form string, filing_id string, content string").coalesce(1)
+    with pytest.raises(Exception, match="no file name"):
+        bad.write.format("filing_folder").mode("append").option("path", path).save()
+    assert source.where(F.col("form") == "10-K").count() == 2
+    assert spark.read.format("filing_folder").option("path", str(tmp_path / "none")).load().count() == 0
+    funds = tmp_path / "registries"
+    funds.mkdir()
+    (funds / "one.json").write_text('{"funds": [{"name": "A", "cik": 1}, {"name": "no"}]}\n [{"cik": "2"}]\n{"name": "C", "cik": "3"} 7')
+    (funds / "two.json").write_text("")
+    got = spark.read.format("fund_registries").option("path", str(funds)).load()
+    assert sorted(map(str, (tuple(r) for r in got.collect()))) == sorted(map(str, [("one", "A", "1"), ("one", None, "2"), ("one", "C", "3")]))
+    assert got.where(F.col("registry") == "two").count() == 0
+
+
+def test_changes_of_closed_days_go_on_after_a_restart(spark, tmp_path):
+    """Files that come one by one, with a stop between any two, give the rows of the whole table whose days are closed."""
+    rng = random.Random(6)
+    start = dt.datetime(2024, 1, 1)
+    rows = sorted(((rng.choice(["A", "B", None]), start + dt.timedelta(hours=rng.randrange(24 * 9)), rng.randrange(-5, 50)) for _ in range(150)), key=lambda r: r[1])
+    schema = spark.createDataFrame([], "ticker string, ts timestamp, amount long").schema
+    source = str(tmp_path / "in")
+    for part in (rows[:60], rows[60:61], rows[61:]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(source)
+        got = change_stream.run_changes(spark, source, schema, str(tmp_path / "out"), str(tmp_path / "log"), "ticker", "ts", "amount")
+    table = change_stream.daily_changes_of_table(spark.createDataFrame(rows, schema), "ticker", "ts", "amount")
+    edge = rows[-1][1] - dt.timedelta(days=1)
+    want = [tuple(r) for r in table.collect() if dt.datetime.combine(r["day"], dt.time()) + dt.timedelta(days=1) <= edge]
+    assert sorted(map(str, (tuple(r) for r in got.collect()))) == sorted(map(str, want)) and len(want) > 8
