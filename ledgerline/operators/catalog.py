@@ -32,11 +32,11 @@ def mode_first(rows: DataFrame, keys: Sequence[str], label: str, pos: str) -> Da
 
 def evict(tasks: DataFrame, cap: int = 200) -> DataFrame:
     """The tasks that stay when a new one comes in: the oldest finished go until fewer than `cap` are left; running ones never go."""
-    # One pass for the number of tasks, and a sort of the finished ones; task lists are small control tables.
-    excess = tasks.agg(F.greatest(F.count("*") - (cap - 1), F.lit(0)).alias("_excess"))
-    finished = F.col("state").isin("completed", "failed")
-    order = F.row_number().over(Window.partitionBy(finished).orderBy("updated_at", "task_id"))
-    return tasks.withColumn("_n", order).join(F.broadcast(excess), F.lit(True)).where(~finished | (F.col("_n") > F.col("_excess"))).drop("_n", "_excess")
+    finished = F.coalesce(F.col("state").isin("completed", "failed"), F.lit(False))
+    # Of the finished ones at most cap - 1 stay, the newest, so each task hands on no more than these.
+    room = tasks.agg((F.lit(cap - 1) - F.count_if(~finished)).alias("_room"))
+    newest = tasks.where(finished).withColumn("_n", F.row_number().over(Window.orderBy(F.desc("updated_at"), F.desc("task_id")))).where(F.col("_n") <= cap - 1)
+    return tasks.where(~finished).unionByName(newest.join(F.broadcast(room), F.lit(True)).where("_n <= _room").drop("_n", "_room"))
 
 
 def scale_unit(rows: DataFrame, keys: Sequence[str], value: str, out: str = "scaled") -> DataFrame:

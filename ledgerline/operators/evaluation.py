@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerline.operators.retrieval import blocks
+
 
 def case_matches() -> Column:
     """Over cases (ticker, doc_type, year, sections) joined to results (r_ticker, r_type, r_year, r_section): what a case leaves open matches all."""
@@ -53,13 +55,16 @@ def run_cases(cases: DataFrame, chunks: DataFrame, filters: dict[str, str], meas
     """(ranks, report) of searching every case within its own filters.
 
     `filters` names a column of the chunks by that of the cases that has to equal it where the case gives a value. The cases are a stated
-    set, broadcast against all chunks; each task keeps `top_k` rows a case by falling `measure` (ties by item) before anything is shuffled.
+    set, broadcast against all chunks in blocks; each task keeps `top_k` rows a case by falling `measure` (ties by item) before anything is shuffled.
     """
     allowed = F.lit(True)
     for own, theirs in filters.items():
         allowed = allowed & (F.col(own).isNull() | (F.col(own) == F.col(theirs)))
-    scored = chunks.join(F.broadcast(cases), allowed).select(case, item, measure.alias("score"), F.coalesce(match, F.lit(False)).alias("hit"))
-    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy(case).orderBy(F.desc("score"), item))).where(F.col("rank") <= top_k)
+    ranked = None
+    for part in blocks(cases, case):
+        scored = chunks.join(F.broadcast(part), allowed).select(case, item, measure.alias("score"), F.coalesce(match, F.lit(False)).alias("hit"))
+        first = scored.withColumn("rank", F.row_number().over(Window.partitionBy(case).orderBy(F.desc("score"), item))).where(F.col("rank") <= top_k)
+        ranked = first if ranked is None else ranked.unionByName(first)
     best = ranked.where("hit").groupBy(case).agg(F.min("rank").alias("first_rank"))
     ranks = cases.select(case).join(best, case, "left")
     return ranks, report(ranks, ks)

@@ -47,6 +47,12 @@ def predicate(ticker: str | None = None, year: int | str | None = None, document
     return out
 
 
+def blocks(queries: DataFrame, key: str, block: int = 1000) -> list[DataFrame]:
+    """A stated query set in parts of about `block` rows by a hash of its key, each small enough to be broadcast."""
+    n = max(1, -(-queries.count() // block))
+    return [queries] if n == 1 else [queries.where(F.pmod(F.xxhash64(key), F.lit(n)) == i) for i in range(n)]
+
+
 def vector_top_k(rows: DataFrame, queries: DataFrame, k: int, row_id: str, row_vector: str, query_id: str, query_vector: str, metric: str = "cosine", digits: int = 9, block: int = 1000, carry: Sequence[str] = ()) -> DataFrame:
     """(query, row, similarity or distance, vec_rank, carry): the k nearest rows of each query, ties by row id; exact.
 
@@ -61,10 +67,8 @@ def vector_top_k(rows: DataFrame, queries: DataFrame, k: int, row_id: str, row_v
     else:
         measure = vectors.l2(F.col("_q"), F.col("_v"))
     order = F.desc("score") if metric == "cosine" else F.asc("score")
-    blocks = max(1, -(-queries.count() // block))
     out = None
-    for i in range(blocks):
-        part = q if blocks == 1 else q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)
+    for part in blocks(q, "query_id", block):
         scored = v.join(F.broadcast(part), F.lit(True)).select("query_id", "item_id", F.round(measure, digits).alias("score"), *carry)
         best = scored.withColumn("vec_rank", F.row_number().over(Window.partitionBy("query_id").orderBy(order, "item_id"))).where(F.col("vec_rank") <= k)
         out = best if out is None else out.unionByName(best)

@@ -12,6 +12,7 @@ from ledgerline.functions.html import clean_tables, partition
 from ledgerline.operators import catalog, chunking, conversation, evaluation, facts, holdings, retrieval, valuation, watchlist
 from ledgerline.plans import nation_year
 from ledgerline.sources import tables, taxonomy
+from ledgerline.sources.store import kept
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -233,10 +234,10 @@ def growth_trends(spark, sf):
 
 
 def _valued(spark: SparkSession, sf: str) -> DataFrame:
-    """Newest year of each nation with metrics, trends, multiples and cash-flow value."""
-    wide = _wide(spark, sf)
+    """Newest year of each nation with metrics, trends, multiples and cash-flow value; computed once for all that goes on from it."""
+    wide = kept(_wide(spark, sf), "nation-years")
     latest = facts.top_periods(valuation.period_metrics(wide), ["entity"], "yr", 1)
-    return valuation.valuation(latest.join(valuation.trends(wide, "entity", "yr"), "entity"))
+    return kept(valuation.valuation(latest.join(valuation.trends(wide, "entity", "yr"), "entity")), "valued")
 
 
 _MULTIPLES = ("market_cap", "enterprise_value", "pe", "ev_ebitda", "p_fcf", "p_s", "fcf_yield")
@@ -490,7 +491,7 @@ def _refreshed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, Data
     source = t(spark, sf, "lineitem").join(t(spark, sf, "part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
     bad = (F.col("l_suppkey") % 7 == 3) & (F.col("l_linenumber") == 1)
     raw = source.select(F.col("l_suppkey").alias("cik"), F.expr("year(l_shipdate) * 10 + quarter(l_shipdate)").alias("report_period"), F.lit(" ").alias("Cusip"), F.col("p_brand").alias("Ticker"), F.lit("unnamed").alias("Issuer"), F.when(bad, "n/a").otherwise(F.expr("cast(cast(round(l_extendedprice * 100) as bigint) as string)")).alias("Value"), F.expr("cast(cast(round(l_quantity) as bigint) as string)").alias("SharesPrnAmount"))
-    return holdings.refresh_index(registry, holdings.source_rows(raw))
+    return holdings.refresh_index(registry, kept(holdings.source_rows(raw), "holdings-source"))
 
 
 _REFRESHED = """
@@ -569,13 +570,17 @@ _POOL = f"""
 def _pool(spark: SparkSession, sf: str, keep: int = 20) -> DataFrame:
     """All documents ranked for every fiftieth benchmark passage by token similarity: the fixed candidates of the lexical stage.
 
-    The stated queries are broadcast against all documents; the window keeps `keep` rows a query in each task before anything is
+    The stated queries are broadcast against all documents, in blocks; the window keeps `keep` rows a query in each task before anything is
     shuffled.
     """
     queries = t(spark, sf, "benchmark").where("item_id % 50 = 0").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), F.array_distinct(text.tokens(F.col("text"))).alias("_q"))
     docs = t(spark, sf, "documents").select(F.col("doc_id").alias("item_id"), "text", F.array_distinct(text.tokens(F.col("text"))).alias("_d"))
-    scored = docs.join(F.broadcast(queries), F.lit(True)).withColumn("similarity", text.jaccard(F.col("_q"), F.col("_d"))).drop("_q", "_d")
-    return scored.withColumn("vec_rank", F.expr("row_number() over (partition by query_id order by round(similarity, 9) desc, item_id)")).where(F.col("vec_rank") <= keep)
+    out = None
+    for part in retrieval.blocks(queries, "query_id"):
+        scored = docs.join(F.broadcast(part), F.lit(True)).withColumn("similarity", text.jaccard(F.col("_q"), F.col("_d"))).drop("_q", "_d")
+        best = scored.withColumn("vec_rank", F.expr("row_number() over (partition by query_id order by round(similarity, 9) desc, item_id)")).where(F.col("vec_rank") <= keep)
+        out = best if out is None else out.unionByName(best)
+    return out
 
 
 @query(f"WITH {_POOL} SELECT query_id, item_id, vec_rank::INTEGER AS vec_rank, round(lex_score, 6) AS lex_score FROM s")

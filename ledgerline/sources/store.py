@@ -31,6 +31,13 @@ def _folder(spark: SparkSession, path: str):
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
 
 
+def kept(df: DataFrame, label: str) -> DataFrame:
+    """The table written to the shared folder and read back, for results that several plans go on from."""
+    path = scratch_folder(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 class Conflict(RuntimeError):
     """Another writer published the version first."""
 

@@ -64,6 +64,12 @@ def test_tables_are_scanned_once(spark, name, table, most):
     assert 1 <= _scans(spark, name, table) <= most
 
 
+@pytest.mark.parametrize("name", ["dashboard_run", "dashboard_rows", "rule_signals", "dcf_range", "thesis_scaffold", "snapshot_store", "holdings_index_counts", "holdings_index_errors"])
+def test_shared_results_are_computed_once(spark, name):
+    """What several parts of a plan go on from is a table by then, so the plan itself reads no line item again."""
+    assert _scans(spark, name, "lineitem") <= 1
+
+
 def test_index_recall_on_the_table(spark):
     got = catalogue.QUERIES["vector_index_topk"](spark, SF).groupBy("query_id").agg({"recall": "first", "*": "count"}).collect()
     assert len(got) == 10 and all(r["count(1)"] == 20 for r in got)
