@@ -159,13 +159,19 @@ MAP_BITS = 25
 
 
 def key_map(hashes: DataFrame, bits: int = MAP_BITS) -> DataFrame:
-    """(word, mask) of the bits that the 64-bit numbers of column `hash` set in a map of 2^bits bits."""
+    """(word, mask) of the bits that the 64-bit numbers of column `hash` set in a map of 2^bits bits.
+
+    Repeated numbers set one bit; null ones are not allowed. No number gives an empty map, in which nothing is.
+    """
     marks = hashes.selectExpr(f"shiftrightunsigned(hash, {64 - bits + 6}) as word", f"shiftleft(1L, cast(shiftrightunsigned(hash, {64 - bits}) & 63 as int)) as mask")
     return materialize(marks.groupBy("word").agg(F.bit_or("mask").alias("mask")), "key-map")
 
 
 def in_map(rows: DataFrame, keys: DataFrame, hashed: Column, flag: str, bits: int = MAP_BITS) -> DataFrame:
-    """The rows with a boolean: false if their key surely is none of those in the map. The map is broadcast; its size is bounded by its bits."""
+    """The rows with a boolean: false if their key surely is none of those in the map. The map is broadcast; its size is bounded by its bits.
+
+    Rows may repeat and hold nulls, as long as `hashed` is not null; an empty table stays empty.
+    """
     marked = rows.withColumn("_hash", hashed).withColumn("_word", F.expr(f"shiftrightunsigned(_hash, {64 - bits + 6})"))
     found = marked.join(F.broadcast(keys.withColumnRenamed("word", "_word").withColumnRenamed("mask", "_mask")), "_word", "left")
     return found.withColumn(flag, F.expr(f"coalesce(_mask & shiftleft(1L, cast(shiftrightunsigned(_hash, {64 - bits}) & 63 as int)) <> 0, false)")).drop("_word", "_hash", "_mask")

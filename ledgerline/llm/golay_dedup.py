@@ -51,7 +51,10 @@ def _tally(hashes: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, seed: int = 42, carry: Sequence[Column] = ()) -> DataFrame:
-    """(id, fp) for each row, then the `carry` columns: the SimHash over XXH64 of the shingles of `width` words, repeats included."""
+    """(id, fp) for each row, then the `carry` columns: the SimHash over XXH64 of the shingles of `width` words, repeats included.
+
+    A null, empty or blank text has the fingerprint zero; null and repeated ids are handed on; an empty table gives no rows.
+    """
     ship_package(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t"), *carry)
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema if f.name != "t"}
@@ -178,7 +181,10 @@ def fingerprint_links(fps: DataFrame, crowd: int = _CROWD) -> DataFrame:
 
 
 def component_tops(rows: DataFrame, least: Column) -> DataFrame:
-    """(fp, top, c) for each fingerprint of column fp: the least value of `least` over the rows of its component, and its own rows."""
+    """(fp, top, c) for each fingerprint of column fp: the least value of `least` over the rows of its component, and its own rows.
+
+    Rows that repeat a fingerprint are one node; nulls of `least` count only where a component has nothing else. An empty table gives no rows.
+    """
     # Equal fingerprints are one node, whatever the size of their group.
     nodes = materialize(rows.groupBy("fp").agg(F.min(least).alias("least"), F.count("*").alias("c")), "golay-nodes")
     links = materialize(fingerprint_links(nodes), "golay-links")

@@ -66,6 +66,7 @@ def document_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def with_features(stats: DataFrame) -> DataFrame:
+    """The rows with FEATURES: finite for every row, those of texts without a word too; ids are not looked at, an empty table stays empty."""
     words = F.greatest(F.col("n_words"), F.lit(1))
     made = {
         "symbol_share": F.col("n_symbols") / words,

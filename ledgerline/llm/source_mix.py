@@ -88,6 +88,7 @@ def source_budgets(shares: DataFrame, alpha: float, budget: int | None = None) -
     """(source, tokens, weight, repeats, whole, rest): normalised weights, passes over the source, whole passes and tokens left.
 
     Without a budget it is the least that takes every document once. A source without tokens has weight zero and one pass.
+    Sources that tie in tokens tie in weight; no source gives no rows.
     """
     used = shares.where("share > 0")
     norm, least = used.agg(F.sum(F.pow("share", F.lit(alpha))), F.max(F.pow("share", F.lit(1 - alpha)))).first()
