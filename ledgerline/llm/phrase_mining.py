@@ -20,7 +20,7 @@ UNKNOWN = "und"
 _END = b"\xff"
 _TABLE = bytes(0xFF if c in b".,;:!?\n\v\f\r" else 0x20 if c == 0x09 else c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
 #: Bytes that are split to words at once, suffixes that are sorted at once, slots that travel in one row.
-_SEGMENT, _FLUSH, _CHUNK = 1 << 20, 1 << 20, 64
+_SEGMENT, _FLUSH, _CHUNK = 1 << 20, 1 << 19, 64
 
 
 class _Codes(dict):
@@ -189,6 +189,11 @@ def vertical_partition(texts: DataFrame, budget: int) -> tuple[Groups, DataFrame
     return Groups(bits, tuple(of), np.array(level, dtype=np.int32)), totals
 
 
+def _width(words: int) -> type:
+    """The type of word numbers in a row of so many words."""
+    return np.uint16 if words <= 1 << 16 else np.int32
+
+
 def _scatter(texts: DataFrame, groups: Groups) -> DataFrame:
     """(grp, lang, words, rows, counts): the suffixes of a task by group, equal ones counted; words are numbered inside a row."""
 
@@ -207,7 +212,7 @@ def _scatter(texts: DataFrame, groups: Groups) -> DataFrame:
             for start, stop in zip(edges, [*edges[1:], len(order)]):
                 at = order[start:stop]
                 used, code = np.unique(np.append(own.rows[at].ravel(), 0), return_inverse=True)
-                out.append((int(place[at[0]]) // len(part.langs), part.langs[int(own.lang[at[0]])], b" ".join(part.words[w] for w in used[1:]), code[:-1].astype(np.int32).tobytes(), counts[at].astype(np.int64).tobytes()))
+                out.append((int(place[at[0]]) // len(part.langs), part.langs[int(own.lang[at[0]])], b" ".join(part.words[w] for w in used[1:]), code[:-1].astype(_width(len(used))).tobytes(), counts[at].astype(np.int64).tobytes()))
             kinds = [pa.int32(), pa.string(), pa.binary(), pa.binary(), pa.binary()]
             for at in range(0, len(out), 256):
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out[at : at + 256]), kinds)], names=["grp", "lang", "words", "suffixes", "counts"])
@@ -228,7 +233,7 @@ def _subtrees(scattered: DataFrame, groups: Groups, least: int) -> DataFrame:
             for grp, lang, words, suffixes, counts in zip(*(c.to_pylist() for c in b.columns)):
                 level = int(groups.level[grp])
                 own = np.array([0, *map(codes.__getitem__, words.split(b" "))], dtype=np.int32) if words else np.zeros(1, dtype=np.int32)
-                rows = own[np.frombuffer(suffixes, dtype=np.int32)].reshape(-1, DEPTH)
+                rows = own[np.frombuffer(suffixes, dtype=_width(len(own)))].reshape(-1, DEPTH)
                 held.append((np.full(len(rows), langs.setdefault(lang, len(langs)), dtype=np.int64), rows, np.frombuffer(counts, dtype=np.int64)))
         if not held:
             return
