@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerline.functions.scalars import axis_label, bare_concept, blank_to_null, close_to, keeps_period, number, period, strip, unit
+from ledgerline.functions.scalars import axis_label, bare_concept, blank_to_null, close_to, fixed, keeps_period, number, period, strip, unit
 from ledgerline.sources.taxonomy import SEGMENT_REVENUE
 
 FACT_KEY = ("ticker", "canonical_key", "period_end")
@@ -79,8 +79,8 @@ def violations(facts: DataFrame, keys: Sequence[str] = ("ticker", "period_end"))
     wide = facts.where(F.col("canonical_key").isin(*parts)).groupBy(*keys).pivot("canonical_key", list(parts)).agg(F.first("value", ignorenulls=True))
     gross, sheet = F.col("revenue") - F.col("cost_of_revenue"), F.col("total_liabilities") + F.col("total_equity")
     found = [
-        F.when(~close_to(gross, F.col("gross_profit")), F.struct(F.lit("gross_profit").alias("rule"), F.format_string("%.2f is not %.2f", gross, F.col("gross_profit")).alias("detail"))),
-        F.when(~close_to(sheet, F.col("total_assets")), F.struct(F.lit("balance_sheet").alias("rule"), F.format_string("%.2f is not %.2f", sheet, F.col("total_assets")).alias("detail"))),
+        F.when(~close_to(gross, F.col("gross_profit")), F.struct(F.lit("gross_profit").alias("rule"), F.concat(fixed(gross, 2), F.lit(" is not "), fixed(F.col("gross_profit"), 2)).alias("detail"))),
+        F.when(~close_to(sheet, F.col("total_assets")), F.struct(F.lit("balance_sheet").alias("rule"), F.concat(fixed(sheet, 2), F.lit(" is not "), fixed(F.col("total_assets"), 2)).alias("detail"))),
     ]
     return wide.select(*keys, F.explode(F.array_compact(F.array(*found))).alias("v")).select(*keys, "v.*")
 

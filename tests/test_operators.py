@@ -468,6 +468,15 @@ def test_sections_and_summaries(spark):
     assert [(r["chunk_type"], r["text_content"]) for r in rows.where("kind = 'table'").collect()] in ([("table", "ttt")], [("table", "t" * 300)])
 
 
+def test_bundle_margins_are_rounded_from_their_binary_value(spark, monkeypatch):
+    """0.02285 lies a little below the half and 0.02295 a little above; by their decimal digits both would go up."""
+    items = dict.fromkeys((*valuation.KEYS, "price"))
+    rows = [("N", y, *(items | {"revenue": 1e5, "net_income": v}).values()) for y, v in ((2001, 2285.0), (2000, 2295.0), (1999, None))]
+    wide = spark.createDataFrame(rows, "entity string, yr int, " + ", ".join(f"{k} double" for k in items))
+    monkeypatch.setattr(catalogue, "_wide", lambda *_: wide)
+    assert catalogue.metrics_bundle(spark, "")["margins",].first()[0] == f"{0.02285:.4f},{0.02295:.4f},-" == "0.0228,0.0230,-"
+
+
 def test_summaries_fall_back_to_one_call_each(spark):
     rows = spark.createDataFrame([(1, i, f"t{i}") for i in range(8)], "doc_id int, pos int, content string")
     got = boundary.summarize_tables(rows, "doc_id", "pos", "content", lambda texts: ["s" + texts[0]] if len(texts) != 2 else ["a", "b"])
