@@ -468,6 +468,11 @@ def test_sections_and_summaries(spark):
     assert [(r["chunk_type"], r["text_content"]) for r in rows.where("kind = 'table'").collect()] in ([("table", "ttt")], [("table", "t" * 300)])
 
 
+def test_symbols_stand_alone_among_ascii_letters(spark):
+    rewrite = text.wants_rewrite(F.col("m"), F.lit(True))
+    assert [one(spark, rewrite, m=m) for m in ("SSöß der", "ÄBC x", "xAB x", "AB_ x", "the AB.", "ABCDEF x")] == [False, False, True, True, False, True]
+
+
 def test_bundle_margins_are_rounded_from_their_binary_value(spark, monkeypatch):
     """0.02285 lies a little below the half and 0.02295 a little above; by their decimal digits both would go up."""
     items = dict.fromkeys((*valuation.KEYS, "price"))
