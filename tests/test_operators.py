@@ -468,6 +468,11 @@ def test_sections_and_summaries(spark):
     assert [(r["chunk_type"], r["text_content"]) for r in rows.where("kind = 'table'").collect()] in ([("table", "ttt")], [("table", "t" * 300)])
 
 
+def test_blocks_keep_references_that_are_cut():
+    assert html.blocks("<h1>a &amp; b&amp</h1><p title='&lt'>R&D &lt; &am") == [("title", "a & b&amp", None), ("text", "R&D < &am", None)]
+    assert html.blocks("<table><td id='&x'>&amp &gt;</td></table>") == [("table", "&amp >", "<table><td id='&x'>&amp;amp &gt;</td></table>")]
+
+
 def test_symbols_stand_alone_among_ascii_letters(spark):
     rewrite = text.wants_rewrite(F.col("m"), F.lit(True))
     assert [one(spark, rewrite, m=m) for m in ("SSöß der", "ÄBC x", "xAB x", "AB_ x", "the AB.", "ABCDEF x")] == [False, False, True, True, False, True]
