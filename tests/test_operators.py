@@ -684,6 +684,12 @@ def test_sanitize(given, want):
     assert want is None or html.sanitize(want) == want
 
 
+@pytest.mark.parametrize("given", ["R&D &am", "a &amp", "&lt;b&gt; &copy=1 &&amp;am", "x & y &nosuch; &#38"])
+def test_sanitize_keeps_bare_ampersands(given):
+    """Only a reference closed by a semicolon is one; a text cut inside it is not completed."""
+    assert html.sanitize(given) == given
+
+
 def test_texts_are_sent_once(spark, tmp_path):
     """Equal texts cause one call; failures are retried, then sent one by one; what came is kept for the next run, what failed is not."""
     log = tmp_path / "log"
