@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.llm.common import discard, in_map, join_groups, key_map, materialize, shard_count, ship_package, string_bytes
@@ -31,6 +31,12 @@ _DEPTH = 2
 _NEIGHBOURS = 32
 #: A shingle of so many texts of one batch is taken for a common one.
 _COMMON = 16
+#: A list's number is its length (that of longer ones is the largest), its part and its place there: so many bits each.
+_LENGTH_BITS, _PART_BITS, _PLACE_BITS = 19, 18, 26
+#: Bytes of a set's name that travel with an entry. Sets of one short name share lists and are candidates of each other.
+_SHORT = 6
+#: The first look goes one in so many of the shingles that a partner needs deep, by as many leading bytes of shingles and trailing bytes of names.
+_GLANCE, _GLANCE_TOKEN, _GLANCE_NAME = 10, 6, 4
 
 
 def _powers(base: int) -> np.ndarray:
@@ -159,82 +165,114 @@ def document_sets(docs: DataFrame, id_col: str, text_col: str, width: int) -> Da
     return rows.mapInArrow(run, schema=f"id {kind}, text long, n long, rec long, check long")
 
 
-def _prefix_lists(docs: DataFrame, text_col: str, width: int, percent: int, common: tuple[np.ndarray, np.ndarray], parts: int) -> DataFrame:
-    """(token, rec, n, df): entries of the inverted lists of two sets or more, over the first shingles of every set.
+def _short_name(rec: Column, width: int = _SHORT) -> Column:
+    return rec.bitwiseAND(F.lit((1 << 8 * width) - 1))
 
-    The common order is: shingles that are not common by their hash, then the common ones by their count. Entries travel as arrays by
+
+def _planes(x: np.ndarray, width: int = 8) -> bytes:
+    """The lower `width` bytes of 64-bit numbers, all first ones before all second ones: in order, so that the high bytes of sorted numbers compress."""
+    return x.astype("<u8", copy=False).view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def _numbers(planes: bytes, width: int = 8) -> np.ndarray:
+    out = np.zeros((len(planes) // width, 8), dtype=np.uint8)
+    out[:, :width] = np.frombuffer(planes, dtype=np.uint8).reshape(width, -1).T
+    return out.view("<u8").ravel()
+
+
+def _prefix_lists(texts: DataFrame, width: int, percent: int, common: tuple[np.ndarray, np.ndarray], parts: int, glance: bool = False) -> DataFrame:
+    """(token, short): entries of the inverted lists of two sets or more, over the first shingles of every set; `token` is the list's
+    number, in the order of lengths, and `short` the set's short name.
+
+    With `glance` it is (token, short) = (count, name): for sets by a shorter name how many of their first n - T + k shingles, k = max(1, T / _GLANCE),
+    other sets have as well. Heads of shingles and repeats of a set only add to the count.
+
+    The common order is: shingles that are not common by their hash, then the common ones by their count. Entries travel as planes of bytes by
     ranges of shingles; equal sets are one.
     """
     hot, weight = common
+    token_width, name_width = (_GLANCE_TOKEN, _GLANCE_NAME) if glance else (8, _SHORT)
     bounds = np.linspace(0, 2.0**64, parts + 1)[1:-1].astype(np.uint64)
 
     def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             flat, counts = _sets(b.column(0), width)
-            firsts = _plan(counts, percent)[0].tolist()
+            t = required(counts, percent)
+            firsts = (counts - t + np.maximum(1, t // _GLANCE) if glance else _plan(counts, percent)[0]).tolist()
             at = np.minimum(np.searchsorted(hot, flat), max(len(hot) - 1, 0))
             is_hot = hot[at] == flat if len(hot) else np.zeros(len(flat), dtype=bool)
-            # Sets are numbered inside the batch, so that an entry is a shingle and a small number; equal sets are one.
-            tokens, number = [], {}
+            # Equal sets of a batch are one.
+            tokens, names = [], {}
             for s, late, place, first in zip(_cut(flat, counts), _cut(is_hot, counts), _cut(at, counts), firsts):
                 rec = _digest(s)[0]
-                if not len(s) or rec in number:
+                if not len(s) or rec in names:
                     continue
-                number[rec] = len(s)
                 early = s[~late][:first]
                 if len(early) < first:
                     rest = s[late]
                     early = np.append(early, rest[np.lexsort((rest, weight[place[late]]))][: first - len(early)])
+                names[rec] = len(early)
                 tokens.append(early)
             if not tokens:
                 continue
-            names, first_at = np.array(list(number), dtype=np.int64), np.array(list(number.values()), dtype=np.int32)
-            token, number = np.concatenate(tokens), np.repeat(np.arange(len(tokens)), [len(x) for x in tokens])
+            token, name = np.concatenate(tokens), np.repeat(np.array(list(names), dtype=np.int64).view(np.uint64), list(names.values()))
             order = np.argsort(token)
-            token, number = token[order], number[order]
+            token, name = token[order], name[order]
             part = np.searchsorted(bounds, token, side="right")
             edges = np.flatnonzero(np.diff(part, prepend=-1))
-            out = []
-            for start, stop in zip(edges, [*edges[1:], len(token)]):
-                used, local = np.unique(number[start:stop], return_inverse=True)
-                out.append((int(part[start]), token[start:stop].tobytes(), local.astype(np.int32).tobytes(), names[used].tobytes(), first_at[used].tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), [pa.int32()] + [pa.binary()] * 4)], names=["part", "tokens", "local", "recs", "sizes"])
+            out = [(int(part[i]), _planes(token[i:j] >> np.uint64(64 - 8 * token_width), token_width), _planes(name[i:j], name_width)) for i, j in zip(edges, [*edges[1:], len(token)])]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), [pa.int32(), pa.binary(), pa.binary()])], names=["part", "tokens", "names"])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = []
+        held, part = [], 0
         for b in batches:
-            for tokens, local, recs, sizes in zip(*(c.to_pylist() for c in b.columns[1:])):
-                local = np.frombuffer(local, dtype=np.int32)
-                held.append((np.frombuffer(tokens, dtype=np.uint64), np.frombuffer(recs, dtype=np.int64)[local], np.frombuffer(sizes, dtype=np.int32)[local]))
+            # All rows of a part are in one task, so its number is that of no list elsewhere.
+            part = b.column(0)[0].as_py() if b.num_rows else part
+            held += [(_numbers(t, token_width), _numbers(n, name_width)) for t, n in zip(*(c.to_pylist() for c in b.columns[1:]))]
         if not held:
             return
-        token, rec, size = (np.concatenate(x) for x in zip(*held))
+        token, name = (np.concatenate(x) for x in zip(*held))
         held.clear()
-        order = np.lexsort((rec, token))
-        token, rec, size = token[order], rec[order], size[order]
+        order = np.argsort(token)
+        token, name = token[order], name[order]
+        # Shingles of one set go before names are sorted.
+        twin = np.append(token[1:] == token[:-1], False)
+        twin[1:] |= twin[:-1]
+        token, name = token[twin], name[twin]
+        if glance:
+            starts = np.flatnonzero(np.append(True, token[1:] != token[:-1])) if len(token) else np.zeros(0, dtype=np.int64)
+            several = np.minimum.reduceat(name, starts) != np.maximum.reduceat(name, starts) if len(token) else np.zeros(0, dtype=bool)
+            name, count = np.unique(name[np.repeat(several, np.diff(np.append(starts, len(token))))], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(count.astype(np.int64)), pa.array(name.view(np.int64))], names=["token", "short"])
+            return
+        order = np.lexsort((name, token))
+        token, name = token[order], name[order]
         fresh = np.ones(len(token), dtype=bool)
-        fresh[1:] = (token[1:] != token[:-1]) | (rec[1:] != rec[:-1])
-        token, rec, size = token[fresh], rec[fresh], size[fresh]
-        starts = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
+        fresh[1:] = (token[1:] != token[:-1]) | (name[1:] != name[:-1])
+        token, name = token[fresh], name[fresh]
+        starts = np.flatnonzero(np.append(True, token[1:] != token[:-1])) if len(token) else np.zeros(0, dtype=np.int64)
         df = np.diff(np.append(starts, len(token)))
+        place = np.repeat(np.arange(len(df), dtype=np.int64), df)
         df = np.repeat(df, df)
+        number = np.minimum(df, (1 << _LENGTH_BITS) - 1) << (_PART_BITS + _PLACE_BITS) | part << _PLACE_BITS | place
         shared = np.flatnonzero(df > 1)
         for at in range(0, len(shared), 100_000):
             i = shared[at : at + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(token[i].view(np.int64)), pa.array(rec[i]), pa.array(size[i].astype(np.int64)), pa.array(df[i].astype(np.int64))], names=["token", "rec", "n", "df"])
+            yield pa.RecordBatch.from_arrays([pa.array(number[i]), pa.array(name[i].view(np.int64))], names=["token", "short"])
 
-    rows = docs.select(F.col(text_col).cast("binary").alias("t")).mapInArrow(scatter, schema="part int, tokens binary, local binary, recs binary, sizes binary")
-    return rows.repartitionById(parts, F.col("part")).mapInArrow(gather, schema="token long, rec long, n long, df long")
+    rows = texts.mapInArrow(scatter, schema="part int, tokens binary, names binary")
+    return rows.repartitionById(parts, F.col("part")).mapInArrow(gather, schema="token long, short long")
 
 
-def _short_lists(entries: DataFrame, percent: int) -> DataFrame:
-    """(token, rec, n, lists) of the lists that each set merges, and their number: the longest of its lists are set aside, and a set that shares too few
-    shingles with any other to have a partner is left out."""
+def _short_lists(entries: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(token, rec, n, lists) of the lists that each of the sets (rec, n) merges, and their number: the longest of its lists are set aside, and a set
+    that shares too few shingles with any other to have a partner is left out."""
     t = F.ceil(F.col("n") * percent / 100)
     least = F.greatest(F.lit(1), F.floor(F.ceil(t * percent / 100) / _DEPTH))
-    lists = entries.groupBy("rec").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "token"))).alias("lists")).withColumn("least", least.cast("int"))
-    kept = lists.where(F.size("lists") >= F.col("least")).withColumn("lists", F.slice("lists", F.lit(1), F.size("lists") - F.floor(F.col("least") / 2).cast("int")))
-    return kept.select("rec", "n", F.size("lists").alias("lists"), F.explode("lists.token").alias("token"))
+    lists = entries.groupBy("short").agg(F.sort_array(F.collect_list("token")).alias("lists"))
+    lists = lists.join(sets.select("rec", "n", "short"), "short").withColumn("least", least.cast("int"))
+    kept = lists.where(F.size("lists") >= F.col("least")).withColumn("lists", F.slice("lists", F.lit(1), F.greatest(F.lit(0), F.size("lists") - F.floor(F.col("least") / 2).cast("int"))))
+    return kept.select("rec", F.col("n").cast("int").alias("n"), F.size("lists").alias("lists"), F.explode("lists").alias("token"))
 
 
 def _similar(a: Column, b: Column, percent: int) -> Column:
@@ -242,16 +280,21 @@ def _similar(a: Column, b: Column, percent: int) -> Column:
     return (100 * F.least(a, b)) >= (percent * F.greatest(a, b))
 
 
+def _texts(docs: DataFrame, text_col: str, wanted: DataFrame) -> DataFrame:
+    """(t) of the texts whose hashes are in `wanted`, and a few more: a map of the hashes, whose size follows their number up to 2^28 bits, tells most
+    other texts before they leave the scan."""
+    bits = min(28, max(20, int(wanted.count()).bit_length() + 4))
+    keys = key_map(wanted.select(F.xxhash64("text").alias("hash")), bits)
+    texts = docs.select(F.col(text_col).cast("binary").alias("t"), F.xxhash64(text_col).alias("text")).where(F.col("t").isNotNull())
+    return in_map(texts, keys, F.xxhash64("text"), "maybe", bits).where("maybe").select("t")
+
+
 def _candidate_sets(docs: DataFrame, text_col: str, width: int, wanted: DataFrame) -> DataFrame:
     """(rec, n, tokens, marks) of the sets of the texts whose hashes are in `wanted`; `marks` has a bit of four for each shingle.
 
-    A map of the hashes tells most other texts before they leave the scan; its size follows their number up to 2^28 bits. Equal texts and
-    sets are brought together by set, so nothing but one row a task and set is moved.
+    Equal texts and sets are brought together by set, so nothing but one row a task and set is moved.
     """
-    bits = min(28, max(20, int(wanted.count()).bit_length() + 4))
-    keys = key_map(wanted.select(F.xxhash64("text").alias("hash")), bits)
-    texts = docs.select(F.col(text_col).cast("binary").alias("t"), F.xxhash64(text_col).alias("text")).where(F.col("t").isNotNull())
-    maybe = in_map(texts, keys, F.xxhash64("text"), "maybe", bits).where("maybe").select("t")
+    maybe = _texts(docs, text_col, wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -316,7 +359,14 @@ def _probe(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     marked = pairs.select("u", "v").join(side("u", "n", "marks"), "u").join(side("v", "n", "marks"), "v").select("u", "v", "n_u", "n_v", "marks_u", "marks_v")
     maybe = materialize(marked.mapInArrow(sift, schema="u long, v long"), "overlap-maybe")
-    return maybe.join(side("u", "tokens"), "u").join(side("v", "tokens"), "v").select("u", "v", "tokens_u", "tokens_v").mapInArrow(look_up, schema="u long, v long")
+
+    def met(name: str) -> DataFrame:
+        """The shingles of that side's sets: a map of their names keeps most others where they are."""
+        bits = min(28, max(20, int(maybe.count()).bit_length() + 4))
+        keys = key_map(maybe.select(F.xxhash64(name).alias("hash")).distinct(), bits)
+        return in_map(side(name, "tokens"), keys, F.xxhash64(name), "_met", bits).where("_met").drop("_met")
+
+    return maybe.join(met("u"), "u").join(met("v"), "v").select("u", "v", "tokens_u", "tokens_v").mapInArrow(look_up, schema="u long, v long")
 
 
 def merge_skip(lists: list[list[int]], least: int) -> list[tuple[int, int]]:
@@ -369,12 +419,11 @@ def _first_pairs(short: DataFrame, percent: int) -> DataFrame:
 
 
 def _search(open_: DataFrame, percent: int) -> DataFrame:
-    """(u, v): for every set of `open_` (token, rec, n, label) the sets of other components that its merged lists show often enough.
+    """(u, v): for every set of `open_` (token, rec, n, label, m) the sets of other components that its merged lists show often enough; m is the length of a list.
 
     Lists travel in arrays of some _LIST_ROWS sets of like size, and only to sets of like size.
     """
-    sizes = open_.groupBy("token").agg(F.count("*").alias("m"))
-    lists = _in_chunks(open_.join(sizes, "token")).groupBy("token", "chunk").agg(F.sort_array(F.collect_list(F.struct("rec", "n", "label"))).alias("list"))
+    lists = _in_chunks(open_.repartition(F.col("token"))).groupBy("token", "chunk").agg(F.sort_array(F.collect_list(F.struct("rec", "n", "label"))).alias("list"))
     q = open_.select("token", F.col("rec").alias("q"), F.col("n").alias("qn"), F.col("label").alias("ql"))
     smaller = "filter(list, x -> x.label <> ql and (x.n < qn or x.n = qn and x.rec < q) and 100 * x.n >= " + f"{percent} * qn)"
     met = q.join(lists, "token").select("q", "qn", F.expr(smaller).alias("list")).where(F.size("list") > 0)
@@ -412,21 +461,33 @@ def set_links(docs: DataFrame, text_col: str, width: int, percent: int, counted:
     often = often[np.argsort(often[:, 0].view(np.uint64))]
     common = often[:, 0].view(np.uint64).copy(), often[:, 1].copy()
     parts = max(shard_count(spark), -(-int(_plan(100, percent)[0] * (tokens or 0) / 100) // _LIST_TOKENS))
-    entries = _prefix_lists(docs, text_col, width, percent, common, parts)
-    short = materialize(_short_lists(entries, percent), "overlap-lists")
-
-    pairs = _first_pairs(short, percent)
-    wanted = counted.where("n > 0").join(short.select("rec").distinct(), "rec", "left_semi").groupBy("rec").agg(F.min("text").alias("text"))
-    wanted = materialize(wanted, "overlap-wanted")
+    nodes = materialize(counted.where("n > 0").groupBy("rec").agg(F.first("n").alias("n"), F.min("text").alias("text")).withColumn("short", _short_name(F.col("rec"))), "overlap-named-sets")
+    # A first look at fewer shingles turns away most sets: those that share too few of them for any partner, the smallest of which needs `least`.
+    all_texts = docs.select(F.col(text_col).cast("binary").alias("t"))
+    seen = _prefix_lists(all_texts, width, percent, common, min(parts, 1 << _PART_BITS), glance=True).groupBy("short").agg(F.sum("token").alias("c"))
+    t = F.ceil(F.col("n") * percent / 100)
+    least = F.greatest(F.lit(1), F.floor(F.ceil(t * percent / 100) / _GLANCE))
+    small = nodes.withColumn("g", _short_name(F.col("rec"), _GLANCE_NAME)).join(seen.withColumnRenamed("short", "g"), "g", "left")
+    # Sets of one name are not told apart there, so they stay.
+    namesakes = F.count("*").over(Window.partitionBy("g"))
+    seeds = materialize(small.withColumn("s", namesakes).where((F.col("s") > 1) | (F.col("c") >= least)).select("rec", "n", "text", "short"), "overlap-seeds")
+    entries = _prefix_lists(_texts(docs, text_col, seeds), width, percent, common, min(parts, 1 << _PART_BITS))
+    short = materialize(_short_lists(entries, seeds, percent), "overlap-lists")
+
+    # Sets of one short name (hardly any) are told apart by nothing but their shingles.
+    twins = materialize(nodes.groupBy("short").agg(F.sort_array(F.collect_list("rec")).alias("r")).where(F.size("r") > 1), "overlap-twins")
+    alike = twins.select(F.explode("r").alias("u"), "r").select("u", F.explode("r").alias("v")).where("u > v")
+    pairs = _first_pairs(short, percent).union(alike)
+    wanted = materialize(nodes.join(short.select("rec").union(twins.select(F.explode("r"))).distinct(), "rec", "left_semi").select("rec", "text"), "overlap-wanted")
     sets = _candidate_sets(docs, text_col, width, wanted)
     first = materialize(connected_components(_probe(pairs, sets, percent)), "overlap-first")
-    discard(pairs, wanted)
+    discard(wanted, nodes, seeds)
 
     # Then the lists that still hold several components.
     named = short.join(first.withColumnRenamed("node", "rec"), "rec", "left").select("token", "rec", "n", F.coalesce("label", "rec").alias("label"))
     named = materialize(named, "overlap-named")
-    open_tokens = named.groupBy("token").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("token")
-    open_ = materialize(named.join(open_tokens, "token", "left_semi"), "overlap-open")
+    open_tokens = named.groupBy("token").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count("*").alias("m")).where("a <> b").select("token", "m")
+    open_ = materialize(named.join(open_tokens, "token"), "overlap-open")
     discard(short, named)
     links = materialize(_probe(_search(open_, percent), sets, percent), "overlap-links")
     discard(open_, sets)

@@ -9,7 +9,7 @@ import pytest
 from brute import awkward, empty, lower
 
 from ledgerline.llm.hard_negatives import Codebooks, MultiIndex, hard_negatives, vector_rows
-from ledgerline.llm.overlap_join import _cut, _folded, _marks, _may_link, _sets, merge_skip, overlap_components
+from ledgerline.llm.overlap_join import _cut, _folded, _marks, _may_link, _numbers, _planes, _prefix_lists, _sets, merge_skip, overlap_components
 from ledgerline.llm.phrase_mining import collocations, frequent_phrases
 from pyspark.sql import functions as F
 
@@ -76,6 +76,19 @@ def test_overlap_join_on_near_copies(spark):
     assert got_joined(docs, percent=50) == joined(rows, 50)
 
 
+def test_first_look_at_sets(spark):
+    """Entries travel as planes of bytes; at the first look near copies share shingles, and texts with one passage in common hardly any."""
+    x = np.random.default_rng(5).integers(0, 1 << 64, size=1000, dtype=np.uint64)
+    assert (_numbers(_planes(x, 6), 6) == x & np.uint64((1 << 48) - 1)).all() and (_numbers(_planes(x)) == x).all()
+    passage = " ".join(f"p{i}" for i in range(12))
+    texts = [passage + " " + " ".join(f"t{t}w{i}" for i in range(200)) for t in range(30)]
+    texts += [texts[0] + " end", texts[1]]
+    docs = spark.createDataFrame([(x,) for x in texts], "t string").select(F.col("t").cast("binary"))
+    none = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+    counts = [r["c"] for r in _prefix_lists(docs, 5, 80, none, 4, glance=True).groupBy("short").agg(F.sum("token").alias("c")).collect()]
+    assert len(counts) <= 31 and sum(c >= 13 for c in counts) == 2
+
+
 def test_overlap_join_awkward_rows(spark):
     docs = awkward(spark)
     assert got_joined(docs) == joined([(r["doc_id"], r["text"]) for r in docs.collect()])
