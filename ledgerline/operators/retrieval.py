@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import datetime
 import re
-from collections.abc import Sequence
+from collections import Counter
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ledgerline.functions import vectors
 from ledgerline.functions.scalars import DOC_TYPES, clamp_doc_type, clean_ticker
@@ -53,11 +57,86 @@ def blocks(queries: DataFrame, key: str, block: int = 1000) -> list[DataFrame]:
     return [queries] if n == 1 else [queries.where(F.pmod(F.xxhash64(key), F.lit(n)) == i) for i in range(n)]
 
 
+def near_pairs(rows: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", digits: int = 9, within: Sequence[str] = (), skip_self: bool = False) -> DataFrame:
+    """(the columns of both sides): a few pairs more than the k best of each query (query_id, _q, and `within` as _w0, ...) among the rows (item_id, _v, ...).
+
+    The queries, a stated set that a task can hold, are multiplied with the rows of a batch at once. In each task a query keeps what comes within a
+    margin of its k-th best so far, by far wider than the rounding of products and of `digits` digits; so what is not kept has k better rows in the
+    same task. Vectors that cannot be measured so (null, not finite, zero or of another width) stay paired with all. `within` names columns of the rows that
+    have to equal those of the query where it gives a value; with `skip_self` a row is no neighbour of the query of its id.
+    """
+    table = queries.toArrow()
+    held = table.select(["query_id", "_q", *(f"_w{i}" for i in range(len(within)))]).to_pylist()
+    names, ids = rows.columns, [h["query_id"] for h in held]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    width = Counter(len(h["_q"]) for h in held if h["_q"]).most_common(1)
+    width = width[0][0] if width else 1
+
+    def matrix(vectors: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+        """(vectors, those that can be measured); others are zero."""
+        flat = vectors.flatten()
+        if not vectors.null_count and not flat.null_count and (np.diff(vectors.offsets.to_numpy()) == width).all():
+            out, fit = flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width), np.ones(len(vectors), dtype=bool)
+        else:
+            listed = vectors.to_pylist()
+            out = np.zeros((len(listed), width))
+            fit = np.array([v is not None and len(v) == width and None not in v for v in listed], dtype=bool)
+            if fit.any():
+                out[fit] = np.array([v for v, f in zip(listed, fit) if f], dtype=np.float64)
+        size = np.linalg.norm(out, axis=1)
+        fit &= np.isfinite(size) & (size < 1e100) & ((size > 1e-100) | (metric != "cosine"))
+        out[~fit] = 0
+        return (out / np.where(fit, size, 1)[:, None] if metric == "cosine" else out), fit
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q, q_fit = matrix(pa.array([h["_q"] for h in held], pa.list_(pa.float64())))
+        q_size = (q * q).sum(axis=1)
+        # The k best measures of each query so far, larger is nearer.
+        best = np.full((len(held), k), -np.inf)
+        number = {x: i for i, x in enumerate(ids)}
+        for b in batches:
+            for at in range(0, b.num_rows, 1024):
+                part = b.slice(at, 1024)
+                v, v_fit = matrix(part.column(names.index("_v")))
+                score = q @ v.T
+                slack = 1e-11
+                if metric != "cosine":
+                    v_size = (v * v).sum(axis=1)
+                    score = 2 * score - q_size[:, None] - v_size
+                    slack = slack * (q_size[:, None] + v_size.max(initial=0)) + 1e-200
+                allowed = np.ones(score.shape, dtype=bool)
+                for i, c in enumerate(within):
+                    theirs = np.array(part.column(names.index(c)).to_pylist(), dtype=object)
+                    allowed &= np.array([np.ones(len(theirs), dtype=bool) if h[f"_w{i}"] is None else theirs == h[f"_w{i}"] for h in held])
+                if skip_self:
+                    for j, x in enumerate(part.column(names.index("item_id")).to_pylist()):
+                        if x in number:
+                            allowed[number[x], j] = False
+                odd = allowed & ~(q_fit[:, None] & v_fit)
+                score[~allowed | odd] = -np.inf
+                near = np.partition(score, score.shape[1] - k, axis=1)[:, -k:] if score.shape[1] > k else score
+                both = np.concatenate([best, near], axis=1)
+                best = np.partition(both, both.shape[1] - k, axis=1)[:, -k:]
+                kth = best.min(axis=1, keepdims=True)
+                if metric == "cosine":
+                    floor = kth - slack - 2 * 10.0**-digits
+                else:
+                    # Of squared distances: so much further as rounding may tell.
+                    far = np.sqrt(np.maximum(-kth, 0)) + 2 * 10.0**-digits
+                    floor = -far * far - slack
+                i, j = np.nonzero(allowed & ((score >= floor) | odd) & (np.isfinite(score) | odd))
+                if len(i):
+                    yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), *part.take(pa.array(j)).columns], names=["_i", *names])
+
+    numbered = rows.sparkSession.createDataFrame(table.append_column("_i", pa.array(range(len(held)), pa.int32())), StructType([*queries.schema.fields, StructField("_i", IntegerType())]))
+    return rows.mapInArrow(run, schema=f"_i int, {schema}").join(F.broadcast(numbered), "_i").drop("_i")
+
+
 def vector_top_k(rows: DataFrame, queries: DataFrame, k: int, row_id: str, row_vector: str, query_id: str, query_vector: str, metric: str = "cosine", digits: int = 9, block: int = 1000, carry: Sequence[str] = ()) -> DataFrame:
     """(query, row, similarity or distance, vec_rank, carry): the k nearest rows of each query, ties by row id; exact.
 
-    The stated query set is broadcast against all rows in blocks of about `block` queries, and each task keeps its k best a query
-    before anything is shuffled (a window group limit). Norms are taken once a row. `carry` names columns of the rows that go along.
+    The stated query set meets all rows in blocks of about `block` queries: products of matrices leave few pairs (near_pairs), which are measured
+    exactly, and each task keeps its k best a query before anything is shuffled (a window group limit). `carry` names columns of the rows that go along.
     """
     q = queries.select(F.col(query_id).alias("query_id"), F.col(query_vector).alias("_q"))
     v = rows.select(F.col(row_id).alias("item_id"), F.col(row_vector).alias("_v"), *carry)
@@ -69,7 +148,7 @@ def vector_top_k(rows: DataFrame, queries: DataFrame, k: int, row_id: str, row_v
     order = F.desc("score") if metric == "cosine" else F.asc("score")
     out = None
     for part in blocks(q, "query_id", block):
-        scored = v.join(F.broadcast(part), F.lit(True)).select("query_id", "item_id", F.round(measure, digits).alias("score"), *carry)
+        scored = near_pairs(v, part, k, metric, digits).select("query_id", "item_id", F.round(measure, digits).alias("score"), *carry)
         best = scored.withColumn("vec_rank", F.row_number().over(Window.partitionBy("query_id").orderBy(order, "item_id"))).where(F.col("vec_rank") <= k)
         out = best if out is None else out.unionByName(best)
     return out

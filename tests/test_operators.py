@@ -468,6 +468,28 @@ def test_sections_and_summaries(spark):
     assert [(r["chunk_type"], r["text_content"]) for r in rows.where("kind = 'table'").collect()] in ([("table", "ttt")], [("table", "t" * 300)])
 
 
+def test_near_pairs_are_few_and_hold_the_best(spark):
+    """Of 100 x 3,000 pairs few are left to measure; vectors without a measure stay, ties are whole."""
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(3000, 8)).round(1).astype(np.float32).astype(np.float64)
+    x[1500:1510], x[12] = x[7], 0
+    vectors = [v.tolist() for v in x]
+    vectors[11], vectors[12], vectors[13], vectors[14] = None, [0.0] * 8, [float("nan")] * 8, [1.0, 2.0]
+    rows = spark.createDataFrame(list(enumerate(vectors)), "item_id long, _v array<float>").coalesce(1)
+    queries = rows.where("item_id % 30 = 7").withColumnsRenamed({"item_id": "query_id", "_v": "_q"})
+    for metric in ("cosine", "l2"):
+        found = {}
+        for r in retrieval.near_pairs(rows, queries, 5, metric).select("query_id", "item_id").collect():
+            found.setdefault(r["query_id"], set()).add(r["item_id"])
+        assert len(found) == 100 and sum(map(len, found.values())) < 40_000
+        for q, items in found.items():
+            a, b = np.array(vectors[q]), x
+            with np.errstate(all="ignore"):
+                measure = -(b @ a) / np.linalg.norm(b, axis=1) if metric == "cosine" else np.linalg.norm(b - a, axis=1)
+            measure[[11, 13, 14] + [12] * (metric == "cosine")] = np.inf
+            assert set(np.flatnonzero(measure <= np.sort(measure)[4] + 1e-9).tolist()) | {11, 13, 14} <= items
+
+
 def test_blocks_keep_references_that_are_cut():
     assert html.blocks("<h1>a &amp; b&amp</h1><p title='&lt'>R&D &lt; &am") == [("title", "a & b&amp", None), ("text", "R&D < &am", None)]
     assert html.blocks("<table><td id='&x'>&amp &gt;</td></table>") == [("table", "&amp >", "<table><td id='&x'>&amp;amp &gt;</td></table>")]
