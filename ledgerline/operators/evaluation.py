@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerline.operators.retrieval import blocks
+from ledgerline.operators.retrieval import blocks, near_pairs
 
 
 def case_matches() -> Column:
@@ -51,18 +51,26 @@ def report_text(ranks: DataFrame, cases: DataFrame, ks: Sequence[int] = (1, 3, 5
     return body.join(totals, F.lit(True)).select(F.array_join(F.array_compact(F.array(*parts)), "\n").alias("text"))
 
 
-def run_cases(cases: DataFrame, chunks: DataFrame, filters: dict[str, str], measure: Column, match: Column, item: str, top_k: int = 5, ks: Sequence[int] = (1, 3, 5), case: str = "case_id") -> tuple[DataFrame, DataFrame]:
+def run_cases(cases: DataFrame, chunks: DataFrame, filters: dict[str, str], measure: Column, match: Column, item: str, top_k: int = 5, ks: Sequence[int] = (1, 3, 5), case: str = "case_id", cosine: tuple[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
     """(ranks, report) of searching every case within its own filters.
 
     `filters` names a column of the chunks by that of the cases that has to equal it where the case gives a value. The cases are a stated
     set, broadcast against all chunks in blocks; each task keeps `top_k` rows a case by falling `measure` (ties by item) before anything is shuffled.
+    Where `measure` is the cosine of two vectors (of cases and of chunks, named by `cosine`) to nine digits, and a case does not find the chunk of its own id,
+    products of matrices leave few pairs to measure.
     """
     allowed = F.lit(True)
     for own, theirs in filters.items():
         allowed = allowed & (F.col(own).isNull() | (F.col(own) == F.col(theirs)))
     ranked = None
     for part in blocks(cases, case):
-        scored = chunks.join(F.broadcast(part), allowed).select(case, item, measure.alias("score"), F.coalesce(match, F.lit(False)).alias("hit"))
+        if cosine:
+            asked = part.withColumns({"query_id": F.col(case), "_q": F.col(cosine[0])} | {f"_w{i}": F.col(own) for i, own in enumerate(filters)})
+            met = near_pairs(chunks.withColumnsRenamed({item: "item_id", cosine[1]: "_v"}), asked, top_k, within=list(filters.values()), skip_self=True)
+            met = met.drop("query_id", "_q").withColumnsRenamed({"item_id": item, "_v": cosine[1]}).where(allowed)
+        else:
+            met = chunks.join(F.broadcast(part), allowed)
+        scored = met.select(case, item, measure.alias("score"), F.coalesce(match, F.lit(False)).alias("hit"))
         first = scored.withColumn("rank", F.row_number().over(Window.partitionBy(case).orderBy(F.desc("score"), item))).where(F.col("rank") <= top_k)
         ranked = first if ranked is None else ranked.unionByName(first)
     best = ranked.where("hit").groupBy(case).agg(F.min("rank").alias("first_rank"))
