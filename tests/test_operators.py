@@ -688,6 +688,27 @@ def test_similar_rows_against_all_pairs(spark):
     assert got == {i: (sets[g, frozenset(w)], links[sets[g, frozenset(w)]]) if w else (None, 0) for i, g, w in rows}
 
 
+def test_similar_rows_move_no_set_for_each_pair(spark):
+    """Near copies meet in blocks and cells that are split; what is shuffled follows the sets, not their pairs."""
+    rng = random.Random(4)
+    base = [f"word number {i}" for i in range(900)]
+    sets = [frozenset(w for w in base if rng.random() > 0.07) | {f"own {i}"} for i in range(70)]
+    rows = spark.createDataFrame([(i, sorted(s)) for i, s in enumerate(sets)], "id long, w array<string>")
+    written = lambda: (lambda x: sum(x.apply(i).totalShuffleWrite() for i in range(x.size())))(spark._jsc.sc().statusStore().executorList(False))
+    links = [sum(a != b and 100 * len(a & b) >= 80 * len(a | b) for b in sets) for a in sets]
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        began = written()
+        got = {r["item"]: r["n_links"] for r in similarity.similar_rows(rows, "id", "w").collect()}
+        moved = written() - began
+        split = {r["item"]: r["n_links"] for r in similarity.similar_rows(rows, "id", "w", list_entries=16, cell_pairs=100).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert got == split == dict(enumerate(links)) and sum(links) > 3000
+    assert moved < 8_000_000
+
+
 @pytest.mark.parametrize(
     "given,want",
     [
