@@ -688,6 +688,16 @@ def test_similar_rows_against_all_pairs(spark):
     assert got == {i: (sets[g, frozenset(w)], links[sets[g, frozenset(w)]]) if w else (None, 0) for i, g, w in rows}
 
 
+def test_tables_are_cleaned_once_a_batch_and_by_many_tasks(spark):
+    """Equal tables are cleaned once a batch, nulls stay, and rows of one small file are dealt over tasks."""
+    made = [f"<table><tr><td>{i % 3}0</td></tr></table>" if i % 5 else None for i in range(3000)]
+    rows = spark.createDataFrame(list(enumerate(made)), "id long, h string").coalesce(1)
+    dealt = html.spread(rows, 500)
+    assert dealt.rdd.getNumPartitions() == 6
+    want = {i: html.clean_table(h) for i, h in enumerate(made)}
+    assert {r["id"]: r["c"] for r in dealt.select("id", html.clean_tables(F.col("h")).alias("c")).collect()} == want
+
+
 def test_similar_rows_move_no_set_for_each_pair(spark):
     """Near copies meet in blocks and cells that are split; what is shuffled follows the sets, not their pairs."""
     rng = random.Random(4)
