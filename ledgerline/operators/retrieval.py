@@ -57,15 +57,23 @@ def blocks(queries: DataFrame, key: str, block: int = 1000) -> list[DataFrame]:
     return [queries] if n == 1 else [queries.where(F.pmod(F.xxhash64(key), F.lit(n)) == i) for i in range(n)]
 
 
-def near_pairs(rows: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", digits: int = 9, within: Sequence[str] = (), skip_self: bool = False) -> DataFrame:
+def near_pairs(rows: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", digits: int = 9, within: Sequence[str] = (), skip_self: bool = False, lists: tuple[str, str] | None = None) -> DataFrame:
     """(the columns of both sides): a few pairs more than the k best of each query (query_id, _q, and `within` as _w0, ...) among the rows (item_id, _v, ...).
 
     The queries, a stated set that a task can hold, are multiplied with the rows of a batch at once. In each task a query keeps what comes within a
     margin of its k-th best so far, by far wider than the rounding of products and of `digits` digits; so what is not kept has k better rows in the
     same task. Vectors that cannot be measured so (null, not finite, zero or of another width) stay paired with all. `within` names columns of the rows that
-    have to equal those of the query where it gives a value; with `skip_self` a row is no neighbour of the query of its id.
+    have to equal those of the query where it gives a value; with `skip_self` a row is no neighbour of the query of its id. `lists` names a number of the rows that has
+    to be among those of an array of the queries, which goes no further.
     """
     table = queries.toArrow()
+    member = None
+    if lists:
+        wanted = [np.array(x, dtype=np.int64) for x in table.column(lists[1]).to_pylist()]
+        member = np.zeros((len(wanted), 2 + max((int(x.max(initial=0)) for x in wanted), default=0)), dtype=bool)
+        for i, x in enumerate(wanted):
+            member[i, x] = True
+        queries, table = queries.drop(lists[1]), table.drop_columns([lists[1]])
     held = table.select(["query_id", "_q", *(f"_w{i}" for i in range(len(within)))]).to_pylist()
     names, ids = rows.columns, [h["query_id"] for h in held]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
@@ -108,6 +116,9 @@ def near_pairs(rows: DataFrame, queries: DataFrame, k: int, metric: str = "cosin
                 for i, c in enumerate(within):
                     theirs = np.array(part.column(names.index(c)).to_pylist(), dtype=object)
                     allowed &= np.array([np.ones(len(theirs), dtype=bool) if h[f"_w{i}"] is None else theirs == h[f"_w{i}"] for h in held])
+                if member is not None:
+                    # What no query asks for is the last column, which is false.
+                    allowed &= member[:, np.minimum(part.column(names.index(lists[0])).to_numpy(zero_copy_only=False).astype(np.int64), member.shape[1] - 1)]
                 if skip_self:
                     for j, x in enumerate(part.column(names.index("item_id")).to_pylist()):
                         if x in number:

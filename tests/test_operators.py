@@ -698,6 +698,22 @@ def test_tables_are_cleaned_once_a_batch_and_by_many_tasks(spark):
     assert {r["id"]: r["c"] for r in dealt.select("id", html.clean_tables(F.col("h")).alias("c")).collect()} == want
 
 
+def test_index_search_measures_few_pairs(spark):
+    """Of all pairs of a query and the rows of its lists only those near the best ones are measured one by one, and the best are among them."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(600, 8))
+    rows = spark.createDataFrame([(i, [float(c) for c in v], i % 5) for i, v in enumerate(x)], "item_id long, _v array<double>, list int").coalesce(1)
+    asked = {q: sorted({q % 5, (q + 1) % 5}) for q in range(0, 600, 50)}
+    queries = spark.createDataFrame([(q, [float(c) for c in x[q]], at) for q, at in asked.items()], "query_id long, _q array<double>, _lists array<int>")
+    pairs = retrieval.near_pairs(rows, queries, 3, lists=("list", "_lists")).select("query_id", "item_id").collect()
+    got = {q: {r["item_id"] for r in pairs if r["query_id"] == q} for q in asked}
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for q, at in asked.items():
+        own = [i for i in range(600) if i % 5 in at]
+        assert got[q] <= set(own) and set(sorted(own, key=lambda i: -unit[q] @ unit[i])[:3]) <= got[q]
+    assert len(pairs) < 12 * 240 / 4
+
+
 def test_similar_rows_move_no_set_for_each_pair(spark):
     """Near copies meet in blocks and cells that are split; what is shuffled follows the sets, not their pairs."""
     rng = random.Random(4)
