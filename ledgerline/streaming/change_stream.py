@@ -1,81 +1,30 @@
-"""Changes between the periods of each key as they close, kept by a stateful operator with event-time timers."""
+"""Changes between the periods of each key as they close: sums kept by the stream, each held against the key's last closed one."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
 from ledgerline.functions.scalars import moved
+from ledgerline.sources.store import _folder
 
 OUTPUT = "key string, day date, total long, previous long, changed boolean"
+_LAST = "key string, total long"
 _DAY_MS = 86_400_000
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-class _Days(StatefulProcessor):
-    """Open days of one key with their sums, and the sum of the last day that closed.
+def closed_days(stream: DataFrame, key: str, time_col: str, amount: str, late: str = "1 day") -> DataFrame:
+    """(key, day, total) of a stream, one row a key and day as soon as the watermark, `late` behind the newest time, has passed its end.
 
-    A day's timer is set when its first row comes and fires once the watermark has passed its end; days close in order, each held against the
-    one before, and are then forgotten. State is one number for each open day and one for the last closed.
+    Rows of a day that has closed are left out, rows without a key, a time or an amount too. State is one sum for each open day and key, and
+    lives in the checkpoint, so a stream that is started again goes on where it stopped. Days are those of UTC.
     """
-
-    def __init__(self, tolerance: float):
-        self.tolerance = tolerance
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.open = handle.getMapState("open", "day long", "total long")
-        self.last = handle.getValueState("last", "total long")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        sums: dict[int, int] = {}
-        for frame in rows:
-            for day, amount in zip(frame["day"], frame["amount"]):
-                sums[int(day)] = sums.get(int(day), 0) + int(amount)
-        for day, amount in sums.items():
-            if self.open.containsKey((day,)):
-                amount += self.open.getValue((day,))[0]
-            else:
-                self.handle.registerTimer((day + 1) * _DAY_MS)
-            self.open.updateValue((day,), (amount,))
-        yield from ()
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        day = expiredTimerInfo.getExpiryTimeInMs() // _DAY_MS - 1
-        # Timers of one key that expire together come in no stated order: each closes all days up to its own that are still open.
-        out = []
-        for d in sorted(k[0] for k in self.open.keys() if k[0] <= day):
-            total = int(self.open.getValue((d,))[0])
-            before = int(self.last.get()[0]) if self.last.exists() else None
-            changed = None if before is None else abs(total - before) >= self.tolerance * max(abs(total), abs(before), 1e-9)
-            out.append((key[0], (pd.Timestamp(0) + pd.Timedelta(days=d)).date(), total, before, changed))
-            self.last.update((total,))
-            self.open.removeKey((d,))
-        if out:
-            frame = pd.DataFrame(out, columns=["key", "day", "total", "previous", "changed"])
-            yield frame.astype({"previous": "Int64", "changed": "boolean"})
-
-    def close(self) -> None:
-        pass
-
-
-def daily_changes(stream: DataFrame, key: str, time_col: str, amount: str, late: str = "1 day", tolerance: float = 0.05) -> DataFrame:
-    """(key, day, total, previous, changed) of a stream, one row a key and day as soon as the watermark, `late` behind the newest time, has
-    passed its end: the sum of whole numbers, that of the key's last day before, and whether they differ by the tolerance.
-
-    Rows that come later than that are left out, rows without a key, a time or an amount too. State lives in the checkpoint, so a stream that is
-    started again goes on where it stopped. Days are those of UTC.
-    """
-    spark = stream.sparkSession
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     rows = stream.select(F.col(key).cast("string").alias("key"), F.col(time_col).cast("timestamp").alias("time"), F.col(amount).cast("long").alias("amount")).dropna()
-    rows = rows.withWatermark("time", late).withColumn("day", F.floor(F.unix_millis("time") / _DAY_MS).cast("long"))
-    return rows.groupBy("key").transformWithStateInPandas(statefulProcessor=_Days(tolerance), outputStructType=StructType.fromDDL(OUTPUT), outputMode="Append", timeMode="EventTime")
+    sums = rows.withWatermark("time", late).groupBy("key", F.window("time", "1 day").alias("w")).agg(F.sum("amount").alias("total"))
+    return sums.select("key", F.date_from_unix_date(F.floor(F.unix_millis("w.start") / _DAY_MS).cast("int")).alias("day"), "total")
 
 
 def daily_changes_of_table(rows: DataFrame, key: str, time_col: str, amount: str, tolerance: float = 0.05) -> DataFrame:
@@ -86,10 +35,28 @@ def daily_changes_of_table(rows: DataFrame, key: str, time_col: str, amount: str
     return sums.withColumn("previous", previous).withColumn("changed", moved(F.col("total"), F.col("previous"), tolerance))
 
 
-def run_changes(spark: SparkSession, source: str, schema: StructType, path: str, checkpoint: str, key: str, time_col: str, amount: str, files: int | None = None, **options) -> DataFrame:
-    """Take what files there are below `source` (`files` a batch), append the changes of the days that close to `path`, and read all of them."""
+def run_changes(spark: SparkSession, source: str, schema: StructType, path: str, checkpoint: str, key: str, time_col: str, amount: str, files: int | None = None, tolerance: float = 0.05, **options) -> DataFrame:
+    """Take what files there are below `source` (`files` a batch), add the changes of the days that close to `path`, and read all of them.
+
+    Days close in order. Each is held against the key's day before: one that closes in the same batch, or the last of earlier batches, which a small table
+    beside the checkpoint holds. Both are written by the batch's number, so a batch that runs again writes the same files.
+    """
     reader = spark.readStream.schema(schema)
     stream = (reader.option("maxFilesPerTrigger", files) if files else reader).parquet(source)
-    query = daily_changes(stream, key, time_col, amount, **options).writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path)
+
+    def add(batch: DataFrame, number: int) -> None:
+        store, target = _folder(spark, f"{checkpoint}/last")
+        before = [n for s in (store.listStatus(target) if store.exists(target) else []) if (n := int(s.getPath().getName())) < number]
+        last = spark.read.schema(_LAST).parquet(f"{checkpoint}/last/{max(before)}") if before else spark.createDataFrame([], _LAST)
+        batch = batch.persist()
+        by_key = Window.partitionBy("key").orderBy("day")
+        held = batch.withColumn("_lag", F.lag("total").over(by_key)).join(last.withColumnRenamed("total", "_last"), "key", "left")
+        rows = held.withColumn("previous", F.coalesce("_lag", "_last")).withColumn("changed", moved(F.col("total"), F.col("previous"), tolerance))
+        rows.select("key", "day", "total", "previous", "changed").write.mode("overwrite").parquet(f"{path}/batch={number}")
+        newest = batch.groupBy("key").agg(F.max_by("total", "day").alias("_new"))
+        last.join(newest, "key", "full").select("key", F.coalesce("_new", "total").alias("total")).write.mode("overwrite").parquet(f"{checkpoint}/last/{number}")
+        batch.unpersist()
+
+    query = closed_days(stream, key, time_col, amount, **options).writeStream.foreachBatch(add).outputMode("append").option("checkpointLocation", f"{checkpoint}/log").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema(OUTPUT).parquet(path)
+    return spark.read.schema(OUTPUT).parquet(path).drop("batch")

@@ -835,3 +835,15 @@ def test_changes_of_closed_days_go_on_after_a_restart(spark, tmp_path):
     edge = rows[-1][1] - dt.timedelta(days=1)
     want = [tuple(r) for r in table.collect() if dt.datetime.combine(r["day"], dt.time()) + dt.timedelta(days=1) <= edge]
     assert sorted(map(str, (tuple(r) for r in got.collect()))) == sorted(map(str, want)) and len(want) > 8
+
+
+def test_late_rows_of_an_open_day_count(spark, tmp_path):
+    """A row behind the watermark counts as long as its day is open, and not when it has closed."""
+    schema = spark.createDataFrame([], "ticker string, ts timestamp, amount long").schema
+    source = str(tmp_path / "in")
+    at = dt.datetime(2024, 1, 1)
+    hours = lambda n: at + dt.timedelta(hours=n)
+    for part in ([("A", hours(2), 5), ("A", hours(60), 1)], [("A", hours(30), 7), ("A", hours(3), 9)], [("A", hours(100), 1)]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(source)
+        got = change_stream.run_changes(spark, source, schema, str(tmp_path / "out"), str(tmp_path / "log"), "ticker", "ts", "amount")
+    assert sorted((r["day"].day, r["total"], r["previous"]) for r in got.collect()) == [(1, 5, None), (2, 7, 5), (3, 1, 7)]
