@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -61,9 +63,10 @@ def extract(rows: DataFrame, filings: DataFrame, concepts: DataFrame) -> DataFra
     Of several concepts for one line item and period the one of best priority stays, then the first seen. The taxonomy
     is a fixed table of some tens of rows and is broadcast.
     """
-    value = number(F.col("numeric_value").cast("string"))
-    kept = rows.where(~F.coalesce("is_dimensioned", F.lit(False))).withColumn("value", value).where("value is not null").withColumn("p", period(F.col("period_key"))).where("p is not null")
-    named = kept.withColumn("source_concept", F.col("concept")).withColumn("concept", bare_concept(F.col("concept"))).join(F.broadcast(concepts), "concept")
+    named = rows.where(~F.coalesce("is_dimensioned", F.lit(False))).withColumn("source_concept", F.col("concept")).withColumn("concept", bare_concept(F.col("concept"))).join(F.broadcast(concepts), "concept")
+    # Exploding its one element keeps the filters behind what is read. Moved before it they would repeat the whole reading for each of their terms, in a method too long for the JVM to compile.
+    read = F.struct(number(F.col("numeric_value").cast("string")).alias("value"), period(F.col("period_key")).alias("p"))
+    named = named.withColumn("_read", F.explode(F.array(read))).withColumn("value", F.col("_read.value")).withColumn("p", F.col("_read.p")).where("value is not null and p is not null")
     full = named.join(filings.select("filing_id", "ticker", "cik", "form_type", "filing_date"), "filing_id")
     full = full.where(keeps_period(F.col("p.period_type"), F.col("p.period_start"), F.col("p.period_end"), F.col("form_type")))
     one = best_row(full.withColumn("period_end", F.col("p.period_end")), ["filing_id", "canonical_key", "period_end"], F.col("priority"), F.col("frame_ord"), F.col("row_ord"))
@@ -73,22 +76,33 @@ def extract(rows: DataFrame, filings: DataFrame, concepts: DataFrame) -> DataFra
     )
 
 
+#: The line items that have to add up.
+_PARTS = ("revenue", "cost_of_revenue", "gross_profit", "total_liabilities", "total_equity", "total_assets")
+
+
+def _rules(part: Callable[[str], Column]) -> list[tuple[str, Column, Column]]:
+    """(rule, what its parts make, what was reported)."""
+    return [("gross_profit", part("revenue") - part("cost_of_revenue"), part("gross_profit")), ("balance_sheet", part("total_liabilities") + part("total_equity"), part("total_assets"))]
+
+
 def violations(facts: DataFrame, keys: Sequence[str] = ("ticker", "period_end")) -> DataFrame:
     """(keys, rule, detail) where a period's gross profit or balance sheet does not add up; missing parts flag nothing."""
-    parts = ("revenue", "cost_of_revenue", "gross_profit", "total_liabilities", "total_equity", "total_assets")
-    wide = facts.where(F.col("canonical_key").isin(*parts)).groupBy(*keys).pivot("canonical_key", list(parts)).agg(F.first("value", ignorenulls=True))
-    gross, sheet = F.col("revenue") - F.col("cost_of_revenue"), F.col("total_liabilities") + F.col("total_equity")
-    found = [
-        F.when(~close_to(gross, F.col("gross_profit")), F.struct(F.lit("gross_profit").alias("rule"), F.concat(fixed(gross, 2), F.lit(" is not "), fixed(F.col("gross_profit"), 2)).alias("detail"))),
-        F.when(~close_to(sheet, F.col("total_assets")), F.struct(F.lit("balance_sheet").alias("rule"), F.concat(fixed(sheet, 2), F.lit(" is not "), fixed(F.col("total_assets"), 2)).alias("detail"))),
-    ]
+    wide = facts.where(F.col("canonical_key").isin(*_PARTS)).groupBy(*keys).pivot("canonical_key", list(_PARTS)).agg(F.first("value", ignorenulls=True))
+    found = [F.when(~close_to(made, told), F.struct(F.lit(rule).alias("rule"), F.concat(fixed(made, 2), F.lit(" is not "), fixed(told, 2)).alias("detail"))) for rule, made, told in _rules(F.col)]
     return wide.select(*keys, F.explode(F.array_compact(F.array(*found))).alias("v")).select(*keys, "v.*")
 
 
 def flag_low_confidence(facts: DataFrame, keys: Sequence[str] = ("ticker", "period_end"), low: float = 0.5) -> DataFrame:
-    """The facts; those of a period with a violation have at most the low confidence."""
-    bad = violations(facts, keys).select(*keys).distinct().withColumn("_bad", F.lit(True))
-    return facts.join(bad, list(keys), "left").withColumn("confidence", F.when(F.col("_bad"), F.least("confidence", F.lit(low))).otherwise(F.col("confidence"))).drop("_bad")
+    """The facts; those of a period with a violation have at most the low confidence, those without a period's whole key keep theirs.
+
+    The parts are looked up over each period's own rows, so the facts are made once and not a second time for their violations.
+    """
+    period_rows = Window.partitionBy(*keys)
+    parts = {f"_{k}": F.first(F.when(F.col("canonical_key") == k, F.col("value")), ignorenulls=True).over(period_rows) for k in _PARTS}
+    bad = reduce(or_, (F.coalesce(~close_to(made, told), F.lit(False)) for _, made, told in _rules(lambda k: F.col(f"_{k}"))))
+    bad = reduce(and_, (F.col(k).isNotNull() for k in keys), bad)
+    flagged = facts.withColumns(parts).withColumn("confidence", F.when(bad, F.least("confidence", F.lit(low))).otherwise(F.col("confidence")))
+    return flagged.select(*keys, *(c for c in facts.columns if c not in keys))
 
 
 def segments(records: DataFrame) -> DataFrame:

@@ -70,6 +70,24 @@ def test_shared_results_are_computed_once(spark, name):
     assert _scans(spark, name, "lineitem") <= 1
 
 
+def test_ingest_reads_its_rows_once(spark):
+    assert _scans(spark, "ingest_job", "orders") == 1
+
+
+@pytest.mark.parametrize("name", ["ingest_job", "fact_extraction"])
+def test_extraction_is_compiled(spark, name):
+    """The JVM compiles no method of over 8,000 bytes and interprets it row by row."""
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = catalogue.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan()
+        stages = spark.sparkContext._jvm.org.apache.spark.sql.execution.debug.package.codegenStringSeq(plan)
+        sizes = [stages.apply(i)._3().maxMethodCodeSize() for i in range(stages.size())]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    assert sizes and max(sizes) <= 8000
+
+
 def test_index_recall_on_the_table(spark):
     got = catalogue.QUERIES["vector_index_topk"](spark, SF).groupBy("query_id").agg({"recall": "first", "*": "count"}).collect()
     assert len(got) == 10 and all(r["count(1)"] == 20 for r in got)

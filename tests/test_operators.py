@@ -183,6 +183,20 @@ def test_violations(spark):
     assert {(r["ticker"], r["confidence"]) for r in flagged.collect()} == {("OK", 0.9), ("BAD", 0.5), ("GAP", 0.9), ("EDGE", 0.9)}
 
 
+def test_flags_follow_violations(spark):
+    parts = ("revenue", "cost_of_revenue", "gross_profit", "total_liabilities", "total_equity", "total_assets")
+    values = (None, float("nan"), 0.0, 40.0, 100.0)
+    rows = [(f"T{i}", k, "2023", v, 0.9 if i % 2 else None) for i, vs in enumerate(itertools.product(values, repeat=3)) for k, v in zip(parts[:3] if i % 3 else parts[3:], vs)]
+    rows += [(t, k, p, v, 0.9) for t, p in ((None, "2023"), ("N", None)) for k, v in (("revenue", 100.0), ("cost_of_revenue", 60.0), ("gross_profit", 50.0))]
+    table = spark.createDataFrame(rows + [("T4", "capex", "2023", 1.0, 0.2), ("T4", "capex", "2022", 1.0, 0.9)], "ticker string, canonical_key string, period_end string, value double, confidence double")
+    bad = {(r["ticker"], r["period_end"]) for r in facts.violations(table).collect()}
+    assert {("N", None), (None, "2023")} < bad and len(bad) > 20
+    got = facts.flag_low_confidence(table).select(*table.columns)
+    # A period without its whole key is no one's.
+    want = [(*r[:4], min(0.5, 0.5 if r[4] is None else r[4]) if (r[0], r[2]) in bad and None not in (r[0], r[2]) else r[4]) for r in table.collect()]
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
+
+
 def test_segments_and_coverage(spark):
     geo, seg = "dim_us-gaap:StatementGeographicalAxis", "dim_us-gaap:StatementBusinessSegmentsAxis"
     rows = [
