@@ -29,6 +29,10 @@ _LIST_TOKENS, _LIST_ROWS, _CROWD = 1 << 20, 256, 64
 _DEPTH = 2
 #: With how many others a set of a crowd is compared at first.
 _NEIGHBOURS = 32
+#: Lists of more sets than this hold them together as a family. Families are compared in blocks of so many shingles, where a set counts for so many at least.
+_FAMILY, _BLOCK, _LEAST = 16, 1 << 20, 512
+#: Shingles that are columns of one product of matrices; pairs of sets that are counted one by one at once, if that many are left.
+_COLUMNS, _SPARSE = 1024, 1 << 22
 #: A shingle of so many texts of one batch is taken for a common one.
 _COMMON = 16
 #: A list's number is its length (that of longer ones is the largest), its part and its place there: so many bits each.
@@ -418,14 +422,146 @@ def _first_pairs(short: DataFrame, percent: int) -> DataFrame:
     return pairs
 
 
+def _families(open_: DataFrame, block: int) -> DataFrame:
+    """(rec, n, label, family, weight) of the sets that long lists of `open_` (token, rec, n, label, m, head) hold together, through any chain; `head`
+    is the least set of a list, `family` the least one of all.
+
+    Families are left out where the pairs in their long lists are fewer than the shingles that their blocks move.
+    """
+    long = open_.where(F.col("m") > _FAMILY)
+    groups = connected_components(long.select(F.col("rec").alias("u"), F.col("head").alias("v")).distinct()).select(F.col("node").alias("rec"), F.col("label").alias("family"))
+    members = materialize(open_.select("rec", "n", "label").distinct().join(groups, "rec"), "overlap-members")
+    met = long.groupBy("token").agg(F.first("m").alias("m"), F.first("head").alias("rec")).join(groups, "rec").groupBy("family").agg(F.sum(F.col("m") * F.col("m")).alias("met"))
+    sizes = members.groupBy("family").agg(F.sum(F.greatest(F.col("n"), F.lit(_LEAST))).alias("weight"))
+    worth = sizes.join(met, "family").where(F.col("weight") * F.ceil(F.col("weight") / block) <= F.col("met")).select("family", "weight")
+    return members.join(worth, "family").select("rec", "n", "label", "family", "weight")
+
+
+def _overlaps(a: list[np.ndarray], b: list[np.ndarray] | None) -> np.ndarray:
+    """How many elements each set of `a` and each of `b` (if none, of `a`) have in common. Elements that stand in many sets of both are multiplied as
+    columns of matrices, the pairs of the others are counted one by one."""
+    other = a if b is None else b
+    shape = len(a), len(other)
+    out = np.zeros(shape[0] * shape[1], dtype=np.int32)
+    ends = len(a) if b is None else len(a) + len(b)
+    sets = a if b is None else a + b
+    _, of = np.unique(np.concatenate(sets), return_inverse=True)
+    row = np.repeat(np.arange(ends), [len(s) for s in sets])
+    cut = sum(map(len, a))
+    total = int(of.max()) + 1
+
+    def side(of: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        order = np.argsort(of, kind="stable")
+        return of[order], row[order], np.bincount(of, minlength=total)
+
+    of_a, row_a, n_a = side(of[:cut], row[:cut])
+    of_b, row_b, n_b = (of_a, row_a, n_a) if b is None else side(of[cut:], row[cut:] - len(a))
+    pairs = n_a * n_b
+    shared = pairs > 1 if b is None else pairs > 0
+    dense = shared & (pairs * _COLUMNS >= len(out))
+    columns = np.flatnonzero(dense)
+    place = np.cumsum(dense) - 1
+    x, y = dense[of_a], dense[of_b]
+    col_a, col_b, r_a, r_b = place[of_a[x]], place[of_b[y]], row_a[x], row_b[y]
+    for low in range(0, len(columns), _COLUMNS):
+        width = min(_COLUMNS, len(columns) - low)
+        sides = []
+        for col, r, rows in ((col_a, r_a, shape[0]), (col_b, r_b, shape[1])):
+            begin, end = np.searchsorted(col, [low, low + width])
+            m = np.zeros((rows, width), dtype=np.float32)
+            m[r[begin:end], col[begin:end] - low] = 1
+            sides.append(m)
+        out += (sides[0] @ sides[1].T).astype(np.int32).ravel()
+    # What is left: each entry of the one side with the run of its shingle on the other.
+    starts = np.cumsum(n_b) - n_b
+    z = np.flatnonzero((shared & ~dense)[of_a])
+    many = n_b[of_a[z]]
+    sums = np.cumsum(many)
+    at = 0
+    while at < len(z):
+        stop = max(at + 1, int(np.searchsorted(sums, (sums[at - 1] if at else 0) + _SPARSE, side="right")))
+        part, count = z[at:stop], many[at:stop]
+        inside = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+        cell = np.repeat(row_a[part], count) * shape[1] + row_b[np.repeat(starts[of_a[part]], count) + inside]
+        # Cells repeat, and a plain sum over an index would count each of them once.
+        cell, c = np.unique(cell, return_counts=True)
+        out[cell] += c.astype(np.int32)
+        at = stop
+    return out.reshape(shape)
+
+
+def _linked(a: tuple[list[int], list[int], list[np.ndarray]], b: tuple[list[int], list[int], list[np.ndarray]] | None, percent: int) -> list[tuple[int, int]]:
+    """Pairs of sets, given as (names, labels, sets), that overlap enough: one for every two labels, none within a label."""
+    other = a if b is None else b
+    if len(set(a[1]) | set(other[1])) < 2:
+        return []
+    common = _overlaps(a[2], None if b is None else b[2])
+    n, m = (np.array([len(s) for s in x[2]], dtype=np.int64) for x in (a, other))
+    la, lb = (np.array(x[1], dtype=np.int64) for x in (a, other))
+    found = {}
+    for at in range(0, len(n), _LIST_ROWS):
+        c = common[at : at + _LIST_ROWS].astype(np.int64)
+        near = (100 * c >= percent * (n[at : at + _LIST_ROWS, None] + m - c)) & (la[at : at + _LIST_ROWS, None] != lb)
+        i, j = np.nonzero(near)
+        i += at
+        once = np.unique(np.stack([np.minimum(la[i], lb[j]), np.maximum(la[i], lb[j])]), axis=1, return_index=True)[1]
+        for i, j in zip(i[once].tolist(), j[once].tolist()):
+            found[min(a[1][i], other[1][j]), max(a[1][i], other[1][j])] = a[0][i], other[0][j]
+    return list(found.values())
+
+
+def _family_links(members: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
+    """(u, v) of sets of one family and different labels that overlap enough, one pair at least for every two labels that have some.
+
+    Whole sets are compared, block by block. Large families are dealt to classes of size, of which a set meets its own and the next ones, and these by a hash
+    to blocks, so a task holds two blocks of any family.
+    """
+    base = max(100 / percent, 1.1) * 1.01
+    size = F.when(F.col("weight") <= block, F.lit(0)).otherwise(F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(base)))).cast("int")
+    rows = members.withColumn("size", size)
+    blocks = materialize(rows.groupBy("family", "size").agg(F.ceil(F.sum(F.greatest(F.col("n"), F.lit(_LEAST))) / block).cast("int").alias("own")), "overlap-blocks")
+    rows = rows.join(blocks, ["family", "size"])
+    for name, step in (("after", -1), ("before", 1)):
+        rows = rows.join(blocks.select("family", (F.col("size") + step).alias("size"), F.col("own").alias(name)), ["family", "size"], "left")
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("rec"), F.col("own")).cast("int"))
+    met = F.expr("""flatten(array(
+        transform(sequence(0, own - 1), y -> struct(size as c, least(part, y) as i, size as d, greatest(part, y) as j, part > y as late)),
+        transform(filter(sequence(0, coalesce(after, 0)), y -> y < coalesce(after, 0)), y -> struct(size as c, part as i, size + 1 as d, y as j, false as late)),
+        transform(filter(sequence(0, coalesce(before, 0)), y -> y < coalesce(before, 0)), y -> struct(size - 1 as c, y as i, size as d, part as j, true as late))))""")
+    dealt = rows.join(sets.select("rec", "tokens"), "rec").select("rec", "label", "tokens", "family", F.explode(met).alias("met"))
+    dealt = dealt.select(F.xxhash64("family", "met.c", "met.i", "met.d", "met.j").alias("task"), "family", "met.c", "met.i", "met.d", "met.j", "met.late", "rec", "label", "tokens")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found(held: tuple) -> pa.RecordBatch:
+            out = _linked(held[0], held[1] if held[1][0] else None, percent) if held[0][0] else []
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out) if out else ((), ()))], names=["u", "v"])
+
+        key, held = None, None
+        for b in batches:
+            at, values = b.column(9).offsets.to_numpy(), b.column(9).values.to_numpy().view(np.uint64)
+            for i, (*own, late, rec, label) in enumerate(zip(*(c.to_pylist() for c in b.columns[1:9]))):
+                if own != key:
+                    if key is not None:
+                        yield found(held)
+                    key, held = own, (([], [], []), ([], [], []))
+                for x, y in zip(held[late], (rec, label, values[at[i] : at[i + 1]].copy())):
+                    x.append(y)
+        if key is not None:
+            yield found(held)
+
+    order = ["task", "family", "c", "i", "d", "j"]
+    return dealt.repartition(F.col("task")).sortWithinPartitions(*order).mapInArrow(run, schema="u long, v long")
+
+
 def _search(open_: DataFrame, percent: int) -> DataFrame:
-    """(u, v): for every set of `open_` (token, rec, n, label, m) the sets of other components that its merged lists show often enough; m is the length of a list.
+    """(u, v): for every set of `open_` (token, rec, n, label, family, m) the sets of other components and families that its merged lists show often enough; m is
+    the length of a list.
 
     Lists travel in arrays of some _LIST_ROWS sets of like size, and only to sets of like size.
     """
-    lists = _in_chunks(open_.repartition(F.col("token"))).groupBy("token", "chunk").agg(F.sort_array(F.collect_list(F.struct("rec", "n", "label"))).alias("list"))
-    q = open_.select("token", F.col("rec").alias("q"), F.col("n").alias("qn"), F.col("label").alias("ql"))
-    smaller = "filter(list, x -> x.label <> ql and (x.n < qn or x.n = qn and x.rec < q) and 100 * x.n >= " + f"{percent} * qn)"
+    lists = _in_chunks(open_.repartition(F.col("token"))).groupBy("token", "chunk").agg(F.sort_array(F.collect_list(F.struct("rec", "n", "label", "family"))).alias("list"))
+    q = open_.select("token", F.col("rec").alias("q"), F.col("n").alias("qn"), F.col("label").alias("ql"), F.col("family").alias("qf"))
+    smaller = "filter(list, x -> x.label <> ql and x.family <> qf and (x.n < qn or x.n = qn and x.rec < q) and 100 * x.n >= " + f"{percent} * qn)"
     met = q.join(lists, "token").select("q", "qn", F.expr(smaller).alias("list")).where(F.size("list") > 0)
     met = met.select("q", "qn", F.col("list.rec").alias("recs"), F.col("list.n").alias("sizes"))
 
@@ -486,11 +622,17 @@ def set_links(docs: DataFrame, text_col: str, width: int, percent: int, counted:
     # Then the lists that still hold several components.
     named = short.join(first.withColumnRenamed("node", "rec"), "rec", "left").select("token", "rec", "n", F.coalesce("label", "rec").alias("label"))
     named = materialize(named, "overlap-named")
-    open_tokens = named.groupBy("token").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count("*").alias("m")).where("a <> b").select("token", "m")
+    open_tokens = named.groupBy("token").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count("*").alias("m"), F.min("rec").alias("head")).where("a <> b").select("token", "m", "head")
     open_ = materialize(named.join(open_tokens, "token"), "overlap-open")
     discard(short, named)
-    links = materialize(_probe(_search(open_, percent), sets, percent), "overlap-links")
-    discard(open_, sets)
+    # Families are compared as wholes, and lists that hold nothing but one family are done with.
+    families = materialize(_families(open_, _BLOCK), "overlap-families")
+    within = _family_links(families, sets, percent, _BLOCK)
+    strange = open_.join(families.select("rec", "family"), "rec", "left").withColumn("family", F.coalesce("family", "rec"))
+    mixed = strange.groupBy("token").agg(F.min("family").alias("a"), F.max("family").alias("b")).where("a <> b").select("token")
+    left = materialize(strange.join(mixed, "token").select("token", "rec", "n", "label", "family", "m"), "overlap-left")
+    links = materialize(_probe(_search(left, percent), sets, percent).union(within), "overlap-links")
+    discard(open_, families, left, sets)
     tops = first.select(F.col("node").alias("x"), F.col("label").alias("top"))
     ends = links.join(tops.withColumnRenamed("x", "u"), "u", "left").withColumn("a", F.coalesce("top", "u")).drop("top")
     ends = ends.join(tops.withColumnRenamed("x", "v"), "v", "left").withColumn("b", F.coalesce("top", "v"))

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from brute import awkward, empty, lower
 
+from ledgerline.llm import overlap_join
 from ledgerline.llm.hard_negatives import Codebooks, MultiIndex, hard_negatives, vector_rows
 from ledgerline.llm.overlap_join import _cut, _folded, _marks, _may_link, _numbers, _planes, _prefix_lists, _sets, merge_skip, overlap_components
 from ledgerline.llm.phrase_mining import collocations, frequent_phrases
@@ -76,6 +77,50 @@ def test_overlap_join_on_near_copies(spark):
     assert got_joined(docs, percent=50) == joined(rows, 50)
 
 
+@pytest.mark.parametrize("block", [None, 1500])
+def test_overlap_join_compares_families_in_blocks(spark, monkeypatch, block):
+    """Texts that are alike and mostly do not link, of many lengths: no lists of a family are searched, in one block or in many, and links are those of all pairs."""
+    rng = random.Random(11)
+    rows = []
+    for f, size in enumerate((90, 40)):
+        base = [f"f{f}w{i}" for i in range(160)]
+        for _ in range(size):
+            copy = base[: rng.choice([160, 160, 150, 135, 120])]
+            for _ in range(rng.randrange(8)):
+                copy[rng.randrange(len(copy))] = f"x{rng.randrange(1 << 30)}"
+            rows.append((len(rows), " ".join(copy)))
+    searched = []
+    search = overlap_join._search
+
+    def counted(open_, percent):
+        searched.append(open_.count())
+        return search(open_, percent)
+
+    monkeypatch.setattr(overlap_join, "_search", counted)
+    if block:
+        monkeypatch.setattr(overlap_join, "_BLOCK", block)
+        monkeypatch.setattr(overlap_join, "_LEAST", 1)
+    want = joined(rows)
+    assert 15 < len({c for _, _, c in want}) < 110
+    assert got_joined(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)) == want
+    assert searched == [0]
+
+
+def test_overlaps_of_blocks_are_counts():
+    rng = np.random.default_rng(4)
+
+    def sets(n, most, values):
+        return [np.unique(rng.integers(0, values, size=rng.integers(1, most)).astype(np.uint64)) for _ in range(n)]
+
+    for a, b in ((sets(5, 9, 12), sets(7, 9, 12)), (sets(90, 40, 3000), sets(120, 60, 3000)), (sets(200, 30, 50), sets(3, 2500, 4000))):
+        a[0] = np.arange(8, dtype=np.uint64)
+        for x, y in ((a, b), (b, a), (a, None)):
+            got = overlap_join._overlaps(x, y)
+            want = [[len(np.intersect1d(p, q)) for q in (x if y is None else y)] for p in x]
+            differ = got != np.array(want)
+            assert not (differ[np.triu_indices(len(x), 1)] if y is None else differ).any()
+
+
 def test_first_look_at_sets(spark):
     """Entries travel as planes of bytes; at the first look near copies share shingles, and texts with one passage in common hardly any."""
     x = np.random.default_rng(5).integers(0, 1 << 64, size=1000, dtype=np.uint64)
